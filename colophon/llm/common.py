@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,7 +69,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
                 yield batch
             continue
         start, held = 0, 0
-        for i, n in enumerate(pa.compute.binary_length(col).to_pylist()):
+        for i, n in enumerate(pc.binary_length(col).to_pylist()):
             n = n or 0
             if held and held + n > BATCH_BYTES:
                 yield batch.slice(start, i - start)
