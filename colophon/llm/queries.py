@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colophon.llm import lines, media, packing, simhash, tokens, toxicity
+from colophon.llm import lines, media, mixing, packing, rules, simhash, tokens, toxicity
 from colophon.llm.common import documents, table
 
 
@@ -36,9 +36,17 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(documents(spark, sf_dir))
 
 
+def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(documents(spark, sf_dir))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.apply_rules(documents(spark, sf_dir), table(spark, sf_dir, "labels").filter("quality = 1"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabulary())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op2_token_counts, op3_toxicity, op5_simhash_near_dedup, op6_line_dedup, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op2_token_counts, op3_toxicity, op5_simhash_near_dedup, op6_line_dedup, op7_mixing_sources, op9_quality_rules, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {}
