@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colophon.llm import lines, media, mixing, packing, rules, simhash, tokens, toxicity
+from colophon.llm import chat, lines, media, mixing, packing, quality, rules, simhash, tokens, toxicity
 from colophon.llm.common import documents, table
 
 
@@ -28,6 +28,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -40,6 +44,12 @@ def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(documents(spark, sf_dir))
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = r"\### Assistant: </turn> ok"
+    return chat.format_conversations(conversations.union(spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id bigint, turn bigint, role string, text string")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(documents(spark, sf_dir), table(spark, sf_dir, "labels").filter("quality = 1"))
 
@@ -48,5 +58,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabulary())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op2_token_counts, op3_toxicity, op5_simhash_near_dedup, op6_line_dedup, op7_mixing_sources, op9_quality_rules, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op2_token_counts, op3_toxicity, op4_quality_classifier, op5_simhash_near_dedup, op6_line_dedup, op7_mixing_sources, op8_chat_formatting, op9_quality_rules, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {}
