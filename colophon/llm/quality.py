@@ -1,7 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
-A text's features are its words and the 3- and 4-byte grams of its words (with their borders), hashed
-into ROWS rows of an embedding of WIDTH numbers. A document is the mean of its features'
+A text's features are its words, the 3- and 4-byte grams of its words (with their borders) and its pairs of
+neighbouring words, hashed into ROWS rows of an embedding of WIDTH numbers; pairs are told apart
+only by whether they repeat a word. A document is the mean of its features'
 vectors; a linear layer and a softmax give the class. Both are learned by stochastic gradient descent in
 numpy, on a bounded sample of labelled rows, with equal weight for both classes.
 
@@ -30,6 +31,9 @@ ROWS, WIDTH = 1 << 15, 8
 TRAINING_ROWS = 3_000
 EPOCHS, RATE, BATCH, SEED = 12, 0.5, 16, 20
 
+#: Rows of a pair of equal and of a pair of different words.
+REPEATED, CHANGED = 0, 1
+
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -56,7 +60,7 @@ class Powers:
 
 def _row(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((h ^ (h >> np.uint64(32))) % np.uint64(ROWS)).astype(np.int32)
+    return ((h ^ (h >> np.uint64(32))) % np.uint64(ROWS - 2)).astype(np.int32) + np.int32(2)
 
 
 def features(data: bytes) -> Iterator[np.ndarray]:
@@ -88,7 +92,9 @@ def _features(data: bytes) -> np.ndarray:
     sums = np.concatenate([[np.uint64(0)], np.cumsum((b + np.uint64(1)) * up, dtype=np.uint64)])
     starts, ends = np.flatnonzero(blank[:-1] & inner[1:]) + 1, np.flatnonzero(inner[:-1] & blank[1:]) + 1
     if len(starts):
-        out.append(_row((sums[ends] - sums[starts]) * down[starts] + np.uint64(3 << 40)))
+        words = (sums[ends] - sums[starts]) * down[starts]
+        out.append(_row(words + np.uint64(3 << 40)))
+        out.append(np.where(words[1:] == words[:-1], REPEATED, CHANGED).astype(np.int32))
     return np.concatenate(out)
 
 
