@@ -6,8 +6,6 @@ Lineage is cut by writing a table below the shared folder that the session names
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,6 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colophon.operators.tables import forget, shared_folder, written
+
+__all__ = ["forget", "shared_folder", "written"]
+
 #: Bytes of text that a Python operator holds at once, however long the rows of a batch are.
 BATCH_BYTES = 16 << 20
 
@@ -31,35 +33,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one is made up only where the session has none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        given = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = given.get() if given.isDefined() else None
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="colophon-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, its lineage cut, safe from lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes the files behind a frame that ``written`` returned."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most BATCH_BYTES of ``column`` (or a single longer row)."""
     for batch in batches:

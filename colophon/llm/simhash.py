@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colophon.llm.common import arrow_map, written
-from colophon.llm.components import components
+from colophon.operators.components import components
 
 WIDTH, SEED = 3, 42
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))

@@ -35,8 +35,9 @@ from colophon.llm.common import arrow_map, crc_mod3, held_out, written
 TRAINING_ROWS = 16_000
 #: Lexicon entries kept at most, the strongest.
 LEXICON = 20_000
-#: A lexicon entry has so many different neighbours in toxic training texts, and this log ratio.
-SUPPORT, RATIO = 3, 3.0
+#: A lexicon entry has this log ratio of toxic to clean use, and so many different neighbours in toxic
+#: training texts that CHANCE entries at most are expected to have them by chance.
+RATIO, CHANCE = 3.0, 5
 #: Lengths of word beginnings that are entries beside whole words.
 BEGINNINGS = (4, 5)
 
@@ -44,15 +45,19 @@ BEGINNINGS = (4, 5)
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøœùúûüÿß"
 BORDER, OTHER, SYMBOLS = 0, len(LETTERS) + 1, 64
 # The letters that a sign can stand for.
-STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "€": "e", "(": "c", "*": "aeiou", "#": "h"}
+STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "€": "e", "*": "aeiou"}
 SEPARATORS = " .-_*~'/,"
 
-_COST = {"stands": 1.0, "dropped separator": 0.3, "dropped sign": 4.0, "repeat": 0.4}
+_COST = {"stands": 1.0, "dropped separator": 0.3, "dropped sign": 8.0, "repeat": 0.4}
 _WORD = re.compile(r"[^\W\d_]+")
 _SIGN = "".join(map(re.escape, STANDS_FOR))
-_SPACED = re.compile(rf"(?<![^\W_])[^\W_](?:[ .\-_*~/]{{1,2}}[^\W_]){{2,}}(?![^\W_])")
-_MIXED = re.compile(rf"(?:[^\W\d_]|[{_SIGN}]+(?=[^\W\d_]))*[^\W\d_](?:[{_SIGN}]+|[^\W\d_])*[{_SIGN}](?:[{_SIGN}]+|[^\W\d_])*[^\W\d_]|(?<!\S)[{_SIGN}]+[^\W\d_]{{2,}}")
-_REPEATED = re.compile(r"\w*([^\W\d_])\1\1\w*")
+_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~/]{1,2}[^\W_]){2,}(?![^\W_])")
+# letters and signs in turn, from the start of a word and ending with letters: each class is left in one way only
+_MIXED = re.compile(rf"(?<![^\W\d_])(?:[^\W\d_]+|(?=[@$\d]))(?:[{_SIGN}]+[^\W\d_]+)+")
+_TRIPLE = re.compile(r"([^\W\d_])\1\1")
+_APART, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_APART[list(b" .-_*~/")] = True
+_LETTER[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
 
 
 def _symbols() -> np.ndarray:
@@ -172,19 +177,29 @@ class Decoder:
 
     def restore(self, text: str) -> str:
         """The text with each disguised span read as a word."""
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        if len(codes) > 4:
-            apart = np.isin(codes, _SEPARATOR_CODES)
-            if (apart[:-2] & apart[2:]).any():
-                text = _SPACED.sub(lambda m: self.span(m[0]) if sum(map(str.isalpha, m[0])) > 2 else m[0], text)
-            if ((codes[2:] == codes[1:-1]) & (codes[1:-1] == codes[:-2]) & (codes[2:] > 64)).any():
-                text = _REPEATED.sub(lambda m: self.span(m[0]), text)
+        b = np.frombuffer(f" {text} ".encode("utf-8", "surrogatepass"), np.uint8)
+        apart = _APART[b]
+        if (apart[:-4] & apart[2:-2] & apart[4:]).any():
+            text = _SPACED.sub(lambda m: self.span(m[0]) if sum(map(str.isalpha, m[0])) > 2 else m[0], text)
+        if ((b[2:] == b[1:-1]) & (b[1:-1] == b[:-2]) & _LETTER[b[2:]]).any():
+            text = self._without_repeats(text)
         if any(c in text for c in STANDS_FOR):
             text = _MIXED.sub(lambda m: self.span(m[0]), text)
         return text
 
-
-_SEPARATOR_CODES = np.array([ord(c) for c in " .-_*~/"], np.uint32)
+    def _without_repeats(self, text: str) -> str:
+        out, at = [], 0
+        for m in _TRIPLE.finditer(text):
+            start, end = m.span()
+            if start < at:
+                continue
+            while start > at and text[start - 1].isalnum():
+                start -= 1
+            while end < len(text) and text[end].isalnum():
+                end += 1
+            out += [text[at:start], self.span(text[start:end])]
+            at = end
+        return "".join([*out, text[at:]])
 
 
 def _entries(words: set[str]) -> set[str]:
@@ -220,9 +235,14 @@ def _evidence(sample: DataFrame, counts: np.ndarray) -> DataFrame:
 
 def _lexicon(evidence: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     """The strongest entries of evidence from so many toxic and clean texts."""
+    if not toxic:
+        return {}
     weight = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     sums = evidence.groupBy("entry").agg(F.size(F.array_distinct(F.flatten(F.collect_list("near")))).alias("neighbours"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    strong = sums.filter(F.col("neighbours") >= SUPPORT).withColumn("weight", weight).filter(F.col("weight") >= RATIO)
+    # by chance, all of k uses are in toxic texts with probability share ** k
+    candidates = evidence.filter("toxic > 0").select("entry").distinct().count()
+    support = max(3, math.ceil(math.log(max(1, candidates) / CHANCE + 1) / -math.log(toxic / (toxic + clean + 1))))
+    strong = sums.filter(F.col("neighbours") >= support).withColumn("weight", weight).filter(F.col("weight") >= RATIO)
     return {r.entry: float(r.weight) for r in strong.orderBy(F.desc("weight"), "entry").limit(LEXICON).select("entry", "weight").collect()}
 
 
