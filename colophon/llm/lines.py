@@ -3,12 +3,12 @@
 A line's tokens are its different words. Tokens are ordered by rarity: their hashes fall into 65,536
 buckets, bucket frequencies over the whole corpus are ranked, and a token becomes one long of
 its bucket's rank above the rest of its hash, so that sorting longs sorts by rarity. Lines
-with equal token sets are one class, which stands where it is first seen.
+with equal token sets are copies of the first of them, and only that one is compared further.
 
 Two sets with Jaccard similarity of at least 0.8 share a token of their prefixes of n - ceil(0.8 n) + 1
 rarest tokens. Prefixes are posted by token; pairs that meet pass the length filter, the positional
 filter and a filter on 128-bit maps of their tokens before their whole sets are compared.
-In postings longer than HOT most sets are near copies of few: each set is first compared
+In postings longer than HOT most sets are near copies of few, so each set is first compared
 with the first and the nearest sets before it there, and only sets that no comparison settled
 meet the whole posting. So the pairs made stay in proportion to the lines.
 
@@ -80,7 +80,8 @@ def _each_line(docs: DataFrame) -> DataFrame:
 def _lines(docs: DataFrame, ranks: list[int]) -> DataFrame:
     tokens = _each_line(docs).withColumn("tokens", _tokens(F.col("line"), ranks)).drop("line")
     n = F.size("tokens")
-    prefix = F.when(n >= 4, F.slice("tokens", F.lit(1), n - F.ceil(n * 4 / 5).cast("int") + 1)).otherwise(F.array().cast("array<bigint>"))
+    rarest = F.slice("tokens", F.lit(1), n - F.ceil(n * 4 / 5).cast("int") + 1)
+    prefix = F.when(n >= 4, F.transform(rarest, lambda t: F.hash(t))).otherwise(F.array().cast("array<int>"))
     return tokens.select("doc", "text_hash", "pos", F.xxhash64("tokens").alias("set_a"), F.xxhash64(F.lit(1), "tokens").alias("set_b"), n.alias("n"), F.when(n >= 4, _bitmap(F.col("tokens"), 0)).alias("map_a"), F.when(n >= 4, _bitmap(F.col("tokens"), 1)).alias("map_b"), prefix.alias("prefix"))
 
 
@@ -116,35 +117,44 @@ def _similar(pairs: DataFrame, docs: DataFrame, ranks: list[int]) -> DataFrame:
     return both.filter(F.size(F.array_intersect("tokens", "tokens2")) * 9 >= (F.size("tokens") + F.size("tokens2")) * 4).select("doc", "pos").distinct()
 
 
-def _matched(classes: DataFrame, docs: DataFrame, ranks: list[int]) -> DataFrame:
-    """(doc, pos) of the classes that a similar class precedes."""
-    post = classes.select("doc", "pos", "n", "map_a", "map_b", F.posexplode("prefix").alias("at", "token"))
-    met = post.withColumn("met", F.count("*").over(Window.partitionBy("token"))).filter("met > 1")
-    a, b = met.filter(F.col("met") <= HOT).alias("a"), met.filter(F.col("met") <= HOT).alias("b")
+def _matched(sets: DataFrame, docs: DataFrame, ranks: list[int]) -> DataFrame:
+    """(doc, pos) of those of the different sets that a similar set precedes."""
+    post = sets.select("doc", "pos", "n", "map_a", "map_b", F.posexplode("prefix").alias("at", "token"))
+    long_ = written(post.groupBy("token").count().filter(F.col("count") > HOT).select("token"), "long")
+    n_long = long_.count()
+    long_ = F.broadcast(long_) if n_long <= SMALL else long_
+    short = post.join(long_, "token", "left_anti") if n_long else post
+    a, b = short.alias("a"), short.alias("b")
     pair = [F.col("a.doc").alias("doc"), F.col("a.pos").alias("pos"), F.col("b.doc").alias("doc2"), F.col("b.pos").alias("pos2")]
-    few = a.join(b, (F.col("a.token") == F.col("b.token")) & _earlier("a", "b") & _may_match("a", "b")).select(*pair)
-    hot = written(met.filter(F.col("met") > HOT).drop("met"), "hot")
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & _earlier("a", "b") & _may_match("a", "b")).select(*pair)
+    if not n_long:
+        return _similar(met, docs, ranks)
+    hot = written(post.join(long_, "token", "left_semi"), "hot")
     w = Window.partitionBy("token").orderBy("doc", "pos")
     whole = F.struct("doc", "pos", "n", "map_a", "map_b", "at")
     tried = [F.first(whole).over(w), *(F.lag(whole, k).over(w) for k in (1, 2))]
     near = hot.select(whole.alias("a"), F.array(*tried).alias("tried")).select("a", F.explode("tried").alias("b")).filter(F.col("b").isNotNull() & _earlier("a", "b") & _may_match("a", "b")).select(*pair)
-    settled = written(_similar(few.union(near), docs, ranks), "settled")
+    settled = written(_similar(met.union(near), docs, ranks), "settled")
     left = hot.join(settled, ["doc", "pos"], "left_anti").alias("a")
     rest = left.join(hot.alias("b"), (F.col("a.token") == F.col("b.token")) & _earlier("a", "b") & _may_match("a", "b")).select(*pair)
-    return written(settled.union(_similar(rest, docs, ranks)), "matched") if hot.limit(1).count() else settled
+    return settled.union(_similar(rest, docs, ranks))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc, text_hash, gone) with the places of all lines that go, for texts that lose any."""
     ranks = rarity(docs)
     lines = written(_lines(docs, ranks), "lines")
-    found = lines.groupBy("set_a", "set_b").agg(F.min(F.struct("doc", "pos", "n", "map_a", "map_b", "prefix")).alias("first"), F.count("*").alias("copies"))
-    classes = written(found.select("set_a", "set_b", "copies", "first.*"), "classes")
-    matched = _matched(classes.filter("n >= 4"), docs, ranks)
-    again = lines.select("doc", "text_hash", "pos", "set_a", "set_b").join(classes.filter("copies > 1").select("set_a", "set_b", F.col("doc").alias("doc1"), F.col("pos").alias("pos1")), ["set_a", "set_b"])
-    again = again.filter("doc <> doc1 or pos <> pos1").select("doc", "text_hash", "pos")
-    later = lines.select("doc", "text_hash", "pos").join(matched, ["doc", "pos"], "left_semi")
-    return written(again.union(later.select("doc", "text_hash", "pos")).groupBy("doc", "text_hash").agg(F.collect_set("pos").alias("gone")), "gone")
+    # the first place of each set that has several, in one number, so that the aggregate works in place
+    place = F.col("doc").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(38,0)") + F.col("pos")
+    keys = lines.select("set_a", "set_b", place.cast("decimal(38,0)").alias("place"))
+    several = keys.groupBy("set_a", "set_b").agg(F.min("place").alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+    placed = lines.select("doc", "text_hash", "pos", "set_a", "set_b", place.cast("decimal(38,0)").alias("place"))
+    again = written(placed.join(several, ["set_a", "set_b"]).filter("place > first").select("doc", "text_hash", "pos"), "again")
+    sets = lines.filter("n >= 4").join(_bounded(again.select("doc", "pos")), ["doc", "pos"], "left_anti")
+    matched = written(_matched(sets, docs, ranks), "matched")
+    later = lines.join(_bounded(matched), ["doc", "pos"], "left_semi").select("doc", "text_hash", "pos")
+    gone = again.union(later).groupBy("doc", "text_hash").agg(F.collect_set("pos").alias("gone"))
+    return written(gone, "gone")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
