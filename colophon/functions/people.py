@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from colophon.functions import words as fixed
-from colophon.functions.text import col, is_unknown, strings, tokens
+from colophon.functions.text import bound, col, is_unknown, strings, tokens
 from colophon.functions.titles import MIN_TYPO, one_edit
 
 MIN_SURNAME = 4
@@ -43,22 +43,24 @@ def similar_authors_keys(authors: Column | str) -> Column:
 
 def names_nearly_equal(a: Column, b: Column) -> Column:
     """NM5: one long part of the names differs by one letter."""
-    x, y = similar_author_key(a), similar_author_key(b)
-    only_a, only_b = F.filter(x, lambda t: ~F.array_contains(y, t)), F.filter(y, lambda t: ~F.array_contains(x, t))
-    p, q = F.get(only_a, F.lit(0)), F.get(only_b, F.lit(0))
-    single = (F.size(x) == F.size(y)) & (F.size(only_a) == 1) & (F.size(only_b) == 1)
-    return F.coalesce(single & (F.least(F.char_length(p), F.char_length(q)) >= MIN_TYPO) & one_edit(p, q), F.lit(False))
+
+    def equal(x: Column, y: Column) -> Column:
+        only_a, only_b = F.filter(x, lambda t: ~F.array_contains(y, t)), F.filter(y, lambda t: ~F.array_contains(x, t))
+        p, q = F.get(only_a, F.lit(0)), F.get(only_b, F.lit(0))
+        single = (F.size(x) == F.size(y)) & (F.size(only_a) == 1) & (F.size(only_b) == 1)
+        return F.coalesce(single & (F.least(F.char_length(p), F.char_length(q)) >= MIN_TYPO) & one_edit(p, q), F.lit(False))
+
+    return bound(equal, similar_author_key(a), similar_author_key(b))
 
 
 def surname_match(a: Column, b: Column) -> Column:
     """NM7: one name is a single long word of the other."""
-    x, y = similar_author_key(a), similar_author_key(b)
 
     def within(s: Column, t: Column) -> Column:
         w = F.get(s, F.lit(0))
         return (F.size(s) == 1) & (F.size(t) > 1) & (F.char_length(w) >= MIN_SURNAME) & F.array_contains(t, w)
 
-    return F.coalesce(within(x, y) | within(y, x), F.lit(False))
+    return bound(lambda x, y: F.coalesce(within(x, y) | within(y, x), F.lit(False)), similar_author_key(a), similar_author_key(b))
 
 
 def publisher_words(name: Column | str) -> Column:
@@ -72,10 +74,13 @@ def publisher_words(name: Column | str) -> Column:
 
 def same_publisher(a: Column, b: Column) -> Column:
     """NM10: equal when written together, or a shared full word and one side covered by the other."""
-    wa, wb = publisher_words(a), publisher_words(b)
 
     def covered(xs: Column, ys: Column) -> Column:
         return F.forall(xs, lambda x: F.array_contains(ys, x) | ((F.char_length(x) == 1) & F.exists(ys, lambda y: y.startswith(x))))
 
-    shared = F.exists(wa, lambda t: (F.char_length(t) > 1) & F.array_contains(wb, t))
-    return F.when((F.size(wa) == 0) | (F.size(wb) == 0), tokens(a) == tokens(b)).otherwise((F.array_join(wa, "") == F.array_join(wb, "")) | (shared & (covered(wa, wb) | covered(wb, wa))))
+    def same(wa: Column, wb: Column) -> Column:
+        shared = F.exists(wa, lambda t: (F.char_length(t) > 1) & F.array_contains(wb, t))
+        return (F.array_join(wa, "") == F.array_join(wb, "")) | (shared & (covered(wa, wb) | covered(wb, wa)))
+
+    wa, wb = publisher_words(a), publisher_words(b)
+    return F.when((F.size(wa) == 0) | (F.size(wb) == 0), tokens(a) == tokens(b)).otherwise(bound(same, wa, wb))

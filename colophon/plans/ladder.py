@@ -95,7 +95,7 @@ def _resolve(one_library: bool):
         state: dict[int, str] = {}
         rows = []
         for (lib, key), mine in sorted(frame.groupby(["lib", "id"], sort=False), key=lambda x: x[1].own.iloc[0]):
-            live = mine[[c % 2 == 1 or state.get(c) in ("move", "leave") for c in mine.cand]].sort_values(["rung", "ord"])
+            live = mine[[c % 2 == 1 or state.get(c, "move") in ("move", "leave") for c in mine.cand]].sort_values(["rung", "ord"])
             action, match, why = _one(live, one_library)
             state[key] = action
             rows.append((lib, key, action, match, why))
