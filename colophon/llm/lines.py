@@ -13,7 +13,8 @@ with the first and the nearest sets before it there, and only sets that no compa
 meet the whole posting. So the pairs made stay in proportion to the lines.
 
 A line goes if an equal or similar line stands earlier, in the order of doc_id (null last) and
-place. Lines without words stay. Tokens are told apart by 64-bit hashes.
+place. Lines without words stay. Tokens are told apart by 64-bit hashes, and
+equal sets by a hash of all tokens, their number and their 128-bit map.
 
 Cases: null texts stay null; a text whose lines all go becomes empty; sets of up to three tokens match equal
 sets only; rows that share a doc_id count as one document for the order, so repeated rows keep the same lines;
@@ -67,8 +68,10 @@ def _tokens(line: Column, ranks: list[int]) -> Column:
 
 
 def _bitmap(tokens: Column, half: int) -> Column:
-    bit = lambda t: F.when(F.shiftright(t, 6).bitwiseAND(F.lit(1)) == half, F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("bigint"))
-    return F.aggregate(tokens, F.lit(0).cast("bigint"), lambda acc, t: acc.bitwiseOR(bit(t)))
+    """64 of the 128 bits that the tokens set: bit 6 of a token says which half, the bits below which bit."""
+    in_upper = lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(1))
+    one = in_upper if half else (lambda t: F.lit(1) - in_upper(t))
+    return F.aggregate(tokens, F.lit(0).cast("bigint"), lambda acc, t: acc.bitwiseOR(F.call_function("shiftleft", one(t).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def _each_line(docs: DataFrame) -> DataFrame:
@@ -80,9 +83,10 @@ def _each_line(docs: DataFrame) -> DataFrame:
 def _lines(docs: DataFrame, ranks: list[int]) -> DataFrame:
     tokens = _each_line(docs).withColumn("tokens", _tokens(F.col("line"), ranks)).drop("line")
     n = F.size("tokens")
+    map_of = lambda half: F.when(n >= 4, _bitmap(F.col("tokens"), half)).otherwise(F.lit(0).cast("bigint"))
     rarest = F.slice("tokens", F.lit(1), n - F.ceil(n * 4 / 5).cast("int") + 1)
     prefix = F.when(n >= 4, F.transform(rarest, lambda t: F.hash(t))).otherwise(F.array().cast("array<int>"))
-    return tokens.select("doc", "text_hash", "pos", F.xxhash64("tokens").alias("set_a"), F.xxhash64(F.lit(1), "tokens").alias("set_b"), n.alias("n"), F.when(n >= 4, _bitmap(F.col("tokens"), 0)).alias("map_a"), F.when(n >= 4, _bitmap(F.col("tokens"), 1)).alias("map_b"), prefix.alias("prefix"))
+    return tokens.select("doc", "text_hash", "pos", F.xxhash64("tokens").alias("set"), n.alias("n"), map_of(0).alias("map_a"), map_of(1).alias("map_b"), prefix.alias("prefix"))
 
 
 def _earlier(a: str, b: str) -> Column:
@@ -90,6 +94,12 @@ def _earlier(a: str, b: str) -> Column:
     return (F.col(f"{b}.doc") < F.col(f"{a}.doc")) | ((F.col(f"{b}.doc") == F.col(f"{a}.doc")) & (F.col(f"{b}.pos") < F.col(f"{a}.pos")))
 
 
+def _differ(a: str, b: str) -> Column:
+    """A lower bound of the number of tokens that only one side has."""
+    of = lambda name: F.bit_count(F.col(f"{a}.{name}").bitwiseXOR(F.col(f"{b}.{name}")))
+    return of("map_a") + of("map_b")
+
+
 def _may_match(a: str, b: str) -> Column:
     """The length, positional and bitmap filters; all are implied by a Jaccard similarity of at least 0.8."""
     at = lambda side, name: F.col(f"{side}.{name}")
@@ -97,8 +107,11 @@ def _may_match(a: str, b: str) -> Column:
     needed = F.floor(((na + nb) * 4 + 8) / 9)
     length = (F.least(na, nb) * 5) >= (F.greatest(na, nb) * 4)
     positional = F.least(i, j) + F.lit(1) + F.least(na - i, nb - j) - F.lit(1) >= needed
-    differ = F.bit_count(at(a, "map_a").bitwiseXOR(at(b, "map_a"))) + F.bit_count(at(a, "map_b").bitwiseXOR(at(b, "map_b")))
-    return length & positional & (differ <= na + nb - 2 * needed)
+    return length & positional & (_differ(a, b) <= na + nb - 2 * needed)
+
+
+def _pair(a: str = "a", b: str = "b") -> list[Column]:
+    return [F.col(f"{a}.doc").alias("doc"), F.col(f"{a}.pos").alias("pos"), F.col(f"{b}.doc").alias("doc2"), F.col(f"{b}.pos").alias("pos2"), _differ(a, b).cast("int").alias("differ")]
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -106,9 +119,8 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, ranks: list[int]) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, ranks: list[int]) -> DataFrame:
     """(doc, pos) of the later lines among ``pairs(doc, pos, doc2, pos2)`` whose whole sets are similar."""
-    pairs = written(pairs.distinct(), "pairs")
     wanted = _bounded(written(pairs.select("doc", "pos").union(pairs.select("doc2", "pos2")).distinct(), "wanted"))
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST))
     texts = docs.join(wanted.select("doc").distinct(), doc == F.col("doc"), "left_semi")
@@ -117,6 +129,15 @@ def _similar(pairs: DataFrame, docs: DataFrame, ranks: list[int]) -> DataFrame:
     return both.filter(F.size(F.array_intersect("tokens", "tokens2")) * 9 >= (F.size("tokens") + F.size("tokens2")) * 4).select("doc", "pos").distinct()
 
 
+def _similar(pairs: DataFrame, docs: DataFrame, ranks: list[int]) -> DataFrame:
+    """``_verified``, first for the likeliest partner of each line, then for what that leaves open."""
+    pairs = written(pairs.groupBy("doc", "pos", "doc2", "pos2").agg(F.min("differ").alias("differ")), "pairs")
+    likeliest = pairs.groupBy("doc", "pos").agg(F.min(F.struct("differ", "doc2", "pos2")).alias("b")).select("doc", "pos", "b.doc2", "b.pos2")
+    settled = written(_verified(written(likeliest, "likeliest"), docs, ranks), "settled")
+    rest = written(pairs.join(_bounded(settled), ["doc", "pos"], "left_anti").join(likeliest, ["doc", "pos", "doc2", "pos2"], "left_anti").select("doc", "pos", "doc2", "pos2"), "rest")
+    return settled.union(_verified(rest, docs, ranks)) if rest.limit(1).count() else settled
+
+
 def _matched(sets: DataFrame, docs: DataFrame, ranks: list[int]) -> DataFrame:
     """(doc, pos) of those of the different sets that a similar set precedes."""
     post = sets.select("doc", "pos", "n", "map_a", "map_b", F.posexplode("prefix").alias("at", "token"))
@@ -125,18 +146,17 @@ def _matched(sets: DataFrame, docs: DataFrame, ranks: list[int]) -> DataFrame:
     long_ = F.broadcast(long_) if n_long <= SMALL else long_
     short = post.join(long_, "token", "left_anti") if n_long else post
     a, b = short.alias("a"), short.alias("b")
-    pair = [F.col("a.doc").alias("doc"), F.col("a.pos").alias("pos"), F.col("b.doc").alias("doc2"), F.col("b.pos").alias("pos2")]
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & _earlier("a", "b") & _may_match("a", "b")).select(*pair)
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & _earlier("a", "b") & _may_match("a", "b")).select(*_pair())
     if not n_long:
         return _similar(met, docs, ranks)
     hot = written(post.join(long_, "token", "left_semi"), "hot")
     w = Window.partitionBy("token").orderBy("doc", "pos")
     whole = F.struct("doc", "pos", "n", "map_a", "map_b", "at")
     tried = [F.first(whole).over(w), *(F.lag(whole, k).over(w) for k in (1, 2))]
-    near = hot.select(whole.alias("a"), F.array(*tried).alias("tried")).select("a", F.explode("tried").alias("b")).filter(F.col("b").isNotNull() & _earlier("a", "b") & _may_match("a", "b")).select(*pair)
+    near = hot.select(whole.alias("a"), F.array(*tried).alias("tried")).select("a", F.explode("tried").alias("b")).filter(F.col("b").isNotNull() & _earlier("a", "b") & _may_match("a", "b")).select(*_pair())
     settled = written(_similar(met.union(near), docs, ranks), "settled")
     left = hot.join(settled, ["doc", "pos"], "left_anti").alias("a")
-    rest = left.join(hot.alias("b"), (F.col("a.token") == F.col("b.token")) & _earlier("a", "b") & _may_match("a", "b")).select(*pair)
+    rest = left.join(hot.alias("b"), (F.col("a.token") == F.col("b.token")) & _earlier("a", "b") & _may_match("a", "b")).select(*_pair())
     return settled.union(_similar(rest, docs, ranks))
 
 
@@ -146,10 +166,11 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     lines = written(_lines(docs, ranks), "lines")
     # the first place of each set that has several, in one number, so that the aggregate works in place
     place = F.col("doc").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(38,0)") + F.col("pos")
-    keys = lines.select("set_a", "set_b", place.cast("decimal(38,0)").alias("place"))
-    several = keys.groupBy("set_a", "set_b").agg(F.min("place").alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-    placed = lines.select("doc", "text_hash", "pos", "set_a", "set_b", place.cast("decimal(38,0)").alias("place"))
-    again = written(placed.join(several, ["set_a", "set_b"]).filter("place > first").select("doc", "text_hash", "pos"), "again")
+    alike = ["set", "n", "map_a", "map_b"]
+    keys = lines.select(*alike, place.cast("decimal(38,0)").alias("place"))
+    several = keys.groupBy(*alike).agg(F.min("place").alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+    placed = lines.select("doc", "text_hash", "pos", *alike, place.cast("decimal(38,0)").alias("place"))
+    again = written(placed.join(several, alike).filter("place > first").select("doc", "text_hash", "pos"), "again")
     sets = lines.filter("n >= 4").join(_bounded(again.select("doc", "pos")), ["doc", "pos"], "left_anti")
     matched = written(_matched(sets, docs, ranks), "matched")
     later = lines.join(_bounded(matched), ["doc", "pos"], "left_semi").select("doc", "text_hash", "pos")
