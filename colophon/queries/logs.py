@@ -16,7 +16,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(F.col("user_id").alias("run"), F.col("event_id").alias("item"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000.0).alias("t"), (F.col("event_type") != "purchase").alias("ok"), F.col("value").alias("seconds"), (F.col("event_id") % 50).alias("book"), F.col("event_type"))
 
 
-@query("""SELECT user_id run, count(*) calls, count(*) FILTER (WHERE event_type <> 'purchase') ok, round(sum(value), 4) seconds, count(DISTINCT event_id % 50) books FROM events GROUP BY user_id""")
+@query("""SELECT user_id run, count(*) calls, count(*) FILTER (WHERE event_type <> 'purchase') ok, round(sum(value), 4) AS seconds, count(DISTINCT event_id % 50) books FROM events GROUP BY user_id""")
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG14."""
     return runs.run_totals(_events(spark, sf_dir)).withColumn("seconds", F.round("seconds", 4))

@@ -132,11 +132,11 @@ def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("a", "b", people.names_nearly_equal(a, b).alias("near"), python_rules.initials_match(a, b).alias("initials"), people.surname_match(a, b).alias("surname"))
 
 
-@query(values_sql(AUTHORS, "name, key, similar"))
+@query(values_sql(AUTHORS, "name, key, alike"))
 def author_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NM1, NM3."""
     df = spark.createDataFrame([c[:1] for c in AUTHORS], "name string")
-    return df.select("name", F.array_join(people.author_key("name"), " ").alias("key"), F.array_join(people.similar_author_key("name"), " ").alias("similar"))
+    return df.select("name", F.array_join(people.author_key("name"), " ").alias("key"), F.array_join(people.similar_author_key("name"), " ").alias("alike"))
 
 
 @query(values_sql(PEOPLE, "input, output"))

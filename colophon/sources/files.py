@@ -88,7 +88,7 @@ def archive_plan(members: DataFrame) -> DataFrame:
     stem = F.regexp_replace(F.lower(F.regexp_extract("name", r"([^/\\]*)\.[^.]*$", 1)), r"[\W_]+", " ")
     df = members.withColumn("ext", ext).withColumn("kind", kind).withColumn("stem", F.btrim(stem))
     books = F.filter(F.collect_list(F.struct("kind", "ext", "stem")), lambda x: x["kind"] == "book")
-    got = df.groupBy("id").agg(books.alias("books"), F.count_if("kind = 'nested'").alias("nested"), F.max("error").alias("error"), F.count_if("not safe").alias("unsafe"))
+    got = df.groupBy("id").agg(books.alias("books"), F.count_if(F.col("kind") == "nested").alias("nested"), F.max("error").alias("error"), F.count_if(~F.col("safe")).alias("unsafe"))
     formats = F.sort_array(F.transform("books", lambda x: x["ext"]))
     twice = F.size(F.array_distinct(formats)) < F.size(formats)
     problem = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("unsafe") > 0, "unsafe names").when(F.col("nested") > 0, "archive within").when(twice, "two files of a format").when(F.size("books") == 0, "nothing readable")
