@@ -59,4 +59,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op2_token_counts, op3_toxicity, op4_quality_classifier, op5_simhash_near_dedup, op6_line_dedup, op7_mixing_sources, op8_chat_formatting, op9_quality_rules, op10_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_chat_formatting": r"""
+        SELECT conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) turns_sha256,
+            coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT loss_chars,
+            sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) loss_sha256,
+            sum(17 + 2 * length(role) - length(translate(role, '\<>', '')) + 2 * length(text) - length(translate(text, '\<', '')))::BIGINT formatted_chars
+        FROM (SELECT conv_id, turn, coalesce(role, '') role, coalesce(text, '') text FROM conversations
+              UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+        GROUP BY conv_id""",
+}
