@@ -102,3 +102,17 @@ def test_incremental_facts(spark, tmp_path):
     assert number == 1 and {(r.id, r.version, r.n) for r in now.collect()} == {(1, "x", 3), (2, "y", 6)}
     assert facts.refresh(changed, folder, compute) == 0
     assert facts.forget_unseen(now, changed.filter("id = 1")).count() == 1
+
+
+def test_sinks(spark, tmp_path):
+    from colophon.sources import sinks
+
+    df = spark.createDataFrame([(1, ["a", "b"], 'x, "y"')], "id int, names array<string>, note string")
+    sinks.write_csv(df, f"{tmp_path}/csv")
+    back = spark.read.option("header", True).option("escape", '"').csv(f"{tmp_path}/csv").first()
+    assert tuple(back) == ("1", "a & b", 'x, "y"')
+    assert [sinks.save_version(df, f"{tmp_path}/saved", 2) for _ in range(4)] == [0, 1, 2, 3]
+    assert sorted(p.name for p in (tmp_path / "saved").iterdir() if p.is_dir()) == ["2", "3"]
+    assert sinks.read_json(spark, f"{tmp_path}/none", "a int").count() == 0
+    uses = spark.createDataFrame([("/A", 1), ("/a", 2), ("/b", 2)], "path string, n int")
+    assert [tuple(r) for r in sinks.known_libraries(uses).collect()] == [("/A", 3), ("/b", 2)]
