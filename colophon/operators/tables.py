@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,3 +36,9 @@ def forget(df: DataFrame) -> None:
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that are no longer used; it does so when their objects are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
