@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colophon.llm.common import BLANKS, written
+from colophon.operators.tables import forget, release
 
 BUCKETS, HOT = 1 << 16, 64
 #: Rows up to which a side is broadcast after it was counted; beyond, both sides are shuffled.
@@ -126,16 +127,22 @@ def _verified(pairs: DataFrame, docs: DataFrame, ranks: list[int]) -> DataFrame:
     texts = docs.join(wanted.select("doc").distinct(), doc == F.col("doc"), "left_semi")
     sets = written(_each_line(texts).join(wanted, ["doc", "pos"], "left_semi").select("doc", "pos", _tokens(F.col("line"), ranks).alias("tokens")).distinct(), "sets")
     both = pairs.join(sets, ["doc", "pos"]).join(sets.select(F.col("doc").alias("doc2"), F.col("pos").alias("pos2"), F.col("tokens").alias("tokens2")), ["doc2", "pos2"])
-    return both.filter(F.size(F.array_intersect("tokens", "tokens2")) * 9 >= (F.size("tokens") + F.size("tokens2")) * 4).select("doc", "pos").distinct()
+    alike = F.size(F.array_intersect("tokens", "tokens2")) * 9 >= (F.size("tokens") + F.size("tokens2")) * 4
+    out = written(both.filter(alike).select("doc", "pos").distinct(), "verified")
+    forget(sets)
+    del both, sets
+    release(docs.sparkSession)
+    return out
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, ranks: list[int]) -> DataFrame:
     """``_verified``, first for the likeliest partner of each line, then for what that leaves open."""
     pairs = written(pairs.groupBy("doc", "pos", "doc2", "pos2").agg(F.min("differ").alias("differ")), "pairs")
-    likeliest = pairs.groupBy("doc", "pos").agg(F.min(F.struct("differ", "doc2", "pos2")).alias("b")).select("doc", "pos", "b.doc2", "b.pos2")
-    settled = written(_verified(written(likeliest, "likeliest"), docs, ranks), "settled")
+    release(docs.sparkSession)  # the postings
+    likeliest = written(pairs.groupBy("doc", "pos").agg(F.min(F.struct("differ", "doc2", "pos2")).alias("b")).select("doc", "pos", "b.doc2", "b.pos2"), "likeliest")
+    settled = _verified(likeliest, docs, ranks)
     rest = written(pairs.join(_bounded(settled), ["doc", "pos"], "left_anti").join(likeliest, ["doc", "pos", "doc2", "pos2"], "left_anti").select("doc", "pos", "doc2", "pos2"), "rest")
-    return settled.union(_verified(rest, docs, ranks)) if rest.limit(1).count() else settled
+    return written(settled.union(_verified(rest, docs, ranks)), "similar") if rest.limit(1).count() else settled
 
 
 def _matched(sets: DataFrame, docs: DataFrame, ranks: list[int]) -> DataFrame:
