@@ -6,15 +6,17 @@ floor((i - 1) / w) and due by ceil(i / w); in each slot the released block with
 scheduled. Since the weights sum to 1, every block meets its deadline, and at any time a source
 has been given less than one block more or less than its weight times the time.
 
-Weights are multiples of 1 / FRAME, so the schedule repeats after FRAME slots, where every source is
-exactly on target; the frame is simulated once (FRAME steps, whatever the data) and joined to
+Weights are multiples of 1 / frame, so the schedule repeats after a frame of slots, where every source is
+exactly on target. A frame has FRAME slots, or with many sources as many times FRAME as gives PER_SOURCE slots
+to each on average; it is simulated once (one step a slot, whatever the documents) and joined to
 the blocks by their number within their frame. Places in a source's order are counted within
 hash ranges of bounded size and offset by running sums of the ranges, so a source of any share
 is never in one task.
 
-The mixture ends with the source that has least for its weight: blocks whose slot lies beyond what
-that source's blocks can serve have ``scheduled`` false. With the default weights, which follow the square root of the
-source sizes, this is where mixing takes from large sources.
+A source that is exhausted leaves its slots idle, and the others go on in the proportion of their weights, so the
+mixture holds every document of every source with a weight, those of a last partial block too. Default
+weights follow the square root of the source sizes, and every document is ``scheduled``. With given weights ``scheduled``
+says how long all of them are met: it is false from the slot of the first whole block that some source lacks.
 
 Cases: a null source is a source of its own; equal rows take different places of the same source; a
 source of weight 0, or one not named in given weights, is never scheduled; an empty table gives no rows; other
@@ -25,18 +27,22 @@ from __future__ import annotations
 
 import heapq
 import math
-from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-FRAME = 1024
+FRAME, PER_SOURCE = 1024, 8
+#: Slots of a frame up to which the calendar is broadcast.
+SMALL = 1 << 17
 #: Documents in one hash range, on average.
 RANGE = 10_000
 BLOCK = 8
 
 
+def frame_size(sources: int) -> int:
+    return FRAME * max(1, -(-sources * PER_SOURCE // FRAME))
+
+
 def quantized(weights: dict, frame: int = FRAME) -> dict:
     """Weights as whole numbers of slots in a frame, by largest remainders; positive ones get a slot at least."""
     positive = {k: float(w) for k, w in weights.items() if w > 0}
@@ -67,13 +73,13 @@ def pfair(slots: dict, frame: int = FRAME) -> list:
     for t in range(frame):
         while waiting and waiting[0][0] <= t:
             _, name, k, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (math.ceil(Fraction(i * frame, slots[k])), name, k, i))
+            heapq.heappush(ready, (-(-i * frame // slots[k]), name, k, i))
         due, name, k, i = heapq.heappop(ready)
         if due <= t:
             raise AssertionError("a deadline was missed")
         out.append(k)
         if i < slots[k]:
-            heapq.heappush(waiting, (math.floor(Fraction(i * frame, slots[k])), name, k, i + 1))
+            heapq.heappush(waiting, (i * frame // slots[k], name, k, i + 1))
     return out
 
 
@@ -91,39 +97,34 @@ def places(docs: DataFrame) -> DataFrame:
 
 
 def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> DataFrame:
-    """doc_id, source, block (from 0 in its source), slot and scheduled of every document.
+    """doc_id, source, block (from 0 in its source), slot (null without weight) and scheduled of every document.
 
     ``weights`` maps sources (None for null) to numbers; by default the square roots of their sizes.
     """
     spark = docs.sparkSession
     sizes = {r["source"]: r["count"] for r in docs.groupBy(F.col("source").cast("string").alias("source")).count().collect()}
     wanted = {k: math.sqrt(n) for k, n in sizes.items()} if weights is None else {k: w for k, w in weights.items() if k in sizes}
-    slots = quantized(wanted)
-    frame = pfair(slots) if slots else []
-    seen: dict = {}
-    rows = []
-    for t, k in enumerate(frame):
-        seen[k] = seen.get(k, 0) + 1
-        rows.append(("" if k is None else f"s{k}", seen[k] - 1, t, slots[k]))
-    # whole blocks that each source has; the last slot that all of them can serve
-    end = min((_slot_of(frame, k, sizes[k] // block, slots[k]) for k in slots), default=0)
-    kind = T.StructType([T.StructField("source_key", T.StringType()), T.StructField("nth", T.LongType()), T.StructField("t", T.LongType()), T.StructField("per_frame", T.LongType())])
-    calendar = spark.createDataFrame(rows, kind)
-    shares = spark.createDataFrame([("" if k is None else f"s{k}", n) for k, n in slots.items()], "source_key string, share bigint")
-    placed = places(docs).withColumn("block", F.floor(F.col("place") / block)).join(F.broadcast(shares), "source_key", "left")
+    length = frame_size(sum(w > 0 for w in wanted.values()))
+    slots = quantized(wanted, length)
+    seen: dict = {k: [] for k in slots}
+    for t, k in enumerate(pfair(slots, length) if slots else []):
+        seen[k].append(t)
+    small = F.broadcast if length <= SMALL else (lambda df: df)
+    key = lambda k: "" if k is None else f"s{k}"
+    calendar = spark.createDataFrame([(key(k), i, t) for k, at in seen.items() for i, t in enumerate(at)], "source_key string, nth bigint, t bigint")
+    shares = spark.createDataFrame([(key(k), n) for k, n in slots.items()], "source_key string, share bigint")
+    placed = places(docs).withColumn("block", F.floor(F.col("place") / block)).join(small(shares), "source_key", "left")
     numbered = placed.withColumn("nth", F.col("block") % F.col("share")).withColumn("frame", F.floor(F.col("block") / F.col("share")))
-    slot = F.col("frame") * FRAME + F.col("t")
-    return numbered.join(F.broadcast(calendar.drop("per_frame")), ["source_key", "nth"], "left").select("doc_id", "source", F.col("block").cast("bigint").alias("block"), slot.cast("bigint").alias("slot"), F.coalesce(slot < end, F.lit(False)).alias("scheduled"))
-
-
-def _slot_of(frame: list, source: object, n: int, share: int) -> int:
-    """The slot of block n (from 0) of a source: all slots before it can be served."""
-    at = [t for t, k in enumerate(frame) if k == source]
-    return n // share * len(frame) + at[n % share]
+    slot = F.col("frame") * length + F.col("t")
+    scheduled = slot.isNotNull()
+    if weights is not None:
+        # the slot of the first whole block that a source lacks
+        scheduled &= slot < min((sizes[k] // block // slots[k] * length + at[sizes[k] // block % slots[k]] for k, at in seen.items()), default=0)
+    return numbered.join(small(calendar), ["source_key", "nth"], "left").select("doc_id", "source", F.col("block").cast("bigint").alias("block"), slot.cast("bigint").alias("slot"), scheduled.alias("scheduled"))
 
 
 def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> DataFrame:
-    """The scheduled documents with all their columns, in the order of their slots."""
-    chosen = schedule(docs, weights, block).filter("scheduled").select(F.col("doc_id").alias("_id"), "slot").dropDuplicates(["_id"])
+    """All documents of sources with a weight, with all their columns, in the order of their slots."""
+    chosen = schedule(docs, weights, block).filter("slot is not null").select(F.col("doc_id").alias("_id"), "slot").dropDuplicates(["_id"])
     joined = docs.join(chosen, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")))
     return joined.sort("slot", "_id").select(*(F.col(f"`{c}`") for c in docs.columns))

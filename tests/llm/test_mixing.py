@@ -56,3 +56,24 @@ def test_edge_cases(spark):
     assert mixed.columns == docs(spark).columns
     assert all(not r.scheduled for r in mixing.schedule(docs(spark), {"s": 0}).collect())
     assert mixing.schedule(empty(spark)).count() == 0 and mixing.mix(empty(spark)).count() == 0
+
+
+def test_no_document_is_lost(spark):
+    sizes = {"hot": 3000, "tiny": 1, "small": 13, None: 3}
+    table = [(i, "x", s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    got = mixing.schedule(docs(spark, table)).collect()
+    assert len(got) == len(table) and all(r.scheduled and r.slot is not None for r in got)
+    blocks = Counter(r.slot for r in got)
+    assert max(blocks.values()) <= mixing.BLOCK and len(blocks) == sum(-(-n // mixing.BLOCK) for n in sizes.values())
+    slot = {r.doc_id: r.slot for r in got}
+    mixed = [r.doc_id for r in mixing.mix(docs(spark, table)).collect()]
+    assert mixed == sorted(slot, key=lambda i: (slot[i], i)) and len(mixed) == len(table)
+    given = mixing.mix(docs(spark, table), {"hot": 1, "tiny": 5, None: 2})
+    assert sorted(r.doc_id for r in given.collect()) == [i for i, _, s in table if s != "small"]
+
+
+def test_more_sources_than_slots_in_a_frame(spark):
+    table = [(i, "x", f"s{i % 1500}") for i in range(3000)]
+    got = mixing.schedule(docs(spark, table)).collect()
+    assert len(got) == 3000 and all(r.scheduled for r in got)
+    assert len({r.slot for r in got}) == 1500
