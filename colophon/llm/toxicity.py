@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -55,9 +56,8 @@ _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~/]{1,2}[^\W_]){2,}(?![^\W_])"
 # letters and signs in turn, from the start of a word and ending with letters: each class is left in one way only
 _MIXED = re.compile(rf"(?<![^\W\d_])(?:[^\W\d_]+|(?=[@$\d]))(?:[{_SIGN}]+[^\W\d_]+)+")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
-_APART, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
-_APART[list(b" .-_*~/")] = True
-_LETTER[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
+# what a code point is to the patterns
+_ALNUM, _LETTER, _APART = 1, 2, 4
 
 
 def _symbols() -> np.ndarray:
@@ -71,10 +71,29 @@ def _symbols() -> np.ndarray:
     return table
 
 
+def _kinds() -> np.ndarray:
+    """_ALNUM, _LETTER and _APART of every code point."""
+    table = np.zeros(sys.maxunicode + 1, np.uint8)
+    for c in range(sys.maxunicode + 1):
+        if chr(c).isalnum():
+            table[c] = _ALNUM if chr(c).isdecimal() else _ALNUM | _LETTER
+    table[[ord(c) for c in " .-_*~/"]] = _APART
+    return table
+
+
 class Reader:
     """Tables that each worker makes once."""
 
     table: np.ndarray | None = None
+    kind: np.ndarray | None = None
+
+    @classmethod
+    def codes(cls, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Code points and their kinds, between two borders."""
+        if cls.kind is None:
+            cls.kind = _kinds()
+        codes = np.frombuffer(f"\n{text}\n".encode("utf-32-le", "surrogatepass"), np.uint32)
+        return codes, cls.kind[codes]
 
     @classmethod
     def symbols(cls, text: str) -> np.ndarray:
@@ -132,6 +151,23 @@ def corpus_model(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def may_be_spaced(kinds: np.ndarray) -> bool:
+    """Does _SPACED match? It does where three letters stand alone, one or two separators apart."""
+    alnum = (kinds & _ALNUM) != 0
+    at = np.flatnonzero(alnum[1:-1] & ~alnum[:-2] & ~alnum[2:]) + 1
+    if len(at) < 3:
+        return False
+    apart = (kinds & _APART) != 0
+    near = (np.diff(at) <= 3) & apart[at[:-1] + 1] & apart[at[1:] - 1]
+    return bool((near[1:] & near[:-1]).any())
+
+
+def may_repeat(codes: np.ndarray, kinds: np.ndarray) -> bool:
+    """Does _TRIPLE match?"""
+    same = codes[1:] == codes[:-1]
+    return bool((same[1:] & same[:-1] & ((kinds[2:] & _LETTER) != 0)).any())
+
+
 class Decoder:
     """Restores disguised spans; readings of spans are kept up to a fixed number."""
 
@@ -177,11 +213,11 @@ class Decoder:
 
     def restore(self, text: str) -> str:
         """The text with each disguised span read as a word."""
-        b = np.frombuffer(f" {text} ".encode("utf-8", "surrogatepass"), np.uint8)
-        apart = _APART[b]
-        if (apart[:-4] & apart[2:-2] & apart[4:]).any():
+        codes, kinds = Reader.codes(text)
+        if may_be_spaced(kinds):
             text = _SPACED.sub(lambda m: self.span(m[0]) if sum(map(str.isalpha, m[0])) > 2 else m[0], text)
-        if ((b[2:] == b[1:-1]) & (b[1:-1] == b[:-2]) & _LETTER[b[2:]]).any():
+            codes, kinds = Reader.codes(text)
+        if may_repeat(codes, kinds):
             text = self._without_repeats(text)
         if any(c in text for c in STANDS_FOR):
             text = _MIXED.sub(lambda m: self.span(m[0]), text)

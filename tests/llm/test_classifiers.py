@@ -63,6 +63,20 @@ def test_restoring():
     assert decoder.restore("a 12 + 34 = 46!") == "a 12 + 34 = 46!"
 
 
+def test_prefilters_skip_nothing(monkeypatch):
+    counts = np.bincount(toxicity.trigrams(" ".join(["idiot", "dum", "éclair"] * 200)), minlength=64**3)
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ieé𝐚b٣7 .-_*~/(\n", k=rng.randint(0, 14))) for _ in range(30_000)]
+    fixed = ["i. d. i. o. t.", "i d i o t", "i--d--i--o--t", "(d.u.m)", "d.u.m", "éééé", "é d i", "\ud800 d u m"]
+    decoder = toxicity.Decoder(counts)
+    got = [decoder.restore(t) for t in fixed + texts]
+    assert got[:5] == ["idiot.", "idiot", "idiot", "(dum)", "dum"] and got[5] != "éééé"
+    for name in ("may_be_spaced", "may_repeat"):
+        monkeypatch.setattr(toxicity, name, lambda *_: True)
+    decoder = toxicity.Decoder(counts)
+    assert got == [decoder.restore(t) for t in fixed + texts]
+
+
 def test_edge_cases(spark):
     for module in (quality, toxicity):
         out = module.score(docs(spark), labels(spark, [])).collect()
