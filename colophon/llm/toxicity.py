@@ -48,13 +48,15 @@ BORDER, OTHER, SYMBOLS = 0, len(LETTERS) + 1, 64
 # The letters that a sign can stand for.
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "€": "e", "*": "aeiou"}
 SEPARATORS = " .-_*~'/,"
+# Signs that end a word as punctuation.
+ENDS = "!|+"
 
 _COST = {"stands": 1.0, "dropped separator": 0.3, "dropped sign": 8.0, "repeat": 0.4}
 _WORD = re.compile(r"[^\W\d_]+")
 _SIGN = "".join(map(re.escape, STANDS_FOR))
 _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~/]{1,2}[^\W_]){2,}(?![^\W_])")
-# letters and signs in turn, from the start of a word and ending with letters: each class is left in one way only
-_MIXED = re.compile(rf"(?<![^\W\d_])(?:[^\W\d_]+|(?=[@$\d]))(?:[{_SIGN}]+[^\W\d_]+)+")
+# a whole run of letters and signs that has both; what follows its start is matched in one way only
+_MIXED = re.compile(rf"(?<![^\W\d_])(?<![{_SIGN}])(?:[^\W\d_]++[{_SIGN}]|[{_SIGN}]++[^\W\d_])(?:[^\W\d_]++|[{_SIGN}]++)*+")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 # what a code point is to the patterns
 _ALNUM, _LETTER, _APART = 1, 2, 4
@@ -176,14 +178,14 @@ class Decoder:
     def __init__(self, counts: np.ndarray) -> None:
         self.cost, self.known = LanguageModel(counts).cost, {}
 
-    def _choices(self, c: str, before: str) -> list[tuple[str, float]]:
+    def _choices(self, c: str, before: str, last: bool = False) -> list[tuple[str, float]]:
         if c.isalpha():
             out = [(c, 0.0)]
             if c == before:
                 out.append(("", _COST["repeat"]))
             return out
         out = [(x, _COST["stands"]) for x in STANDS_FOR.get(c, "")]
-        out.append(("", _COST["dropped separator"] if c in SEPARATORS else _COST["repeat"] if c == before else _COST["dropped sign"]))
+        out.append(("", _COST["dropped separator"] if c in SEPARATORS or last and c in ENDS else _COST["repeat"] if c == before else _COST["dropped sign"]))
         return out
 
     def span(self, span: str) -> str:
@@ -192,10 +194,10 @@ class Decoder:
         if span in self.known:
             return self.known[span]
         states: dict[tuple[int, int], tuple[float, str]] = {(BORDER, BORDER): (0.0, "")}
-        before = ""
-        for c in span:
+        before, end = "", len(span.rstrip(ENDS))
+        for i, c in enumerate(span):
             after: dict[tuple[int, int], tuple[float, str]] = {}
-            for read, price in self._choices(c, before):
+            for read, price in self._choices(c, before, i >= end):
                 symbol = int(Reader.symbols(read)[0]) if read else BORDER
                 for (two, one), (cost, text) in states.items():
                     if read:

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -63,6 +64,19 @@ def test_restoring():
     assert decoder.restore("a 12 + 34 = 46!") == "a 12 + 34 = 46!"
 
 
+def test_signs_at_the_ends_of_words():
+    counts = np.bincount(toxicity.trigrams(" ".join(["idiot", "stupid", "asses", "ass", "losers", "moros", "hello", "world"] * 200)), minlength=64**3)
+    decoder = toxicity.Decoder(counts)
+    for seen, meant in (("!diot", "idiot"), ("|diot", "idiot"), ("*diot", "idiot"), ("idi07", "idiot"), ("a$$", "ass"), ("moro5", "moros"), ("l0s3r5", "losers"), ("(1d10t)", "(idiot)")):
+        assert decoder.restore(seen) == meant
+    for seen, meant in (("hello! world!!", "hello world"), ("|hello|", "hello"), ("*hello*", "hello"), ("idiot!", "idiot"), ("12 + 34|", "12 + 34|")):
+        assert decoder.restore(seen) == meant
+    began = time.monotonic()
+    for text in ("a" * 200_000 + " 1", "1" * 200_000, "a1" * 100_000 + "_", "!" * 200_000 + "."):
+        toxicity._MIXED.sub("", text)
+    assert time.monotonic() - began < 5
+
+
 def test_prefilters_skip_nothing(monkeypatch):
     counts = np.bincount(toxicity.trigrams(" ".join(["idiot", "dum", "éclair"] * 200)), minlength=64**3)
     rng = random.Random(3)
