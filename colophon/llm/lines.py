@@ -12,12 +12,13 @@ In postings longer than HOT most sets are near copies of few, so each set is fir
 with the first and the nearest sets before it there, and only sets that no comparison settled
 meet the whole posting. So the pairs made stay in proportion to the lines.
 
-A line goes if an equal or similar line stands earlier, in the order of doc_id (null last) and
-place. Lines without words stay. Tokens are told apart by 64-bit hashes, and
+A line goes if an equal or similar line stands earlier, in the order of doc_id (null last),
+place and hash of the text. Lines without words stay. Tokens are told apart by 64-bit hashes, and
 equal sets by a hash of all tokens, their number and their 128-bit map.
 
 Cases: null texts stay null; a text whose lines all go becomes empty; sets of up to three tokens match equal
-sets only; rows that share a doc_id count as one document for the order, so repeated rows keep the same lines;
+sets only; equal texts under one doc_id (null too) are one document, so repeated rows keep the same lines; different texts under one doc_id
+are told apart by a 64-bit hash;
 an empty table gives no rows; all other columns, whatever their names, pass through.
 """
 
@@ -36,6 +37,10 @@ _SPLIT = r"[\x20\x09-\x0D]+"
 _LAST = (1 << 63) - 1
 
 
+#: What tells the lines apart.
+LINE, LINE2 = ["doc", "text_hash", "pos"], ["doc2", "text_hash2", "pos2"]
+
+
 def _words(text: Column) -> Column:
     return F.split(F.btrim(text, F.lit(BLANKS)), _SPLIT)
 
@@ -92,7 +97,13 @@ def _lines(docs: DataFrame, ranks: list[int]) -> DataFrame:
 
 def _earlier(a: str, b: str) -> Column:
     """Does b stand before a?"""
-    return (F.col(f"{b}.doc") < F.col(f"{a}.doc")) | ((F.col(f"{b}.doc") == F.col(f"{a}.doc")) & (F.col(f"{b}.pos") < F.col(f"{a}.pos")))
+    at = lambda side, name: F.col(f"{side}.{name}")
+    same = F.lit(True)
+    out = F.lit(False)
+    for name in ("doc", "pos", "text_hash"):
+        out = out | (same & (at(b, name) < at(a, name)))
+        same = same & (at(b, name) == at(a, name))
+    return out
 
 
 def _differ(a: str, b: str) -> Column:
@@ -112,7 +123,7 @@ def _may_match(a: str, b: str) -> Column:
 
 
 def _pair(a: str = "a", b: str = "b") -> list[Column]:
-    return [F.col(f"{a}.doc").alias("doc"), F.col(f"{a}.pos").alias("pos"), F.col(f"{b}.doc").alias("doc2"), F.col(f"{b}.pos").alias("pos2"), _differ(a, b).cast("int").alias("differ")]
+    return [*(F.col(f"{a}.{c}").alias(c) for c in LINE), *(F.col(f"{b}.{c}").alias(f"{c}2") for c in LINE), _differ(a, b).cast("int").alias("differ")]
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -121,14 +132,14 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, ranks: list[int]) -> DataFrame:
-    """(doc, pos) of the later lines among ``pairs(doc, pos, doc2, pos2)`` whose whole sets are similar."""
-    wanted = _bounded(written(pairs.select("doc", "pos").union(pairs.select("doc2", "pos2")).distinct(), "wanted"))
+    """LINE of the later lines among ``pairs`` of LINE and LINE2 whose whole sets are similar."""
+    wanted = _bounded(written(pairs.select(*LINE).union(pairs.select(*LINE2)).distinct(), "wanted"))
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST))
     texts = docs.join(wanted.select("doc").distinct(), doc == F.col("doc"), "left_semi")
-    sets = written(_each_line(texts).join(wanted, ["doc", "pos"], "left_semi").select("doc", "pos", _tokens(F.col("line"), ranks).alias("tokens")).distinct(), "sets")
-    both = pairs.join(sets, ["doc", "pos"]).join(sets.select(F.col("doc").alias("doc2"), F.col("pos").alias("pos2"), F.col("tokens").alias("tokens2")), ["doc2", "pos2"])
+    sets = written(_each_line(texts).join(wanted, LINE, "left_semi").select(*LINE, _tokens(F.col("line"), ranks).alias("tokens")).distinct(), "sets")
+    both = pairs.join(sets, LINE).join(sets.select(*(F.col(c).alias(f"{c}2") for c in LINE), F.col("tokens").alias("tokens2")), LINE2)
     alike = F.size(F.array_intersect("tokens", "tokens2")) * 9 >= (F.size("tokens") + F.size("tokens2")) * 4
-    out = written(both.filter(alike).select("doc", "pos").distinct(), "verified")
+    out = written(both.filter(alike).select(*LINE).distinct(), "verified")
     forget(sets)
     del both, sets
     release(docs.sparkSession)
@@ -137,17 +148,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, ranks: list[int]) -> DataFrame:
 
 def _similar(pairs: DataFrame, docs: DataFrame, ranks: list[int]) -> DataFrame:
     """``_verified``, first for the likeliest partner of each line, then for what that leaves open."""
-    pairs = written(pairs.groupBy("doc", "pos", "doc2", "pos2").agg(F.min("differ").alias("differ")), "pairs")
+    pairs = written(pairs.groupBy(*LINE, *LINE2).agg(F.min("differ").alias("differ")), "pairs")
     release(docs.sparkSession)  # the postings
-    likeliest = written(pairs.groupBy("doc", "pos").agg(F.min(F.struct("differ", "doc2", "pos2")).alias("b")).select("doc", "pos", "b.doc2", "b.pos2"), "likeliest")
+    likeliest = written(pairs.groupBy(*LINE).agg(F.min(F.struct("differ", *LINE2)).alias("b")).select(*LINE, *(f"b.{c}" for c in LINE2)), "likeliest")
     settled = _verified(likeliest, docs, ranks)
-    rest = written(pairs.join(_bounded(settled), ["doc", "pos"], "left_anti").join(likeliest, ["doc", "pos", "doc2", "pos2"], "left_anti").select("doc", "pos", "doc2", "pos2"), "rest")
+    rest = written(pairs.join(_bounded(settled), LINE, "left_anti").join(likeliest, [*LINE, *LINE2], "left_anti").select(*LINE, *LINE2), "rest")
     return written(settled.union(_verified(rest, docs, ranks)), "similar") if rest.limit(1).count() else settled
 
 
 def _matched(sets: DataFrame, docs: DataFrame, ranks: list[int]) -> DataFrame:
-    """(doc, pos) of those of the different sets that a similar set precedes."""
-    post = sets.select("doc", "pos", "n", "map_a", "map_b", F.posexplode("prefix").alias("at", "token"))
+    """LINE of those of the different sets that a similar set precedes."""
+    post = sets.select(*LINE, "n", "map_a", "map_b", F.posexplode("prefix").alias("at", "token"))
     long_ = written(post.groupBy("token").count().filter(F.col("count") > HOT).select("token"), "long")
     n_long = long_.count()
     long_ = F.broadcast(long_) if n_long <= SMALL else long_
@@ -157,12 +168,12 @@ def _matched(sets: DataFrame, docs: DataFrame, ranks: list[int]) -> DataFrame:
     if not n_long:
         return _similar(met, docs, ranks)
     hot = written(post.join(long_, "token", "left_semi"), "hot")
-    w = Window.partitionBy("token").orderBy("doc", "pos")
-    whole = F.struct("doc", "pos", "n", "map_a", "map_b", "at")
+    w = Window.partitionBy("token").orderBy("doc", "pos", "text_hash")
+    whole = F.struct(*LINE, "n", "map_a", "map_b", "at")
     tried = [F.first(whole).over(w), *(F.lag(whole, k).over(w) for k in (1, 2))]
     near = hot.select(whole.alias("a"), F.array(*tried).alias("tried")).select("a", F.explode("tried").alias("b")).filter(F.col("b").isNotNull() & _earlier("a", "b") & _may_match("a", "b")).select(*_pair())
     settled = written(_similar(met.union(near), docs, ranks), "settled")
-    left = hot.join(settled, ["doc", "pos"], "left_anti").alias("a")
+    left = hot.join(settled, LINE, "left_anti").alias("a")
     rest = left.join(hot.alias("b"), (F.col("a.token") == F.col("b.token")) & _earlier("a", "b") & _may_match("a", "b")).select(*_pair())
     return settled.union(_similar(rest, docs, ranks))
 
@@ -172,15 +183,17 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     ranks = rarity(docs)
     lines = written(_lines(docs, ranks), "lines")
     # the first place of each set that has several, in one number, so that the aggregate works in place
-    place = F.col("doc").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(38,0)") + F.col("pos")
+    # doc, pos and the upper 31 bits of the text's hash, in the order of _earlier
+    within = F.shiftleft(F.col("pos").cast("bigint"), 31) + F.shiftright("text_hash", 33) + F.lit(1 << 30)
+    place = F.col("doc").cast("decimal(38,0)") * F.lit(1 << 62).cast("decimal(38,0)") + within
     alike = ["set", "n", "map_a", "map_b"]
     keys = lines.select(*alike, place.cast("decimal(38,0)").alias("place"))
     several = keys.groupBy(*alike).agg(F.min("place").alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
     placed = lines.select("doc", "text_hash", "pos", *alike, place.cast("decimal(38,0)").alias("place"))
-    again = written(placed.join(several, alike).filter("place > first").select("doc", "text_hash", "pos"), "again")
-    sets = lines.filter("n >= 4").join(_bounded(again.select("doc", "pos")), ["doc", "pos"], "left_anti")
+    again = written(placed.join(several, alike).filter("place > first").select(*LINE), "again")
+    sets = lines.filter("n >= 4").join(_bounded(again), LINE, "left_anti")
     matched = written(_matched(sets, docs, ranks), "matched")
-    later = lines.join(_bounded(matched), ["doc", "pos"], "left_semi").select("doc", "text_hash", "pos")
+    later = lines.join(_bounded(matched), LINE, "left_semi").select(*LINE)
     gone = again.union(later).groupBy("doc", "text_hash").agg(F.collect_set("pos").alias("gone"))
     return written(gone, "gone")
 

@@ -67,3 +67,15 @@ def test_edge_cases(spark):
     assert [r.text for r in out.filter("doc_id = 1").collect()] == ["one two three four five six seven eight nine ten"] * 2
     assert text[7] == ""  # nine words of eleven are shared
     assert lines.dedup_lines(empty(spark)).count() == 0
+
+
+def test_texts_that_share_an_id_are_told_apart(spark):
+    a = [f"a{i}" for i in range(10)]
+    b, c = " ".join(f"b{i}" for i in range(10)), " ".join(f"c{i}" for i in range(10))
+    near = " ".join([*a[:9], "other"])
+    table = [(1, " ".join(a), "s"), (None, near, "s"), (None, b, "s"), (7, c, "s"), (7, near, "s"), (None, b + "\nx y", "s"), (None, b + "\nu v", "s")]
+    got = sorted((str(r.doc_id), r.text) for r in lines.dedup_lines(docs(spark, table)).collect())
+    whole = [r for r in got if b in r[1]]
+    assert len(got) == 7 and len(whole) == 1
+    assert ("7", c) in got and ("7", "") in got and ("None", "") in got
+    assert sum("x y" in r[1] for r in got) == sum("u v" in r[1] for r in got) == 1
