@@ -49,7 +49,7 @@ def ranked(feats: DataFrame) -> DataFrame:
 
 
 def edges(feats: DataFrame, options: Options, texts: DataFrame | None = None) -> DataFrame:
-    """(lib, id, cand, ord, rung, v, same_text, weak): every pair a rung finds, with its verdict (DL2-DL12).
+    """(lib, id, cand, ord, rung, v, same_text, weak): every pair a rung finds, with its verdict (DL2-DL9, DL12).
 
     ``texts(a, b, share)`` has the text pairs of records' text_id, where there are texts.
     """
@@ -149,7 +149,7 @@ def plan(books: DataFrame, options: Options | None = None, texts: DataFrame | No
     rows = source.join(decided, ["lib", "id"], "left")
     empty, held = F.size("formats") == 0, (F.col("title_key") == "") | (F.size("authors_key") == 0)
     action = F.when(empty, "trash").when(F.col("action") == "trash", "trash").when(held, "leave").otherwise(F.coalesce("action", none))
-    # DL13: a record with a file-name title is never moved
+    # of DL13, only this: a record with a file-name title is never moved
     hold = (action == "move") & F.col("is_file_name")
     why = F.when(empty, "no formats").when(held & F.col("action").isNull(), "held: no title or authors").when(hold, "held: file-name title").otherwise(F.coalesce("why", F.lit("nothing like it")))
     match = F.when(F.col("match").isNotNull(), F.floor(F.col("match") / 2))

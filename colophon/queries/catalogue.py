@@ -76,7 +76,7 @@ def _texts(spark: SparkSession) -> DataFrame:
 
 @query(_expected(TWO))
 def dedup_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DL0-DL8, DL13, AG2, AG3, SQ1 over two libraries."""
+    """DL0, DL2-DL8, of DL13 the file-name hold, AG2, AG3, SQ1 over two libraries."""
     return ladder.plan(_books(spark, TWO), texts=_texts(spark)).select("lib", "id", "action", "match")
 
 
