@@ -7,15 +7,21 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of Parquet up to which a counted table may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one is made up only where the session has none."""
+    """The folder in spark.checkpoint.dir; one is made up only in local mode and where the session has none."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         given = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = given.get() if given.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="colophon-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -29,13 +35,22 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folders(df: DataFrame) -> list:
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(path) for path in {f.rpartition("/")[0] for f in df.inputFiles()}]
+    return [(p.getFileSystem(conf), p) for p in paths]
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the files behind a frame that ``written`` returned."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+    for system, path in _folders(df):
+        system.delete(path, True)
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """A frame over written tables, marked for broadcast if these are small in bytes and in rows."""
+    size = sum(system.getContentSummary(path).getLength() for system, path in _folders(df))
+    return F.broadcast(df) if size <= BROADCAST_BYTES and df.count() <= rows else df
 
 
 def release(spark: SparkSession) -> None:
