@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from colophon.functions import words as fixed
-from colophon.functions.text import bound, col, is_unknown, strings, tokens
+from colophon.functions.text import bound, casefold, col, is_unknown, strings, tokens
 from colophon.functions.titles import MIN_TYPO, one_edit
 
 MIN_SURNAME = 4
@@ -84,3 +84,51 @@ def same_publisher(a: Column, b: Column) -> Column:
 
     wa, wb = publisher_words(a), publisher_words(b)
     return F.when((F.size(wa) == 0) | (F.size(wb) == 0), tokens(a) == tokens(b)).otherwise(bound(same, wa, wb))
+
+
+def initials_match(a: Column, b: Column) -> Column:
+    """NM6: the parts of two names pair up one to one, as equal words or as a word and its initial.
+
+    Equal words are taken out first. What is left pairs up exactly if each letter begins as many parts on either side, and
+    no side has more whole words with that letter than the other has initials.
+    """
+
+    def numbered(key: Column) -> Column:
+        # repeated words are told apart by their number; keys are sorted
+        return F.transform(key, lambda w, i: F.struct(w.alias("w"), (i - F.array_position(key, w)).alias("n")))
+
+    def pair_up(x: Column, y: Column) -> Column:
+        whole = lambda parts: F.filter(parts, lambda p: F.char_length(p["w"]) > 1)
+        short = lambda parts: F.filter(parts, lambda p: F.char_length(p["w"]) == 1)
+        first = lambda parts: F.transform(parts, lambda p: F.substring(p["w"], 1, 1))
+        left = lambda own, other: F.filter(whole(own), lambda p: ~F.array_contains(other, p))
+        count = lambda letters, c: F.size(F.filter(letters, lambda d: d == c))
+        wx, wy, sx, sy = first(left(x, y)), first(left(y, x)), first(short(x)), first(short(y))
+        shared = F.size(whole(x)) > F.size(left(x, y))
+        fits = lambda words, initials: F.forall(words, lambda c: count(words, c) <= count(initials, c))
+        balanced = F.sort_array(F.concat(wx, sx)) == F.sort_array(F.concat(wy, sy))
+        return (x != y) & (F.size(sx) + F.size(sy) > 0) & shared & balanced & fits(wx, sy) & fits(wy, sx)
+
+    return F.coalesce(bound(lambda x, y: bound(pair_up, numbered(x), numbered(y)), author_key(a), author_key(b)), F.lit(False))
+
+
+def looks_like_name(value: Column | str) -> Column:
+    """NM8: one to four capitalised words, particles between them aside, without an article, numbers or a title's small words."""
+    given = F.coalesce(col(value), F.lit(""))
+    particles, small = strings(fixed.NAME_PARTICLES), strings(fixed.TITLE_WORDS)
+    pieces = F.regexp_extract_all(given, F.lit(r"(\p{L}+|\p{Nd}+)"), F.lit(1))
+
+    def person(found: Column) -> Column:
+        core = F.filter(found, lambda w: ~F.array_contains(particles, w))
+        inner = F.contains(given, F.lit(",")) | ~F.array_contains(particles, F.try_element_at(found, F.lit(-1)))
+        return F.when((F.size(core) >= 2) & (F.size(core) < F.size(found)) & inner, core).otherwise(found)
+
+    def named(words_: Column) -> Column:
+        proper = lambda w: w.rlike(r"^\p{Lu}") & ~casefold(w).startswith("scan")
+        dotted = given.rlike(r"^\s*\p{L}\.")
+        article = casefold(F.get(words_, F.lit(0))).isin(fixed.ARTICLES) & ~dotted
+        rest = F.slice(words_, F.lit(2), F.greatest(F.size(words_) - 1, F.lit(0)))
+        plain = ~article & ~F.exists(rest, lambda w: F.array_contains(small, w))
+        return F.size(words_).between(1, 4) & F.forall(words_, proper) & ((F.size(words_) == 1) | plain)
+
+    return F.coalesce(bound(lambda found: bound(named, person(found)), pieces), F.lit(False))
