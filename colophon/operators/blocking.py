@@ -2,7 +2,7 @@
 
 Every frame here has ``lib`` (which pair of libraries a record belongs to), ``id``, ``ord`` (the order
 in which records count) and the features of ``colophon.plans.features``. Skewed keys ("various
-authors", very common titles) are left to adaptive skew joins: all joins are inner equi-joins.
+authors", very common titles) are split by a further key where a rung allows it, and else left to adaptive skew joins: all joins are equi-joins.
 """
 
 from __future__ import annotations
@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colophon.functions.people import names_nearly_equal, surname_match
-from colophon.functions.python_rules import initials_match
-from colophon.functions.titles import contains_title, noise, volumes_differ
+from colophon.functions.people import author_key, initials_match, looks_like_name, names_nearly_equal, similar_author_key, surname_match
+from colophon.functions.text import bound
+from colophon.functions.titles import contains_title, noise, title_key, volumes_differ
 
 
 def _pairs(a: DataFrame, b: DataFrame, on: list[str], extra: Column | None = None) -> DataFrame:
@@ -66,39 +66,64 @@ def without_other_volumes(pairs: DataFrame, src: DataFrame, cand: DataFrame) ->
     return pairs.join(x, ["lib", "id"]).join(y, ["lib", "cand"]).filter(~volumes_differ(F.col("ta"), F.col("tb"))).drop("ta", "tb")
 
 
+def _name_keys(author: Column) -> Column:
+    """What two spellings of a name have in common: a whole word, or both of the ends of a single word that an edit can change at one place only."""
+
+    def keys(parts: Column) -> Column:
+        whole = F.transform(F.filter(parts, lambda w: F.char_length(w) > 1), lambda w: F.concat(F.lit("w"), w))
+        only = F.get(parts, F.lit(0))
+        ends = F.array(F.concat(F.lit("a"), F.substring(only, 1, 2)), F.concat(F.lit("z"), F.right(only, F.lit(2))))
+        return F.array_distinct(F.when(F.size(parts) == 1, F.concat(whole, ends)).otherwise(whole))
+
+    return bound(keys, similar_author_key(author))
+
+
 def author_variants(src: DataFrame, cand: DataFrame) -> DataFrame:
-    """JN5: the same title, authors that a typo, initials or the surname alone tell apart; ``weak`` for the last."""
-    one = lambda df: df.filter("title_key <> ''").select("lib", "id", "ord", "title_key", F.explode("authors").alias("author"))
+    """JN5: the same title, authors that a typo, initials or the surname alone tell apart; ``weak`` for the last.
+
+    The names meet by a word or an end in common, so that a frequent title doesn't pair all of its authors.
+    """
+    one = lambda df: df.filter("title_key <> ''").select("lib", "id", "ord", "title_key", F.explode("authors").alias("author")).select("*", F.explode(_name_keys(F.col("author"))).alias("nkey"))
     x, y = one(src).alias("x"), one(cand).alias("y")
-    met = x.join(y, (F.col("x.lib") == F.col("y.lib")) & (F.col("x.title_key") == F.col("y.title_key")))
-    typo = names_nearly_equal(F.col("x.author"), F.col("y.author"))
-    short, surname = initials_match(F.col("x.author"), F.col("y.author")), surname_match(F.col("x.author"), F.col("y.author"))
-    how = met.select(F.col("x.lib").alias("lib"), F.col("x.id").alias("id"), F.col("y.id").alias("cand"), F.col("y.ord").alias("ord"), typo.alias("typo"), surname.alias("surname"), short.alias("short"))
+    met = x.join(y, (F.col("x.lib") == F.col("y.lib")) & (F.col("x.title_key") == F.col("y.title_key")) & (F.col("x.nkey") == F.col("y.nkey")))
+    pairs = met.select(F.col("x.lib").alias("lib"), F.col("x.id").alias("id"), F.col("y.id").alias("cand"), F.col("y.ord").alias("ord"), F.col("x.author").alias("a"), F.col("y.author").alias("b")).distinct()
+    a, b = F.col("a"), F.col("b")
+    how = pairs.select("lib", "id", "cand", "ord", names_nearly_equal(a, b).alias("typo"), surname_match(a, b).alias("surname"), initials_match(a, b).alias("short"))
     return how.filter("typo or short or surname").groupBy("lib", "id", "cand", "ord").agg((~F.bool_or(F.col("typo") | F.col("short"))).alias("weak"))
 
 
 def similar_titles(src: DataFrame, cand: DataFrame) -> DataFrame:
-    """JN6: an author alike, and one title within the other with only noise around."""
+    """JN6: an author alike, and one title within the other with only noise around.
+
+    The longer title has every word of the shorter one, so they meet by author and the shorter one's longest word.
+    """
     names = lambda p: noise(F.array_join(F.col(f"{p}.authors"), " "), F.col(f"{p}.series"), F.col(f"{p}.publisher"))
     keyed = lambda df: df.filter("title_key <> ''").select("*", F.explode("similar_keys").alias("akey"))
+    each = lambda df: keyed(df).withColumn("word", F.explode(F.array_distinct(F.split("title_key", " "))))
+    longest = F.array_max(F.transform(F.split("title_key", " "), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
+    main = lambda df: keyed(df).withColumn("word", longest)
     both = F.concat(names("x"), names("y"))
     x, y = F.col("x.title_key"), F.col("y.title_key")
-    within = (x != y) & ((contains_title(x, y, both) & ~volumes_differ(x, y, y)) | (contains_title(y, x, both) & ~volumes_differ(x, y, x)))
-    return _pairs(keyed(src), keyed(cand), ["akey"], within)
+    in_x = (x != y) & contains_title(x, y, both) & ~volumes_differ(x, y, y)
+    in_y = (x != y) & contains_title(y, x, both) & ~volumes_differ(x, y, x)
+    return _pairs(each(src), main(cand), ["akey", "word"], in_x).union(_pairs(main(src), each(cand), ["akey", "word"], in_y)).distinct()
 
 
 def swapped(books: DataFrame) -> DataFrame:
     """JN7, PF10: records whose title is a known author of other books, and whose author isn't.
 
-    ``books(lib, id, title, title_key, authors)``; gives (lib, id).
+    ``books(lib, id, title, title_key, authors)``; gives (lib, id). A title of one word is a known author too if it is part of one author's name only.
     """
-    from colophon.functions.people import author_key
-    from colophon.functions.python_rules import looks_like_name
-
-    people = books.select("lib", "id", F.explode("authors").alias("a")).select("lib", F.col("id").alias("other"), F.array_join(author_key("a"), " ").alias("person"))
+    people = books.select("lib", "id", "title_key", F.explode("authors").alias("a")).select("lib", F.col("id").alias("other"), F.col("title_key").alias("of"), F.array_join(author_key("a"), " ").alias("person")).filter("person <> ''")
+    whole = people.select("lib", "other", "of", F.col("person").alias("name"))
+    parts = people.select("lib", "other", "of", "person", F.explode(F.split("person", " ")).alias("name")).filter("char_length(name) >= 4")
+    single = parts.join(parts.groupBy("lib", "name").agg(F.countDistinct("person").alias("n")).filter("n = 1").select("lib", "name"), ["lib", "name"], "left_semi").select("lib", "other", "of", "name")
+    names = whole.union(single).distinct()
     titles = books.filter(F.size("authors") == 1).select("lib", "id", "title_key", F.array_join(author_key("title"), " ").alias("as_person"), F.array_join(author_key(F.get("authors", F.lit(0))), " ").alias("author"), looks_like_name(F.col("title")).alias("name_like"))
-    known = titles.filter("name_like").join(people, (titles.lib == people.lib) & (titles.as_person == people.person) & (titles.id != people.other), "left_semi")
-    return known.join(people.withColumnRenamed("lib", "l2"), (F.col("lib") == F.col("l2")) & (F.col("author") == F.col("person")) & (F.col("id") != F.col("other")), "left_anti").select("lib", "id")
+    t, n, p = titles.filter("name_like").alias("t"), names.alias("n"), people.alias("p")
+    known = t.join(n, (F.col("t.lib") == F.col("n.lib")) & (F.col("t.as_person") == F.col("n.name")) & (F.col("t.id") != F.col("n.other")) & (F.col("t.title_key") != F.col("n.of")), "left_semi").alias("t")
+    others = (F.col("t.lib") == F.col("p.lib")) & (F.col("t.author") == F.col("p.person")) & (F.col("t.id") != F.col("p.other")) & (F.col("t.title_key") != F.col("p.of"))
+    return known.join(p, others, "left_anti").select("lib", "id")
 
 
 def may_hide(moves: DataFrame, targets: DataFrame) -> DataFrame:
@@ -107,8 +132,6 @@ def may_hide(moves: DataFrame, targets: DataFrame) -> DataFrame:
     ``targets`` has ``file_title``: what the file says its title is.
     """
     keyed = lambda df: df.select("*", F.explode("similar_keys").alias("akey"))
-    from colophon.functions.titles import title_key
-
     none = noise()
     read = title_key(F.col("y.file_title"))
     says = (read == F.col("x.title_key")) | contains_title(read, F.col("x.title_key"), none) | contains_title(F.col("x.title_key"), read, none)

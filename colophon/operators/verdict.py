@@ -82,3 +82,25 @@ def by_cover(kind: Column, cover: Column, longer: Column, always: Column) -> Col
         .when((kind == "different") & always & (cover == "same"), "duplicate, overriding, to review")
         .when((kind == "different") & always, "distinct")
     )
+
+
+def cover_verdict(on: Column, a: Column, b: Column, odd_a: Column, odd_b: Column, generic: Column, answer: Column) -> Column:
+    """IM5: same, different, unclear or skipped, by what is known of two covers.
+
+    ``a`` and ``b`` are digests of the cover files (null: none), ``odd_*`` say that a cover is a page of text, ``generic`` that either is a
+    placeholder, ``answer`` is what a reader of images said (null: none was asked).
+    """
+    both = a.isNotNull() & b.isNotNull()
+    return (
+        F.when(~on, "skipped")
+        .when(both & ~generic & (a == b), "same")
+        .when(answer.isNull(), "skipped")
+        .when(~both | generic | odd_a | odd_b, "unclear")
+        .when(answer.isin("same", "different"), answer)
+        .otherwise("unclear")
+    )
+
+
+def cover_kind(verdict_: Column, incomparable: Column, year_only: Column, recheck: Column, always: Column) -> Column:
+    """DL10, DL11: what the metadata leave open about a pair, or null."""
+    return F.when(verdict_ == "unknown", F.when(incomparable, "incomparable").otherwise("open")).when((verdict_ == "distinct") & year_only & recheck, "weak").when((verdict_ == "distinct") & always, "different")

@@ -3,6 +3,9 @@
 All pairs with all verdicts are computed by joins first. What is left is order: a record is compared with
 targets and with better-ranked source records that stay. Records that only meet targets, or nothing,
 don't depend on each other; the rest are decided component by component, in rank order.
+
+Facts come as tables: texts that pairs share, what a reader of images said of pairs of covers, machine readings of records.
+Without such a table its rungs say nothing.
 """
 
 from __future__ import annotations
@@ -10,15 +13,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colophon.operators import blocking
 from colophon.operators.components import components
 from colophon.operators.groups import placeholders
 from colophon.operators.tables import written
-from colophon.operators.verdict import verdict, with_publishers
-from colophon.plans.features import features, without_junk_isbns
+from colophon.operators.verdict import cover_kind, cover_verdict, verdict, with_publishers
+from colophon.plans.answers import filled
+from colophon.plans.features import features, put_right, without_junk_isbns
 
 
 @dataclass(frozen=True)
@@ -30,11 +34,18 @@ class Options:
     similar_titles: bool = False
     author_variants: bool = False
     one_library: bool = False
+    fix_swapped: bool = False
+    cover_check: bool = False
+    always_cover: bool = False
+    recheck_years: bool = False
+    trash_unreadable: bool = False
 
 
-PLAN = "lib string, id bigint, action string, match bigint, match_side string, why string"
+PLAN = "lib string, id bigint, action string, match bigint, match_side string, why string, notes array<string>, reason string, review string, selected boolean, override boolean"
 #: Rungs in the order in which they decide.
 FILE, SERIES, KEY, VARIANT, TITLE = range(5)
+#: A text so many times longer is other content (TX10).
+LONGER = 3
 
 
 def _files(df: DataFrame) -> DataFrame:
@@ -42,18 +53,44 @@ def _files(df: DataFrame) -> DataFrame:
 
 
 def ranked(feats: DataFrame) -> DataFrame:
-    """WN1: source records in the order in which they are decided; targets come before all."""
-    w = Window.partitionBy("lib").orderBy(F.when(F.col("side") == "target", 0).otherwise(1), F.when(F.col("side") == "target", 0).otherwise(F.col("rank")), F.when(F.col("side") == "target", 0).otherwise(-F.col("richness")), "id")
+    """WN1: ``ord`` sorts source records in the order in which they are decided; targets come before all.
+
+    It is a list of numbers that compares like the rank itself, so no library is ranked in one task.
+    """
+    own = F.col("side") == "source"
+    number = lambda c: F.when(own, c).otherwise(0).cast("bigint")
     # a key for both sides: targets get odd numbers
-    return feats.withColumn("book", F.col("id")).withColumn("id", F.col("id") * 2 + (F.col("side") == "target").cast("int")).withColumn("ord", F.row_number().over(w))
+    return feats.withColumn("book", F.col("id")).withColumn("id", F.col("id") * 2 + (~own).cast("int")).withColumn("ord", F.array(own.cast("bigint"), number(F.col("rank")), number(-F.col("richness")), F.col("book")))
+
+
+def _with_generic(feats: DataFrame) -> DataFrame:
+    """IM2, AG4: ``generic``: the record's cover stands on three titles and three sets of authors."""
+    junk = placeholders(feats.filter("cover is not null").withColumn("akey", F.array_join("authors_key", "|")), "lib", "cover", author="akey")
+    return feats.join(junk.select("lib", "cover", F.lit(True).alias("generic")), ["lib", "cover"], "left").withColumn("generic", F.coalesce("generic", F.lit(False)))
+
+
+def _covers(pairs: DataFrame, answers: DataFrame | None, options: Options) -> DataFrame:
+    """IM5: ``cover``, what the covers of each pair say; ``answers(a, b, answer)`` has digests with a <= b."""
+    if answers is None:
+        df = pairs.withColumn("_answer", F.lit(None).cast("string"))
+    else:
+        said = answers.select(F.col("a").alias("_ca"), F.col("b").alias("_cb"), F.col("answer").alias("_answer"))
+        df = pairs.join(said, (F.least("cover_a", "cover_b") == F.col("_ca")) & (F.greatest("cover_a", "cover_b") == F.col("_cb")), "left").drop("_ca", "_cb")
+    # where a reader of images was asked at all, what it didn't say is unclear
+    answer = F.col("_answer") if answers is None else F.coalesce("_answer", F.lit("unsure"))
+    no = F.lit(False)
+    on = F.lit(options.cover_check or options.always_cover)
+    cover = cover_verdict(on, F.col("cover_a"), F.col("cover_b"), F.coalesce("page_a", no), F.coalesce("page_b", no), F.col("generic_a") | F.col("generic_b"), answer)
+    return df.withColumn("cover", cover).drop("_answer")
 
 
-def edges(feats: DataFrame, options: Options, texts: DataFrame | None = None) -> DataFrame:
-    """(lib, id, cand, ord, rung, v, same_text, weak): every pair a rung finds, with its verdict (DL2-DL9, DL12).
+def edges(feats: DataFrame, options: Options, texts: DataFrame | None = None, covers: DataFrame | None = None) -> DataFrame:
+    """Every pair that a rung finds, with its verdict and what texts, languages and covers say of it (DL2-DL8, DL10-DL12).
 
     ``texts(a, b, share)`` has the text pairs of records' text_id, where there are texts.
     """
-    src, cand = feats.filter("side = 'source'"), feats.filter("size(formats) > 0")
+    feats = _with_generic(feats)
+    src, cand = feats.filter("side = 'source' and chosen"), feats.filter("size(all_formats) > 0")
     parts = []
 
     def add(pairs: DataFrame, rung: int) -> None:
@@ -73,19 +110,31 @@ def edges(feats: DataFrame, options: Options, texts: DataFrame | None = None) ->
     pairs = parts[0]
     for p in parts[1:]:
         pairs = pairs.union(p)
-    order = feats.select("lib", F.col("id").alias("id"), F.col("ord").alias("own"), F.col("identity").alias("a"), F.col("text_id").alias("ta"))
-    other = feats.select("lib", F.col("id").alias("cand"), F.col("identity").alias("b"), F.col("text_id").alias("tb"))
-    # AG: only targets and records decided earlier; the first rung that finds a pair counts
-    pairs = pairs.filter("id <> cand").join(order, ["lib", "id"]).filter("ord < own").join(other, ["lib", "cand"])
+    facts = ["identity", "text_id", "text_lang", "text_chars", "cover", "page_cover", "generic"]
+    short = ["i", "t", "l", "n", "cover_", "page_", "generic_"]
+    of = lambda key, side: [F.col("id").alias(key), *(F.col(f).alias(f"{k}{side}") for f, k in zip(facts, short, strict=True))]
+    order = feats.select("lib", F.col("ord").alias("own"), *of("id", "a"))
+    other = feats.select("lib", F.col("chosen").alias("_chosen"), *of("cand", "b"))
+    # only targets, records decided earlier and records that aren't to be decided; the first rung that finds a pair counts
+    pairs = pairs.filter("id <> cand").join(order, ["lib", "id"]).join(other, ["lib", "cand"]).filter("ord < own or not _chosen").drop("_chosen")
     first = Window.partitionBy("lib", "id", "cand").orderBy("rung")
     pairs = pairs.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    judged = with_publishers(pairs).withColumn("v", verdict())
+    judged = with_publishers(pairs.withColumnsRenamed({"ia": "a", "ib": "b"})).withColumn("v", verdict())
     if texts is None:
         judged = judged.withColumn("same_text", F.lit(False))
     else:
         same = texts.filter("share >= 0.95").select(F.col("a").alias("_a"), F.col("b").alias("_b"))
         judged = judged.join(same, (F.least("ta", "tb") == F.col("_a")) & (F.greatest("ta", "tb") == F.col("_b")), "left").withColumn("same_text", F.col("_a").isNotNull()).drop("_a", "_b")
-    return judged.select("lib", "id", "cand", "ord", "own", "rung", "weak", "same_text", F.col("v.verdict").alias("verdict"), F.col("v.why").alias("why"), F.col("v.proof").alias("proof"))
+    no = F.lit(False)
+    judged = _covers(judged, covers, options)
+    kind = cover_kind(F.col("v.verdict"), F.col("v.incomparable"), F.col("v.year_only"), F.lit(options.recheck_years), F.lit(options.always_cover))
+    longer = F.coalesce((F.least("na", "nb") > 0) & (F.greatest("na", "nb") >= F.least("na", "nb") * LONGER), no)
+    # TX11: both languages are known and differ
+    foreign = F.coalesce(F.col("la") != F.col("lb"), no)
+    return judged.select("lib", "id", "cand", "ord", "own", "rung", "weak", "same_text", F.col("v.verdict").alias("verdict"), F.col("v.why").alias("why"), F.col("v.proof").alias("proof"), "cover", kind.alias("kind"), longer.alias("longer"), foreign.alias("foreign"))
+
+
+_DECIDED = "lib string, id bigint, action string, match bigint, why string, notes array<string>, review string, override boolean"
 
 
 def _resolve(one_library: bool):
@@ -94,79 +143,193 @@ def _resolve(one_library: bool):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         state: dict[int, str] = {}
         rows = []
+        frame = frame.assign(ord=frame.ord.map(tuple), own=frame.own.map(tuple))
         for (lib, key), mine in sorted(frame.groupby(["lib", "id"], sort=False), key=lambda x: x[1].own.iloc[0]):
             live = mine[[c % 2 == 1 or state.get(c, "move") in ("move", "leave") for c in mine.cand]].sort_values(["rung", "ord"])
-            action, match, why = _one(live, one_library)
-            state[key] = action
-            rows.append((lib, key, action, match, why))
-        return pd.DataFrame(rows, columns=["lib", "id", "action", "match", "why"]).astype({"match": "Int64"})
+            out = _Decision("leave" if one_library else "move", live).made()
+            state[key] = out[0]
+            rows.append((lib, key, *out))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in _DECIDED.split(", ")]).astype({"match": "Int64"})
 
     return run
 
 
-def _one(live: pd.DataFrame, one_library: bool) -> tuple[str, int | None, str]:
-    unmatched = "leave" if one_library else "move"
-    for rung in (FILE, SERIES):
-        found = live[live.rung == rung]
-        if len(found):
-            return "trash", int(found.cand.iloc[0]), ("same file", "same series and number")[rung]
-    for rung in (KEY, VARIANT):
-        found = live[live.rung == rung]
-        if not len(found):
-            continue
-        for hit, why in ((found[found.verdict == "duplicate"], None), (found[found.same_text], "same text")):
-            if len(hit):
-                return "trash", int(hit.cand.iloc[0]), why or hit.why.iloc[0]
-        unknown = found[found.verdict == "unknown"]
-        if len(unknown):
-            return "leave", int(unknown.cand.iloc[0]), "to check"
-        return unmatched, int(found.cand.iloc[0]), "different"
-    found = live[live.rung == TITLE]
-    proved = found[found.proof.astype(bool) | found.same_text.astype(bool)]
-    if len(proved):
-        return "trash", int(proved.cand.iloc[0]), "similar title, proved"
-    open_ = found[found.verdict != "distinct"]
-    if len(open_):
-        return "leave", int(open_.cand.iloc[0]), "similar title"
-    if len(found):
-        return unmatched, int(found.cand.iloc[0]), "different"
-    return unmatched, None, "nothing like it"
-
-
-def plan(books: DataFrame, options: Options | None = None, texts: DataFrame | None = None) -> DataFrame:
-    """PLAN for every source record, in the order of ids within each library (SO1)."""
+class _Decision:
+    """What the ladder says of one record, given its live pairs in order."""
+
+    def __init__(self, unmatched: str, live: pd.DataFrame) -> None:
+        self.unmatched, self.live, self.notes = unmatched, [*live.itertuples(index=False)], []
+
+    def of(self, rung: int) -> list:
+        return [p for p in self.live if p.rung == rung]
+
+    def out(self, action: str, pair=None, why: str = "", review: str = "", override: bool = False) -> tuple:
+        return action, None if pair is None else int(pair.cand), why, list(dict.fromkeys(self.notes)), review, override
+
+    def without_foreign(self, pairs: list) -> list:
+        """Drops pairs in another language, and notes it."""
+        self.notes += [f"{p.cand // 2} is in another language" for p in pairs if p.foreign]
+        return [p for p in pairs if not p.foreign]
+
+    def made(self) -> tuple:
+        for p in self.of(FILE):
+            return self.out("trash", p, "same file")
+        for p in self.without_foreign(self.of(SERIES)):
+            return self.out("trash", p, "same series and number")
+        pairs = self.of(KEY) or self.of(VARIANT)
+        if pairs:
+            return self.by_key(pairs)
+        return self.by_title(self.of(TITLE))
+
+    def by_key(self, pairs: list) -> tuple:
+        """DL7-DL11c: compares all, and again without a copy that is a duplicate in another language."""
+        first = pairs[0]
+        while pairs:
+            what, p, why, review, override, content = self.compared(pairs)
+            if what == "distinct":
+                return self.out(self.unmatched, pairs[0], "different")
+            if what == "unknown":
+                return self.out("leave", pairs[0], why)
+            if content or not p.foreign:
+                person = "authors matched by the surname only" if p.weak and not content and not p.proof else ""
+                return self.out("trash", p, why, "; ".join(x for x in (review, person) if x), override)
+            self.notes.append(f"{p.cand // 2} is in another language")
+            pairs = [x for x in pairs if x is not p]
+        return self.out(self.unmatched, first, "different")
+
+    def compared(self, pairs: list) -> tuple:
+        """(duplicate, unknown or distinct, pair, why, review, overriding, by its content)."""
+        for p in pairs:
+            if p.verdict == "duplicate":
+                return "duplicate", p, p.why, "", False, False
+        for p in pairs:
+            if p.same_text:
+                return "duplicate", p, "same text", "", p.verdict == "distinct", True
+        open_, unsure = [], []
+        for p in pairs:
+            if p.kind is None or p.kind != p.kind:
+                continue
+            if p.cover == "same":
+                return "duplicate", p, "same cover", "by the covers: compare them", p.verdict == "distinct", False
+            if p.kind == "open" and p.cover == "unclear":
+                open_.append(p)
+            elif p.kind in ("open", "incomparable") or p.kind == "weak" and p.cover != "different":
+                unsure.append(p)
+        for p in open_:
+            if not p.longer:
+                return "duplicate", p, "nothing tells them apart", "no edition: compare them", False, False
+            unsure.append(p)
+        if unsure or any(p.verdict == "unknown" for p in pairs):
+            return "unknown", pairs[0], "to check", "", False, False
+        return "distinct", pairs[0], "different", "", False, False
+
+    def by_title(self, pairs: list) -> tuple:
+        """DL12: only proof makes a duplicate of a similar title; a difference, another cover or language rules it out."""
+        if not pairs:
+            return self.out(self.unmatched, None, "nothing like it")
+        for p in pairs:
+            if p.same_text or p.proof and not p.foreign:
+                return self.out("trash", p, "similar title, proved")
+        for p in pairs:
+            if p.cover == "same" and p.verdict != "distinct" and not p.foreign:
+                return self.out("trash", p, "similar title, same cover", "by the covers: compare them")
+        left = [p for p in pairs if p.verdict != "distinct" and p.cover != "different" and not p.foreign]
+        return self.out("leave", left[0], "similar title") if left else self.out(self.unmatched, pairs[0], "different")
+
+
+def _readings(feats: DataFrame, answers: DataFrame | None) -> DataFrame:
+    """DL9, AI4, PF2: what machine readings ``answers(lib, side, id, publisher, edition, year, isbns)`` say fills what the records lack."""
+    if answers is None:
+        return feats
+    said = answers.select("lib", "side", "id", F.struct("publisher", "edition", "year", "isbns").alias("answer"))
+    df = feats.join(said, ["lib", "side", "id"], "left")
+    kept = df.withColumn("_identity", F.col("identity"))
+    return filled(kept).withColumn("identity", F.when(F.col("answer").isNull(), F.col("_identity")).otherwise(F.col("identity"))).drop("answer", "_identity")
+
+
+def plan(books: DataFrame, options: Options | None = None, texts: DataFrame | None = None, covers: DataFrame | None = None, answers: DataFrame | None = None, chosen: Column | None = None) -> DataFrame:
+    """PLAN for every source record (with ``chosen``, for those it holds for: PF4), in the order of ids within each library (SO1).
+
+    Records that aren't chosen stay candidates for the others.
+    """
     options = options or Options()
-    feats = written(ranked(without_junk_isbns(features(books, options.same_series))), "features")
+    books = books.withColumn("chosen", F.lit(True) if chosen is None else F.coalesce(chosen, F.lit(False)))
+    books = put_right(books) if options.fix_swapped else books.withColumn("swapped", F.lit(False))
+    feats = written(ranked(_readings(without_junk_isbns(features(books, options.same_series)), answers)), "features")
     usable = feats.filter("side = 'target' or (size(formats) > 0 and title_key <> '' and size(authors_key) > 0)")
-    found = written(edges(usable, options, texts), "edges")
+    found = written(edges(usable, options, texts, covers), "edges")
     # a component is named by its smallest key; libraries don't mix, as ids are told apart by a hash of the library
     node = lambda c: F.xxhash64("lib", c)
     parts = components(found.filter("cand % 2 = 0").select(node("id").alias("a"), node("cand").alias("b")))
     grouped = found.withColumn("node", node("id")).join(parts, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("node", "root")
-    decided = grouped.groupBy("part").applyInPandas(_resolve(options.one_library), "lib string, id bigint, action string, match bigint, why string")
-    source = feats.filter("side = 'source'")
-    none = F.lit("leave" if options.one_library else "move")
+    decided = written(grouped.groupBy("part").applyInPandas(_resolve(options.one_library), _DECIDED), "decided")
+    source = feats.filter("side = 'source' and chosen")
     rows = source.join(decided, ["lib", "id"], "left")
-    empty, held = F.size("formats") == 0, (F.col("title_key") == "") | (F.size("authors_key") == 0)
-    action = F.when(empty, "trash").when(F.col("action") == "trash", "trash").when(held, "leave").otherwise(F.coalesce("action", none))
-    # of DL13, only this: a record with a file-name title is never moved
-    hold = (action == "move") & F.col("is_file_name")
-    why = F.when(empty, "no formats").when(held & F.col("action").isNull(), "held: no title or authors").when(hold, "held: file-name title").otherwise(F.coalesce("why", F.lit("nothing like it")))
+    unlike = F.lit("leave" if options.one_library else "move")
+    no_file, closed = F.size("all_formats") == 0, F.size("formats") == 0
+    held = (F.col("title_key") == "") | (F.size("authors_key") == 0)
+    # PF6, PF7, DL4
+    action = F.when(no_file, "trash").when(closed, F.when(F.size(F.coalesce("foreign", F.array().cast("array<string>"))) > 0, "leave").otherwise("trash"))
+    action = action.when(F.col("action") == "trash", "trash").when(held, "leave").otherwise(F.coalesce("action", unlike))
+    why = F.when(no_file, "no formats").when(closed, "no format that opens").when(held & F.col("action").isNull(), "held: no title or authors").otherwise(F.coalesce("why", F.lit("nothing like it")))
+    rows = rows.withColumn("why", why).withColumn("action", action).withColumn("match", F.when(no_file | closed, None).otherwise(F.col("match")))
+    rows = _held(rows, feats, options)
+    rows = _kept_chosen(rows, feats)
+    bad = F.array_sort(F.coalesce("broken", F.array().cast("array<string>")))
+    closed = (F.size("all_formats") > 0) & (F.size("formats") == 0)
+    none = F.lit("")
+    notes = F.array_compact(F.concat(F.coalesce("notes", F.array().cast("array<string>")), F.array(
+        F.when(F.col("swapped"), "title and author were swapped"),
+        F.when((F.size(bad) > 0) & ~closed, F.concat(F.lit("unreadable: "), F.array_join(bad, ", "))),
+    )))
+    unopened = F.when((F.size(bad) > 0) & ~F.lit(options.trash_unreadable) & ((F.col("action") != "trash") | closed), F.concat(F.array_join(bad, ", "), F.lit(" open nowhere")))
+    moved = F.col("why").startswith("held")
+    review = F.concat_ws("; ", F.when(~moved, F.nullif(F.coalesce("review", none), none)), unopened)
     match = F.when(F.col("match").isNotNull(), F.floor(F.col("match") / 2))
     side = F.when(F.col("match") % 2 == 1, "target").when(F.col("match").isNotNull(), "source")
-    return rows.select("lib", F.col("book").alias("id"), F.when(hold, "leave").otherwise(action).alias("action"), match.cast("bigint").alias("match"), side.alias("match_side"), why.alias("why"))
+    out = rows.select("lib", F.col("book").alias("id"), "action", match.cast("bigint").alias("match"), side.alias("match_side"), "why", F.array_distinct(notes).alias("notes"), review.alias("review"), F.coalesce("override", F.lit(False)).alias("override"))
+    # DL18, DL15
+    reason = F.when(F.size("notes") > 0, F.concat("why", F.lit(" ["), F.array_join("notes", "; "), F.lit("]"))).otherwise(F.col("why"))
+    return out.withColumn("reason", reason).withColumn("selected", (F.col("action") != "leave") & (F.col("review") == "")).select(*(c.split()[0] for c in PLAN.split(", ")))
+
+
+def _held(rows: DataFrame, feats: DataFrame, options: Options) -> DataFrame:
+    """DL13, PF11: what would move stays if its title is a file name, it was swapped, or a target's file-name title may be its own."""
+    named = feats.filter("side = 'target' and is_file_name and file_title is not null")
+    hidden = blocking.may_hide(rows.filter("action = 'move' and not is_file_name").drop("match", "action", "why", "notes", "review", "override"), named)
+    rows = rows.join(hidden, ["lib", "id"], "left")
+    moves = F.col("action") == "move"
+    why = F.when(moves & F.col("is_file_name"), "held: file-name title").when(moves & F.col("hidden_by").isNotNull(), "held: may be hidden").when(moves & F.col("swapped"), "held: swapped").otherwise(F.col("why"))
+    match = F.when(moves & ~F.col("is_file_name") & F.col("hidden_by").isNotNull(), F.col("hidden_by")).otherwise(F.col("match"))
+    return rows.withColumn("why", why).withColumn("match", match).withColumn("action", F.when(F.col("why").startswith("held"), "leave").otherwise(F.col("action"))).drop("hidden_by")
+
+
+def _kept_chosen(rows: DataFrame, feats: DataFrame) -> DataFrame:
+    """DL16: a copy that would go into a record that wasn't chosen, but is the better of the two, stays."""
+    others = feats.filter("side = 'source' and not chosen").select("lib", F.col("id").alias("match"), F.col("ord").alias("_theirs"))
+    joined = rows.join(others, ["lib", "match"], "left")
+    better = (F.col("action") == "trash") & F.coalesce(F.col("ord") < F.col("_theirs"), F.lit(False))
+    return joined.withColumn("why", F.when(better, "the copy to keep; the other wasn't chosen").otherwise(F.col("why"))).withColumn("review", F.when(better, "").otherwise(F.col("review"))).withColumn("action", F.when(better, "leave").otherwise(F.col("action"))).drop("_theirs")
 
 
-def cleanup_only(plan_: DataFrame) -> DataFrame:
-    """DL14: records that would move stay, and copies go into the kept ones."""
-    return plan_.withColumn("action", F.when(F.col("action") == "move", "leave").otherwise(F.col("action"))).withColumn("why", F.when((F.col("action") == "leave") & (F.col("why") == "nothing like it"), "kept").otherwise(F.col("why")))
+def cleanup_only(plan_: DataFrame, books: DataFrame) -> DataFrame:
+    """DL14: the target is never written. What would move stays; a copy goes only if the kept one lacks none of its formats."""
+    adds = formats_to_add(plan_, books).select("lib", "id", "add")
+    joined = plan_.join(adds, ["lib", "id"], "left")
+    lacks = (F.col("action") == "trash") & F.col("match").isNotNull() & F.col("add").isNotNull()
+    moves = F.col("action") == "move"
+    why = F.when(moves, "kept").when(lacks, F.concat(F.lit("the kept copy lacks "), "add")).when((F.col("action") == "trash") & (F.col("match_side") == "source"), "another copy stays").otherwise(F.col("why"))
+    out = joined.withColumn("why", why).withColumn("action", F.when(moves | lacks, "leave").otherwise(F.col("action")))
+    return out.withColumn("selected", F.col("selected") & (F.col("action") != "leave")).select(*plan_.columns)
 
 
 def formats_to_add(plan_: DataFrame, books: DataFrame) -> DataFrame:
-    """PF18, WN3: (lib, id, add): formats that the match lacks, PDF aside, each promised by the first copy only."""
-    names = books.select("lib", F.col("id").alias("_id"), "side", "formats", "title")
-    goes = plan_.filter("action = 'trash' and match is not null")
-    own = goes.join(names.filter("side = 'source'").select("lib", F.col("_id").alias("id"), F.col("formats").alias("own")), ["lib", "id"])
+    """PF18, WN3: (lib, id, add): readable formats that the match lacks, PDF aside, each promised by the first copy only; nothing where the metadata were overruled."""
+    none = F.array().cast("array<string>")
+    opens = F.array_except("formats", F.concat(F.coalesce("broken", none), F.coalesce("foreign", none)))
+    names = books.select("lib", F.col("id").alias("_id"), "side", "formats", opens.alias("opens"))
+    goes = plan_.filter("action = 'trash' and match is not null and not override")
+    own = goes.join(names.filter("side = 'source'").select("lib", F.col("_id").alias("id"), F.col("opens").alias("own")), ["lib", "id"])
     both = own.join(names.select("lib", F.col("_id").alias("match"), F.col("side").alias("match_side"), F.col("formats").alias("theirs")), ["lib", "match", "match_side"])
     missing = both.select("lib", "id", "match", "match_side", F.explode(F.array_except(F.array_except("own", "theirs"), F.array(F.lit("PDF")))).alias("fmt"))
     first = Window.partitionBy("lib", "match", "match_side", "fmt").orderBy("id")
