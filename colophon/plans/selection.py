@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colophon.functions import text
+from colophon.operators.tables import forget, written
 
 
 def action_key() -> Column:
@@ -57,17 +58,23 @@ def blocked(plan: DataFrame) -> DataFrame:
 
 
 def redecide(plan: DataFrame, chosen: DataFrame) -> DataFrame:
-    """DL17: the chosen ids and, transitively, all rows resting on them."""
-    spark = plan.sparkSession
-    rests = plan.filter("match_side = 'source' and match is not null").select("lib", "id", "match")
-    return spark.sql(
-        """with recursive reach(lib, id) as (
-               select lib, id from {chosen}
-               union all
-               select r.lib, r.id from {rests} r join reach on r.lib = reach.lib and r.match = reach.id)
-           select distinct lib, id from reach""",
-        chosen=chosen, rests=rests,
-    )
+    """DL17: the chosen ids and, transitively, all rows resting on them.
+
+    Each round follows one link from what the last one found, and ends with the first that finds nothing new, so rows that rest on
+    each other end it too.
+    """
+    rests = written(plan.filter("match_side = 'source' and match is not null").select("lib", "id", "match").distinct(), "rests")
+    reached = fresh = written(chosen.select("lib", "id").distinct(), "reached")
+    while fresh.limit(1).count():
+        found = rests.join(fresh.withColumnRenamed("id", "match"), ["lib", "match"]).select("lib", "id").distinct()
+        step = written(found.join(reached, ["lib", "id"], "left_anti"), "fresh")
+        both = written(reached.union(step), "reached")
+        forget(reached)
+        if fresh is not reached:
+            forget(fresh)
+        reached, fresh = both, step
+    forget(rests)
+    return reached
 
 
 def apply_choices(plan: DataFrame, saved: DataFrame) -> DataFrame:
@@ -100,3 +107,79 @@ def stale(before: DataFrame, now: DataFrame) -> DataFrame:
 def fact_delta(books: DataFrame, facts: DataFrame) -> DataFrame:
     """JN17: records without a fact of their present version."""
     return books.join(facts.select("lib", "id", "version"), ["lib", "id", "version"], "left_anti")
+
+
+def reverted(plan: DataFrame) -> DataFrame:
+    """SL2: every row as it was planned."""
+    return plan.withColumn("action", F.col("planned")).withColumn("selected", F.col("planned_selected")).withColumn("manual", F.lit(False)).withColumn("reviewed", F.lit(False))
+
+
+def is_changed() -> Column:
+    """SL3: does the row differ from what was planned, or was it looked at?"""
+    return F.coalesce("manual", F.lit(False)) | ~F.col("selected").eqNullSafe(F.col("planned_selected")) | F.coalesce("reviewed", F.lit(False))
+
+
+def needs_review() -> Column:
+    """SL3: the plan asks for a look, and nobody has decided."""
+    return (F.coalesce("review", F.lit("")) != "") & ~is_changed()
+
+
+def mark_reviewed(plan: DataFrame) -> DataFrame:
+    """SL3: rows that need review are looked at and kept as planned."""
+    return plan.withColumn("reviewed", F.coalesce("reviewed", F.lit(False)) | needs_review())
+
+
+def actionable(plan: DataFrame) -> DataFrame:
+    """SL5: the ticked rows that aren't done and do something: their action, unless they are blocked, or their cleanup."""
+    stuck = blocked(plan).select("lib", "id").distinct().withColumn("_stuck", F.lit(True))
+    runs = (F.col("action") != "leave") & F.col("_stuck").isNull()
+    todo = F.col("selected") & (F.coalesce("status", F.lit("")) != "done") & (runs | F.coalesce("cleanup", F.lit(False)))
+    return plan.join(stuck, ["lib", "id"], "left").filter(todo).withColumn("runs", runs).drop("_stuck")
+
+
+def checkable() -> Column:
+    """SL5: may the row be ticked?"""
+    return (F.col("action") != "leave") | F.coalesce("cleanup", F.lit(False))
+
+
+def pair_key(source: Column, target: Column, tags: Column, exclude: Column) -> Column:
+    """SL6: what remembered choices are kept under: the folded paths, and the sorted tags of the filter."""
+    listed = F.array_distinct(F.filter(F.transform(F.split(F.lower(F.coalesce(tags, F.lit(""))), ","), lambda t: F.btrim(t)), lambda t: t != ""))
+    suffix = F.when(F.size(listed) > 0, F.concat(F.when(exclude, " #not-tag:").otherwise(" #tag:"), F.array_join(F.sort_array(listed), ","))).otherwise("")
+    return F.concat(F.lower(source), F.lit(" -> "), F.lower(target), suffix)
+
+
+def saved_choices(old: DataFrame, plan: DataFrame) -> DataFrame:
+    """SL7: what is remembered: rows that differ from what was planned, and older choices of records that this plan doesn't hold."""
+    fresh = plan.filter(is_changed()).select("lib", "id", "action", "selected")
+    return old.select("lib", "id", "action", "selected").join(plan.select("lib", "id"), ["lib", "id"], "left_anti").union(fresh)
+
+
+def settings_changed(then: dict, now: dict) -> list[str]:
+    """SL10: names of the settings whose values differ, sorted; a setting that only one side has differs."""
+    missing = object()
+    return sorted(k for k in {*then, *now} if then.get(k, missing) != now.get(k, missing))
+
+
+def remaining(plan: DataFrame) -> DataFrame:
+    """SL12: the rows that aren't done."""
+    return plan.filter("coalesce(status, '') <> 'done'")
+
+
+def after_run(plan: DataFrame, results: DataFrame) -> DataFrame:
+    """SL11: the plan after a run; ``results(lib, id, ok, moved_to)``: done rows are marked, and matches of moved records follow them to the target."""
+    own = results.filter("ok").select("lib", "id", F.lit(True).alias("_ok"))
+    moved = results.filter("ok and moved_to is not null").select("lib", F.col("id").alias("match"), F.lit("source").alias("match_side"), "moved_to")
+    df = plan.join(own, ["lib", "id"], "left").withColumn("status", F.when(F.col("_ok"), "done").otherwise(F.col("status"))).drop("_ok")
+    df = df.join(moved, ["lib", "match", "match_side"], "left")
+    follows = F.col("moved_to").isNotNull()
+    return df.withColumn("match", F.when(follows, F.col("moved_to")).otherwise(F.col("match"))).withColumn("match_side", F.when(follows, "target").otherwise(F.col("match_side"))).drop("moved_to").select(*plan.columns)
+
+
+def judged(plan: DataFrame, judgements: DataFrame) -> DataFrame:
+    """SL8: rows with a judgement (lib, id, verdict, confidence): a duplicate goes, a different book moves (or stays in one library), an unsure one stays; all to be looked at."""
+    j = judgements.select("lib", "id", "verdict", "confidence")
+    action = F.when(F.col("verdict") == "duplicate", "trash").when(F.col("verdict") == "different", F.when(F.col("match_side") == "source", "leave").otherwise("move")).when(F.col("verdict") == "unsure", "leave").otherwise(F.col("action"))
+    review = F.when(F.col("verdict").isNotNull(), F.concat(F.lit("judged "), "verdict", F.lit(" ("), F.floor("confidence").cast("string"), F.lit("%)"))).otherwise(F.col("review"))
+    out = plan.join(j, ["lib", "id"], "left").withColumn("review", review).withColumn("selected", F.col("selected") & F.col("verdict").isNull()).withColumn("action", action)
+    return out.select(*plan.columns)
