@@ -6,12 +6,14 @@ how much texts overlap. Hashes that one document alone has are dropped before th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colophon.functions import text
+from colophon.operators.tables import bounded, written
 
-SAME_TEXT = 0.95
+#: Percent of the hashes that the same text shares, and hashes up to which a side is broadcast.
+SAME_TEXT, FEW = 95, 1_000_000
 
 
 def prints(docs: DataFrame, min_words: int = text.MIN_WORDS, need_language: bool = True, sample: int = text.SAMPLE) -> DataFrame:
@@ -26,19 +28,39 @@ def prints(docs: DataFrame, min_words: int = text.MIN_WORDS, need_language: bool
 def share_pairs(fingerprints: DataFrame) -> DataFrame:
     """TX8: (a, b, common, share) for a < b with any common hash."""
     rows = fingerprints.select("id", F.size("print").alias("n"), F.explode("print").alias("h"))
-    shared = rows.withColumn("met", F.count("*").over(Window.partitionBy("h"))).filter("met > 1").drop("met")
+    # counted with partial sums, so that a frequent hash isn't gathered to be counted
+    several = rows.groupBy("h").count().filter("count > 1").select("h")
+    shared = rows.join(several, "h", "left_semi")
     a, b = shared.alias("a"), shared.alias("b")
     pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id"))).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count("*").alias("common"))
     return pairs.select("a", "b", "common", F.least(F.col("common") / F.col("na"), F.col("common") / F.col("nb")).alias("share"))
 
 
-def same_text(pairs: DataFrame, threshold: float = SAME_TEXT) -> DataFrame:
-    """TX9: each later text with the first one that has the same text."""
-    return pairs.filter(F.col("share") >= threshold).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("match"))
+def same_text(fingerprints: DataFrame, percent: int = SAME_TEXT) -> DataFrame:
+    """TX9: (id, match): each text with the first one, if that stands before it, that has the same text.
+
+    Equal fingerprints are one class, and only classes are compared. Two of them share at least ``percent`` of the longer one's hashes, so
+    they meet in the prefixes of their sorted hashes that leave less than that; pairs that meet there, with lengths
+    that allow it, are verified whole.
+    """
+    classes = written(fingerprints.groupBy("print").agg(F.min("id").alias("low")).select("low", "print", F.size("print").alias("n")), "classes")
+    least = F.ceil(F.col("n") * percent / 100).cast("int")
+    post = classes.select("low", "n", F.explode(F.slice("print", F.lit(1), F.col("n") - least + 1)).alias("h"))
+    a, b = post.alias("a"), post.alias("b")
+    near = (F.col("a.n") * 100 >= F.col("b.n") * percent) & (F.col("b.n") * 100 >= F.col("a.n") * percent)
+    met = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.low") < F.col("b.low")) & near).select(F.col("a.low").alias("a"), F.col("b.low").alias("b")).distinct()
+    both = met.join(classes.select(F.col("low").alias("a"), F.col("print").alias("pa")), "a").join(classes.select(F.col("low").alias("b"), F.col("print").alias("pb")), "b")
+    alike = both.filter(F.size(F.array_intersect("pa", "pb")) * 100 >= F.greatest(F.size("pa"), F.size("pb")) * percent)
+    first = alike.groupBy(F.col("b").alias("low")).agg(F.min("a").alias("first"))
+    best = classes.join(first, "low", "left").select("print", F.least("low", "first").alias("match"))
+    return fingerprints.join(best, "print").filter("match < id").select("id", "match")
 
 
 def containment(small: DataFrame, large: DataFrame) -> DataFrame:
-    """One-sided TX8: (small, large, contained) with the share of the small one's hashes in the large one."""
-    s = small.select(F.col("id").alias("small"), F.size("print").alias("n"), F.explode("print").alias("h"))
+    """One-sided TX8: (small, large, contained) with the share of the small one's hashes in the large one.
+
+    The small side's hashes are written and counted; where they are few they are broadcast, and no hash of the large side is moved before it is counted.
+    """
+    s = written(small.select(F.col("id").alias("small"), F.size("print").alias("n"), F.explode("print").alias("h")), "hashes")
     b = large.select(F.col("id").alias("large"), F.explode("print").alias("h"))
-    return s.join(b, "h").groupBy("small", "large", "n").agg(F.count("*").alias("common")).select("small", "large", (F.col("common") / F.col("n")).alias("contained"))
+    return b.join(bounded(s, FEW), "h").groupBy("small", "large", "n").agg(F.count("*").alias("common")).select("small", "large", (F.col("common") / F.col("n")).alias("contained"))

@@ -84,8 +84,12 @@ _PAIRS = f"""WITH p AS MATERIALIZED {_prints("documents", "doc_id", 50)},
     pairs AS (SELECT a.id a, b.id b, count(*) common, least(count(*) / any_value(a.n), count(*) / any_value(b.n)) share FROM p a JOIN p b ON a.h = b.h AND a.id < b.id GROUP BY a.id, b.id)"""
 
 
+def _long_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(text_share.prints(_docs(spark, sf_dir), 50, need_language=False), "prints")
+
+
 def _share_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_share.share_pairs(written(text_share.prints(_docs(spark, sf_dir), 50, need_language=False), "prints"))
+    return text_share.share_pairs(_long_prints(spark, sf_dir))
 
 
 @query(f"{_PAIRS} SELECT a, b, common, round(share, 6) share FROM pairs")
@@ -97,7 +101,7 @@ def text_share_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_PAIRS} SELECT b id, min(a) match FROM pairs WHERE share >= 0.95 GROUP BY b")
 def same_text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX9, WN6."""
-    return text_share.same_text(_share_pairs(spark, sf_dir))
+    return text_share.same_text(_long_prints(spark, sf_dir))
 
 
 @query(f"{_PAIRS} SELECT a, b, length(x.text) la, length(y.text) lb, greatest(length(x.text), length(y.text)) >= 3 * least(length(x.text), length(y.text)) longer FROM pairs JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b WHERE common >= 10")
