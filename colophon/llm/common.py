@@ -29,6 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Name of the struct that holds a whole input row beside an operator's own columns, so that names can't clash.
+ROW = "row"
+
+
+def wrapped(df: DataFrame, *columns: Column) -> DataFrame:
+    """The rows of ``df`` as one struct ROW, beside ``columns`` made from them; ``select("row.*")`` gives them back."""
+    return df.select(F.struct("*").alias(ROW), *columns)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 

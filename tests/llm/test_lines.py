@@ -69,6 +69,37 @@ def test_edge_cases(spark):
     assert lines.dedup_lines(empty(spark)).count() == 0
 
 
+def test_clashing_columns(spark):
+    extra = "doc bigint, text_hash string, pos string, gone string, row string, _gone string, `a.b` string"
+    rows = [(1, "one two three four five", 5, *"uvwxyz"), (2, "one two three four five\nsix", 6, *"uvwxyz")]
+    df = spark.createDataFrame(rows, f"doc_id bigint, text string, {extra}")
+    out = lines.dedup_lines(df)
+    assert out.columns == df.columns and {r.doc_id: r.text for r in out.collect()} == {1: rows[0][1], 2: "six"}
+    assert {tuple(r)[2:] for r in out.collect()} == {(5, *"uvwxyz"), (6, *"uvwxyz")}
+
+
+def test_near_copies_in_long_postings(spark, monkeypatch):
+    rng = random.Random(2)
+    monkeypatch.setattr(lines, "HOT", 4)
+    monkeypatch.setattr(lines, "PIVOTS", 2)
+    base = [f"w{i}" for i in range(30)]
+    texts = []
+    for _ in range(60):
+        line = list(base)
+        for _ in range(rng.randint(0, 4)):
+            line[rng.randrange(30)] = f"x{rng.randrange(1000)}"
+        texts.append(" ".join(line))
+    texts += [" ".join(f"{a}{i}" for i in range(150)) for a in "pq"] + [" ".join([*(f"p{i}" for i in range(140)), "r"])]
+    got = {r.doc_id: r.text for r in lines.line_report(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(len(texts))] == by_hand(texts)
+
+
+def test_blanks_of_all_kinds(spark):
+    texts = ["a  b\tc d\x0be", " e d c b a ", "\ra b\x0cc d e\r\n f", "x\n\n \ny", "x ", " y\nz"]
+    got = {r.doc_id: r.text for r in lines.line_report(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(len(texts))] == by_hand(texts)
+
+
 def test_texts_that_share_an_id_are_told_apart(spark):
     a = [f"a{i}" for i in range(10)]
     b, c = " ".join(f"b{i}" for i in range(10)), " ".join(f"c{i}" for i in range(10))
