@@ -31,11 +31,16 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colophon.llm.common import ROW, wrapped, written
+from colophon.operators.tables import bounded
+
 FRAME, PER_SOURCE = 1024, 8
 #: Slots of a frame up to which the calendar is broadcast.
 SMALL = 1 << 17
+#: Rows of slots up to which they are broadcast to the documents.
+SLOTS = 2_000_000
 #: Documents in one hash range, on average.
-RANGE = 10_000
+RANGE = 2_000
 BLOCK = 8
 
 
@@ -124,7 +129,13 @@ def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -
 
 
 def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> DataFrame:
-    """All documents of sources with a weight, with all their columns, in the order of their slots."""
-    chosen = schedule(docs, weights, block).filter("slot is not null").select(F.col("doc_id").alias("_id"), "slot").dropDuplicates(["_id"])
-    joined = docs.join(chosen, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")))
-    return joined.sort("slot", "_id").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """All documents of sources with a weight, with all their columns, in the order of their slots.
+
+    Rows that repeat a doc_id stand at the first of its slots. Slots are joined to the rows once, from a broadcast where their table
+    is small, and texts are dealt by ranges of slots.
+    """
+    slots = schedule(docs, weights, block).filter("slot is not null").groupBy("doc_id").agg(F.min("slot").alias("slot"))
+    slots = written(slots.select(F.col("doc_id").alias("id"), "slot"), "slots")
+    rows = wrapped(docs, F.col("doc_id").cast("bigint").alias("own"))
+    joined = rows.join(bounded(slots, SLOTS), F.col("own").eqNullSafe(F.col("id")))
+    return joined.repartitionByRange("slot", "own").sortWithinPartitions("slot", "own").select(f"{ROW}.*")

@@ -77,3 +77,9 @@ def test_more_sources_than_slots_in_a_frame(spark):
     got = mixing.schedule(docs(spark, table)).collect()
     assert len(got) == 3000 and all(r.scheduled for r in got)
     assert len({r.slot for r in got}) == 1500
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(2, "x", "s", "a", "b", "c", "d"), (1, "y", "t", "e", "f", "g", "h")], "doc_id bigint, text string, source string, slot string, _id string, id string, row string")
+    out = mixing.mix(df)
+    assert out.columns == df.columns and sorted(tuple(r) for r in out.collect()) == sorted(tuple(r) for r in df.collect())
