@@ -2,11 +2,11 @@
 
 Fingerprints that differ in at most ``bits`` of 64 bits differ in at most ``bits`` of their
 eight bytes, so they share at least 8 - bits positional bytes. The inverted index posts every distinct
-fingerprint under joint positional bytes: groups of byte positions chosen so that any two
-fingerprints sharing that minimum agree on a whole group. (Postings of single positional bytes
-would each hold 1/256 of all fingerprints.) For each pair that meets in a posting the shared
-positional bytes are tallied, pairs below the guaranteed minimum go, and the rest are verified by their
-bits. A pair that meets in several postings counts in the first only.
+fingerprint under its positional bytes. Postings of a single byte would each hold 1/256 of all
+fingerprints, so each has a prefix: a group of other positions with their bytes, the groups chosen so that any two
+fingerprints sharing the guaranteed minimum agree on a whole group. Each posting in which a pair meets
+is one shared byte beyond the group; they are counted per pair and group, pairs below
+the minimum go, and the rest are verified by their bits.
 
 Texts with equal fingerprints are one class from the start, so copies are never paired.
 
@@ -26,10 +26,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colophon.llm.common import arrow_map, written
+from colophon.llm.common import ROW, arrow_map, wrapped, written
 from colophon.operators.components import components
+from colophon.operators.tables import bounded, forget
 
 WIDTH, SEED = 3, 42
+#: Rows of ids up to which they are broadcast to the documents.
+SMALL = 2_000_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _STEP = 1 << 16
 
@@ -77,27 +80,27 @@ def _mask(positions: tuple[int, ...]) -> int:
     return m - (1 << 64) if m >> 63 else m
 
 
-def _agree(x: Column, positions: tuple[int, ...]) -> Column:
-    return x.bitwiseAND(F.lit(_mask(positions))) == 0
+def postings(distinct: DataFrame, groups: list[tuple[int, ...]]) -> DataFrame:
+    """(group, position, bytes, fp): each fingerprint under every byte outside every group, ``bytes`` holding that byte and the group's."""
+    keys = [(i, p, _mask((*g, p))) for i, g in enumerate(groups) for p in range(8) if p not in g]
+    return distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("group"), F.lit(p).alias("position"), F.lit(m).alias("mask")) for i, p, m in keys))).alias("k")).select("k.group", "k.position", F.col("fp").bitwiseAND(F.col("k.mask")).alias("bytes"), "fp")
 
 
 def links(distinct: DataFrame, bits: int = 3, size: int = 3) -> DataFrame:
     """(a, b) with a < b for distinct fingerprints ``fp`` differing in 1 to ``bits`` bits.
 
-    ``size`` is the number of joint positional bytes of a posting: 3 suits up to some 10**8
-    distinct fingerprints, 4 up to 10**10; the links are the same for every size.
+    ``size`` is the number of positions in a posting's prefix: 3 (four bytes a posting) suits up to some 10**9
+    distinct fingerprints, 4 more; the links are the same for every size.
     """
     shared = 8 - bits
-    if not 1 <= size <= shared:
-        raise ValueError("a posting can join at most the guaranteed number of bytes")
-    groups = position_groups(shared, size)
-    post = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("group"), F.col("fp").bitwiseAND(F.lit(_mask(g))).alias("bytes")) for i, g in enumerate(groups)))).alias("p")).select("fp", "p.group", "p.bytes")
+    if not 1 <= size < shared:
+        raise ValueError("a prefix must have fewer bytes than are guaranteed to be shared")
+    post = postings(distinct, position_groups(shared, size))
     a, b = post.alias("a"), post.alias("b")
-    x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    tally = sum((_agree(x, (p,)).cast("int") for p in range(8)), F.lit(0))
-    first = F.coalesce(*(F.when(_agree(x, g), F.lit(i)) for i, g in enumerate(groups)))
-    met = (F.col("a.group") == F.col("b.group")) & (F.col("a.bytes") == F.col("b.bytes")) & (F.col("a.fp") < F.col("b.fp"))
-    return a.join(b, met & (tally >= shared) & (F.bit_count(x) <= bits) & (first == F.col("a.group"))).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    met = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("group", "position", "bytes")] + [F.col("a.fp") < F.col("b.fp")])
+    tally = met.groupBy("a.group", F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).agg(F.count("*").alias("n"))
+    enough = tally.filter(F.col("n") + size >= shared)
+    return enough.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, bits: int = 3, size: int = 3) -> DataFrame:
@@ -106,9 +109,10 @@ def near_duplicates(docs: DataFrame, bits: int = 3, size: int = 3) -> DataFrame:
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = components(links(classes.select("fp"), bits, size))
     rooted = written(classes.join(roots, classes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "classes")
-    named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(named, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = written(rooted.join(lowest, "root").select("fp", "component_id"), "named")
+    forget(rooted)
+    return marked.join(bounded(named, SMALL), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, bits: int = 3) -> DataFrame:
@@ -116,5 +120,7 @@ def keep_one(docs: DataFrame, bits: int = 3) -> DataFrame:
 
     Rows that repeat that doc_id stay as well; they are one document.
     """
-    kept = near_duplicates(docs, bits).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).union(docs.filter("doc_id is null"))
+    found = near_duplicates(docs, bits)
+    gone = written(found.filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays")).filter("not stays").select("doc_id"), "gone")
+    rows = wrapped(docs, F.col("doc_id").cast("bigint").alias("own"))
+    return rows.join(bounded(gone, SMALL), F.col("own") == F.col("doc_id"), "left_anti").select(f"{ROW}.*")

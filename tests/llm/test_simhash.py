@@ -72,6 +72,12 @@ def test_classes_and_edge_cases(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_keep_one_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "one two three", "x", "y", "z"), (2, "one two three", "u", "v", "w")], "doc_id bigint, text string, `a.b` string, row string, own string")
+    out = simhash.keep_one(df)
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [(1, "one two three", "x", "y", "z")]
+
+
 def test_keep_one(spark):
     kept = simhash.keep_one(docs(spark))
     assert kept.columns == docs(spark).columns
