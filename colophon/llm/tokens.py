@@ -1,18 +1,15 @@
 """Token counts: pieces counted once per distinct pre-token, joined to each document's pre-tokens and summed.
 
-A batch of texts is split at spaces into pre-token groups, a group being a word with the space
-before it and whatever white space follows it before the next space. Byte-pair merges never
-cross the borders of such groups unless a space is followed by more white space, and texts with
-that go as a single group. Distinct groups of the batch are dictionary-encoded, the pieces of
-each are counted once (counts of common ones are kept from batch to batch, up to a fixed number),
-and the counts are joined to the documents by the dictionary's codes and summed by offset; ids
-of whole documents never exist.
-
-The join stays inside the batch: over the cluster, frequencies of pre-tokens per document
+Texts are cut at the vocabulary's special strings and then into pre-tokens by the vocabulary's own pattern. Byte-pair
+merges never cross the borders of pre-tokens, so a document has as many tokens as its pre-tokens have pieces. For
+each document the frequencies of its distinct pre-tokens are counted; a distinct pre-token's pieces are counted once, kept from
+document to document up to KEPT_BYTES, joined to the frequencies and summed. Ids of documents never exist.
+
+The join stays with the worker: over the cluster, frequencies of pre-tokens per document
 hold nearly as many rows as the text has words, so a shuffle of them would be larger than the text.
 
 Cases: a null text counts as empty and has no tokens; the vocabulary's special strings are one
-token each wherever they stand; repeated rows, ties and other columns change nothing; an empty
+token each wherever they stand; a text of any length is cut pre-token by pre-token; repeated rows, ties and other columns change nothing; an empty
 table gives no rows.
 """
 
@@ -20,24 +17,29 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter as Frequencies
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 
 from colophon.llm.common import arrow_map
 
-#: Distinct pre-token groups whose counts a worker keeps between batches.
-KEPT = 300_000
+#: Bytes of pre-tokens and their counts that a worker keeps (of its own estimate, ENTRY bytes each beside the text).
+KEPT_BYTES, ENTRY = 64 << 20, 150
+#: Pre-tokens of a document whose frequencies are counted at once.
+STEP = 1 << 18
 
 #: Splits texts into pre-tokens; it is the byte-level pre-tokenizer's own.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-#: A space before more white space: groups can't be told apart by spaces there.
-_UNSAFE = re.compile("[ ][\\s\u180e]")
+# The white space of the pattern, which is Unicode's and not the regular expression library's.
+_WHITE = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_CUT = regex.compile(PRE_TOKEN.replace(r"[^\s", f"[^{_WHITE}").replace(r"\s+", f"[{_WHITE}]+").replace(r"(?!\S)", f"(?=[{_WHITE}]|\\Z)"))
 
 
 def _byte_of() -> dict[str, int]:
@@ -62,7 +64,25 @@ class Encoder:
         self.pattern = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         byte = _byte_of()
         ranks = {bytes(byte[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in self.special}
-        self._plain = tiktoken.Encoding("from-file", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+        core = tiktoken.Encoding("from-file", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self._plain, self._piece = core.encode_ordinary, core.encode_single_piece
+
+    def pieces(self, pre_token: str) -> int:
+        """How many pieces a pre-token has."""
+        return len(self._piece(pre_token.encode("utf-8", "surrogatepass")))
+
+    def pre_tokens(self, text: str) -> Iterator[list[str]]:
+        """The text's pre-tokens and special strings, in parts of at most STEP."""
+        parts = re.split(f"({self.pattern.pattern})", text) if self.pattern and self.pattern.search(text) else [text]
+        for i, part in enumerate(parts):
+            if i % 2:
+                yield [part]
+            elif len(part) <= STEP:
+                yield _CUT.findall(part)
+            else:
+                found = (m[0] for m in _CUT.finditer(part))
+                while some := list(islice(found, STEP)):
+                    yield some
 
     def ids(self, text: str) -> list[int]:
         if self.pattern and self.pattern.search(text):
@@ -79,50 +99,26 @@ def encoder(path: str) -> Encoder:
 
 
 class Counter:
-    """Counts tokens of a batch of texts."""
+    """Counts tokens of texts."""
 
     def __init__(self, path: str) -> None:
-        self.encoder, self.known = encoder(path), {}
-
-    def pieces(self, groups: list[str]) -> np.ndarray:
-        """Pieces of each distinct group, counted unless known."""
-        known, ids = self.known, self.encoder.ids
-        out = np.empty(len(groups), np.int64)
-        for i, group in enumerate(groups):
-            n = known.get(group)
-            if n is None:
-                n = len(ids(group))
-                if len(known) < KEPT:
-                    known[group] = n
-            out[i] = n
-        return out
-
-    def count(self, texts: pa.Array) -> np.ndarray:
-        """Tokens of each text; none of them is null."""
-        whole = np.zeros(len(texts), bool)
-        special = self.encoder.pattern
-        for i, text in enumerate(texts.to_pylist()):
-            whole[i] = bool(_UNSAFE.search(text)) or bool(special and special.search(text))
-        out = np.zeros(len(texts), np.int64)
-        if whole.any():
-            at = np.flatnonzero(whole)
-            out[at] = self.pieces(texts.take(pa.array(at)).to_pylist())
-        rest = np.flatnonzero(~whole)
-        if len(rest):
-            split = pc.split_pattern(texts.take(pa.array(rest)), " ")
-            offsets = split.offsets.to_numpy().astype(np.int64)
-            offsets -= offsets[0]
-            coded = split.flatten().dictionary_encode()
-            words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-            first = np.zeros(len(codes), bool)
-            first[offsets[:-1]] = True
-            # a text's first group has no space before it, and so is another pre-token
-            begin = np.unique(codes[first])
-            bare = np.zeros(len(words), np.int64)
-            bare[begin] = self.pieces([words[i] for i in begin])
-            spaced = self.pieces([" " + w for w in words])
-            out[rest] = np.add.reduceat(np.where(first, bare[codes], spaced[codes]), offsets[:-1])
-        return out
+        self.encoder, self.room = encoder(path), KEPT_BYTES
+        self.known = dict.fromkeys(self.encoder.special, 1)
+
+    def count(self, text: str) -> int:
+        """Tokens of a text: over its distinct pre-tokens, frequency times pieces."""
+        total, known = 0, self.known
+        for part in self.encoder.pre_tokens(text):
+            for pre_token, n in Frequencies(part).items():
+                pieces = known.get(pre_token)
+                if pieces is None:
+                    pieces = self.encoder.pieces(pre_token)
+                    size = ENTRY + 4 * len(pre_token)
+                    if size <= self.room:
+                        known[pre_token] = pieces
+                        self.room -= size
+                total += n * pieces
+        return total
 
 
 COUNT_COLUMNS = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
@@ -135,7 +131,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFra
         counter = Counter(vocabulary)
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
-            n = counter.count(texts)
+            n = np.array([counter.count(t) for t in texts.to_pylist()], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pc.cast(pc.binary_length(texts), pa.int64()), pa.array(n), pa.array(n > limit)], names=[x.split()[0] for x in COUNT_COLUMNS.split(", ")])
 
     return arrow_map(docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text"), run, COUNT_COLUMNS)

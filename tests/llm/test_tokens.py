@@ -1,6 +1,5 @@
 import random
 
-import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -29,8 +28,28 @@ def test_counts_equal_the_library(library):
     texts = odd_texts()
     counter = Counter(vocabulary())
     expected = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
-    assert counter.count(pa.array(texts)).tolist() == expected
-    assert counter.count(pa.array(texts)).tolist() == expected
+    assert [counter.count(t) for t in texts] == expected
+    assert [counter.count(t) for t in texts] == expected
+
+
+def test_pre_tokens_are_the_texts_pieces(monkeypatch):
+    from colophon.llm import tokens
+
+    ours, texts = encoder(vocabulary()), [*odd_texts(), "  indented\n    code()\n" * 40]
+    assert all("".join(x for part in ours.pre_tokens(t) for x in part) == t for t in texts)
+    whole = [[x for part in ours.pre_tokens(t) for x in part] for t in texts]
+    monkeypatch.setattr(tokens, "STEP", 7)
+    assert [[x for part in ours.pre_tokens(t) for x in part] for t in texts] == whole
+
+
+def test_kept_counts_are_bounded_in_bytes(library, monkeypatch):
+    from colophon.llm import tokens
+
+    monkeypatch.setattr(tokens, "KEPT_BYTES", 2_000)
+    counter = Counter(vocabulary())
+    texts = ["x" * 1_000 + f" word{i}  y" for i in range(100)]
+    assert [counter.count(t) for t in texts] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert counter.room >= 0 and len(counter.known) < 20
 
 
 def test_nulls_repeats_and_other_columns(spark):
