@@ -1,7 +1,7 @@
 """Media columns: Netpbm and BMP images decoded to numpy, resized by area, tiled and hashed.
 
-A picture column is binary. ``decode`` reads binary PGM/PPM (P5, P6; 8 bits a sample) and
-uncompressed 24-bit or 8-bit grey BMP; anything else is an error for that row, never for the
+A picture column is binary. ``decode`` reads Netpbm bitmaps, grey maps and pixel maps, plain and binary (P1 to P6), and
+uncompressed BMP with a palette or of 24 or 32 bits; anything else is an error for that row, never for the
 job. ``resize_area`` averages the exact (fractional) area below each target pixel, read off an
 integral image, so its cost per target pixel doesn't depend on the scale. ``tiles`` writes a
 picture as NPY files of bounded size; ``difference_hash`` compares neighbouring columns of a
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -47,11 +48,11 @@ def encode_bmp(pixels: np.ndarray) -> bytes:
     return BMP_HEADER.pack(b"BM", BMP_HEADER.size + len(body), 0, 0, BMP_HEADER.size, 40, width, height, 1, 24, 0, len(body), 2835, 2835, 0, 0) + body
 
 
-def _netpbm_header(data: bytes) -> tuple[list[int], int]:
-    """Width, height, largest sample and where the samples begin; comments are skipped."""
+def _netpbm_header(data: bytes, n: int) -> tuple[list[int], int]:
+    """Width, height, largest sample (the first ``n`` of them) and where the samples begin; comments are skipped."""
     numbers: list[int] = []
     at = 2
-    while len(numbers) < 3:
+    while len(numbers) < n:
         while data[at : at + 1].isspace():
             at += 1
         if data[at : at + 1] == b"#":
@@ -67,25 +68,69 @@ def _netpbm_header(data: bytes) -> tuple[list[int], int]:
     return numbers, at + 1
 
 
+def _bits(data: bytes, at: int, stride: int, height: int, width: int, depth: int) -> np.ndarray:
+    """(height, width) values of ``depth`` bits, the first in the highest bits of its byte, in rows of ``stride`` bytes."""
+    rows = np.frombuffer(data, np.uint8, stride * height, at).reshape(height, stride)
+    if depth == 8:
+        return rows[:, :width]
+    each = np.unpackbits(rows, axis=1).reshape(height, -1, depth)
+    return (each @ (1 << np.arange(depth)[::-1]).astype(np.uint8)).astype(np.uint8)[:, :width]
+
+
+def _netpbm(data: bytes) -> np.ndarray:
+    """P1 to P6 with samples of one or two bytes; samples are scaled to 255, and a set bit of a bitmap is black."""
+    kind = data[1] - ord("0")
+    bitmap, plain, channels = kind in (1, 4), kind < 4, 3 if kind in (3, 6) else 1
+    numbers, at = _netpbm_header(data, 2 if bitmap else 3)
+    width, height, top = (*numbers, 1) if bitmap else numbers
+    if not 0 < top < 1 << 16:
+        raise ValueError("the largest sample must be 1 to 65535")
+    n = width * height * channels
+    if plain:
+        body = re.sub(rb"#[^\n]*", b" ", data[at - 1 :])
+        found = re.findall(rb"[01]", body) if bitmap else body.split()
+        samples = np.array(found[:n], np.int64)
+    elif bitmap:
+        stride = (width + 7) // 8
+        samples = _bits(data, at, stride, height, width, 1).ravel() if len(data) - at >= stride * height else np.empty(0)
+    else:
+        size = 1 if top < 256 else 2
+        samples = np.frombuffer(data, np.dtype(f">u{size}"), min(n, (len(data) - at) // size), at)
+    if len(samples) < n:
+        raise ValueError("the Netpbm image is cut short")
+    samples = samples.reshape(height, width, channels)
+    if bitmap:
+        return ((1 - samples) * 255).astype(np.uint8)
+    return np.asarray(samples, np.uint8) if top == 255 else (np.minimum(samples, top) * 255.0 / top + 0.5).astype(np.uint8)
+
+
+def _bmp(data: bytes) -> np.ndarray:
+    """Uncompressed BMP of 1, 4 or 8 bits with a palette, or of 24 or 32 bits (the fourth byte is dropped)."""
+    _, _, _, _, at, header, width, height, _, depth, packed, _, _, _, colours, _ = BMP_HEADER.unpack_from(data)
+    if packed or depth not in (1, 4, 8, 24, 32) or header < 40:
+        raise ValueError("only uncompressed BMP images of 1, 4, 8, 24 or 32 bits are read")
+    stride, tall = (width * depth + 31) // 32 * 4, abs(height)
+    if width <= 0 or len(data) - at < stride * tall:
+        raise ValueError("the BMP image is cut short")
+    if depth >= 24:
+        wide = depth // 8
+        pixels = np.frombuffer(data, np.uint8, stride * tall, at).reshape(tall, stride)[:, : width * wide].reshape(tall, width, wide)[:, :, 2::-1]
+    else:
+        size = colours or 1 << depth
+        table = np.frombuffer(data, np.uint8, size * 4, 14 + header).reshape(size, 4)[:, 2::-1] if len(data) >= 14 + header + size * 4 else None
+        places = _bits(data, at, stride, tall, width, depth)
+        if table is None or places.size and places.max() >= size:
+            raise ValueError("the BMP palette is cut short")
+        pixels = table[places]
+    return pixels[::-1] if height > 0 else pixels
+
+
 def decode(data: bytes) -> np.ndarray:
     """(height, width, channels) of uint8; ValueError for what isn't such an image."""
-    if data[:2] in (b"P5", b"P6"):
-        (width, height, top), at = _netpbm_header(data)
-        channels = 3 if data[:2] == b"P6" else 1
-        if top != 255 or len(data) - at < width * height * channels:
-            raise ValueError("only whole 8-bit Netpbm images are read")
-        return np.frombuffer(data, np.uint8, width * height * channels, at).reshape(height, width, channels)
+    if data[:1] == b"P" and data[1:2] in b"123456" and len(data) > 2:
+        return _netpbm(data)
     if data[:2] == b"BM" and len(data) >= BMP_HEADER.size:
-        _, _, _, _, at, _, width, height, _, depth, packed, *_ = BMP_HEADER.unpack_from(data)
-        if packed or depth not in (8, 24):
-            raise ValueError("only uncompressed 8- and 24-bit BMP images are read")
-        channels = depth // 8
-        stride = (width * channels + 3) // 4 * 4
-        if len(data) - at < stride * abs(height):
-            raise ValueError("the BMP image is cut short")
-        rows = np.frombuffer(data, np.uint8, stride * abs(height), at).reshape(abs(height), stride)[:, : width * channels]
-        rows = rows[::-1] if height > 0 else rows
-        return rows.reshape(abs(height), width, channels)[:, :, ::-1]
+        return _bmp(data)
     raise ValueError("neither Netpbm nor BMP")
 
 
