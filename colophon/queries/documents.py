@@ -12,6 +12,7 @@ from colophon.operators.tables import written
 from colophon.queries import query, read
 
 _KEY = r"""trim(regexp_replace(regexp_replace(replace(replace(replace(lower(strip_accents({x})), 'ß', 'ss'), 'ς', 'σ'), '&', ' and '), '[^\p{{L}}\p{{N}}\p{{M}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"""
+_LETTERS = r"length(regexp_replace(text, '\s', '', 'g'))"
 _CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\r', chr(10), 'g'), '[ \t\x0B\f]+', ' ', 'g'), '\n\s*\n+', chr(10) || chr(10), 'g'), '^\s+', ''), '\s+$', '')"""
 _PLAIN = r"""regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(text, '([\p{L}\p{N}_])-[ \t]*\n\s*([\p{L}\p{N}_])', '\1\2', 'g')), '([a-z]?)[aeiou][''’‘`´ʼ′]([\s.,;:!?»"”)]|$)', '\1\2', 'g'), '[''’‘`´ʼ′]', '', 'g'), '[^\x00-\x7F\P{L}]|[^\x00-\x7F\P{M}]', '', 'g'), '[^\x00-\x7F]', ' ', 'g'), '[a-z0-9]+')"""
 _STOP = ", ".join(f"('{lang}', '{w}')" for lang, ws in fixed.LANGUAGE_WORDS.items() for w in ws.split())
@@ -69,6 +70,15 @@ def doc_language_vs_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(spark, sf_dir).groupBy("lang", "told").agg(F.count("*").alias("n"))
 
 
+@query(rf"""WITH {_HITS.replace("documents", "(SELECT doc_id, substr(text, greatest(0, (length(text) - 20000) // 2) + 1, 20000) text FROM documents)")} SELECT doc_id, told lang, {_LETTERS} chars FROM documents LEFT JOIN told USING (doc_id) WHERE {_LETTERS} >= 200""")
+def doc_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC16: language and length of each text that has enough of it."""
+    from colophon.sources.files import text_profiles
+
+    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("TXT").alias("fmt"), "text", F.lit(None).cast("string").alias("error"))
+    return text_profiles(texts).select(F.col("id").alias("doc_id"), F.col("text_lang").alias("lang"), F.col("text_chars").alias("chars"))
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
 
@@ -156,6 +166,15 @@ def page_visible_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", text.visible_chars("html").cast("bigint").alias("visible"))
 
 
+@query(r"""SELECT page_id, substr(b, greatest(0, (length(b) - 60) // 2) + 1, 60) sample, octet_length(encode(regexp_replace(html, '(?is)<head\b.*?</head\s*>|<style\b.*?</style\s*>|<script\b.*?</script\s*>|<[^>]*>|&[#0-9A-Za-z_]+;|\s+', '', 'g'))) AS length
+    FROM (SELECT *, trim(regexp_replace(regexp_replace(html, '(?is)<head\b.*?</head\s*>|<style\b.*?</style\s*>|<script\b.*?</script\s*>|<[^>]*>|&[#0-9A-Za-z_]+;', ' ', 'g'), '\s+', ' ', 'g')) b FROM pages)""")
+def page_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC6: the middle of each page and how long it is."""
+    from colophon.sources.files import page_sample
+
+    return read(spark, sf_dir, "pages").select("page_id", page_sample("html", 60).alias("s")).select("page_id", "s.*")
+
+
 @query(r"""SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') title, nullif(regexp_extract(html, '(?i)<html[^>]*\blang="([a-zA-Z-]+)"', 1), '') lang FROM pages""")
 def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC7, SC20: the title and language that a page states."""
@@ -172,7 +191,7 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", html_text("html").alias("text"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN starts_with(text, 'PK') THEN 'zip' WHEN starts_with(text, '%PDF') THEN 'pdf' WHEN starts_with(text, '{\rtf') THEN 'rtf' WHEN starts_with(lower(trim(text)), '<!doctype html') OR starts_with(lower(trim(text)), '<html') THEN 'html' ELSE 'text' END kind FROM documents""")
+@query(r"""SELECT doc_id, CASE WHEN starts_with(text, 'PK') THEN 'zip' WHEN text = '' THEN 'empty' WHEN contains(substr(text, 1, 1000), '%PDF-') THEN 'pdf' WHEN starts_with(text, '{\rtf') THEN 'rtf' WHEN starts_with(lower(trim(text)), '<!doctype html') OR starts_with(lower(trim(text)), '<html') THEN 'html' ELSE 'text' END kind FROM documents""")
 def doc_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX15: what a file's first bytes say it is."""
     from colophon.sources.files import signature

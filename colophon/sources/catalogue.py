@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 MIN_YEAR = 1400
+#: Rowids that one task reads of a table.
+ROWS = 100_000
 
 
 class SqliteTable(DataSource):
@@ -32,11 +34,20 @@ class SqliteReader(DataSourceReader):
     def __init__(self, options: dict, schema) -> None:
         self.path, self.table, self.names = options["path"], options["table"], [f.name for f in schema.fields]
 
+    def partitions(self):
+        """Ranges of rowid, ROWS wide; the path must be one that executors see."""
+        import sqlite3
+
+        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
+            low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
+        return [InputPartition((a, a + ROWS)) for a in range(low, high + 1, ROWS)] if low is not None else [InputPartition((0, 0))]
+
     def read(self, partition):
         import sqlite3
 
+        columns = ", ".join(f'"{n}"' for n in self.names)
         with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
-            yield from db.execute("SELECT {} FROM {}".format(", ".join(f'"{n}"' for n in self.names), f'"{self.table}"'))
+            yield from db.execute(f'SELECT {columns} FROM "{self.table}" WHERE rowid >= ? AND rowid < ?', partition.value)
 
 
 def sqlite_tables(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
@@ -96,6 +107,30 @@ def scan(tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def is_library(spark: SparkSession, path: str) -> bool:
+    """SC2: a folder with a catalogue, or an empty folder; anything else isn't one."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root) or not fs.getFileStatus(root).isDirectory():
+        return False
+    names = {s.getPath().getName() for s in fs.listStatus(root)}
+    return not names or "metadata.db" in names
+
+
+def library_problems(spark: SparkSession, source: str, target: str, trash: str, longest: int = 88) -> list[str]:
+    """PF9: what keeps a plan from running: libraries that aren't, a trash that is one of the others, paths that are too long."""
+    found = [f"{p} isn't a library" for p in (source, target, trash) if not is_library(spark, p)]
+    same = lambda a, b: a.rstrip("/").casefold() == b.rstrip("/").casefold()
+    found += ["the trash is one of the libraries"] if any(same(trash, p) for p in (source, target)) else []
+    return found + [f"{p} is too long" for p in dict.fromkeys((source, target, trash)) if len(p) > longest]
+
+
+def tag_text(tags: str, exclude: bool = False) -> str:
+    """PF5: the filter in words."""
+    listed = list(dict.fromkeys(t.strip() for t in tags.split(",") if t.strip()))
+    return "all records" if not listed else ("not tagged " if exclude else "tagged ") + " or ".join(f"'{t}'" for t in listed)
+
+
 def tag_selects(tags: str, exclude: bool = False):
     """PF4: any (or none) of a comma-separated list, in any case; an empty list selects all."""
     wanted = sorted({t.strip().casefold() for t in tags.split(",") if t.strip()})

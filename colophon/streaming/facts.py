@@ -1,7 +1,8 @@
 """Incremental facts: each batch of changed records refreshes only what is out of date.
 
-Facts live in a Parquet table per kind, one folder for each version of the table; a batch reads the newest,
-replaces the facts of records whose version changed, and writes the next.
+Facts live in a Parquet log per kind: numbered folders, each with the fresh facts of one batch. The latest fact of a
+record counts. After COMPACT batches the log is rewritten as one folder, marked as a base, and what stands before it goes,
+so that a batch writes what it changed and no more.
 """
 
 from __future__ import annotations
@@ -39,16 +40,61 @@ def newest(spark: SparkSession, folder: str) -> tuple[int, DataFrame | None]:
     return (max(numbers), spark.read.parquet(f"{folder}/{max(numbers)}")) if numbers else (-1, None)
 
 
+#: Batches after which a log is rewritten.
+COMPACT = 16
+_BASE = "_BASE"
+
+
+def _log(spark: SparkSession, folder: str) -> tuple[list[int], object]:
+    """Numbers of the complete folders from the newest base on, and the file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    root = path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return [], fs
+    done = sorted(int(s.getPath().getName()) for s in fs.listStatus(root) if s.getPath().getName().isdigit() and fs.exists(path(s.getPath(), "_SUCCESS")))
+    bases = [n for n in done if fs.exists(path(f"{folder}/{n}/{_BASE}"))]
+    return [n for n in done if n >= max(bases, default=0)], fs
+
+
+def current(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The latest fact of each record, or None without any."""
+    numbers, _ = _log(spark, folder)
+    if not numbers:
+        return None
+    parts = [spark.read.parquet(f"{folder}/{n}").withColumn("_part", F.lit(n)) for n in numbers]
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    if len(parts) == 1:
+        return both.drop("_part")
+    columns = [c for c in both.columns if c not in ("lib", "id", "_part")]
+    latest = both.groupBy("lib", "id").agg(F.max_by(F.struct(*columns), "_part").alias("f"))
+    return latest.select("lib", "id", "f.*")
+
+
+def compact(spark: SparkSession, folder: str) -> None:
+    """Rewrites the log as one base; older folders go once it is complete."""
+    numbers, fs = _log(spark, folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    number = numbers[-1] + 1
+    current(spark, folder).write.mode("overwrite").parquet(f"{folder}/{number}")
+    fs.create(path(f"{folder}/{number}/{_BASE}")).close()
+    for n in numbers:
+        fs.delete(path(f"{folder}/{n}"), True)
+
+
 def refresh(changed: DataFrame, folder: str, compute: Callable[[DataFrame], DataFrame]) -> int:
-    """Writes the next version of the facts after one batch; returns how many records were computed anew."""
+    """Adds one batch's fresh facts to the log; returns how many records were computed anew."""
     spark = changed.sparkSession
-    number, facts = newest(spark, folder)
+    numbers, _ = _log(spark, folder)
+    facts = current(spark, folder)
     todo = changed if facts is None else fact_delta(changed, facts)
-    fresh = compute(todo).cache()
-    n = fresh.count()
-    if n or facts is None:
-        merged(facts, fresh).write.mode("overwrite").parquet(f"{folder}/{number + 1}")
-    fresh.unpersist()
+    number = numbers[-1] + 1 if numbers else 0
+    compute(todo).write.mode("overwrite").parquet(f"{folder}/{number}")
+    n = spark.read.parquet(f"{folder}/{number}").count()
+    if len(numbers) + 1 >= COMPACT:
+        compact(spark, folder)
     return n
 
 

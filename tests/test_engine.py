@@ -9,7 +9,7 @@ from colophon import queries
 from colophon.sources import catalogue, files
 from colophon.streaming import facts
 
-CASES = sorted(n for n in queries.ORACLES if n not in ("text_share_pairs", "dedup_plan", "cleanup_only_plan", "format_promises"))
+CASES = sorted(queries.ORACLES)
 
 
 @pytest.fixture(scope="module")
@@ -98,10 +98,108 @@ def test_incremental_facts(spark, tmp_path):
     changed = spark.createDataFrame([("a", 1, "x", "one"), ("a", 2, "y", "longer")], kind)
     changed.write.parquet(f"{tmp_path}/in")
     facts.stream_facts(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"), folder, f"{tmp_path}/cp", compute).awaitTermination()
-    number, now = facts.newest(spark, folder)
-    assert number == 1 and {(r.id, r.version, r.n) for r in now.collect()} == {(1, "x", 3), (2, "y", 6)}
+    now = facts.current(spark, folder)
+    assert {(r.id, r.version, r.n) for r in now.collect()} == {(1, "x", 3), (2, "y", 6)}
     assert facts.refresh(changed, folder, compute) == 0
     assert facts.forget_unseen(now, changed.filter("id = 1")).count() == 1
+    facts.compact(spark, folder)
+    assert {(r.id, r.version, r.n) for r in facts.current(spark, folder).collect()} == {(1, "x", 3), (2, "y", 6)}
+    assert len(facts._log(spark, folder)[0]) == 1 and facts.refresh(changed.withColumn("version", F.lit("z")), folder, compute) == 2
+    assert {r.version for r in facts.current(spark, folder).collect()} == {"z"}
+
+
+def test_files_that_do_not_fit(spark):
+    doc, png = bytes.fromhex("D0CF11E0A1B11AE1"), bytes.fromhex("89504E470D0A1A0A")
+    rows = [(1, "EPUB", b"PK\x03\x04"), (1, "PDF", b""), (2, "PDF", b"junk %PDF-1.4"), (2, "DOC", doc), (3, "MOBI", png), (3, "TXT", b"words"), (3, "ORIGINAL_EPUB", b"x"), (4, "PDF", None)]
+    got = {r.id: (r.broken, r.foreign) for r in files.unreadable_formats(spark.createDataFrame(rows, "id bigint, fmt string, content binary")).collect()}
+    assert got == {1: (["PDF"], []), 2: ([], ["DOC"]), 3: (["MOBI"], [])}
+
+
+def test_excerpts_and_profiles(spark):
+    prose = "the book and the road that they have of his with her not but you " * 40
+    rows = [(1, "PDF", "pdf text", None), (1, "EPUB", None, "damaged"), (1, "TXT", prose, None), (2, "EPUB", None, "damaged"), (3, "TXT", "short", None)]
+    df = spark.createDataFrame(rows, "id bigint, fmt string, text string, error string")
+    got = {r.id: (r.fmt, r.text, r.error) for r in files.excerpts(df, "start", 8).collect()}
+    assert got == {1: ("TXT", "the book", None), 2: ("EPUB", None, "damaged"), 3: ("TXT", "short", None)}
+    assert [(r.id, r.text_lang, r.text_chars > 1000) for r in files.text_profiles(df).collect()] == [(1, "eng", True)]
+
+
+def test_archive_members_are_taken_out(spark):
+    content = [(1, zipped({"a/b.txt": b"hello", "../up.txt": b"no"})), (2, b"junk")]
+    got = {(r.id, r.name): (None if r.content is None else bytes(r.content), r.error) for r in files.extracted(spark.createDataFrame(content, "id bigint, content binary")).collect()}
+    assert got[1, "a/b.txt"] == (b"hello", None) and got[1, "../up.txt"] == (None, "unsafe name") and got[2, None][1].startswith("not a ZIP")
+    books = spark.createDataFrame([("p", ["ZIP", "EPUB"]), ("p", ["PDF"])], "lib string, formats array<string>")
+    assert files.archive_books(books).first().n == 1 and [r.unpack for r in files.archive_gate(books, True).collect()] == [True, False]
+
+
+def test_text_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("Füße\nzwei".encode())
+    assert [r.text for r in files.read_texts(spark, str(tmp_path)).collect()] == ["Füße\nzwei"]
+
+
+def test_libraries(spark, tmp_path):
+    for name in ("full", "empty", "other"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "full" / "metadata.db").touch()
+    (tmp_path / "other" / "x.txt").touch()
+    assert [catalogue.is_library(spark, str(tmp_path / n)) for n in ("full", "empty", "other", "none")] == [True, True, False, False]
+    full, empty = str(tmp_path / "full"), str(tmp_path / "empty")
+    assert catalogue.library_problems(spark, full, empty, str(tmp_path / "other"), 500) == [f"{tmp_path / 'other'} isn't a library"]
+    assert catalogue.library_problems(spark, full, empty, empty + "/", 500) == ["the trash is one of the libraries"]
+    assert len(catalogue.library_problems(spark, full, empty, full, 3)) == 3
+    assert catalogue.tag_text("a, b ,a", True) == "not tagged 'a' or 'b'" and catalogue.tag_text(" ") == "all records"
+
+
+def test_sqlite_is_read_by_ranges(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "metadata.db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE books(id INTEGER, title TEXT)")
+        db.executemany("INSERT INTO books VALUES (?, ?)", [(i, f"t{i}") for i in range(250_000)])
+    df = catalogue.sqlite_tables(spark, path, ["books"])["books"]
+    assert df.rdd.getNumPartitions() == 3 and df.count() == df.distinct().count() == 250_000
+
+
+def test_reports(spark, tmp_path):
+    from colophon.plans import edit, ladder
+    from colophon.plans.features import features
+    from colophon.queries import catalogue as cases
+    from colophon.queries import upkeep
+    from colophon.sources import sinks
+
+    books = cases._books(spark, cases.TWO)
+    plan = ladder.plan(books, texts=cases._texts(spark))
+    rows = plan.join(ladder.formats_to_add(plan, books), ["lib", "id"], "left").withColumn("manual", F.lit(False)).withColumn("status", F.lit(None).cast("string"))
+    report = sinks.plan_report(rows, features(books))
+    assert len(report.columns) == 18 and report.count() == plan.count()
+    one = report.filter("publisher = 'Ace' and year = '1990'").first()
+    assert (one.checked, one.action, one.add_formats, one.match) == ("yes", "trash", "EPUB", "#1 Dune - Frank Herbert")
+    sinks.write_csv(report.coalesce(1), f"{tmp_path}/plan")
+    text = next((tmp_path / "plan").glob("part-*")).read_text()
+    assert text.startswith("\ufeffsource_id,checked,manual,title")
+    decided = spark.createDataFrame([("p", 1, "text", "update", ""), ("p", 2, None, "keep", None)], "lib string, id bigint, cover string, action string, note string")
+    review = {r.book_id: r for r in sinks.review_report(upkeep._values(spark), upkeep._proposed(spark), decided).collect()}
+    assert (review[1].now_year, review[1].read_year, review[1].new_year, review[1].left_out) == ("1990", "1991", "1991", "language: language not in text")
+    assert len(review[1]) == 2 + 21 + 4 and review[2].new_year == "" and review[2].cover == ""
+    shelf = upkeep._shelf(spark)
+    done = spark.createDataFrame([("p", 1, "2024-01-01T00:00:00", "set", True, "written", None, None)], "lib string, id bigint, time string, action string, ok boolean, result string, why string, match bigint")
+    journal = sinks.journal_rows(done, shelf, edit.with_fields(shelf, upkeep._actions(spark)))
+    assert len(journal.columns) == 12 and journal.first().before.startswith("Salt Roads | Peter Oakes")
+    for _ in range(6):
+        sinks.run_log(spark, f"{tmp_path}/log", done, most_bytes=1, keep=2)
+    assert sorted(p.name for p in (tmp_path / "log").iterdir()) == ["3", "4", "5"]
+
+
+def test_settings(spark):
+    from colophon.plans import selection
+
+    assert selection.settings_changed({"a": 1, "b": None, "c": 2}, {"a": 1, "c": 3, "d": None}) == ["b", "c", "d"]
+
+
+def test_closure_ends_on_a_ring(spark):
+    from colophon.plans import selection
+
+    plan = spark.createDataFrame([("p", 1, 3, "source"), ("p", 2, 1, "source"), ("p", 3, 2, "source"), ("p", 4, 9, "source")], "lib string, id bigint, match bigint, match_side string")
+    assert sorted(r.id for r in selection.redecide(plan, spark.createDataFrame([("p", 1)], "lib string, id bigint")).collect()) == [1, 2, 3]
 
 
 def test_sinks(spark, tmp_path):
