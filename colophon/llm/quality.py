@@ -1,10 +1,10 @@
 """Quality classifier: supervised subword embeddings.
 
-A text's features are its words, the 3- and 4-byte grams of its words (with their borders) and its pairs of
-neighbouring words, hashed into ROWS rows of an embedding of WIDTH numbers; pairs are told apart
-only by whether they repeat a word. A document is the mean of its features'
+A text's features are its words, the 3- and 4-byte grams of its words (with their borders), its pairs of
+neighbouring words, and its windows of three words with the words replaced by which of them are equal, so that what is learned of
+repeated words holds for words never seen. Each is hashed into one of ROWS rows of an embedding of WIDTH numbers. A document is the mean of its features'
 vectors; a linear layer and a softmax give the class. Both are learned by stochastic gradient descent in
-numpy, on a bounded sample of labelled rows, with equal weight for both classes.
+numpy, on a sample of labelled rows that is bounded in rows and in features, with equal weight for both classes.
 
 Hashing runs over all bytes of a batch at once: grams from shifted copies, words from prefix sums of a
 polynomial modulo 2**64. To score, each row's vector is first multiplied by the output layer,
@@ -21,18 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colophon.llm.common import arrow_map, crc_mod3, held_out
+from colophon.llm.common import arrow_map, crc_mod3, forget, held_out, written
 
-ROWS, WIDTH = 1 << 15, 8
-#: Labelled rows that the model is fitted on at most, the first by a hash of their ids.
-TRAINING_ROWS = 3_000
-EPOCHS, RATE, BATCH, SEED = 12, 0.5, 16, 20
-
-#: Rows of a pair of equal and of a pair of different words.
-REPEATED, CHANGED = 0, 1
+ROWS, WIDTH = 1 << 16, 8
+#: Labelled rows that the model is fitted on at most, the first by a hash of their ids, and the different
+#: features that these rows may have together (8 bytes each on the driver); rows after the first that would exceed it aren't used.
+TRAINING_ROWS, TRAINING_FEATURES = 3_000, 8_000_000
+#: Learning rates of the output layer and, for each document, of the embedding: a row has a share of about a
+#: thousandth in a document, so its gradient is that much smaller.
+EPOCHS, RATE, EMBEDDING_RATE, BATCH, SEED = 12, 0.5, 20.0, 16, 20
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -60,7 +60,7 @@ class Powers:
 
 def _row(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((h ^ (h >> np.uint64(32))) % np.uint64(ROWS - 2)).astype(np.int32) + np.int32(2)
+    return ((h ^ (h >> np.uint64(32))) % np.uint64(ROWS)).astype(np.int32)
 
 
 def features(data: bytes) -> Iterator[np.ndarray]:
@@ -94,7 +94,10 @@ def _features(data: bytes) -> np.ndarray:
     if len(starts):
         words = (sums[ends] - sums[starts]) * down[starts]
         out.append(_row(words + np.uint64(3 << 40)))
-        out.append(np.where(words[1:] == words[:-1], REPEATED, CHANGED).astype(np.int32))
+        out.append(_row((words[:-1] ^ (words[:-1] >> np.uint64(31))) * _P + words[1:] + np.uint64(4 << 40)))
+        # windows of three words as patterns of equal and different words, whatever the words are
+        same, apart = words[1:] == words[:-1], words[2:] == words[:-2]
+        out.append(_row((same[:-1] + 2 * same[1:] + 4 * apart).astype(np.uint64) + np.uint64(5 << 40)))
     return np.concatenate(out)
 
 
@@ -132,7 +135,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> tuple[
             out -= rate * vectors.T @ p
             bias -= rate * p.sum(axis=0)
             for i, g in zip(some, back, strict=True):
-                emb[bags[i][0]] -= (rate * len(some)) * shares[i][:, None] * g * 20
+                emb[bags[i][0]] -= (EMBEDDING_RATE * rate * len(some)) * shares[i][:, None] * g
     return emb, out, bias
 
 
@@ -147,7 +150,10 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in bags], pa.list_(pa.int32())), pa.array([c for _, c in bags], pa.list_(pa.float32())), batch.column(1), batch.column(2)], names=["rows", "counts", "quality", "doc_id"])
 
     sample = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").join(F.broadcast(chosen), "doc_id").select("text", "quality", "doc_id")
-    got = arrow_map(sample, run, "rows array<int>, counts array<float>, quality int, doc_id bigint").toArrow().sort_by("doc_id")
+    bagged = written(arrow_map(sample, run, "rows array<int>, counts array<float>, quality int, doc_id bigint"), "bags")
+    so_far = F.sum(F.size("rows")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", F.size("rows"), F.xxhash64("rows")))
+    got = bagged.withColumn("so_far", so_far).filter(F.col("so_far") <= TRAINING_FEATURES).drop("so_far").toArrow().sort_by("doc_id")
+    forget(bagged)
     y = got["quality"].to_numpy().astype(np.int64)
     if not 0 < y.sum() < len(y):
         p = min(max(float(y.mean()) if len(y) else 0.5, 1e-6), 1 - 1e-6)
