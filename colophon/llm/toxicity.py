@@ -34,11 +34,11 @@ from colophon.llm.common import arrow_map, crc_mod3, held_out, written
 
 #: Labelled rows that the classifier is fitted on at most, the first by a hash of their ids.
 TRAINING_ROWS = 16_000
-#: Lexicon entries kept at most, the strongest.
-LEXICON = 20_000
 #: A lexicon entry has this log ratio of toxic to clean use, and so many different neighbours in toxic
 #: training texts that CHANCE entries at most are expected to have them by chance.
 RATIO, CHANCE = 3.0, 5
+#: Texts after which a worker sends on what it has found.
+FLUSH = 400
 #: Lengths of word beginnings that are entries beside whole words.
 BEGINNINGS = (4, 5)
 
@@ -171,12 +171,12 @@ def may_repeat(codes: np.ndarray, kinds: np.ndarray) -> bool:
 
 
 class Decoder:
-    """Restores disguised spans; readings of spans are kept up to a fixed number."""
+    """Restores disguised spans; readings of short spans are kept up to a fixed number."""
 
-    KEPT, WIDTH = 100_000, 64
+    KEPT, SHORT = 100_000, 64
 
     def __init__(self, counts: np.ndarray) -> None:
-        self.cost, self.known = LanguageModel(counts).cost, {}
+        self.cost, self.known = LanguageModel(counts).cost.tolist(), {}
 
     def _choices(self, c: str, before: str, last: bool = False) -> list[tuple[str, float]]:
         if c.isalpha():
@@ -191,27 +191,33 @@ class Decoder:
     def span(self, span: str) -> str:
         """The most likely reading of one span as a word."""
         span = span.lower()
-        if span in self.known:
-            return self.known[span]
-        states: dict[tuple[int, int], tuple[float, str]] = {(BORDER, BORDER): (0.0, "")}
+        if span not in self.known:
+            if len(span) > self.SHORT or len(self.known) >= self.KEPT:
+                return self._decode(span)
+            self.known[span] = self._decode(span)
+        return self.known[span]
+
+    def _decode(self, span: str) -> str:
+        """Viterbi over all states: the two symbols read last. There are at most SYMBOLS ** 2 of them, and no more in practice than the
+        readings of neighbouring characters combine to, so none is cut."""
+        # the best way to each state: its cost and what was read, a chain from the last symbol back
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(BORDER, BORDER): (0.0, None)}
         before, end = "", len(span.rstrip(ENDS))
         for i, c in enumerate(span):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for read, price in self._choices(c, before, i >= end):
                 symbol = int(Reader.symbols(read)[0]) if read else BORDER
-                for (two, one), (cost, text) in states.items():
-                    if read:
-                        state, total = (one, symbol), cost + price + float(self.cost[two, one, symbol])
-                    else:
-                        state, total = (two, one), cost + price
-                    if state not in after or (total, text + read) < after[state]:
-                        after[state] = (total, text + read)
-            states = dict(sorted(after.items(), key=lambda x: x[1])[: self.WIDTH])
-            before = c
-        best = min((cost + float(self.cost[two, one, BORDER]), text) for (two, one), (cost, text) in states.items())[1]
-        if len(self.known) < self.KEPT:
-            self.known[span] = best
-        return best
+                for (two, one), (cost, chain) in states.items():
+                    state, total = ((one, symbol), cost + price + self.cost[two][one][symbol]) if read else ((two, one), cost + price)
+                    if state not in after or total < after[state][0]:
+                        after[state] = (total, (read, chain) if read else chain)
+            states, before = after, c
+        chain = min(((cost + self.cost[two][one][BORDER], k, chain) for k, ((two, one), (cost, chain)) in enumerate(states.items())), key=lambda x: x[:2])[2]
+        out = []
+        while chain is not None:
+            read, chain = chain
+            out.append(read)
+        return "".join(reversed(out))
 
     def restore(self, text: str) -> str:
         """The text with each disguised span read as a word."""
@@ -248,25 +254,28 @@ def _entries(words: set[str]) -> set[str]:
 def _evidence(sample: DataFrame, counts: np.ndarray) -> DataFrame:
     """(entry, near, toxic, clean, half): different words before it in toxic texts, and texts with it."""
 
+    kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+    names = ["entry", "half", "near", "toxic", "clean"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(counts)
-        near: dict[tuple[int, str], set[int]] = defaultdict(set)
-        toxic, clean = Counter(), Counter()
         for batch in batches:
-            for text, label, half in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = _WORD.findall(decoder.restore(text or "").lower())
-                (toxic if label else clean).update((half, e) for e in _entries(set(words)))
-                if not label:
-                    continue
-                for before, w in zip(["", *words], words, strict=False):
-                    mark = hash_of(before)
-                    for e in _entries({w}):
-                        near[half, e].add(mark)
-        rows = [(e, half, sorted(near.get((half, e), ()))[:64], toxic[half, e], clean[half, e]) for half, e in {*toxic, *clean}]
-        kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
-        for at in range(0, len(rows), 10_000):
-            part = zip(*rows[at : at + 10_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, kinds, strict=True)], names=["entry", "half", "near", "toxic", "clean"])
+            # what is found goes out every FLUSH texts, and is summed by entry later
+            for at in range(0, batch.num_rows, FLUSH):
+                near: dict[tuple[int, str], set[int]] = defaultdict(set)
+                toxic, clean = Counter(), Counter()
+                for text, label, half in zip(*(c.to_pylist() for c in batch.slice(at, FLUSH).columns), strict=True):
+                    words = _WORD.findall(decoder.restore(text or "").lower())
+                    (toxic if label else clean).update((half, e) for e in _entries(set(words)))
+                    if label:
+                        for before, w in zip(["", *words], words, strict=False):
+                            mark = hash_of(before)
+                            for e in _entries({w}):
+                                near[half, e].add(mark)
+                keys = list({*toxic, *clean})
+                for first in range(0, len(keys), 10_000):
+                    rows = [(e, half, sorted(near.get((half, e), ())), toxic[half, e], clean[half, e]) for half, e in keys[first : first + 10_000]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return arrow_map(sample.selectExpr("cast(text as string) text", "toxic", "half"), run, "entry string, half bigint, near array<bigint>, toxic bigint, clean bigint")
 
@@ -281,7 +290,8 @@ def _lexicon(evidence: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     candidates = evidence.filter("toxic > 0").select("entry").distinct().count()
     support = max(3, math.ceil(math.log(max(1, candidates) / CHANCE + 1) / -math.log(toxic / (toxic + clean + 1))))
     strong = sums.filter(F.col("neighbours") >= support).withColumn("weight", weight).filter(F.col("weight") >= RATIO)
-    return {r.entry: float(r.weight) for r in strong.orderBy(F.desc("weight"), "entry").limit(LEXICON).select("entry", "weight").collect()}
+    # bounded by the words of TRAINING_ROWS texts
+    return {r.entry: float(r.weight) for r in strong.select("entry", "weight").collect()}
 
 
 def hash_of(word: str) -> int:
@@ -299,7 +309,8 @@ class Scorer:
         self.starts = {k: {e[:-1] for e in lexicon if e.endswith(".") and len(e) == k + 1} for k in BEGINNINGS}
 
     def features(self, text: str | None) -> tuple[float, float, float]:
-        """The strongest entry, the sum over different words of their strongest entries, and their share."""
+        """The square of the strongest entry (a tenth of it), the logarithms of the sum over different words of their strongest entries and of
+        how many of a thousand words have one."""
         words = set(_WORD.findall(self.decoder.restore(text or "").lower()))
         found: dict[str, float] = {w: self.lexicon[w] for w in words & self.words}
         for k, starts in self.starts.items():
@@ -307,7 +318,7 @@ class Scorer:
                 for w in words:
                     if len(w) > k and w[:k] in hits:
                         found[w] = max(found.get(w, 0.0), self.lexicon[w[:k] + "."])
-        return max(found.values(), default=0.0), math.log1p(sum(found.values())), len(found) / max(1, len(words))
+        return max(found.values(), default=0.0) ** 2 / 10, math.log1p(sum(found.values())), math.log1p(1000 * len(found) / max(1, len(words)))
 
     def score(self, text: str | None) -> float:
         z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], self.features(text), strict=True))

@@ -3,6 +3,7 @@ import time
 import zlib
 
 import numpy as np
+import pytest
 
 from colophon.llm import quality, toxicity
 from tests.llm.cases import docs, empty, labels
@@ -77,6 +78,56 @@ def test_signs_at_the_ends_of_words():
     assert time.monotonic() - began < 5
 
 
+def best_by_hand(decoder, span):
+    """The least cost over all paths of the lattice, and the readings that have it."""
+    from itertools import product
+
+    end, costs = len(span.rstrip(toxicity.ENDS)), {}
+    choices = [decoder._choices(c, span[i - 1] if i else "", i >= end) for i, c in enumerate(span)]
+    for path in product(*choices):
+        text = "".join(read for read, _ in path)
+        symbols = [0, 0, *(int(toxicity.Reader.symbols(c)[0]) for c in text), 0]
+        cost = sum(price for _, price in path) + sum(decoder.cost[a][b][c] for a, b, c in zip(symbols, symbols[1:], symbols[2:], strict=False))
+        costs[text] = min(costs.get(text, cost), cost)
+    least = min(costs.values())
+    return {t for t, c in costs.items() if c <= least + 1e-9}
+
+
+def test_viterbi_equals_all_paths():
+    counts = np.bincount(toxicity.trigrams(" ".join(["idiot", "stupid", "moron", "loser", "hello", "world", "libellule"] * 50)), minlength=64**3)
+    decoder, rng = toxicity.Decoder(counts), random.Random(11)
+    for _ in range(400):
+        span = "".join(rng.choices("idotslm01!|*$.- 5", k=rng.randint(1, 8)))
+        assert decoder._decode(span) in best_by_hand(decoder, span)
+    assert decoder.span("1d10t" * 5_000)  # a long span is read in linear time
+
+
+def test_score_by_hand():
+    counts = np.bincount(toxicity.trigrams("stupid idiots hello"), minlength=64**3)
+    scorer = toxicity.Scorer(counts, {"stupid": 4.0, "idio.": 3.5}, [-2.0, 0.5, 1.0, 3.0])
+    x = (1.6, np.log1p(4.0 + 3.5), np.log1p(1000 * 2 / 4))
+    assert scorer.features("Stupid idiots say hello") == pytest.approx(x)
+    assert scorer.score("Stupid idiots say hello") == pytest.approx(1 / (1 + np.exp(2.0 - 0.5 * x[0] - x[1] - 3.0 * x[2])))
+    assert scorer.score(None) == scorer.score("") == pytest.approx(1 / (1 + np.exp(2.0)))
+
+
+def test_quality_features_and_steps_by_hand():
+    text = b"ab cd ab"
+    rows = np.concatenate(list(quality.features(text)))
+    # three words of two grams of three bytes and one of four each, two pairs and one window
+    assert len(rows) == 3 * (2 + 1) + 3 + 2 + 1
+    window = lambda text_: np.concatenate(list(quality.features(text_)))[-1]
+    assert window(b"a b a") == window(b"xx yy xx") != window(b"a b c") == window(b"p q r")
+    once, twice = np.concatenate(list(quality.features(b"ab cd"))), np.concatenate(list(quality.features(b"cd ab")))
+    assert len(set(once) ^ set(twice)) == 2  # only the pair differs
+    bags = [(np.array([1, 2]), np.array([1.0, 1.0], np.float32)), (np.array([3]), np.array([2.0], np.float32))] * 20
+    emb, out, bias = quality.fit(bags, np.array([0, 1] * 20))
+    value = lambda rows_: float(emb[rows_].mean(axis=0) @ (out[:, 1] - out[:, 0]) + bias[1] - bias[0])
+    assert value([1, 2]) < -1 and value([3]) > 1
+    odds = quality.log_odds("ab cd ab", np.arange(quality.ROWS, dtype=float), 0.25)
+    assert odds == pytest.approx(0.25 + rows.mean())
+
+
 def test_prefilters_skip_nothing(monkeypatch):
     counts = np.bincount(toxicity.trigrams(" ".join(["idiot", "dum", "éclair"] * 200)), minlength=64**3)
     rng = random.Random(3)
