@@ -45,3 +45,34 @@ def test_edge_cases(spark):
     out = rules.apply_rules(docs(spark), labels(spark, [])).collect()
     assert len(out) == 12 and all(r.base_failed == (r.n_words < 50 or 2 * r.n_repeat_words > r.n_words) for r in out)
     assert rules.apply_rules(empty(spark), labels(spark, [(1, 1, 0)])).count() == 0
+
+
+def test_log_ratios_equal_brute_force(spark):
+    import math
+    import struct
+    from collections import Counter
+
+    import regex
+    import xxhash
+
+    texts = ["one two, two!", "ünï_1 -- x x x", None, "", "three two one; one", "[a] {b}\n\tc c"]
+    df = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    trusted = spark.createDataFrame([(0,), (4,), (None,), (99,)], "doc_id bigint")
+
+    def buckets(text):
+        hashes = [xxhash.xxh64_intdigest(t.encode(), 42) for t in regex.findall(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+", text or "")]
+        low = [h % rules.BUCKETS for h in hashes]
+        pairs = [xxhash.xxh64_intdigest(struct.pack("<Q", b), xxhash.xxh64_intdigest(struct.pack("<Q", a), 42)) for a, b in zip(hashes, hashes[1:], strict=False)]
+        return low + [h % rules.BUCKETS for h in pairs]
+
+    raw, target = Counter(b for t in texts for b in buckets(t)), Counter(b for i in (0, 4) for b in buckets(texts[i]))
+    n_raw, n_target = sum(raw.values()) + rules.BUCKETS, sum(target.values())
+    got = rules.log_ratios(df, trusted)
+    for b in range(rules.BUCKETS):
+        r, t = raw[b] + 1, target[b]
+        expected = math.log((t + 10 * r / n_raw) * n_raw / ((n_target + 10) * r)) if t else math.log(10 / (n_target + 10)) if raw[b] else 0.0
+        assert abs(got[b] - expected) < 1e-9
+    scored = {r.doc_id: r.llr for r in rules.score(df.select("doc_id", "text"), got).collect()}
+    for i, t in enumerate(texts):
+        values = [got[b] for b in buckets(t)]
+        assert abs(scored[i] - (sum(values) / len(values) if values else 0.0)) < 1e-5
