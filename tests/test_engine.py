@@ -214,3 +214,50 @@ def test_sinks(spark, tmp_path):
     assert sinks.read_json(spark, f"{tmp_path}/none", "a int").count() == 0
     uses = spark.createDataFrame([("/A", 1), ("/a", 2), ("/b", 2)], "path string, n int")
     assert [tuple(r) for r in sinks.known_libraries(uses).collect()] == [("/A", 3), ("/b", 2)]
+
+
+def test_readings_are_joined_by_file(spark):
+    from colophon.plans import answers
+
+    df = spark.createDataFrame([(1, "/a", 10, "t1"), (2, "/b", 20, "t2")], "id int, path string, size bigint, modified string")
+    keyed = df.withColumn("key", answers.file_key(F.col("path"), F.col("size"), F.col("modified"), "start"))
+    known = keyed.filter("id = 1").select("key", F.lit("Osprey").alias("publisher"))
+    got = {r.id: r.answer and r.answer.publisher for r in answers.with_answers(keyed, known).collect()}
+    assert got == {1: "Osprey", 2: None} and [r.id for r in answers.to_ask(keyed, known).collect()] == [2]
+    other = df.withColumn("modified", F.lit("later")).withColumn("key", answers.file_key(F.col("path"), F.col("size"), F.col("modified"), "start"))
+    assert answers.to_ask(other, known).count() == 2
+
+
+def test_judge_requests_hold_both_ends_of_the_texts(spark):
+    import json
+
+    from colophon.plans import answers
+
+    text = "a" * 20_000 + "b" * 7_000
+    row = answers.request(spark.createDataFrame([(("One",), ("Two",), text, "short")], "a struct<title:string>, b struct<title:string>, text_a string, text_b string")).first()
+    body = json.loads(row.request)
+    assert body["a"]["title"] == "One" and body["pages_a"] == {"start": "a" * 20_000, "end": "b" * 5_000} and body["pages_b"]["end"] == "short"
+
+
+def test_series_are_not_publishers(spark):
+    from colophon.plans import review
+
+    rows = spark.createDataFrame([(1, "publisher", "Tides", None), (2, "publisher", "Osprey", None), (3, "title", "Tides", None)], "id int, field string, proposed string, doubt string")
+    books = spark.createDataFrame([("TIDES",), (None,)], "series string")
+    readings = spark.createDataFrame([((None,),)], "found struct<series:string>")
+    assert {r.id: r.doubt for r in review.mark_series_publishers(rows, books, readings).collect()} == {1: "series as publisher", 2: None, 3: None}
+
+
+def test_small_formats(spark):
+    import base64
+
+    from colophon.functions import text
+    from colophon.sources import sinks
+    from colophon.sources.markup import text_of
+
+    r = spark.range(1).select(text.encoded(F.array(F.lit(1), F.lit(0xFFFFFFFF)).cast("array<bigint>")).alias("e"), text.percent(F.lit(0.999)).alias("p")).first()
+    assert base64.b64decode(r.e) == b"\x00\x00\x00\x01\xff\xff\xff\xff" and r.p == "99%"
+    plan = spark.createDataFrame([(7, "Tides", "move", "nothing like it")], "id bigint, title string, action string, why string")
+    assert sinks.console_lines(plan).first().line == "MOVE   #7 Tides / nothing like it"
+    page = '<!-- <p>no</p> --><head><title>no</title></head><BODY a=">"><script>if (a < b) "<p>"</script><p>one<br/>two &lt;3</p>x &amp; y<style>p{}</style> < z'
+    assert text_of(page) == "one\ntwo <3\nx & y < z" and text_of("") == "" and text_of(None) is None
