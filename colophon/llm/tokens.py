@@ -9,7 +9,7 @@ The join stays with the worker: over the cluster, frequencies of pre-tokens per
 hold nearly as many rows as the text has words, so a shuffle of them would be larger than the text.
 
 Cases: a null text counts as empty and has no tokens; the vocabulary's special strings are one
-token each wherever they stand; a text of any length is cut pre-token by pre-token; repeated rows, ties and other columns change nothing; an empty
+token each wherever they stand; a text of any length, blanks in any number included, is cut pre-token by pre-token; repeated rows, ties and other columns change nothing; an empty
 table gives no rows.
 """
 
@@ -39,6 +39,9 @@ STEP = 1 << 18
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # The white space of the pattern, which is Unicode's and not the regular expression library's.
 _WHITE = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Blanks in a row from which a run is cut out of a text before the pattern engine, which steps back through runs, sees it.
+LONG_RUN = 10_000
+_RUN = regex.compile(f"[{_WHITE}]{{{LONG_RUN},}}")
 _CUT = regex.compile(PRE_TOKEN.replace(r"[^\s", f"[^{_WHITE}").replace(r"\s+", f"[{_WHITE}]+").replace(r"(?!\S)", f"(?=[{_WHITE}]|\\Z)"))
 
 
@@ -88,9 +91,22 @@ class Encoder:
         if self.pattern and self.pattern.search(text):
             out: list[int] = []
             for i, part in enumerate(re.split(f"({self.pattern.pattern})", text)):
-                out += [self.special[part]] if i % 2 else self._plain(part)
+                out += [self.special[part]] if i % 2 else self._plain_ids(part)
             return out
-        return self._plain(text)
+        return self._plain_ids(text)
+
+    def _plain_ids(self, text: str) -> list[int]:
+        """Ids of a text without special strings. A long run of blanks is a pre-token of its own, but for its last blank if something follows."""
+        if len(text) < LONG_RUN or not (runs := list(_RUN.finditer(text))):
+            return self._plain(text)
+        out, at = [], 0
+        for m in runs:
+            end = m.end() - (m.end() < len(text))
+            # the blank that the run before left stands before the next text
+            out += self._plain(text[at : m.start()]) if at < m.start() else []
+            out += self._piece(text[max(at, m.start()) : end].encode("utf-8", "surrogatepass"))
+            at = end
+        return out + (self._plain(text[at:]) if at < len(text) else [])
 
 
 @lru_cache(maxsize=2)

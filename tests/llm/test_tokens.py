@@ -24,6 +24,20 @@ def test_ids_equal_the_library(library):
         assert ours.ids(text) == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_long_runs_of_blanks(library, monkeypatch):
+    from colophon.llm import tokens
+
+    ours = encoder(vocabulary())
+    for run in (" " * 1_200_000, "\t" * 1_200_000, " \n" * 600_000):
+        for text in (run, run + "a", "a" + run, "a" + run + "b" + run + "<|endoftext|>" + run + "c"):
+            assert ours.ids(text) == library.encode(text, add_special_tokens=False).ids
+            assert Counter(vocabulary()).count(text) == len(ours.ids(text))
+    monkeypatch.setattr(tokens, "LONG_RUN", 3)
+    monkeypatch.setattr(tokens, "_RUN", tokens.regex.compile(f"[{tokens._WHITE}]{{3,}}"))
+    for text in odd_texts():
+        assert ours.ids(text) == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_counts_equal_the_library(library):
     texts = odd_texts()
     counter = Counter(vocabulary())
