@@ -55,6 +55,9 @@ def test_toxicity_on_held_out_rows(spark):
     kept = toxicity.keep_clean(docs(spark, table), labels(spark, marks))
     assert kept.columns == docs(spark).columns
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if i < 10_000 and not r.predicted}
+    clash = docs(spark, table).selectExpr("*", "1 `a.b`", "2 `row`", "3 predicted", "cast(null as void) nothing")
+    kept = toxicity.keep_clean(clash, labels(spark, marks))
+    assert kept.columns == clash.columns and {(r.doc_id, r["a.b"], r["row"]) for r in kept.collect()} == {(i, 1, 2) for i, r in got.items() if i < 10_000 and not r.predicted}
 
 
 def test_restoring():
