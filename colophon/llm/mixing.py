@@ -18,7 +18,9 @@ mixture holds every document of every source with a weight, those of a last part
 weights follow the square root of the source sizes, and every document is ``scheduled``. With given weights ``scheduled``
 says how long all of them are met: it is false from the slot of the first whole block that some source lacks.
 
-Cases: a null source is a source of its own; equal rows take different places of the same source; a
+Each row has a key of its own, given once and written, so the order of a source doesn't depend on ids being there or being different.
+
+Cases: a null source is a source of its own; rows that are equal, without an id or of one id take different places of the same source; a
 source of weight 0, or one not named in given weights, is never scheduled; an empty table gives no rows; other
 columns are ignored.
 """
@@ -88,17 +90,24 @@ def pfair(slots: dict, frame: int = FRAME) -> list:
     return out
 
 
-def places(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, place): the documents of each source numbered from 0 in pseudo-random order."""
-    small = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"))
-    ranges = max(1, -(-small.count() // RANGE))
-    keyed = small.withColumn("h", F.xxhash64("doc_id", F.lit(11))).withColumn("range", F.pmod(F.col("h"), F.lit(ranges)))
+def places(rows: DataFrame) -> DataFrame:
+    """(doc_id, source, key, place): ``rows(doc_id, source, key)``, numbered from 0 in pseudo-random order within each source.
+
+    The order comes from the id and the row's own ``key``, so rows without an id, or of one id, are spread like all others.
+    """
+    ranges = max(1, -(-rows.count() // RANGE))
+    keyed = rows.withColumn("h", F.xxhash64("doc_id", "key", F.lit(11))).withColumn("range", F.pmod(F.col("h"), F.lit(ranges)))
     keyed = keyed.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     sizes = keyed.groupBy("source_key", "range").count()
     before = Window.partitionBy("source_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("source_key", "range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    within = F.row_number().over(Window.partitionBy("source_key", "range").orderBy("h", "doc_id"))
-    return keyed.withColumn("within", within).join(offsets, ["source_key", "range"]).select("doc_id", "source", "source_key", (F.col("offset") + F.col("within") - 1).alias("place"))
+    within = F.row_number().over(Window.partitionBy("source_key", "range").orderBy("h", "doc_id", "key"))
+    return keyed.withColumn("within", within).join(offsets, ["source_key", "range"]).select("doc_id", "source", "key", "source_key", (F.col("offset") + F.col("within") - 1).alias("place"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, key) of every row; the keys are only stable once the frame is written."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.monotonically_increasing_id().alias("key"))
 
 
 def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> DataFrame:
@@ -106,8 +115,13 @@ def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -
 
     ``weights`` maps sources (None for null) to numbers; by default the square roots of their sizes.
     """
+    return _scheduled(written(_keyed(docs), "keys"), weights, block).drop("key")
+
+
+def _scheduled(docs: DataFrame, weights: dict | None, block: int) -> DataFrame:
+    """The schedule of ``docs(doc_id, source, key)``, with the key."""
     spark = docs.sparkSession
-    sizes = {r["source"]: r["count"] for r in docs.groupBy(F.col("source").cast("string").alias("source")).count().collect()}
+    sizes = {r["source"]: r["count"] for r in docs.groupBy("source").count().collect()}
     wanted = {k: math.sqrt(n) for k, n in sizes.items()} if weights is None else {k: w for k, w in weights.items() if k in sizes}
     length = frame_size(sum(w > 0 for w in wanted.values()))
     slots = quantized(wanted, length)
@@ -125,17 +139,18 @@ def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -
     if weights is not None:
         # the slot of the first whole block that a source lacks
         scheduled &= slot < min((sizes[k] // block // slots[k] * length + at[sizes[k] // block % slots[k]] for k, at in seen.items()), default=0)
-    return numbered.join(small(calendar), ["source_key", "nth"], "left").select("doc_id", "source", F.col("block").cast("bigint").alias("block"), slot.cast("bigint").alias("slot"), scheduled.alias("scheduled"))
+    return numbered.join(small(calendar), ["source_key", "nth"], "left").select("doc_id", "source", "key", F.col("block").cast("bigint").alias("block"), slot.cast("bigint").alias("slot"), scheduled.alias("scheduled"))
 
 
 def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> DataFrame:
     """All documents of sources with a weight, with all their columns, in the order of their slots.
 
-    Rows that repeat a doc_id stand at the first of its slots. Slots are joined to the rows once, from a broadcast where their table
-    is small, and texts are dealt by ranges of slots.
+    Every row has a slot of its own, also if it has no id or another's. The rows are written once with their keys, slots are joined to them
+    by the key, from a broadcast where their table is small, and texts are dealt by ranges of slots.
     """
-    slots = schedule(docs, weights, block).filter("slot is not null").groupBy("doc_id").agg(F.min("slot").alias("slot"))
-    slots = written(slots.select(F.col("doc_id").alias("id"), "slot"), "slots")
-    rows = wrapped(docs, F.col("doc_id").cast("bigint").alias("own"))
-    joined = rows.join(bounded(slots, SLOTS), F.col("own").eqNullSafe(F.col("id")))
-    return joined.repartitionByRange("slot", "own").sortWithinPartitions("slot", "own").select(f"{ROW}.*")
+    ids = F.col("doc_id").cast("bigint").alias("own")
+    rows = written(wrapped(docs, ids, F.col("source").cast("string").alias("source"), F.monotonically_increasing_id().alias("key")), "rows")
+    slots = _scheduled(rows.select(F.col("own").alias("doc_id"), "source", "key"), weights, block).filter("slot is not null")
+    slots = written(slots.select(F.col("key").alias("of"), "slot"), "slots")
+    joined = rows.join(bounded(slots, SLOTS), F.col("key") == F.col("of"))
+    return joined.repartitionByRange("slot", "own", "key").sortWithinPartitions("slot", "own", "key").select(f"{ROW}.*")

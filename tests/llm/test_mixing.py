@@ -83,3 +83,21 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame([(2, "x", "s", "a", "b", "c", "d"), (1, "y", "t", "e", "f", "g", "h")], "doc_id bigint, text string, source string, slot string, _id string, id string, row string")
     out = mixing.mix(df)
     assert out.columns == df.columns and sorted(tuple(r) for r in out.collect()) == sorted(tuple(r) for r in df.collect())
+
+
+def test_rows_without_an_id_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE", 40)
+    table = [(i, "x", "a") for i in range(500)] + [(None, "y", "b")] * 250 + [(7, "y", "b")] * 250
+    mixed = [r.source for r in mixing.mix(docs(spark, table)).collect()]
+    assert len(mixed) == 1000
+    for n in range(1, 1001):
+        assert abs(mixed[:n].count("b") - n / 2) <= 2 * mixing.BLOCK
+    keyed = mixing._keyed(docs(spark, table).coalesce(1))
+    sizes = mixing.places(keyed).groupBy("source").agg({"place": "max"}).collect()
+    assert {r[0]: r[1] for r in sizes} == {"a": 499, "b": 499}
+
+
+def test_clashing_names_with_dots(spark):
+    df = spark.createDataFrame([(2, "x", "s", 1, 2), (None, None, None, 3, 4)], "doc_id bigint, text string, source string, `a.b` int, `key` int")
+    out = mixing.mix(df)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
