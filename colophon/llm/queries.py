@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colophon.llm import chat, lines, media, mixing, packing, quality, rules, simhash, tokens, toxicity
+from colophon.llm import chat, lines, media, mixing, packing, quality, rules, search, simhash, tokens, toxicity
 from colophon.llm.common import documents, table
 
 
@@ -58,7 +58,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabulary())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op2_token_counts, op3_toxicity, op4_quality_classifier, op5_simhash_near_dedup, op6_line_dedup, op7_mixing_sources, op8_chat_formatting, op9_quality_rules, op10_best_fit_packing)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op2_token_counts, op3_toxicity, op4_quality_classifier, op5_simhash_near_dedup, op6_line_dedup, op7_mixing_sources, op8_chat_formatting, op9_quality_rules, op10_best_fit_packing, op11_ranked_search)}
+#: A-Z made small, and no other letter; terms as runs of what isn't a sign.
+_SMALL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 ORACLES: dict[str, str] = {
     "op8_chat_formatting": r"""
         SELECT conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) turns_sha256,
@@ -68,4 +75,14 @@ ORACLES: dict[str, str] = {
         FROM (SELECT conv_id, turn, coalesce(role, '') role, coalesce(text, '') text FROM conversations
               UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
         GROUP BY conv_id""",
+    "op11_ranked_search": rf"""
+        WITH texts AS (SELECT doc_id, regexp_extract_all({_SMALL.format("text")}, '{_TERM}') AS ts FROM documents),
+        asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_SMALL.format("text")}, '{_TERM}')) AS t FROM benchmark),
+        whole AS (SELECT count(*) FILTER (len(ts) > 0)::BIGINT AS nd, coalesce(sum(len(ts)), 0)::BIGINT AS l FROM texts),
+        found AS (SELECT doc_id, len(ts)::BIGINT AS n, t, count(*) AS tf FROM (SELECT doc_id, ts, unnest(ts) AS t FROM texts) GROUP BY doc_id, ts, t),
+        weights AS (SELECT t, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM found, whole GROUP BY t, nd),
+        sums AS (SELECT item_id, doc_id, sum(w * (1000000000 * tf // (1000 * tf + 8 * (10 + 90 * n * nd // l))))::BIGINT AS score
+                 FROM asked JOIN found USING (t) JOIN weights USING (t), whole GROUP BY item_id, doc_id)
+        SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM sums WHERE score > 0
+        QUALIFY rank <= 10""",
 }
