@@ -42,29 +42,29 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most BATCH_BYTES of ``column`` (or a single longer row)."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``most`` bytes of ``column`` (or a single longer row)."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
-        if col.nbytes <= BATCH_BYTES or batch.num_rows <= 1:
+        if col.nbytes <= most or batch.num_rows <= 1:
             if batch.num_rows:
                 yield batch
             continue
         start, held = 0, 0
         for i, n in enumerate(pc.binary_length(col).to_pylist()):
             n = n or 0
-            if held and held + n > BATCH_BYTES:
+            if held and held + n > most:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n
         yield batch.slice(start)
 
 
-def arrow_map(df: DataFrame, function: Callable, schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` over batches cut to BATCH_BYTES of text."""
+def arrow_map(df: DataFrame, function: Callable, schema: T.StructType | str, most: int = BATCH_BYTES) -> DataFrame:
+    """``mapInArrow`` over batches cut to ``most`` bytes of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return function(slices(batches))
+        return function(slices(batches, most=most))
 
     return df.mapInArrow(run, schema)
 

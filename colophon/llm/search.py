@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from colophon.llm.common import arrow_map, written
 from colophon.operators.tables import bounded
 
-#: Bytes of a text whose terms are split at once.
-STEP = 4 << 20
+#: Bytes of a text whose terms are split at once, and of texts whose counts a worker holds.
+STEP, HELD = 4 << 20, 1 << 20
 #: Term buckets, and documents of one shard of a bucket.
 BUCKETS, SHARD = 64, 50_000
 #: Rows of item terms, or of weights, up to which they are broadcast.
@@ -70,7 +70,7 @@ def counted(df: DataFrame, key: str) -> DataFrame:
             lists = [pa.ListArray.from_arrays(pa.array(starts), x) for x in (terms, tfs)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.total() for c in all_], pa.int64()), *lists], names=["doc_id", "n", "terms", "tfs"])
 
-    return arrow_map(df.select(F.col(key).cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), run, _COUNTED)
+    return arrow_map(df.select(F.col(key).cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), run, _COUNTED, HELD)
 
 
 def item_terms(items: DataFrame) -> DataFrame:
