@@ -1,8 +1,7 @@
 """The decision ladder: candidate pairs of each rung, their verdicts, and a plan row for each source record.
 
 All pairs with all verdicts are computed by joins first. What is left is order: a record is compared with
-targets and with better-ranked source records that stay. Records that only meet targets, or nothing,
-don't depend on each other; the rest are decided component by component, in rank order.
+targets and with better-ranked source records that stay. ``plans.rounds`` decides that in parallel rounds.
 
 Facts come as tables: texts that pairs share, what a reader of images said of pairs of covers, machine readings of records.
 Without such a table its rungs say nothing.
@@ -12,17 +11,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colophon.operators import blocking
-from colophon.operators.components import components
 from colophon.operators.groups import placeholders
 from colophon.operators.tables import written
 from colophon.operators.verdict import cover_kind, cover_verdict, verdict, with_publishers
 from colophon.plans.answers import filled
 from colophon.plans.features import features, put_right, without_junk_isbns
+from colophon.plans.rounds import FILE, KEY, SERIES, TITLE, VARIANT, decided
 
 
 @dataclass(frozen=True)
@@ -42,8 +40,6 @@ class Options:
 
 
 PLAN = "lib string, id bigint, action string, match bigint, match_side string, why string, notes array<string>, reason string, review string, selected boolean, override boolean"
-#: Rungs in the order in which they decide.
-FILE, SERIES, KEY, VARIANT, TITLE = range(5)
 #: A text so many times longer is other content (TX10).
 LONGER = 3
 
@@ -134,109 +130,6 @@ def edges(feats: DataFrame, options: Options, texts: DataFrame | None = None, co
     return judged.select("lib", "id", "cand", "ord", "own", "rung", "weak", "same_text", F.col("v.verdict").alias("verdict"), F.col("v.why").alias("why"), F.col("v.proof").alias("proof"), "cover", kind.alias("kind"), longer.alias("longer"), foreign.alias("foreign"))
 
 
-_DECIDED = "lib string, id bigint, action string, match bigint, why string, notes array<string>, review string, override boolean"
-
-
-def _resolve(one_library: bool):
-    """Decides the records of one component in rank order (SQ1)."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        state: dict[int, str] = {}
-        rows = []
-        frame = frame.assign(ord=frame.ord.map(tuple), own=frame.own.map(tuple))
-        for (lib, key), mine in sorted(frame.groupby(["lib", "id"], sort=False), key=lambda x: x[1].own.iloc[0]):
-            live = mine[[c % 2 == 1 or state.get(c, "move") in ("move", "leave") for c in mine.cand]].sort_values(["rung", "ord"])
-            out = _Decision("leave" if one_library else "move", live).made()
-            state[key] = out[0]
-            rows.append((lib, key, *out))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in _DECIDED.split(", ")]).astype({"match": "Int64"})
-
-    return run
-
-
-class _Decision:
-    """What the ladder says of one record, given its live pairs in order."""
-
-    def __init__(self, unmatched: str, live: pd.DataFrame) -> None:
-        self.unmatched, self.live, self.notes = unmatched, [*live.itertuples(index=False)], []
-
-    def of(self, rung: int) -> list:
-        return [p for p in self.live if p.rung == rung]
-
-    def out(self, action: str, pair=None, why: str = "", review: str = "", override: bool = False) -> tuple:
-        return action, None if pair is None else int(pair.cand), why, list(dict.fromkeys(self.notes)), review, override
-
-    def without_foreign(self, pairs: list) -> list:
-        """Drops pairs in another language, and notes it."""
-        self.notes += [f"{p.cand // 2} is in another language" for p in pairs if p.foreign]
-        return [p for p in pairs if not p.foreign]
-
-    def made(self) -> tuple:
-        for p in self.of(FILE):
-            return self.out("trash", p, "same file")
-        for p in self.without_foreign(self.of(SERIES)):
-            return self.out("trash", p, "same series and number")
-        pairs = self.of(KEY) or self.of(VARIANT)
-        if pairs:
-            return self.by_key(pairs)
-        return self.by_title(self.of(TITLE))
-
-    def by_key(self, pairs: list) -> tuple:
-        """DL7-DL11c: compares all, and again without a copy that is a duplicate in another language."""
-        first = pairs[0]
-        while pairs:
-            what, p, why, review, override, content = self.compared(pairs)
-            if what == "distinct":
-                return self.out(self.unmatched, pairs[0], "different")
-            if what == "unknown":
-                return self.out("leave", pairs[0], why)
-            if content or not p.foreign:
-                person = "authors matched by the surname only" if p.weak and not content and not p.proof else ""
-                return self.out("trash", p, why, "; ".join(x for x in (review, person) if x), override)
-            self.notes.append(f"{p.cand // 2} is in another language")
-            pairs = [x for x in pairs if x is not p]
-        return self.out(self.unmatched, first, "different")
-
-    def compared(self, pairs: list) -> tuple:
-        """(duplicate, unknown or distinct, pair, why, review, overriding, by its content)."""
-        for p in pairs:
-            if p.verdict == "duplicate":
-                return "duplicate", p, p.why, "", False, False
-        for p in pairs:
-            if p.same_text:
-                return "duplicate", p, "same text", "", p.verdict == "distinct", True
-        open_, unsure = [], []
-        for p in pairs:
-            if p.kind is None or p.kind != p.kind:
-                continue
-            if p.cover == "same":
-                return "duplicate", p, "same cover", "by the covers: compare them", p.verdict == "distinct", False
-            if p.kind == "open" and p.cover == "unclear":
-                open_.append(p)
-            elif p.kind in ("open", "incomparable") or p.kind == "weak" and p.cover != "different":
-                unsure.append(p)
-        for p in open_:
-            if not p.longer:
-                return "duplicate", p, "nothing tells them apart", "no edition: compare them", False, False
-            unsure.append(p)
-        if unsure or any(p.verdict == "unknown" for p in pairs):
-            return "unknown", pairs[0], "to check", "", False, False
-        return "distinct", pairs[0], "different", "", False, False
-
-    def by_title(self, pairs: list) -> tuple:
-        """DL12: only proof makes a duplicate of a similar title; a difference, another cover or language rules it out."""
-        if not pairs:
-            return self.out(self.unmatched, None, "nothing like it")
-        for p in pairs:
-            if p.same_text or p.proof and not p.foreign:
-                return self.out("trash", p, "similar title, proved")
-        for p in pairs:
-            if p.cover == "same" and p.verdict != "distinct" and not p.foreign:
-                return self.out("trash", p, "similar title, same cover", "by the covers: compare them")
-        left = [p for p in pairs if p.verdict != "distinct" and p.cover != "different" and not p.foreign]
-        return self.out("leave", left[0], "similar title") if left else self.out(self.unmatched, pairs[0], "different")
-
-
 def _readings(feats: DataFrame, answers: DataFrame | None) -> DataFrame:
     """DL9, AI4, PF2: what machine readings ``answers(lib, side, id, publisher, edition, year, isbns)`` say fills what the records lack."""
     if answers is None:
@@ -258,13 +151,9 @@ def plan(books: DataFrame, options: Options | None = None, texts: DataFrame | No
     feats = written(ranked(_readings(without_junk_isbns(features(books, options.same_series)), answers)), "features")
     usable = feats.filter("side = 'target' or (size(formats) > 0 and title_key <> '' and size(authors_key) > 0)")
     found = written(edges(usable, options, texts, covers), "edges")
-    # a component is named by its smallest key; libraries don't mix, as ids are told apart by a hash of the library
-    node = lambda c: F.xxhash64("lib", c)
-    parts = components(found.filter("cand % 2 = 0").select(node("id").alias("a"), node("cand").alias("b")))
-    grouped = found.withColumn("node", node("id")).join(parts, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("node", "root")
-    decided = written(grouped.groupBy("part").applyInPandas(_resolve(options.one_library), _DECIDED), "decided")
+    made = decided(found, "leave" if options.one_library else "move")
     source = feats.filter("side = 'source' and chosen")
-    rows = source.join(decided, ["lib", "id"], "left")
+    rows = source.join(made, ["lib", "id"], "left")
     unlike = F.lit("leave" if options.one_library else "move")
     no_file, closed = F.size("all_formats") == 0, F.size("formats") == 0
     held = (F.col("title_key") == "") | (F.size("authors_key") == 0)

@@ -44,4 +44,4 @@ def values_sql(rows: list[tuple], names: str, casts: str = "*") -> str:
     return f"SELECT {casts} FROM (VALUES {body}) t({names})"
 
 
-from colophon.queries import answers, catalogue, documents, logs, scalars, upkeep  # noqa: E402, F401
+from colophon.queries import answers, catalogue, documents, logs, scalars, shelves, upkeep  # noqa: E402, F401
