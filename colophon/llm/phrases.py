@@ -1,14 +1,14 @@
 """Phrase collocation mining by count tries of limited depth.
 
-1. A shard is WORDS words of whole texts, in order, with marks where pieces end. Its words get numbers in byte order, and the windows of
-   up to three words become whole numbers that sort like the paths of a trie; runs of equal ones are the trie's counted nodes. A shard's
-   trie is serialised as its sorted nodes, one row each: lang, w1, w2, w3 (null below the node's depth), count.
-2. The tries are written, dealt by ranges of prefixes (lang, w1, w2) and merged: Spark merges the sorted runs of a range, and
+1. A map of BITS bits says which words, pairs and triples may occur ``least`` times: every worker adds up its words' windows in a table of
+   BITS small counters by a hash, the tables are summed block by block, and a bit is set where the sum is high enough. Windows that
+   share a counter make a bit more, never one less, so what isn't in the map can't be frequent. The map's size doesn't depend on the corpus.
+2. A shard is WORDS words of whole texts, in order, with marks where pieces end. Its words get numbers in byte order, and the windows in
+   the map, of up to three words, become whole numbers that sort like the paths of a trie; runs of equal ones are the trie's counted
+   nodes. A shard's trie is serialised as its sorted nodes, one row each: lang, w1, w2, w3 (null below the node's depth), count.
+3. The tries are written, dealt by ranges of prefixes (lang, w1, w2) and merged: Spark merges the sorted runs of a range, and
    a streaming pass sums equal paths and keeps what occurs ``least`` times. A prefix that is too common for one range spans several.
-3. The first tries have two levels. A phrase of three words can't occur more often than the pairs in it, so the second
-   tries only hold windows whose two pairs are in a bitmap of the frequent pairs. The bitmap has BITS bits whatever the corpus is;
-   a pair that is in it by chance costs a row and changes no count.
-4. Frequent nodes of all levels are walked in trie order: the path from the root gives every node the counts of its left
+4. The frequent nodes are walked in trie order: the path from the root gives every node the counts of its left
    parts. Where a range begins inside a subtree, the count of its first word is looked up, one for each range. Suffix
    links, joins on the path without its first words, give the counts of the right parts.
 5. A candidate's lowest-scoring cut counts. Pairs that a frequent longer phrase covers are dropped by the largest count of such
@@ -39,8 +39,8 @@ from colophon.operators.tables import bounded
 WORDS = 2_000_000
 #: Bytes of a text that are split at once.
 STEP = 8 << 20
-#: Bits of the map of frequent pairs.
-BITS = 1 << 25
+#: Bits of the map of what may be frequent (counters of one byte while it is made), and counters of one block of it.
+BITS, BLOCK = 1 << 25, 1 << 18
 #: Rows of frequent nodes, or of what is looked up in them, up to which they are broadcast.
 SMALL = 500_000
 
@@ -66,21 +66,50 @@ def _hashes(words: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
 
 
-def pair_bits(lang: str, first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
-    """The pairs' places in a bitmap of so many bits, from the words' hashes."""
-    with np.errstate(over="ignore"):
-        h = (first * np.uint64(0x9E3779B97F4A7C15)) ^ (second + np.uint64(xxhash.xxh3_64_intdigest(lang.encode())))
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    return (h >> np.uint64(32)) % np.uint64(bits)
+class Windows:
+    """The windows of one to three words of one lang in a shard: where they begin, and their places in a map."""
+
+    def __init__(self, lang: str, codes: np.ndarray, begin: np.ndarray, words: pa.Array, hashes: np.ndarray, bits: int) -> None:
+        self.lang, self.codes, self.words, self.hashes, self.bits = lang, codes, words, hashes, bits
+        end = pc.index(words, pa.scalar(_END, pa.binary())).as_py()
+        self.at = [begin[codes[begin] != end]]
+        for k in (1, 2):
+            at = self.at[-1][self.at[-1] + k < len(codes)]
+            self.at.append(at[codes[at + k] != end])
+
+    def places(self, k: int) -> np.ndarray:
+        """Places in the map of the windows of k + 1 words."""
+        with np.errstate(over="ignore"):
+            h = np.full(len(self.at[k]), xxhash.xxh3_64_intdigest(self.lang.encode(), k), np.uint64)
+            for j in range(k + 1):
+                h = (h ^ self.hashes[self.codes[self.at[k] + j]]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(32)
+        return h % np.uint64(self.bits)
+
+    def nodes(self, k: int, chosen: np.ndarray) -> pa.RecordBatch:
+        """The sorted distinct windows of k + 1 words among the chosen ones, with their counts."""
+        width, at = len(self.words).bit_length(), self.at[k][chosen]
+        path = np.zeros(len(at), np.int64)
+        for j in range(k + 1):
+            path = (path << width) | self.codes[at + j]
+        path, counts = np.unique(path, return_counts=True)
+        mask = (1 << width) - 1
+        return self.rows(counts, [(path >> (width * (k - j))) & mask for j in range(k + 1)])
+
+    def rows(self, counts: np.ndarray, paths: list[np.ndarray]) -> pa.RecordBatch:
+        n = len(counts)
+        columns = [self.words.take(pa.array(p)).cast(pa.string()) for p in paths]
+        columns += [pa.nulls(n, pa.string())] * (3 - len(columns))
+        return pa.RecordBatch.from_arrays([pa.array([self.lang], pa.string()).take(pa.array(np.zeros(n, np.int64))), *columns, pa.array(counts, pa.int64())], names=_NAMES)
 
 
 class Shard:
-    """Collects words of texts and gives the sorted nodes of their trie, ``most`` words at a time."""
+    """Collects words of texts and gives the windows of each lang among them, ``most`` words at a time."""
 
-    def __init__(self, frequent: np.ndarray | None, most: int) -> None:
-        self.frequent, self.most, self.parts, self.langs, self.held = frequent, most, [], {}, 0
+    def __init__(self, most: int, bits: int) -> None:
+        self.most, self.bits, self.parts, self.langs, self.held = most, bits, [], {}, 0
 
-    def add(self, lang: str, words: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def add(self, lang: str, words: list[bytes]) -> Iterator[Windows]:
         for at in range(0, len(words), self.most):
             part = words[at : at + self.most]
             self.parts.append((self.langs.setdefault(lang, len(self.langs)), pa.array(part, pa.binary())))
@@ -88,11 +117,8 @@ class Shard:
             while self.held >= self.most:
                 yield from self.flush(2)
 
-    def end_text(self, lang: str) -> Iterator[pa.RecordBatch]:
-        yield from self.add(lang, [_END])
-
-    def flush(self, keep: int = 0) -> Iterator[pa.RecordBatch]:
-        """The nodes of all windows that begin before the last ``keep`` words, which stay for the next shard."""
+    def flush(self, keep: int = 0) -> Iterator[Windows]:
+        """All windows that begin before the last ``keep`` words, which stay for the next shard."""
         if self.held <= keep:
             return
         words = pa.chunked_array([p for _, p in self.parts], pa.binary()).combine_chunks().dictionary_encode()
@@ -101,63 +127,72 @@ class Shard:
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         codes, sorted_words = rank[words.indices.to_numpy()], words.dictionary.take(pa.array(order))
-        end = pc.index(sorted_words, pa.scalar(_END, pa.binary())).as_py()
         stop = len(codes) - keep
-        hashes = _hashes(sorted_words) if self.frequent is not None else None
-        for name, n in self.langs.items():
-            yield from self._nodes(name, codes, np.flatnonzero(lang[:stop] == n), end, sorted_words, hashes)
-        names = list(self.langs)
+        hashes, names = _hashes(sorted_words), list(self.langs)
         rest = [(names[lang[i]], sorted_words[int(codes[i])].as_py()) for i in range(stop, len(codes))]
-        self.langs, self.held = {}, len(rest)
+        self.parts, self.langs, self.held = [], {}, len(rest)
+        for n, name in enumerate(names):
+            yield Windows(name, codes, np.flatnonzero(lang[:stop] == n), sorted_words, hashes, self.bits)
         self.parts = [(self.langs.setdefault(name, len(self.langs)), pa.array([w], pa.binary())) for name, w in rest]
 
-    def _nodes(self, lang: str, codes: np.ndarray, begin: np.ndarray, end: int, words: pa.Array, hashes: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        begin = begin[codes[begin] != end]
-        size, width = len(codes), len(words).bit_length()
-        second = begin[begin + 1 < size]
-        second = second[codes[second + 1] != end]
-        if hashes is None:
-            yield self._rows(lang, np.array([len(begin)], np.int64), [])
-            yield self._rows(lang, *self._counted([codes[begin]], width), words=words)
-            yield self._rows(lang, *self._counted([codes[second], codes[second + 1]], width), words=words)
-            return
-        third = second[second + 2 < size]
-        third = third[codes[third + 2] != end]
-        for k in (0, 1):
-            at = pair_bits(lang, hashes[codes[third + k]], hashes[codes[third + k + 1]], 8 * len(self.frequent))
-            third = third[(self.frequent[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-        yield self._rows(lang, *self._counted([codes[third + k] for k in range(3)], width), words=words)
-
-    @staticmethod
-    def _counted(levels: list[np.ndarray], width: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Sorted distinct paths and their counts."""
-        path = levels[0].copy()
-        for x in levels[1:]:
-            path = (path << width) | x
-        path, counts = np.unique(path, return_counts=True)
-        mask = (1 << width) - 1
-        return counts.astype(np.int64), [(path >> (width * (len(levels) - 1 - k))) & mask for k in range(len(levels))]
 
-    @staticmethod
-    def _rows(lang: str, counts: np.ndarray, paths: list[np.ndarray], words: pa.Array | None = None) -> pa.RecordBatch:
-        n = len(counts)
-        columns = [words.take(pa.array(p)).cast(pa.string()) for p in paths]
-        columns += [pa.nulls(n, pa.string())] * (3 - len(columns))
-        return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(n, np.int64))), *columns, pa.array(counts)], names=_NAMES)
+def _windows(batches: Iterator[pa.RecordBatch], words: int, bits: int) -> Iterator[Windows]:
+    """The windows of a worker's texts, shard by shard."""
+    shard = Shard(words, bits)
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for part in words_of(text):
+                yield from shard.add(lang, part)
+            yield from shard.add(lang, [_END])
+    yield from shard.flush()
+
+
+def frequent(texts: DataFrame, least: int, words: int = WORDS, bits: int = BITS) -> np.ndarray:
+    """The map, as packed bits: set for all that occurs ``least`` times. Only the map itself reaches the driver."""
+    block = min(BLOCK, bits)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, used = np.zeros(bits, np.uint8), False
+        for part in _windows(batches, words, bits):
+            used = True
+            for k in range(3):
+                at, n = np.unique(part.places(k), return_counts=True)
+                table[at] = np.minimum(255, table[at] + n)
+        for k in range(bits // block if used else 0):
+            counts = table[k * block : (k + 1) * block]
+            at = np.flatnonzero(counts).astype(np.uint32)
+            # few counters go with their places, many as they stand
+            some = (at, counts[at]) if 5 * len(at) < block else (at[:0], counts)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in some)], names=["k", "at", "counts"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, at, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                own = sums.setdefault(k, np.zeros(block, np.uint8))
+                at, more = np.frombuffer(at.as_buffer(), np.uint32), np.frombuffer(counts.as_buffer(), np.uint8)
+                to = at if len(more) < block else slice(None)
+                own[to] = np.minimum(255, own[to].astype(np.uint16) + more)
+        for k, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.packbits(x >= min(least, 255), bitorder="little").tobytes()], pa.binary())], names=["k", "bits"])
+
+    out = np.zeros(bits // 8, np.uint8)
+    for k, x in arrow_map(texts, counted, "k bigint, at binary, counts binary").repartition("k").mapInArrow(summed, "k bigint, bits binary").collect():
+        out[k * block // 8 : (k + 1) * block // 8] = np.frombuffer(x, np.uint8)
+    return out
 
 
-def tries(texts: DataFrame, frequent: np.ndarray | None = None, words: int = WORDS) -> DataFrame:
-    """NODE rows of the tries of all shards: one and two words and the sum of each lang; with a map of frequent pairs, three words."""
-    sent = texts.sparkSession.sparkContext.broadcast(frequent)
+def tries(texts: DataFrame, may: np.ndarray, words: int = WORDS) -> DataFrame:
+    """NODE rows of the tries of all shards: windows in the map ``may``, and for each lang the number of its words."""
+    sent = texts.sparkSession.sparkContext.broadcast(may)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard(sent.value, words)
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for part in words_of(text):
-                    yield from shard.add(lang, part)
-                yield from shard.end_text(lang)
-        yield from shard.flush()
+        bits = sent.value
+        for part in _windows(batches, words, 8 * len(bits)):
+            yield part.rows(np.array([len(part.at[0])]), [])
+            for k in range(3):
+                at = part.places(k)
+                yield part.nodes(k, (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1)
 
     return arrow_map(texts, run, NODE)
 
@@ -198,26 +233,6 @@ def merged(nodes: DataFrame, least: int) -> DataFrame:
     return nodes.repartitionByRange(*prefix).sortWithinPartitions(*prefix, "w3").mapInArrow(run, NODE)
 
 
-def frequent_pairs(nodes: DataFrame, bits: int = BITS) -> np.ndarray:
-    """The bitmap of the pairs among frequent nodes; at most ``bits`` / 64 numbers reach the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            first, second = _hashes(batch.column(1).cast(pa.binary())), _hashes(batch.column(2).cast(pa.binary()))
-            langs = batch.column(0).dictionary_encode()
-            at, codes = np.zeros(batch.num_rows, np.uint64), langs.indices.to_numpy()
-            for k, lang in enumerate(langs.dictionary.to_pylist()):
-                mine = codes == k
-                at[mine] = pair_bits(lang, first[mine], second[mine], bits)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64))], names=["at"])
-
-    at = nodes.filter("w2 is not null and w3 is null").mapInArrow(run, "at bigint")
-    longs = at.groupBy(F.shiftright("at", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[longs.column("k").to_numpy()] = longs.column("bits").to_numpy()
-    return out.view(np.uint8)
-
-
 def walked(nodes: DataFrame) -> DataFrame:
     """NODE with ``l1`` and ``l2``, the counts of the first word and of the first two, from a walk in trie order.
 
@@ -251,15 +266,14 @@ def collocations(docs: DataFrame, least: int = 10, covered: int = 50, top: int =
     """lang, rank, phrase, a, l, r, n, score: the first ``top`` phrases of two or three words of each lang.
 
     Candidates occur at least ``least`` times; one goes if a longer candidate that holds it has at least ``covered`` percent of its occurrences.
-    ``words`` (at most 2**21) bounds a shard, ``bits`` (a multiple of 64) the map of pairs; neither changes the result.
+    ``words`` (at most 2**21) bounds a shard, ``bits`` (a multiple of 8) the map; neither changes the result.
     """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    short = written(merged(written(tries(texts, words=words), "tries"), least), "nodes")
-    long = written(merged(written(tries(texts, frequent_pairs(short, bits), words), "tries"), least), "nodes")
-    sums, nodes = short.filter("w1 is null").select("lang", F.col("f").alias("n")), short.filter("w1 is not null").union(long)
+    all_ = written(merged(written(tries(texts, frequent(texts, least, words, bits), words), "tries"), least), "nodes")
+    sums, nodes = all_.filter("w1 is null").select("lang", F.col("f").alias("n")), all_.filter("w1 is not null")
     walk = written(walked(nodes), "walked")
     ones = walk.filter("w2 is null").select("lang", F.col("w1").alias("w"), F.col("f").alias("g"))
-    pairs = walk.filter("w2 is not null and w3 is null")
+    pairs = nodes.filter("w2 is not null and w3 is null")
     # a range's first word whose node is in an earlier range
     open_ = written(walk.filter("w2 is not null and l1 is null").select("lang", F.col("w1").alias("w")).distinct(), "open")
     known = written(open_.join(ones, ["lang", "w"]).select(F.col("lang").alias("lang_"), "w", "g"), "open")
@@ -271,7 +285,7 @@ def collocations(docs: DataFrame, least: int = 10, covered: int = 50, top: int =
     twos = joined.filter("w3 is null").withColumn("r2", F.lit(None).cast("bigint"))
     threes = joined.filter("w3 is not null").join(last, (F.col("lang") == F.col("lang_")) & (F.col("w3") == F.col("w"))).drop("lang_", "w")
     # pairs that a longer candidate covers
-    within = long.select("lang", F.explode(F.array(F.struct("w1", "w2"), F.struct(F.col("w2").alias("w1"), F.col("w3").alias("w2")))).alias("p"), "f").groupBy("lang", "p").agg(F.max("f").alias("over"))
+    within = nodes.filter("w3 is not null").select("lang", F.explode(F.array(F.struct("w1", "w2"), F.struct(F.col("w2").alias("w1"), F.col("w3").alias("w2")))).alias("p"), "f").groupBy("lang", "p").agg(F.max("f").alias("over"))
     gone = pairs.join(within.select(F.col("lang").alias("lang_"), F.col("p.w1").alias("g1"), F.col("p.w2").alias("g2"), "over"), (F.col("lang") == F.col("lang_")) & (F.col("w1") == F.col("g1")) & (F.col("w2") == F.col("g2"))).filter(100 * F.col("over") >= covered * F.col("f")).select("lang", "w1", "w2")
     found = twos.join(gone, ["lang", "w1", "w2"], "left_anti").unionByName(threes)
     scored = found.withColumn("x", F.expr(_score("f", "l1", "r1"))).withColumn("y", F.when(F.col("w3").isNotNull(), F.expr(_score("f", "l2", "r2"))))
