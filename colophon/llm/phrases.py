@@ -1,14 +1,14 @@
 """Phrase collocation mining by count tries of limited depth.
 
-1. A map of BITS bits says which words, pairs and triples may occur ``least`` times: every worker adds up its words' windows in a table of
-   BITS small counters by a hash, the tables are summed block by block, and a bit is set where the sum is high enough. Windows that
-   share a counter make a bit more, never one less, so what isn't in the map can't be frequent. The map's size doesn't depend on the corpus.
-2. A shard is WORDS words of whole texts, in order, with marks where pieces end. Its words get numbers in byte order, and the windows in
-   the map, of up to three words, become whole numbers that sort like the paths of a trie; runs of equal ones are the trie's counted
-   nodes. A shard's trie is serialised as its sorted nodes, one row each: lang, w1, w2, w3 (null below the node's depth), count.
-3. The tries are written, dealt by ranges of prefixes (lang, w1, w2) and merged: Spark merges the sorted runs of a range, and
-   a streaming pass sums equal paths and keeps what occurs ``least`` times. A prefix that is too common for one range spans several.
-4. The frequent nodes are walked in trie order: the path from the root gives every node the counts of its left
+1. A shard is WORDS words of whole texts, in order, with marks where pieces end. Its words get numbers in byte order, and the windows of
+   one or two words become whole numbers that sort like the paths of a trie; runs of equal ones are the trie's counted nodes.
+2. A shard's trie is serialised sorted, in blocks of NODES nodes with a dictionary of their words, and written. Prefix ranges of about RANGE nodes
+   each are cut from the blocks' first paths; a prefix that is too common for one range spans several. Every block goes to the ranges
+   that it has nodes of, and a task merges the sorted blocks of a range and keeps what occurs ``least`` times.
+3. A phrase of three words can't occur more often than the pairs in it, so the second tries, of three levels, only hold windows whose
+   two pairs are in a bitmap of the frequent pairs. The bitmap has BITS bits whatever the corpus is; a pair that is in it by chance
+   costs a node and changes no count.
+4. Frequent nodes of all levels are walked in trie order: the path from the root gives every node the counts of its left
    parts. Where a range begins inside a subtree, the count of its first word is looked up, one for each range. Suffix
    links, joins on the path without its first words, give the counts of the right parts.
 5. A candidate's lowest-scoring cut counts. Pairs that a frequent longer phrase covers are dropped by the largest count of such
@@ -23,6 +23,7 @@ ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +36,14 @@ from pyspark.sql import functions as F
 from colophon.llm.common import arrow_map, written
 from colophon.operators.tables import bounded
 
-#: Words of one shard's trie; three of their numbers fit into 63 bits.
+#: Words of one shard's trie, at most; three of their numbers fit into 63 bits.
 WORDS = 2_000_000
 #: Bytes of a text that are split at once.
 STEP = 8 << 20
-#: Bits of the map of what may be frequent (counters of one byte while it is made), and counters of one block of it.
-BITS, BLOCK = 1 << 25, 1 << 18
+#: Nodes of a block, and of a prefix range about; first paths of blocks that are looked at for each range.
+NODES, RANGE, LOOKED_AT = 8192, 1_000_000, 50
+#: Bits of the map of frequent pairs.
+BITS = 1 << 25
 #: Rows of frequent nodes, or of what is looked up in them, up to which they are broadcast.
 SMALL = 500_000
 
@@ -66,48 +69,83 @@ def _hashes(words: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
 
 
+def pair_bits(lang: str, first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
+    """The pairs' places in a bitmap of so many bits, from the words' hashes."""
+    with np.errstate(over="ignore"):
+        h = (first * np.uint64(0x9E3779B97F4A7C15)) ^ (second + np.uint64(xxhash.xxh3_64_intdigest(lang.encode())))
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return (h >> np.uint64(32)) % np.uint64(bits)
+
+
+def _counted(path: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct paths and their (summed) counts."""
+    if not len(path):
+        return path, np.zeros(0, np.int64)
+    order = np.argsort(path, kind="stable") if counts is not None else None
+    path = np.sort(path) if counts is None else path[order]
+    starts = np.concatenate([[0], 1 + np.flatnonzero(path[1:] != path[:-1])])
+    sums = np.diff(np.append(starts, len(path))) if counts is None else np.add.reduceat(counts[order], starts)
+    return path[starts], sums.astype(np.int64)
+
+
 class Windows:
-    """The windows of one to three words of one lang in a shard: where they begin, and their places in a map."""
+    """The windows of one lang in a shard: where they begin, and the trie of some of them."""
 
-    def __init__(self, lang: str, codes: np.ndarray, begin: np.ndarray, words: pa.Array, hashes: np.ndarray, bits: int) -> None:
-        self.lang, self.codes, self.words, self.hashes, self.bits = lang, codes, words, hashes, bits
+    def __init__(self, lang: str, codes: np.ndarray, begin: np.ndarray, words: pa.Array) -> None:
+        self.lang, self.codes, self.words = lang, codes, words
         end = pc.index(words, pa.scalar(_END, pa.binary())).as_py()
         self.at = [begin[codes[begin] != end]]
         for k in (1, 2):
             at = self.at[-1][self.at[-1] + k < len(codes)]
             self.at.append(at[codes[at + k] != end])
 
-    def places(self, k: int) -> np.ndarray:
-        """Places in the map of the windows of k + 1 words."""
-        with np.errstate(over="ignore"):
-            h = np.full(len(self.at[k]), xxhash.xxh3_64_intdigest(self.lang.encode(), k), np.uint64)
-            for j in range(k + 1):
-                h = (h ^ self.hashes[self.codes[self.at[k] + j]]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(32)
-        return h % np.uint64(self.bits)
-
-    def nodes(self, k: int, chosen: np.ndarray) -> pa.RecordBatch:
-        """The sorted distinct windows of k + 1 words among the chosen ones, with their counts."""
-        width, at = len(self.words).bit_length(), self.at[k][chosen]
-        path = np.zeros(len(at), np.int64)
-        for j in range(k + 1):
-            path = (path << width) | self.codes[at + j]
-        path, counts = np.unique(path, return_counts=True)
-        mask = (1 << width) - 1
-        return self.rows(counts, [(path >> (width * (k - j))) & mask for j in range(k + 1)])
-
-    def rows(self, counts: np.ndarray, paths: list[np.ndarray]) -> pa.RecordBatch:
-        n = len(counts)
-        columns = [self.words.take(pa.array(p)).cast(pa.string()) for p in paths]
-        columns += [pa.nulls(n, pa.string())] * (3 - len(columns))
-        return pa.RecordBatch.from_arrays([pa.array([self.lang], pa.string()).take(pa.array(np.zeros(n, np.int64))), *columns, pa.array(counts, pa.int64())], names=_NAMES)
+    def pairs(self) -> pa.RecordBatch:
+        """The trie of one and two words."""
+        one, two = self.at[:2]
+        w = len(self.words).bit_length()
+        path = np.concatenate([self.codes[one] << w, (self.codes[two] << w) | (self.codes[two + 1] + 1)])
+        path, counts = _counted(path)
+        return blocks(self.lang, [path >> w, path & ((1 << w) - 1)], counts, self.words)
+
+    def triples(self, frequent: np.ndarray) -> pa.RecordBatch:
+        """The trie of three words, without windows of pairs that aren't in the map."""
+        at, w, hashes = self.at[2], len(self.words).bit_length(), _hashes(self.words)
+        for k in (0, 1):
+            place = pair_bits(self.lang, hashes[self.codes[at + k]], hashes[self.codes[at + k + 1]], 8 * len(frequent))
+            at = at[(frequent[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+        path, counts = _counted((self.codes[at] << (2 * w)) | (self.codes[at + 1] + 1) << w | (self.codes[at + 2] + 1))
+        mask = (1 << w) - 1
+        return blocks(self.lang, [path >> (2 * w), (path >> w) & mask, path & mask], counts, self.words)
+
+
+_BLOCK = ["lang", "first", "last", "n", "words", "codes", "counts"]
+BLOCK = "lang string, first array<binary>, last array<binary>, n bigint, words binary, codes binary, counts binary"
+_KINDS = [pa.string(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def blocks(lang: str, levels: list[np.ndarray], counts: np.ndarray, words: pa.Array) -> pa.RecordBatch:
+    """Sorted nodes in blocks: first and last path, number of nodes, words in order, and each node's codes (0 for none, else from 1) and count.
+
+    ``levels`` has the first words' numbers as they stand, and those of other words beside 1 for none.
+    """
+    rows = []
+    for at in range(0, len(counts), NODES):
+        part = [levels[0][at : at + NODES], *(x[at : at + NODES] - 1 for x in levels[1:])]
+        used, codes = np.unique(np.concatenate(part), return_inverse=True)
+        codes = codes.reshape(len(part), -1).astype(np.int32)
+        if used[0] >= 0:
+            codes += 1
+        names = words.take(pa.array(used[used >= 0])).to_pylist()
+        path = lambda i: [names[c - 1] for c in codes[:, i] if c]  # noqa: E731, B023
+        rows.append((lang, path(0), path(-1), codes.shape[1], b" ".join(names), codes.tobytes(), counts[at : at + NODES].tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, _KINDS, strict=True)], names=_BLOCK)
 
 
 class Shard:
     """Collects words of texts and gives the windows of each lang among them, ``most`` words at a time."""
 
-    def __init__(self, most: int, bits: int) -> None:
-        self.most, self.bits, self.parts, self.langs, self.held = most, bits, [], {}, 0
+    def __init__(self, most: int) -> None:
+        self.most, self.parts, self.langs, self.held = most, [], {}, 0
 
     def add(self, lang: str, words: list[bytes]) -> Iterator[Windows]:
         for at in range(0, len(words), self.most):
@@ -128,17 +166,17 @@ class Shard:
         rank[order] = np.arange(len(order))
         codes, sorted_words = rank[words.indices.to_numpy()], words.dictionary.take(pa.array(order))
         stop = len(codes) - keep
-        hashes, names = _hashes(sorted_words), list(self.langs)
+        names = list(self.langs)
         rest = [(names[lang[i]], sorted_words[int(codes[i])].as_py()) for i in range(stop, len(codes))]
         self.parts, self.langs, self.held = [], {}, len(rest)
         for n, name in enumerate(names):
-            yield Windows(name, codes, np.flatnonzero(lang[:stop] == n), sorted_words, hashes, self.bits)
+            yield Windows(name, codes, np.flatnonzero(lang[:stop] == n), sorted_words)
         self.parts = [(self.langs.setdefault(name, len(self.langs)), pa.array([w], pa.binary())) for name, w in rest]
 
 
-def _windows(batches: Iterator[pa.RecordBatch], words: int, bits: int) -> Iterator[Windows]:
+def _windows(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[Windows]:
     """The windows of a worker's texts, shard by shard."""
-    shard = Shard(words, bits)
+    shard = Shard(words)
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for part in words_of(text):
@@ -147,90 +185,116 @@ def _windows(batches: Iterator[pa.RecordBatch], words: int, bits: int) -> Iterat
     yield from shard.flush()
 
 
-def frequent(texts: DataFrame, least: int, words: int = WORDS, bits: int = BITS) -> np.ndarray:
-    """The map, as packed bits: set for all that occurs ``least`` times. Only the map itself reaches the driver."""
-    block = min(BLOCK, bits)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, used = np.zeros(bits, np.uint8), False
-        for part in _windows(batches, words, bits):
-            used = True
-            for k in range(3):
-                at, n = np.unique(part.places(k), return_counts=True)
-                table[at] = np.minimum(255, table[at] + n)
-        for k in range(bits // block if used else 0):
-            counts = table[k * block : (k + 1) * block]
-            at = np.flatnonzero(counts).astype(np.uint32)
-            # few counters go with their places, many as they stand
-            some = (at, counts[at]) if 5 * len(at) < block else (at[:0], counts)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in some)], names=["k", "at", "counts"])
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, at, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                own = sums.setdefault(k, np.zeros(block, np.uint8))
-                at, more = np.frombuffer(at.as_buffer(), np.uint32), np.frombuffer(counts.as_buffer(), np.uint8)
-                to = at if len(more) < block else slice(None)
-                own[to] = np.minimum(255, own[to].astype(np.uint16) + more)
-        for k, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.packbits(x >= min(least, 255), bitorder="little").tobytes()], pa.binary())], names=["k", "bits"])
-
-    out = np.zeros(bits // 8, np.uint8)
-    for k, x in arrow_map(texts, counted, "k bigint, at binary, counts binary").repartition("k").mapInArrow(summed, "k bigint, bits binary").collect():
-        out[k * block // 8 : (k + 1) * block // 8] = np.frombuffer(x, np.uint8)
-    return out
+def tries(texts: DataFrame, frequent: np.ndarray | None = None, words: int = WORDS) -> DataFrame:
+    """BLOCK rows of all shards: one and two words, and for each lang a row without nodes whose ``n`` is its number of words; with a map, three words."""
+    sent = texts.sparkSession.sparkContext.broadcast(frequent)
 
-
-def tries(texts: DataFrame, may: np.ndarray, words: int = WORDS) -> DataFrame:
-    """NODE rows of the tries of all shards: windows in the map ``may``, and for each lang the number of its words."""
-    sent = texts.sparkSession.sparkContext.broadcast(may)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _windows(batches, words):
+            if sent.value is not None:
+                yield part.triples(sent.value)
+                continue
+            yield part.pairs()
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((part.lang, None, None, len(part.at[0]), None, None, None), _KINDS, strict=True)], names=_BLOCK)
+
+    return arrow_map(texts, run, BLOCK)
+
+
+def _merged(lang: str, parts: list[tuple], low: tuple, high: tuple | None, least: int) -> pa.RecordBatch:
+    """The nodes of one lang in a range of paths, from ``low`` to before ``high``: sums over all blocks, from ``least`` on."""
+    names = [w for p in parts for w in p[0].split(b" ")]
+    words = pa.array(names, pa.binary()).dictionary_encode()
+    order = pc.array_sort_indices(words.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(1, len(order) + 1)
+    own = rank[words.indices.to_numpy()]
+    levels, start = [], 0
+    for spelled, codes, _ in parts:
+        n = spelled.count(b" ") + 1
+        table = np.concatenate([[0], own[start : start + n]])
+        levels.append(table[np.frombuffer(codes, np.int32)])
+        start += n
+    sizes = [len(c) // 8 for _, _, c in parts]
+    depth = len(levels[0]) // sizes[0]
+    columns = [np.concatenate([x[k * n : (k + 1) * n] for x, n in zip(levels, sizes, strict=True)]) for k in range(depth)]
+    counts = np.concatenate([np.frombuffer(c, np.int64) for _, _, c in parts])
+    width = len(order).bit_length()
+    head, at = np.unique((columns[0] << width) | columns[1], return_inverse=True)
+    path, sums = _counted(at if depth == 2 else (at << width) | columns[2], counts)
+    first, third = (path, np.zeros(len(path), np.int64)) if depth == 2 else (path >> width, path & ((1 << width) - 1))
+    codes = [head[first] >> width, head[first] & ((1 << width) - 1), third]
+    sorted_words = words.dictionary.take(pa.array(order))
+
+    def key(i: int) -> tuple:
+        return (lang, *(sorted_words[int(c[i]) - 1].as_py() if c[i] else b"" for c in codes))
+
+    begin = bisect_left(range(len(path)), low, key=key)
+    stop = len(path) if high is None else bisect_left(range(len(path)), high, key=key)
+    at = begin + np.flatnonzero(sums[begin:stop] >= least)
+    spelled = [sorted_words.take(pa.array(np.where(c[at] > 0, c[at] - 1, 0), mask=c[at] == 0)).cast(pa.string()) for c in codes]
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), *spelled, pa.array(sums[at])], names=_NAMES)
+
+
+def merged(tries_: DataFrame, least: int, nodes: int = RANGE) -> DataFrame:
+    """NODE rows that occur ``least`` times: the written blocks of all tries, merged by prefix ranges of about so many nodes."""
+    whole = tries_.filter("words is not null")
+    total, rows = whole.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    ranges = max(1, -(-total // nodes))
+    share = min(1.0, LOOKED_AT * ranges / max(1, rows))
+    key = lambda lang, path: (lang, *(bytes(w) for w in path), *[b""] * (3 - len(path)))
+    seen = sorted(key(*r) for r in whole.select("lang", "first").sample(share, seed=1).collect()) if ranges > 1 else []
+    cuts = sorted({seen[k * len(seen) // ranges] for k in range(1, ranges)}) if seen else []
+    sent = tries_.sparkSession.sparkContext.broadcast(cuts)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every block to the ranges that it has nodes of."""
+        for batch in batches:
+            langs, firsts, lasts = (batch.column(i).to_pylist() for i in range(3))
+            spans = [(bisect_right(sent.value, key(x, a)), bisect_right(sent.value, key(x, b))) for x, a, b in zip(langs, firsts, lasts, strict=True)]
+            at = pa.array([i for i, (a, b) in enumerate(spans) for _ in range(a, b + 1)], pa.int64())
+            to = pa.array([k for a, b in spans for k in range(a, b + 1)], pa.int64())
+            rows = batch.take(at)
+            yield pa.RecordBatch.from_arrays([to, rows.column(0), *rows.columns[4:]], names=["range", "lang", "words", "codes", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
-        for part in _windows(batches, words, 8 * len(bits)):
-            yield part.rows(np.array([len(part.at[0])]), [])
-            for k in range(3):
-                at = part.places(k)
-                yield part.nodes(k, (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1)
+        now, parts = None, []
 
-    return arrow_map(texts, run, NODE)
+        def done() -> pa.RecordBatch:
+            low, high = (sent.value[now[0] - 1] if now[0] else ("",)), (sent.value[now[0]] if now[0] < len(sent.value) else None)
+            return _merged(now[1], parts, low, high, least)
 
+        for batch in batches:
+            for k, lang, *block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (k, lang) != now:
+                    if parts:
+                        yield done()
+                    now, parts = (k, lang), []
+                parts.append(tuple(block))
+        if parts:
+            yield done()
 
-def _path_changes(batch: pa.RecordBatch) -> np.ndarray:
-    """Whether each row but the first has another path than the row before."""
-    out = np.zeros(max(0, batch.num_rows - 1), bool)
-    for k in range(4):
-        col = pc.fill_null(batch.column(k), "\x00\t")  # no word has a tab
-        out |= pc.not_equal(col[1:], col[:-1]).to_numpy(zero_copy_only=False)
-    return out
+    sent_on = whole.mapInArrow(dealt, "range bigint, lang string, words binary, codes binary, counts binary")
+    return sent_on.repartition(F.col("range")).sortWithinPartitions("range", "lang").mapInArrow(run, NODE)
 
 
-def merged(nodes: DataFrame, least: int) -> DataFrame:
-    """The sums of equal paths in all tries, dealt by ranges of prefixes; paths that occur less than ``least`` times go, sums of langs stay."""
+def frequent_pairs(nodes: DataFrame, bits: int = BITS) -> np.ndarray:
+    """The bitmap of the pairs among frequent nodes; at most ``bits`` / 64 numbers reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held is not None:
-                batch = pa.concat_batches([held.cast(batch.schema), batch])
-            starts = np.concatenate([[0], 1 + np.flatnonzero(_path_changes(batch))])
-            sums = np.add.reduceat(batch.column(4).to_numpy(), starts)
-            # the last path may go on in the next batch
-            held = pa.RecordBatch.from_arrays([c.slice(int(starts[-1]), 1) for c in batch.columns[:4]] + [pa.array(sums[-1:])], names=_NAMES)
-            yield _kept(batch, starts[:-1], sums[:-1])
-        if held is not None:
-            yield _kept(held, np.zeros(1, np.int64), held.column(4).to_numpy())
-
-    def _kept(batch: pa.RecordBatch, at: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-        stays = (sums >= least) | batch.column(1).take(pa.array(at)).is_null().to_numpy(zero_copy_only=False)
-        rows = batch.take(pa.array(at[stays]))
-        return pa.RecordBatch.from_arrays([*rows.columns[:4], pa.array(sums[stays])], names=_NAMES)
+            first, second = _hashes(batch.column(1).cast(pa.binary())), _hashes(batch.column(2).cast(pa.binary()))
+            langs = batch.column(0).dictionary_encode()
+            at, codes = np.zeros(batch.num_rows, np.uint64), langs.indices.to_numpy()
+            for k, lang in enumerate(langs.dictionary.to_pylist()):
+                mine = codes == k
+                at[mine] = pair_bits(lang, first[mine], second[mine], bits)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64))], names=["at"])
 
-    prefix = ["lang", "w1", "w2"]
-    return nodes.repartitionByRange(*prefix).sortWithinPartitions(*prefix, "w3").mapInArrow(run, NODE)
+    at = nodes.filter("w2 is not null and w3 is null").mapInArrow(run, "at bigint")
+    longs = at.groupBy(F.shiftright("at", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[longs.column("k").to_numpy()] = longs.column("bits").to_numpy()
+    return out.view(np.uint8)
 
 
 def walked(nodes: DataFrame) -> DataFrame:
@@ -262,18 +326,22 @@ def _score(a: str, left: str, right: str) -> str:
     return f"(cast(1000000 as decimal(7, 0)) * cast({d(a)} * {d(a)} as decimal(31, 0))) div ({d(left)} * {d(right)})"
 
 
-def collocations(docs: DataFrame, least: int = 10, covered: int = 50, top: int = 2000, words: int = WORDS, bits: int = BITS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 10, covered: int = 50, top: int = 2000, words: int = WORDS, bits: int = BITS, nodes: int = RANGE) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first ``top`` phrases of two or three words of each lang.
 
     Candidates occur at least ``least`` times; one goes if a longer candidate that holds it has at least ``covered`` percent of its occurrences.
-    ``words`` (at most 2**21) bounds a shard, ``bits`` (a multiple of 8) the map; neither changes the result.
+    ``words`` (at most 2,000,000) bounds a shard, ``bits`` (a multiple of 64) the map of pairs, ``nodes`` a range; none changes the result.
     """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    all_ = written(merged(written(tries(texts, frequent(texts, least, words, bits), words), "tries"), least), "nodes")
-    sums, nodes = all_.filter("w1 is null").select("lang", F.col("f").alias("n")), all_.filter("w1 is not null")
-    walk = written(walked(nodes), "walked")
+    first = written(tries(texts, words=words), "tries")
+    short = written(merged(first, least, nodes), "nodes")
+    second = written(tries(texts, frequent_pairs(short, bits), words), "tries")
+    long = written(merged(second, least, nodes), "nodes")
+    sums = first.filter("words is null").groupBy("lang").agg(F.sum("n").alias("n"))
+    frequent = short.union(long)
+    walk = written(walked(frequent), "walked")
     ones = walk.filter("w2 is null").select("lang", F.col("w1").alias("w"), F.col("f").alias("g"))
-    pairs = nodes.filter("w2 is not null and w3 is null")
+    pairs = short.filter("w2 is not null")
     # a range's first word whose node is in an earlier range
     open_ = written(walk.filter("w2 is not null and l1 is null").select("lang", F.col("w1").alias("w")).distinct(), "open")
     known = written(open_.join(ones, ["lang", "w"]).select(F.col("lang").alias("lang_"), "w", "g"), "open")
@@ -285,7 +353,7 @@ def collocations(docs: DataFrame, least: int = 10, covered: int = 50, top: int =
     twos = joined.filter("w3 is null").withColumn("r2", F.lit(None).cast("bigint"))
     threes = joined.filter("w3 is not null").join(last, (F.col("lang") == F.col("lang_")) & (F.col("w3") == F.col("w"))).drop("lang_", "w")
     # pairs that a longer candidate covers
-    within = nodes.filter("w3 is not null").select("lang", F.explode(F.array(F.struct("w1", "w2"), F.struct(F.col("w2").alias("w1"), F.col("w3").alias("w2")))).alias("p"), "f").groupBy("lang", "p").agg(F.max("f").alias("over"))
+    within = long.select("lang", F.explode(F.array(F.struct("w1", "w2"), F.struct(F.col("w2").alias("w1"), F.col("w3").alias("w2")))).alias("p"), "f").groupBy("lang", "p").agg(F.max("f").alias("over"))
     gone = pairs.join(within.select(F.col("lang").alias("lang_"), F.col("p.w1").alias("g1"), F.col("p.w2").alias("g2"), "over"), (F.col("lang") == F.col("lang_")) & (F.col("w1") == F.col("g1")) & (F.col("w2") == F.col("g2"))).filter(100 * F.col("over") >= covered * F.col("f")).select("lang", "w1", "w2")
     found = twos.join(gone, ["lang", "w1", "w2"], "left_anti").unionByName(threes)
     scored = found.withColumn("x", F.expr(_score("f", "l1", "r1"))).withColumn("y", F.when(F.col("w3").isNotNull(), F.expr(_score("f", "l2", "r2"))))

@@ -52,8 +52,8 @@ def test_equal_to_counting_all(spark, monkeypatch):
     assert got(phrases.collocations(of(spark, table))) == want
     # shards of few words, texts split in parts, no broadcast, and a map of pairs that is nearly full
     monkeypatch.setattr(phrases, "SMALL", 0)
-    assert got(phrases.collocations(of(spark, table), words=50, bits=64)) == want
-    assert got(phrases.collocations(of(spark, table), words=3, bits=6400)) == want
+    assert got(phrases.collocations(of(spark, table), words=50, bits=64, nodes=40)) == want
+    assert got(phrases.collocations(of(spark, table), words=700, bits=6400, nodes=3)) == want
 
 
 def test_words_do_not_depend_on_parts(monkeypatch):
