@@ -140,21 +140,36 @@ def _readings(feats: DataFrame, answers: DataFrame | None) -> DataFrame:
     return filled(kept).withColumn("identity", F.when(F.col("answer").isNull(), F.col("_identity")).otherwise(F.col("identity"))).drop("answer", "_identity")
 
 
+def prepared(books: DataFrame, options: Options, texts: DataFrame | None = None, covers: DataFrame | None = None, answers: DataFrame | None = None, chosen: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The features of all records, and the pairs that the rungs find with their verdicts; both are written."""
+    books = books.withColumn("chosen", F.lit(True) if chosen is None else F.coalesce(chosen, F.lit(False)))
+    books = put_right(books) if options.fix_swapped else books.withColumn("swapped", F.lit(False))
+    feats = written(ranked(_readings(without_junk_isbns(features(books, options.same_series)), answers)), "features")
+    usable = feats.filter("side = 'target' or (size(formats) > 0 and title_key <> '' and size(authors_key) > 0)")
+    return feats, written(edges(usable, options, texts, covers), "edges")
+
+
+def unmatched(options: Options) -> str:
+    """What becomes of a record that no pair decides."""
+    return "leave" if options.one_library else "move"
+
+
 def plan(books: DataFrame, options: Options | None = None, texts: DataFrame | None = None, covers: DataFrame | None = None, answers: DataFrame | None = None, chosen: Column | None = None) -> DataFrame:
     """PLAN for every source record (with ``chosen``, for those it holds for: PF4), in the order of ids within each library (SO1).
 
     Records that aren't chosen stay candidates for the others.
     """
     options = options or Options()
-    books = books.withColumn("chosen", F.lit(True) if chosen is None else F.coalesce(chosen, F.lit(False)))
-    books = put_right(books) if options.fix_swapped else books.withColumn("swapped", F.lit(False))
-    feats = written(ranked(_readings(without_junk_isbns(features(books, options.same_series)), answers)), "features")
-    usable = feats.filter("side = 'target' or (size(formats) > 0 and title_key <> '' and size(authors_key) > 0)")
-    found = written(edges(usable, options, texts, covers), "edges")
-    made = decided(found, "leave" if options.one_library else "move")
+    feats, found = prepared(books, options, texts, covers, answers, chosen)
+    return finished(feats, decided(found, unmatched(options)), options)
+
+
+def finished(feats: DataFrame, made: DataFrame, options: Options, only: Column | None = None) -> DataFrame:
+    """PLAN from the features and the decisions ``made`` of records with pairs; with ``only``, of the source records it holds for."""
     source = feats.filter("side = 'source' and chosen")
+    source = source if only is None else source.filter(only)
     rows = source.join(made, ["lib", "id"], "left")
-    unlike = F.lit("leave" if options.one_library else "move")
+    unlike = F.lit(unmatched(options))
     no_file, closed = F.size("all_formats") == 0, F.size("formats") == 0
     held = (F.col("title_key") == "") | (F.size("authors_key") == 0)
     # PF6, PF7, DL4

@@ -129,21 +129,20 @@ def outcomes(pairs: DataFrame, unmatched: str) -> DataFrame:
     return agg.select("lib", "id", settled.alias("settled"), made.alias("made")).select("lib", "id", "settled", "made.action", "made.match", "made.why", F.array_distinct("made.notes").alias("notes"), "made.review", "made.override")
 
 
-def decided(found: DataFrame, unmatched: str) -> DataFrame:
+def decided(found: DataFrame, unmatched: str, before: DataFrame | None = None) -> DataFrame:
     """DECIDED for every record that has pairs in ``found(lib, id, cand, ord, rung, ...)``.
 
-    A candidate that has pairs itself is undecided at first; all others stay.
+    A candidate that has pairs itself is undecided at first. The others stay, but for those that go by the decisions ``before``.
     """
     ids = found.select("lib", F.col("id").alias("cand")).distinct().withColumn("open", F.lit(True))
-    pairs = written(found.join(ids, ["lib", "cand"], "left").withColumn("open", F.coalesce("open", F.lit(False))).withColumn("dead", F.lit(False)), "pairs")
+    pairs = found.join(ids, ["lib", "cand"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    pairs = pairs.withColumn("dead", F.lit(False)) if before is None else _dead(pairs.withColumn("dead", F.lit(False)), before)
+    pairs = written(pairs, "pairs")
     done = []
     while True:
         now = written(outcomes(pairs, unmatched).filter("settled").drop("settled").select(*DECIDED), "decided")
         done.append(now)
-        gone = now.select("lib", F.col("id").alias("cand"), (F.col("action") == "trash").alias("goes"))
-        rest = pairs.join(now.select("lib", "id"), ["lib", "id"], "left_anti").join(gone, ["lib", "cand"], "left")
-        rest = rest.withColumn("dead", F.col("dead") | F.coalesce("goes", F.lit(False))).withColumn("open", F.col("open") & F.col("goes").isNull()).drop("goes")
-        after = written(rest, "pairs")
+        after = written(_dead(pairs.join(now.select("lib", "id"), ["lib", "id"], "left_anti"), now), "pairs")
         forget(pairs)
         pairs = after
         if not pairs.limit(1).count():
@@ -153,3 +152,10 @@ def decided(found: DataFrame, unmatched: str) -> DataFrame:
     for more in done[1:]:
         out = out.union(more)
     return out
+
+
+def _dead(pairs: DataFrame, made: DataFrame) -> DataFrame:
+    """The pairs with what the decisions ``made`` say of their candidates."""
+    goes = made.select("lib", F.col("id").alias("cand"), (F.col("action") == "trash").alias("goes"))
+    df = pairs.join(goes, ["lib", "cand"], "left")
+    return df.withColumn("dead", F.col("dead") | F.coalesce("goes", F.lit(False))).withColumn("open", F.col("open") & F.col("goes").isNull()).drop("goes")

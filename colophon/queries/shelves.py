@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colophon.operators.tables import shared_folder
-from colophon.plans import ladder
+from colophon.operators.tables import shared_folder, written
+from colophon.plans import ladder, resume
 from colophon.plans.features import BOOKS, features
 from colophon.queries import query, read
 from colophon.streaming.index import CHANGES, decisions, index, keep_index
@@ -102,3 +102,20 @@ def stream_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
     keep_index(changes, f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
     return decisions(rows.filter("not gone"), index(spark, f"{folder}/log")).drop("lib")
+
+
+#: Last ranks of three ranges: the readable ones with all facts, the other readable ones, the rest with all facts.
+_CUTS = [[1, 0, -3, 1 << 62], [1, 0, -2, 1 << 62], [1, 3, -3, 1 << 62]]
+
+
+@query(f"{IN_TURN} SELECT plan.id, action, match, why, p_size % 2 = 0 AS early FROM plan JOIN part ON plan.id = p_partkey")
+def resumed_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQ3, SO5: a run over all parts that stops after two of four ranges and goes on; ``early`` rows stood in the partial plan as they stand in the whole one."""
+    folder = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    resume.start(shelf(spark, sf_dir), folder, ONE, _CUTS)
+    resume.go_on(spark, folder, at_most=2)
+    early = written(resume.result(spark, folder)[0].select("id", "action", "match", "why"), "early")
+    resume.go_on(spark, folder)
+    whole = resume.result(spark, folder)[0].select("id", "action", "match", "why")
+    same = early.select(F.struct("id", "action", "match", "why").alias("e"))
+    return whole.join(same, F.struct(*whole.columns).eqNullSafe(F.col("e")), "left").select(*whole.columns, F.col("e").isNotNull().alias("early"))
