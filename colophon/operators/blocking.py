@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colophon.functions.people import author_key, initials_match, looks_like_name, names_nearly_equal, similar_author_key, surname_match
-from colophon.functions.text import bound
+from colophon.functions.people import author_key, initials_match, looks_like_name, similar_author_key, surname_match
 from colophon.functions.titles import contains_title, noise, title_key, volumes_differ
+from colophon.operators.near import near_names
 
 
 def _pairs(a: DataFrame, b: DataFrame, on: list[str], extra: Column | None = None) -> DataFrame:
@@ -66,30 +66,22 @@ def without_other_volumes(pairs: DataFrame, src: DataFrame, cand: DataFrame) ->
     return pairs.join(x, ["lib", "id"]).join(y, ["lib", "cand"]).filter(~volumes_differ(F.col("ta"), F.col("tb"))).drop("ta", "tb")
 
 
-def _name_keys(author: Column) -> Column:
-    """What two spellings of a name have in common: a whole word, or both of the ends of a single word that an edit can change at one place only."""
-
-    def keys(parts: Column) -> Column:
-        whole = F.transform(F.filter(parts, lambda w: F.char_length(w) > 1), lambda w: F.concat(F.lit("w"), w))
-        only = F.get(parts, F.lit(0))
-        ends = F.array(F.concat(F.lit("a"), F.substring(only, 1, 2)), F.concat(F.lit("z"), F.right(only, F.lit(2))))
-        return F.array_distinct(F.when(F.size(parts) == 1, F.concat(whole, ends)).otherwise(whole))
-
-    return bound(keys, similar_author_key(author))
-
-
 def author_variants(src: DataFrame, cand: DataFrame) -> DataFrame:
     """JN5: the same title, authors that a typo, initials or the surname alone tell apart; ``weak`` for the last.
 
-    The names meet by a word or an end in common, so that a frequent title doesn't pair all of its authors.
+    Typos meet in an index of names without one letter; the others share a whole word of the name, so that a frequent title doesn't pair all of its authors.
     """
-    one = lambda df: df.filter("title_key <> ''").select("lib", "id", "ord", "title_key", F.explode("authors").alias("author")).select("*", F.explode(_name_keys(F.col("author"))).alias("nkey"))
-    x, y = one(src).alias("x"), one(cand).alias("y")
-    met = x.join(y, (F.col("x.lib") == F.col("y.lib")) & (F.col("x.title_key") == F.col("y.title_key")) & (F.col("x.nkey") == F.col("y.nkey")))
-    pairs = met.select(F.col("x.lib").alias("lib"), F.col("x.id").alias("id"), F.col("y.id").alias("cand"), F.col("y.ord").alias("ord"), F.col("x.author").alias("a"), F.col("y.author").alias("b")).distinct()
-    a, b = F.col("a"), F.col("b")
-    how = pairs.select("lib", "id", "cand", "ord", names_nearly_equal(a, b).alias("typo"), surname_match(a, b).alias("surname"), initials_match(a, b).alias("short"))
-    return how.filter("typo or short or surname").groupBy("lib", "id", "cand", "ord").agg((~F.bool_or(F.col("typo") | F.col("short"))).alias("weak"))
+    one = lambda df: df.filter("title_key <> ''").select("lib", "id", "ord", "title_key", F.explode("authors").alias("author")).distinct()
+    x, y = one(src), one(cand)
+    own = lambda p: (F.col(f"{p}x.lib").alias("lib"), F.col(f"{p}x.id").alias("id"), F.col(f"{p}y.id").alias("cand"), F.col(f"{p}y.ord").alias("ord"))
+    typos = near_names(x, y, ["lib", "title_key"]).select(*own(""), F.lit(True).alias("sure"))
+    words = F.array_distinct(F.filter(similar_author_key("author"), lambda w: F.char_length(w) > 1))
+    worded = lambda df: df.select("*", F.explode(words).alias("word"))
+    met = worded(x).alias("x").join(worded(y).alias("y"), (F.col("x.lib") == F.col("y.lib")) & (F.col("x.title_key") == F.col("y.title_key")) & (F.col("x.word") == F.col("y.word")))
+    pairs = met.select(*own(""), F.col("x.author").alias("a"), F.col("y.author").alias("b")).distinct()
+    short = initials_match(F.col("a"), F.col("b"))
+    how = pairs.select("lib", "id", "cand", "ord", short.alias("sure"), surname_match(F.col("a"), F.col("b")).alias("surname")).filter("sure or surname")
+    return typos.union(how.drop("surname")).groupBy("lib", "id", "cand", "ord").agg((~F.bool_or("sure")).alias("weak"))
 
 
 def similar_titles(src: DataFrame, cand: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colophon.operators import blocking, near, trigrams
 from colophon.operators.tables import shared_folder, written
-from colophon.plans import ladder, resume
+from colophon.plans import counters, ladder, resume, review
 from colophon.plans.features import BOOKS, features
 from colophon.queries import query, read
 from colophon.streaming.index import CHANGES, decisions, index, keep_index
@@ -119,3 +120,89 @@ def resumed_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = resume.result(spark, folder)[0].select("id", "action", "match", "why")
     same = early.select(F.struct("id", "action", "match", "why").alias("e"))
     return whole.join(same, F.struct(*whole.columns).eqNullSafe(F.col("e")), "left").select(*whole.columns, F.col("e").isNotNull().alias("early"))
+
+
+def _counted(spark: SparkSession, counts: dict[str, int]) -> DataFrame:
+    return spark.createDataFrame(list(counts.items()), "counter string, n bigint")
+
+
+#: Checks that a part of the shelf lacked, by its size.
+_LACKED = {"covers": 5, "scans": 7}
+
+
+@query(f"""{IN_TURN}, joined AS (SELECT * FROM plan JOIN part ON plan.id = p_partkey),
+    asked AS (SELECT event_type AS kind, CASE WHEN value < 10 THEN 'asked' WHEN value < 20 THEN 'cached' ELSE 'identical' END AS how FROM events),
+    counts AS (SELECT count(*) AS records, 0 AS moved, count(*) FILTER (action = 'trash') AS trashed, count(*) FILTER (action = 'leave') AS left_, count(*) FILTER (action = 'trash') AS selected,
+        count(*) FILTER (why = 'same file') AS identical_files, count(*) FILTER (p_size % 5 = 0) AS covers, count(*) FILTER (p_size % 7 = 0) AS scans FROM joined)
+    SELECT counter, n::BIGINT AS n FROM (
+        SELECT unnest(['records', 'moved', 'trashed', 'left', 'selected', 'identical_files', 'skipped_covers', 'skipped_scans']) AS counter, unnest([records, moved, trashed, left_, selected, identical_files, covers, scans]) AS n FROM counts
+        UNION ALL SELECT unnest(['swapped', 'same_text', 'by_cover', 'no_edition', 'held', 'empty', 'unreadable', 'other_language', 'to_review', 'overruled', 'skipped_reading', 'skipped_images', 'skipped_years']), 0
+        UNION ALL SELECT c, count(kind) FROM (VALUES ('read', 'view', 'asked'), ('read_cached', 'view', 'cached'), ('cover', 'click', 'asked'), ('cover_cached', 'click', 'cached'), ('cover_identical', 'click', 'identical'),
+            ('embedded', 'purchase', 'asked'), ('embedded_cached', 'purchase', 'cached'), ('embedded_identical', 'purchase', 'identical'), ('author', 'signup', 'asked'), ('author_cached', 'signup', 'cached'), ('year', 'error', 'asked')) x(c, k, h)
+            LEFT JOIN asked ON kind = k AND how = h GROUP BY c)""")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG9: all counters of a plan over all parts, observed while it is written, and of the events as calls of readers."""
+    folder = f"{shared_folder(spark)}/counted-{uuid.uuid4().hex}"
+    size = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_compact(F.array(*(F.when(F.col("p_size") % k == 0, name) for name, k in _LACKED.items()))).alias("skipped"))
+    plan = ladder.plan(shelf(spark, sf_dir), ONE).join(size, "id")
+    counts = counters.written_counting(plan, f"{folder}/plan", counters.plan_counters(plan.columns))
+    kinds = {"view": "read", "click": "cover", "purchase": "embedded", "signup": "author", "error": "year"}
+    kind = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in kinds.items()))
+    calls = read(spark, sf_dir, "events").select(kind.alias("kind"), F.when(F.col("value") < 10, "asked").when(F.col("value") < 20, "cached").otherwise("identical").alias("how"))
+    return _counted(spark, counts | counters.written_counting(calls, f"{folder}/calls", counters.call_counters()))
+
+
+@query("""
+    WITH books AS (SELECT p_partkey AS id, p_partkey % 9 = 0 AS unread, p_partkey % 4 = 0 AS cached, CASE p_size % 3 WHEN 1 THEN 'Osprey' WHEN 2 THEN 'Kestrel' END AS p, p_partkey % 7 = 0 AS year_differs FROM part),
+    rows AS (SELECT *, CASE WHEN unread THEN 0 ELSE (CASE WHEN p IS DISTINCT FROM 'Osprey' THEN 1 ELSE 0 END) + (CASE WHEN year_differs THEN 1 ELSE 0 END) END AS changes FROM books)
+    SELECT unnest(['reviewed', 'changed', 'left_out', 'not_read', 'read', 'read_cached']) AS counter,
+        unnest([count(*), count(*) FILTER (changes > 0), sum(changes), count(*) FILTER (unread), count(*) FILTER (NOT unread AND NOT cached), count(*) FILTER (NOT unread AND cached)])::BIGINT AS n FROM rows""")
+def review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG10, PF12, PF13: readings of all parts, what they change, and what is left out as nothing backs it, counted while they are written."""
+    folder = f"{shared_folder(spark)}/counted-{uuid.uuid4().hex}"
+    books = shelf(spark, sf_dir)
+    found = "named_struct('title', cast(null as string), 'authors', cast(null as array<string>), 'publisher', 'Osprey', 'year', year + if(id % 7 = 0, 1, 0), 'series', cast(null as string), 'series_index', cast(null as double), 'isbn', cast(null as array<string>), 'language', cast(null as string))"
+    said = books.filter("id % 9 <> 0").select("lib", "id", F.expr(found).alias("found"))
+    texts = books.select("lib", "id", F.lit(None).cast("string").alias("text"))
+    rows = review.doubts(review.changes(review.evidence(books.join(said, ["lib", "id"]).join(texts, ["lib", "id"]))))
+    each = rows.groupBy("lib", "id").agg(F.count("*").alias("changes"), F.count_if(F.col("doubt").isNotNull()).alias("left_out"))
+    all_ = books.select("lib", "id", (F.col("id") % 9 != 0).alias("found"), (F.col("id") % 4 == 0).alias("cached")).join(each, ["lib", "id"], "left").fillna(0, ["changes", "left_out"])
+    return _counted(spark, counters.written_counting(all_, f"{folder}/review", counters.review_counters()))
+
+
+#: Names of customers and suppliers without the zeros before their numbers.
+_NAMES = "SELECT regexp_replace(c_name, '#0*', '#') AS word FROM customer UNION ALL SELECT regexp_replace(s_name, '#0*', '#') FROM supplier UNION ALL SELECT regexp_replace(c_name, '#0*', '#') FROM customer WHERE c_custkey % 10 = 3"
+
+
+@query(f"""WITH names AS (SELECT DISTINCT word FROM ({_NAMES})), met AS (SELECT a.word AS x, b.word AS y FROM names a JOIN names b ON a.word <> b.word AND abs(length(a.word) - length(b.word)) <= 1 AND levenshtein(a.word, b.word) <= 1)
+    SELECT x AS word, count(*) AS n, min(y) AS first, max(y) AS last FROM met GROUP BY x""")
+def near_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NM4: all customers' and suppliers' names that are one edit from others: how many, the first and the last, by the index of deletions."""
+    names = [read(spark, sf_dir, t).select(F.regexp_replace(c, "#0*", "#").alias("word")) for t, c in (("customer", "c_name"), ("supplier", "s_name"))]
+    pairs = near.one_edit_pairs(names[0].union(names[1]).union(names[0]))
+    both = pairs.union(pairs.select("b", "a"))
+    return both.groupBy(F.col("a").alias("word")).agg(F.count("*").alias("n"), F.min("b").alias("first"), F.max("b").alias("last"))
+
+
+@query("""WITH people AS (SELECT c_custkey AS id, c_mktsegment AS t, replace(c_name, 'Customer#', '') AS w FROM customer)
+    SELECT a.id, count(*) AS n, min(b.id) AS first, false AS weak FROM people a JOIN people b ON a.t = b.t AND a.id % 2 = 0 AND b.id % 2 = 1 AND hamming(a.w, b.w) = 1 GROUP BY a.id""")
+def author_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN5, NM5 over all customers as authors of books that their segments name: even ones are sources, odd ones targets."""
+    key = F.col("c_custkey")
+    feats = features(records(read(spark, sf_dir, "customer"), lib=F.lit("c"), side=F.when(key % 2 == 0, "source").otherwise("target"), id=key, title=F.col("c_mktsegment"), authors=F.array(F.replace("c_name", F.lit("#"), F.lit(" "))), formats=F.array(F.lit("EPUB")))).withColumn("ord", F.array("id"))
+    pairs = blocking.author_variants(feats.filter("side = 'source'"), feats.filter("side = 'target'"))
+    return pairs.groupBy("id").agg(F.count("*").alias("n"), F.min("cand").alias("first"), F.bool_or("weak").alias("weak"))
+
+
+#: A fragment of each benchmark text, whose words are searched.
+_FRAGMENT = "lower(substring(text, {start}, {length}))"
+
+
+@query(f"""WITH searches AS (SELECT item_id, list_filter(string_split({_FRAGMENT.format(start="5 + item_id % 7", length="7 + item_id % 11")}, ' '), lambda x: x <> '') AS ws FROM benchmark),
+    texts AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL)
+    SELECT item_id, count(*) AS n, min(doc_id) AS first, sum(doc_id)::BIGINT AS total FROM searches JOIN texts ON len(list_filter(ws, lambda w: NOT contains(t, w))) = 0 GROUP BY item_id""")
+def many_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PF22: fragments of all benchmark texts searched in all documents by the index of trigrams."""
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("search_id"), F.expr(_FRAGMENT.format(start="cast(5 + item_id % 7 as int)", length="cast(7 + item_id % 11 as int)")).alias("search"))
+    hits = trigrams.search(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text")), items)
+    return hits.groupBy(F.col("search_id").alias("item_id")).agg(F.count("*").alias("n"), F.min("id").alias("first"), F.sum("id").alias("total"))
