@@ -19,7 +19,7 @@ from colophon.operators.tables import forget, shared_folder, written
 __all__ = ["forget", "shared_folder", "written"]
 
 #: Bytes of text that a Python operator holds at once, however long the rows of a batch are.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 #: Characters that separate words in every contract here.
 BLANKS = " \t\n\x0b\x0c\r"
