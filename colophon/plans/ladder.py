@@ -80,20 +80,14 @@ def _covers(pairs: DataFrame, answers: DataFrame | None, options: Options) -> Da
     return df.withColumn("cover", cover).drop("_answer")
 
 
-def edges(feats: DataFrame, options: Options, texts: DataFrame | None = None, covers: DataFrame | None = None) -> DataFrame:
-    """Every pair that a rung finds, with its verdict and what texts, languages and covers say of it (DL2-DL8, DL10-DL12).
-
-    ``texts(a, b, share)`` has the text pairs of records' text_id, where there are texts.
-    """
-    feats = _with_generic(feats)
-    src, cand = feats.filter("side = 'source' and chosen"), feats.filter("size(all_formats) > 0")
+def _found(src: DataFrame, cand: DataFrame, junk: DataFrame, options: Options) -> DataFrame:
+    """(lib, id, cand, ord, rung, weak) of what the rungs find between sources and candidates."""
     parts = []
 
     def add(pairs: DataFrame, rung: int) -> None:
         weak = F.col("weak") if "weak" in pairs.columns else F.lit(False)
         parts.append(pairs.select("lib", "id", "cand", "ord", F.lit(rung).alias("rung"), weak.alias("weak")))
 
-    junk = placeholders(_files(feats), "fmt", "digest")
     add(blocking.same_file(_files(src), _files(cand), junk), FILE)
     if options.same_series:
         add(blocking.by_series(src, cand), SERIES)
@@ -106,11 +100,27 @@ def edges(feats: DataFrame, options: Options, texts: DataFrame | None = None, co
     pairs = parts[0]
     for p in parts[1:]:
         pairs = pairs.union(p)
+    return pairs
+
+
+def edges(feats: DataFrame, options: Options, texts: DataFrame | None = None, covers: DataFrame | None = None, of: DataFrame | None = None) -> DataFrame:
+    """Every pair that a rung finds, with its verdict and what texts, languages and covers say of it (DL2-DL8, DL10-DL12).
+
+    ``texts(a, b, share)`` has the text pairs of records' text_id, where there are texts. With ``of(lib, id)``, only pairs of which one side is among these.
+    """
+    feats = _with_generic(feats)
+    src, cand = feats.filter("side = 'source' and chosen"), feats.filter("size(all_formats) > 0")
+    junk = placeholders(_files(feats), "fmt", "digest")
+    if of is None:
+        pairs = _found(src, cand, junk, options)
+    else:
+        own = lambda df, how: df.join(of.select("lib", "id"), ["lib", "id"], how)
+        pairs = _found(own(src, "left_semi"), cand, junk, options).union(_found(own(src, "left_anti"), own(cand, "left_semi"), junk, options))
     facts = ["identity", "text_id", "text_lang", "text_chars", "cover", "page_cover", "generic"]
     short = ["i", "t", "l", "n", "cover_", "page_", "generic_"]
-    of = lambda key, side: [F.col("id").alias(key), *(F.col(f).alias(f"{k}{side}") for f, k in zip(facts, short, strict=True))]
-    order = feats.select("lib", F.col("ord").alias("own"), *of("id", "a"))
-    other = feats.select("lib", F.col("chosen").alias("_chosen"), *of("cand", "b"))
+    named = lambda key, side: [F.col("id").alias(key), *(F.col(f).alias(f"{k}{side}") for f, k in zip(facts, short, strict=True))]
+    order = feats.select("lib", F.col("ord").alias("own"), *named("id", "a"))
+    other = feats.select("lib", F.col("chosen").alias("_chosen"), *named("cand", "b"))
     # only targets, records decided earlier and records that aren't to be decided; the first rung that finds a pair counts
     pairs = pairs.filter("id <> cand").join(order, ["lib", "id"]).join(other, ["lib", "cand"]).filter("ord < own or not _chosen").drop("_chosen")
     first = Window.partitionBy("lib", "id", "cand").orderBy("rung")
@@ -140,13 +150,21 @@ def _readings(feats: DataFrame, answers: DataFrame | None) -> DataFrame:
     return filled(kept).withColumn("identity", F.when(F.col("answer").isNull(), F.col("_identity")).otherwise(F.col("identity"))).drop("answer", "_identity")
 
 
-def prepared(books: DataFrame, options: Options, texts: DataFrame | None = None, covers: DataFrame | None = None, answers: DataFrame | None = None, chosen: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """The features of all records, and the pairs that the rungs find with their verdicts; both are written."""
+def described(books: DataFrame, options: Options, answers: DataFrame | None = None, chosen: Column | None = None) -> DataFrame:
+    """The features of all records, as the rungs need them."""
     books = books.withColumn("chosen", F.lit(True) if chosen is None else F.coalesce(chosen, F.lit(False)))
     books = put_right(books) if options.fix_swapped else books.withColumn("swapped", F.lit(False))
-    feats = written(ranked(_readings(without_junk_isbns(features(books, options.same_series)), answers)), "features")
-    usable = feats.filter("side = 'target' or (size(formats) > 0 and title_key <> '' and size(authors_key) > 0)")
-    return feats, written(edges(usable, options, texts, covers), "edges")
+    return ranked(_readings(without_junk_isbns(features(books, options.same_series)), answers))
+
+
+#: What a record needs to be compared.
+USABLE = "side = 'target' or (size(formats) > 0 and title_key <> '' and size(authors_key) > 0)"
+
+
+def prepared(books: DataFrame, options: Options, texts: DataFrame | None = None, covers: DataFrame | None = None, answers: DataFrame | None = None, chosen: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The features of all records, and the pairs that the rungs find with their verdicts; both are written."""
+    feats = written(described(books, options, answers, chosen), "features")
+    return feats, written(edges(feats.filter(USABLE), options, texts, covers), "edges")
 
 
 def unmatched(options: Options) -> str:

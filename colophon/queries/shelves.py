@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from colophon.operators import blocking, near, trigrams
 from colophon.operators.tables import shared_folder, written
-from colophon.plans import counters, ladder, resume, review
+from colophon.plans import counters, ladder, redecide, resume, review, trees
 from colophon.plans.features import BOOKS, features
 from colophon.queries import query, read
 from colophon.streaming.index import CHANGES, decisions, index, keep_index
@@ -206,3 +206,32 @@ def many_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("search_id"), F.expr(_FRAGMENT.format(start="cast(5 + item_id % 7 as int)", length="cast(7 + item_id % 11 as int)")).alias("search"))
     hits = trigrams.search(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text")), items)
     return hits.groupBy(F.col("search_id").alias("item_id")).agg(F.count("*").alias("n"), F.min("id").alias("first"), F.sum("id").alias("total"))
+
+
+@query("""WITH old AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 3 THEN NULL ELSE o_custkey END AS v FROM orders WHERE o_orderkey % 3001 <> 5),
+    new AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 3 THEN NULL ELSE o_custkey + CASE WHEN o_orderkey % 2003 = 11 THEN 1 ELSE 0 END END AS v FROM orders WHERE o_orderkey % 4001 <> 6)
+    SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'changed' END AS change
+    FROM old a FULL JOIN new b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.v IS DISTINCT FROM b.v""")
+def state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG13, SL9: what differs between two states of all orders, by descending their hash trees."""
+    folder = f"{shared_folder(spark)}/states-{uuid.uuid4().hex}"
+    rows = read(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    for name, there, added in (("old", key % 3001 != 5, F.lit(0)), ("new", key % 4001 != 6, F.when(key % 2003 == 11, 1).otherwise(0))):
+        version = F.when(key % 7 != 3, F.col("o_custkey") + added)
+        trees.save(rows.filter(there).select(F.lit("orders").alias("lib"), key.alias("id"), version.cast("bigint").alias("version")), f"{folder}/{name}")
+    return trees.changed(spark, f"{folder}/old", f"{folder}/new").select("id", "change")
+
+
+#: The shelf after some files turned out not to open and some readings were asked again.
+_ANEW = IN_TURN.replace("1990 + p_size % 4 AS y", "1990 + p_size % 4 + CASE WHEN p_partkey % 97 = 4 THEN 1 ELSE 0 END AS y").replace("AS k FROM part)", "AS k FROM part WHERE p_partkey % 89 <> 6)")
+
+
+@query(f"{_ANEW} SELECT id, action, match, why FROM plan UNION ALL SELECT p_partkey, 'trash', NULL, 'no format that opens' FROM part WHERE p_partkey % 89 = 6")
+def redecided_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PF27, AI10, JN11: the plan of all parts decided anew where files failed and readings changed, held against the changed input one after the other."""
+    books = shelf(spark, sf_dir)
+    kept = redecide.keep(books, ONE)
+    failed = F.when(F.col("id") % 89 == 6, F.col("formats")).otherwise(F.col("broken"))
+    changed = books.withColumn("broken", failed).withColumn("year", F.col("year") + F.when(F.col("id") % 97 == 4, 1).otherwise(0))
+    return redecide.again(kept, changed).plan().select("id", "action", "match", "why")
