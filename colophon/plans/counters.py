@@ -64,7 +64,8 @@ def written_counting(df: DataFrame, path: str, counters: Mapping[str, Column]) -
     """Writes ``df`` and gives its counters, from the same pass."""
     seen = Observation(f"counters-{uuid.uuid4().hex}")
     df.observe(seen, *(c.cast("bigint").alias(k) for k, c in counters.items())).write.parquet(path)
-    return dict(seen.get)
+    # a plan that turns out to be empty may be replaced as a whole, and its counters with it
+    return dict(seen.get) if df.sparkSession.read.parquet(path).limit(1).count() else dict.fromkeys(counters, 0)
 
 
 def summary(counts: Mapping[str, int]) -> tuple[str, list[str]]:

@@ -13,7 +13,7 @@ often as it stands; a library that one state lacks differs as a whole.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colophon.operators.tables import bounded, written
@@ -54,10 +54,10 @@ def save(records: DataFrame, folder: str) -> None:
     """Saves a state of ``records(lib, id, version)``."""
     rows = records.filter("lib is not null and id is not null").select("lib", "id", "version", _node(1).alias("part"), _node(0).alias("leaf"))
     rows.repartition("lib", "part").sortWithinPartitions("lib", "part", "leaf").write.partitionBy("part").parquet(f"{folder}/records")
-    tree(spark_read(records.sparkSession, folder).select("lib", "id", "version")).write.partitionBy("level").parquet(f"{folder}/tree")
+    tree(saved(records.sparkSession, folder).select("lib", "id", "version")).write.partitionBy("level").parquet(f"{folder}/tree")
 
 
-def spark_read(spark: SparkSession, folder: str) -> DataFrame:
+def saved(spark: SparkSession, folder: str) -> DataFrame:
     """The records of a saved state."""
     return spark.read.schema("lib string, id bigint, version bigint, leaf bigint, part bigint").parquet(f"{folder}/records")
 
@@ -93,17 +93,23 @@ def differing_leaves(spark: SparkSession, old: str, new: str) -> DataFrame:
     return unequal.select("lib", F.col("node").alias("leaf"))
 
 
-def changed(spark: SparkSession, old: str, new: str, seen: Observation | None = None) -> DataFrame:
-    """SL9: (lib, id, change) of records added, removed or changed between two saved states; ``seen`` gets ``rows``, how many records were read."""
+def to_read(spark: SparkSession, old: str, new: str) -> int:
+    """How many records of both states ``changed`` reads: those of the leaves that differ."""
+    leaves = differing_leaves(spark, old, new).withColumnRenamed("leaf", "node")
+    nodes = _nodes(spark, old).union(_nodes(spark, new)).filter("level = 0")
+    return nodes.join(bounded(leaves, SMALL), ["lib", "node"], "left_semi").agg(F.sum("n")).first()[0] or 0
+
+
+def changed(spark: SparkSession, old: str, new: str) -> DataFrame:
+    """SL9: (lib, id, change) of records added, removed or changed between two saved states."""
     leaves = differing_leaves(spark, old, new).withColumn("part", F.floor(F.col("leaf") / FANOUT).cast("bigint"))
     leaves = bounded(leaves, SMALL)
 
     def side(folder: str, name: str) -> DataFrame:
-        rows = spark_read(spark, folder).withColumn("side", F.lit(name))
+        rows = saved(spark, folder).withColumn("side", F.lit(name))
         return rows.join(leaves, ["lib", "part", "leaf"], "left_semi")
 
     both = side(old, "old").unionByName(side(new, "new"))
-    both = both.observe(seen, F.count(F.lit(1)).alias("rows")) if seen is not None else both
     versions = lambda name: F.sort_array(F.collect_list(F.when(F.col("side") == name, F.struct("version"))))
     each = both.groupBy("lib", "id").agg(versions("old").alias("old"), versions("new").alias("new")).filter("old <> new")
     change = F.when(F.size("old") == 0, "added").when(F.size("new") == 0, "removed").otherwise("changed")
