@@ -13,6 +13,7 @@ from colophon.plans import counters, ladder, redecide, resume, review, trees
 from colophon.plans.features import BOOKS, features
 from colophon.queries import query, read
 from colophon.streaming.index import CHANGES, decisions, index, keep_index
+from colophon.streaming.pause import PausableRun
 
 
 def records(df: DataFrame, **given: object) -> DataFrame:
@@ -235,3 +236,18 @@ def redecided_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = F.when(F.col("id") % 89 == 6, F.col("formats")).otherwise(F.col("broken"))
     changed = books.withColumn("broken", failed).withColumn("year", F.col("year") + F.when(F.col("id") % 97 == 4, 1).otherwise(0))
     return redecide.again(kept, changed).plan().select("id", "action", "match", "why")
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, min(ts) AS first FROM events GROUP BY event_type")
+def paused_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQ4: all events as a stream of rate-limited batches that is paused twice and taken up again; sums as of one run."""
+    folder = f"{shared_folder(spark)}/paused-{uuid.uuid4().hex}"
+    events = read(spark, sf_dir, "events").select("event_id", "event_type", "value", "ts")
+    events.repartitionByRange(6, "event_id").write.parquet(f"{folder}/in")
+    sums = (F.count("*").alias("n"), F.sum("value").alias("total"), F.min("ts").alias("first"))
+    step = lambda batch, n: batch.groupBy("event_type").agg(*sums).write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+    run = PausableRun("events", lambda: spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), step, f"{folder}/checkpoint")
+    for batches in (2, 1, None):
+        run.go(batches)
+    parts = spark.read.parquet(f"{folder}/out")
+    return parts.groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"), F.min("first").alias("first"))
