@@ -41,7 +41,7 @@ WORDS = 2_000_000
 #: Bytes of a text that are split at once.
 STEP = 8 << 20
 #: Nodes of a block, and of a prefix range about; first paths of blocks that are looked at for each range.
-NODES, RANGE, LOOKED_AT = 8192, 1_000_000, 50
+NODES, RANGE, LOOKED_AT = 1024, 250_000, 50
 #: Bits of the map of frequent pairs.
 BITS = 1 << 25
 #: Rows of frequent nodes, or of what is looked up in them, up to which they are broadcast.
