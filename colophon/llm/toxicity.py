@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colophon.llm.common import ROW, arrow_map, crc_mod3, held_out, wrapped, written
+from colophon.llm.common import arrow_map, crc_mod3, held_out, slices, written
 
 #: Labelled rows that the classifier is fitted on at most, the first by a hash of their ids.
 TRAINING_ROWS = 16_000
@@ -382,11 +382,13 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Da
     """The documents whose text isn't predicted toxic, with all their columns, whatever their names."""
     counts, lexicon, weights = train(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast((counts, lexicon, weights))
+    at = docs.columns.index("text")
+    # columns go by their places, so that no name can clash, and the text is carried once
+    placed = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*sent.value)
-        for batch in batches:
-            yield batch.filter(pa.array([scorer.score(t) < threshold for t in batch.column(1).to_pylist()], pa.bool_()))
+        for batch in slices(batches, f"c{at}"):
+            yield batch.filter(pa.array([scorer.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    rows = wrapped(docs, F.col("text").cast("string").alias("text"))
-    return arrow_map(rows, run, rows.schema).select(f"{ROW}.*")
+    return placed.mapInArrow(run, placed.schema).toDF(*docs.columns)
