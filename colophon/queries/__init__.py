@@ -22,6 +22,20 @@ def query(sql: str | None = None):
     return add
 
 
+#: Small stated cases of the rules, which tests hold against their results; the queries of the same names run over tables.
+STATED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
+
+
+def stated(sql: str):
+    """Keeps a function over stated rows, with the rows that it must give, for the tests."""
+
+    def add(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        STATED[function.__name__] = (function, sql)
+        return function
+
+    return add
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -44,4 +58,4 @@ def values_sql(rows: list[tuple], names: str, casts: str = "*") -> str:
     return f"SELECT {casts} FROM (VALUES {body}) t({names})"
 
 
-from colophon.queries import answers, catalogue, documents, logs, scalars, shelves, upkeep  # noqa: E402, F401
+from colophon.queries import answers, catalogue, documents, logs, scalars, shelves, templates, upkeep  # noqa: E402, F401

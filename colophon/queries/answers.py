@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from colophon.operators.verdict import IDENTITY
 from colophon.plans import answers
-from colophon.queries import query, values_sql
+from colophon.queries import query, stated, values_sql
 from colophon.queries.catalogue import identity
 
 ANSWER = "struct<publisher:string,edition:int,year:int,isbns:array<string>>"
 
 
-@query(values_sql([(1, "Ace", 2, 1990, 1991, "Bantam", "x,y", "edition"), (2, "Bantam", None, 1980, 1980, "Bantam", "", "year,publisher"), (3, "Ace", None, None, None, None, "", "")], "id, publisher, edition, year, ai_year, ai_publisher, isbns, read"))
+@stated(values_sql([(1, "Ace", 2, 1990, 1991, "Bantam", "x,y", "edition"), (2, "Bantam", None, 1980, 1980, "Bantam", "", "year,publisher"), (3, "Ace", None, None, None, None, "", "")], "id, publisher, edition, year, ai_year, ai_publisher, isbns, read"))
 def identity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PF2, PF3."""
     rows = [(1, identity(publisher="Ace", year=1990, isbns=["x"]), ("Bantam", 2, 1991, ["y"])), (2, identity(), ("Bantam", None, 1980, [])), (3, identity(publisher="Ace"), None)]
@@ -31,7 +31,7 @@ def answer_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.groupBy("x").agg(F.countDistinct("k").alias("keys"))
 
 
-@query(values_sql([(1, "duplicate", 100.0), (2, None, None), (3, "unsure", 0.0)], "id, verdict, confidence", "id, verdict, confidence::DOUBLE AS confidence"))
+@stated(values_sql([(1, "duplicate", 100.0), (2, None, None), (3, "unsure", 0.0)], "id, verdict, confidence", "id, verdict, confidence::DOUBLE AS confidence"))
 def judge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AI3, SL8."""
     rows = [(1, 'so {"verdict": "Duplicate", "confidence": 140, "evidence": ["a"]}'), (2, '{"verdict": "maybe"}'), (3, '{"verdict": "unsure"}')]
@@ -42,7 +42,7 @@ def judge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 ERRORS = [("blocked by content filter", "filtered"), ("maximum context length is 8192 tokens", "too long"), ("HTTP 503", "http"), ("odd", "other")]
 
 
-@query(values_sql(ERRORS, "message, kind"))
+@stated(values_sql(ERRORS, "message, kind"))
 def error_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AI11."""
     return spark.createDataFrame([e[:1] for e in ERRORS], "message string").withColumn("kind", answers.error_kind("message"))

@@ -9,7 +9,7 @@ from colophon.operators import blocking
 from colophon.operators.verdict import IDENTITY, by_cover, decide, verdict, with_publishers
 from colophon.plans import execute, ladder, review, selection
 from colophon.plans.features import BOOKS, features, without_junk_isbns
-from colophon.queries import query, read, values_sql
+from colophon.queries import query, read, stated, values_sql
 
 TA = ["Tove Almqvist"]
 
@@ -258,13 +258,13 @@ def _pairs(spark: SparkSession) -> DataFrame:
     return with_publishers(spark.createDataFrame(rows, f"n int, a {IDENTITY}, b {IDENTITY}")).withColumn("v", verdict())
 
 
-@query(values_sql([(i, *p[2:]) for i, p in enumerate(PAIRS)], "n, verdict, proof, year_only, incomparable"))
+@stated(values_sql([(i, *p[2:]) for i, p in enumerate(PAIRS)], "n, verdict, proof, year_only, incomparable"))
 def compare_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DL7."""
     return _pairs(spark).select("n", "v.verdict", "v.proof", "v.year_only", "v.incomparable")
 
 
-@query(values_sql([("a", "duplicate", 2), ("b", "unknown", None), ("c", "distinct", None)], "src, verdict, match_ord"))
+@stated(values_sql([("a", "duplicate", 2), ("b", "unknown", None), ("c", "distinct", None)], "src, verdict, match_ord"))
 def decide_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG7, WN6."""
     picks = [("a", 0, 3), ("a", 1, 1), ("a", 2, 2), ("a", 3, 0), ("b", 0, 3), ("b", 1, 1), ("c", 0, 3)]
@@ -275,7 +275,7 @@ def decide_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 COVERS = [("open", "same", False, False, "duplicate, to review"), ("open", "different", False, False, None), ("open", "unclear", False, False, "duplicate without edition, to review"), ("open", "unclear", True, False, None), ("incomparable", "same", False, False, "duplicate, to review"), ("incomparable", "unclear", False, False, None), ("weak", "same", False, False, "duplicate, overriding, to review"), ("weak", "different", False, False, "distinct"), ("weak", "skipped", False, False, None), ("different", "same", False, True, "duplicate, overriding, to review"), ("different", "unclear", False, True, "distinct"), ("different", "same", False, False, None)]
 
 
-@query(values_sql(COVERS, "kind, cover, longer, always, result"))
+@stated(values_sql(COVERS, "kind, cover, longer, always, result"))
 def cover_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DL11."""
     df = spark.createDataFrame([c[:4] for c in COVERS], "kind string, cover string, longer boolean, always boolean")
@@ -372,28 +372,28 @@ def _items(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ITEMS, _PLAN)
 
 
-@query(values_sql([("leave", 1), ("leave_unique", 1), ("merge", 1), ("move", 2), ("trash", 1), ("by_cover", 2), ("swapped", 2), ("other", 3)], "key, n"))
+@stated(values_sql([("leave", 1), ("leave_unique", 1), ("merge", 1), ("move", 2), ("trash", 1), ("by_cover", 2), ("swapped", 2), ("other", 3)], "key, n"))
 def plan_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PF19, PF20, PF23."""
     df = _items(spark).withColumn("actions", F.array(selection.action_key())).withColumn("kinds", selection.kinds(["by_cover", "swapped"]))
     return selection.facet_counts(df, "actions").union(selection.facet_counts(df, "kinds")).withColumnRenamed("count", "n")
 
 
-@query(values_sql([("p", 3)], "lib, id"))
+@stated(values_sql([("p", 3)], "lib, id"))
 def plan_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PF21, PF22."""
     df = _items(spark).withColumn("states", selection.status_keys())
     return selection.accept(df, {"states": ["done"], "action": ["leave", "move"]}, "citta NEBBIA", ["title", "action"]).select("lib", "id")
 
 
-@query(values_sql([("p", 2, 2, 2, 6)], "lib, moves, trashed, kept, n"))
+@stated(values_sql([("p", 2, 2, 2, 6)], "lib, moves, trashed, kept, n"))
 def plan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG9, AG10."""
     count = lambda a: F.count_if(F.col("action") == a)
     return _items(spark).groupBy("lib").agg(count("move").alias("moves"), count("trash").alias("trashed"), count("leave").alias("kept"), F.count("*").alias("n"))
 
 
-@query(values_sql([(3, 1), (4, 2), (6, 3), (1, 4), (2, 5), (5, 6)], "id, place"))
+@stated(values_sql([(3, 1), (4, 2), (6, 3), (1, 4), (2, 5), (5, 6)], "id, place"))
 def plan_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SO1, SO2: by folded title, then id."""
     from pyspark.sql import Window
@@ -403,19 +403,19 @@ def plan_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _items(spark).select("id", F.row_number().over(Window.partitionBy("lib").orderBy(key("title"), "id")).alias("place"))
 
 
-@query(values_sql([("p", 2, "copy isn't moved"), ("p", 5, "kept copy goes")], "lib, id, why"))
+@stated(values_sql([("p", 2, "copy isn't moved"), ("p", 5, "kept copy goes")], "lib, id, why"))
 def blocked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SL4, JN16."""
     return selection.blocked(_items(spark))
 
 
-@query(values_sql([("p", 1), ("p", 2), ("p", 5)], "lib, id"))
+@stated(values_sql([("p", 1), ("p", 2), ("p", 5)], "lib, id"))
 def redecide_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DL17, JN11."""
     return selection.redecide(_items(spark), spark.createDataFrame([("p", 1)], "lib string, id bigint"))
 
 
-@query(values_sql([(1, "leave", False, True), (2, "trash", False, False), (3, "leave", False, False), (4, "leave", False, False), (5, "trash", True, False), (6, "move", True, False)], "id, action, selected, manual"))
+@stated(values_sql([(1, "leave", False, True), (2, "trash", False, False), (3, "leave", False, False), (4, "leave", False, False), (5, "trash", True, False), (6, "move", True, False)], "id, action, selected, manual"))
 def selection_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN18, SL1, SL7."""
     saved = spark.createDataFrame([("p", 1, "leave", None), ("p", 2, "trash", False)], "lib string, id bigint, action string, selected boolean")
@@ -452,7 +452,7 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return execute.journal(_done(spark)[1]).select("id", "done", "match")
 
 
-@query(values_sql([("b", "rows added or removed"), ("c", "rows changed"), ("d", "gone"), ("e", "new")], "lib, why"))
+@stated(values_sql([("b", "rows added or removed"), ("c", "rows changed"), ("d", "gone"), ("e", "new")], "lib, why"))
 def staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG13, SL9."""
     kind = "lib string, id bigint, version string"

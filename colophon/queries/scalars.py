@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colophon.functions import ids, people, text, titles
-from colophon.queries import query, read, values_sql
+from colophon.queries import query, read, stated, values_sql
 
 TITLES = [
     ("The Lantern Keeper", "lantern keeper"), ("le PHARE du Nord", "le phare du nord"), ("Salt Roads (3rd Edition)", "salt roads"), ("Harbour Songs (Bluebird Classics)", "harbour songs"),
@@ -46,69 +46,69 @@ def _two(spark: SparkSession, cases: list, function) -> DataFrame:
     return spark.createDataFrame([c[:2] for c in cases], "a string, b string").select("a", "b", function(F.col("a"), F.col("b")).alias("output"))
 
 
-@query(values_sql(TITLES, "input, output"))
+@stated(values_sql(TITLES, "input, output"))
 def title_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST5-ST8."""
     return _one(spark, TITLES, titles.title_key)
 
 
-@query(values_sql(EDITIONS, "input, output"))
+@stated(values_sql(EDITIONS, "input, output"))
 def edition_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST4."""
     return _one(spark, EDITIONS, titles.edition_number)
 
 
-@query(values_sql(FILE_NAMES, "input, output"))
+@stated(values_sql(FILE_NAMES, "input, output"))
 def file_name_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST10."""
     return _one(spark, FILE_NAMES, titles.looks_like_file_name)
 
 
-@query(values_sql([(t, c) for t, _, c in CORES], "input, output"))
+@stated(values_sql([(t, c) for t, _, c in CORES], "input, output"))
 def file_name_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST11."""
     df = spark.createDataFrame([c[:2] for c in CORES], "input string, authors array<string>")
     return df.select("input", titles.file_name_core("input", "authors").alias("output"))
 
 
-@query(values_sql([(t, v) for t, _, v in VARIANTS], "input, output"))
+@stated(values_sql([(t, v) for t, _, v in VARIANTS], "input, output"))
 def title_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST12."""
     df = spark.createDataFrame([c[:2] for c in VARIANTS], "input string, authors array<string>")
     return df.select("input", F.array_join(titles.title_variants("input", "authors"), "|").alias("output"))
 
 
-@query(values_sql(VOLUMES, "a, b, output"))
+@stated(values_sql(VOLUMES, "a, b, output"))
 def volume_differs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST13, ST14."""
     return _two(spark, VOLUMES, titles.volumes_differ)
 
 
-@query(values_sql(CONTAINED, "a, b, output"))
+@stated(values_sql(CONTAINED, "a, b, output"))
 def title_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST15, ST16."""
     return _two(spark, CONTAINED, lambda a, b: titles.contains_title(a, b, titles.noise()))
 
 
-@query(values_sql(RELATED, "a, b, output"))
+@stated(values_sql(RELATED, "a, b, output"))
 def related_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST17."""
     return _two(spark, RELATED, lambda a, b: titles.related_titles(a, b, titles.noise()))
 
 
-@query(values_sql(PUBLISHERS, "a, b, output"))
+@stated(values_sql(PUBLISHERS, "a, b, output"))
 def same_publisher_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NM9, NM10."""
     return _two(spark, PUBLISHERS, people.same_publisher)
 
 
-@query(values_sql(ISBNS, "input, output"))
+@stated(values_sql(ISBNS, "input, output"))
 def isbn_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ID1."""
     return _one(spark, ISBNS, ids.normalize_isbn)
 
 
-@query(values_sql(ASINS, "input, output"))
+@stated(values_sql(ASINS, "input, output"))
 def asin_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ID2."""
     return _one(spark, ASINS, ids.normalize_asin)
@@ -133,7 +133,7 @@ def isbn_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", page.alias("page")).withColumn("found", F.array_join(ids.isbns_in("page"), ","))
 
 
-@query(values_sql(NAMES, "a, b, near, initials, surname"))
+@stated(values_sql(NAMES, "a, b, near, initials, surname"))
 def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NM4-NM7."""
     df = spark.createDataFrame([c[:2] for c in NAMES], "a string, b string")
@@ -141,27 +141,27 @@ def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("a", "b", people.names_nearly_equal(a, b).alias("near"), people.initials_match(a, b).alias("initials"), people.surname_match(a, b).alias("surname"))
 
 
-@query(values_sql(AUTHORS, "name, key, alike"))
+@stated(values_sql(AUTHORS, "name, key, alike"))
 def author_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NM1, NM3."""
     df = spark.createDataFrame([c[:1] for c in AUTHORS], "name string")
     return df.select("name", F.array_join(people.author_key("name"), " ").alias("key"), F.array_join(people.similar_author_key("name"), " ").alias("alike"))
 
 
-@query(values_sql(PEOPLE, "input, output"))
+@stated(values_sql(PEOPLE, "input, output"))
 def looks_like_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NM8."""
     return _one(spark, PEOPLE, people.looks_like_name)
 
 
-@query(values_sql(LANGUAGES, "input, code, name"))
+@stated(values_sql(LANGUAGES, "input, code, name"))
 def language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ID3, ID4."""
     df = spark.createDataFrame([c[:1] for c in LANGUAGES], "input string").withColumn("code", ids.language_code("input"))
     return df.withColumn("name", ids.language_name("code"))
 
 
-@query(values_sql(DURATIONS, "input, output", "input::DOUBLE AS input, output"))
+@stated(values_sql(DURATIONS, "input, output", "input::DOUBLE AS input, output"))
 def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ID8."""
     return spark.createDataFrame([c[:1] for c in DURATIONS], "input double").select("input", text.duration("input").alias("output"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from colophon.operators import blocking
 from colophon.plans import edit, execute, selection
 from colophon.plans.features import BOOKS, features
-from colophon.queries import query, read, values_sql
+from colophon.queries import query, read, stated, values_sql
 
 _SHELF = "lib string, side string, id bigint, title string, authors array<string>, publisher string, year int, series string, series_number double, isbns array<string>, languages array<string>, tags array<string>, formats array<string>"
 SHELF = [
@@ -100,13 +100,13 @@ def _items(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ITEMS, _PLAN)
 
 
-@query(values_sql([(1, "move", True), (2, "trash", True), (3, "move", True), (4, "leave", True), (5, "trash", False), (6, "trash", True)], "id, action, selected"))
+@stated(values_sql([(1, "move", True), (2, "trash", True), (3, "move", True), (4, "leave", True), (5, "trash", False), (6, "trash", True)], "id, action, selected"))
 def plan_reverted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SL2."""
     return selection.reverted(_items(spark)).select("id", "action", "selected")
 
 
-@query(values_sql([(1, True, False, False, False), (2, False, False, True, False), (3, False, False, True, False), (4, False, True, True, True), (5, True, False, True, True), (6, False, False, True, False)], "id, changed, needs_review, checkable, reviewed"))
+@stated(values_sql([(1, True, False, False, False), (2, False, False, True, False), (3, False, False, True, False), (4, False, True, True, True), (5, True, False, True, True), (6, False, False, True, False)], "id, changed, needs_review, checkable, reviewed"))
 def plan_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SL3, SL5."""
     df = _items(spark)
@@ -114,26 +114,26 @@ def plan_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("id", selection.is_changed().alias("changed"), selection.needs_review().alias("needs_review"), selection.checkable().alias("checkable")).join(marked, "id")
 
 
-@query(values_sql([(3, True), (4, False)], "id, runs"))
+@stated(values_sql([(3, True), (4, False)], "id, runs"))
 def plan_actionable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SL5: the second row is blocked, since the copy that it rests on isn't moved."""
     return selection.actionable(_items(spark)).select("id", "runs")
 
 
-@query(values_sql([(1,), (2,), (3,), (4,), (5,)], "id"))
+@stated(values_sql([(1,), (2,), (3,), (4,), (5,)], "id"))
 def plan_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SL12."""
     return selection.remaining(_items(spark)).select("id")
 
 
-@query(values_sql([(1, "leave", False), (5, "trash", False), (77, "move", True)], "id, action, selected"))
+@stated(values_sql([(1, "leave", False), (5, "trash", False), (77, "move", True)], "id, action, selected"))
 def choices_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SL7: older choices of records that the plan doesn't hold stay, others are replaced."""
     old = spark.createDataFrame([("p", 77, "move", True), ("p", 2, "leave", False)], "lib string, id bigint, action string, selected boolean")
     return selection.saved_choices(old, _items(spark)).drop("lib")
 
 
-@query(values_sql([(2, 30, "target", ""), (6, 30, "target", "done"), (3, None, None, "done")], "id, match, match_side, status"))
+@stated(values_sql([(2, 30, "target", ""), (6, 30, "target", "done"), (3, None, None, "done")], "id, match, match_side, status"))
 def plan_after_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SL11: the third record was moved and is number 30 in the target."""
     items = _items(spark).withColumn("match", F.when(F.col("id") == 2, 3).otherwise(F.col("match")))
@@ -141,14 +141,14 @@ def plan_after_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.after_run(items, results).filter("id in (2, 3, 6)").select("id", "match", "match_side", "status")
 
 
-@query(values_sql([(2, "trash", "judged duplicate (91%)", False), (3, "move", "judged different (60%)", False), (4, "leave", "judged unsure (10%)", False)], "id, action, review, selected"))
+@stated(values_sql([(2, "trash", "judged duplicate (91%)", False), (3, "move", "judged different (60%)", False), (4, "leave", "judged unsure (10%)", False)], "id, action, review, selected"))
 def plan_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SL8."""
     said = spark.createDataFrame([("p", 2, "duplicate", 91.5), ("p", 3, "different", 60.0), ("p", 4, "unsure", 10.0)], "lib string, id bigint, verdict string, confidence double")
     return selection.judged(_items(spark), said).filter("id in (2, 3, 4)").select("id", "action", "review", "selected")
 
 
-@query(values_sql([("/a/b -> /c",), ("/a/b -> /c #tag:new,x",), ("/a/b -> /c #not-tag:new",)], "k"))
+@stated(values_sql([("/a/b -> /c",), ("/a/b -> /c #tag:new,x",), ("/a/b -> /c #not-tag:new",)], "k"))
 def pair_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SL6."""
     df = spark.createDataFrame([("/A/b", "/C", None, False), ("/a/B", "/c", " X, new ,x", False), ("/a/b", "/c", "New", True)], "s string, t string, tags string, x boolean")
