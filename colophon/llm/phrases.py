@@ -37,7 +37,7 @@ from colophon.llm.common import arrow_map, written
 from colophon.operators.tables import bounded
 
 #: Words of one shard's trie, at most; three of their numbers fit into 63 bits.
-WORDS = 2_000_000
+WORDS = 1_000_000
 #: Bytes of a text that are split at once.
 STEP = 8 << 20
 #: Nodes of a block, and of a prefix range about; first paths of blocks that are looked at for each range.
@@ -99,7 +99,7 @@ class Windows:
             at = self.at[-1][self.at[-1] + k < len(codes)]
             self.at.append(at[codes[at + k] != end])
 
-    def pairs(self) -> pa.RecordBatch:
+    def pairs(self) -> Iterator[pa.RecordBatch]:
         """The trie of one and two words."""
         one, two = self.at[:2]
         w = len(self.words).bit_length()
@@ -107,7 +107,7 @@ class Windows:
         path, counts = _counted(path)
         return blocks(self.lang, [path >> w, path & ((1 << w) - 1)], counts, self.words)
 
-    def triples(self, frequent: np.ndarray) -> pa.RecordBatch:
+    def triples(self, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
         """The trie of three words, without windows of pairs that aren't in the map."""
         at, w, hashes = self.at[2], len(self.words).bit_length(), _hashes(self.words)
         for k in (0, 1):
@@ -123,8 +123,8 @@ BLOCK = "lang string, first array<binary>, last array<binary>, n bigint, words b
 _KINDS = [pa.string(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
 
-def blocks(lang: str, levels: list[np.ndarray], counts: np.ndarray, words: pa.Array) -> pa.RecordBatch:
-    """Sorted nodes in blocks: first and last path, number of nodes, words in order, and each node's codes (0 for none, else from 1) and count.
+def blocks(lang: str, levels: list[np.ndarray], counts: np.ndarray, words: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Sorted nodes in blocks, some at a time: first and last path, number of nodes, words in order, and each node's codes (0 for none, else from 1) and count.
 
     ``levels`` has the first words' numbers as they stand, and those of other words beside 1 for none.
     """
@@ -138,7 +138,9 @@ def blocks(lang: str, levels: list[np.ndarray], counts: np.ndarray, words: pa.Ar
         names = words.take(pa.array(used[used >= 0])).to_pylist()
         path = lambda i: [names[c - 1] for c in codes[:, i] if c]  # noqa: E731, B023
         rows.append((lang, path(0), path(-1), codes.shape[1], b" ".join(names), codes.tobytes(), counts[at : at + NODES].tobytes()))
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, _KINDS, strict=True)], names=_BLOCK)
+        if len(rows) == 256 or at + NODES >= len(counts):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_BLOCK)
+            rows = []
 
 
 class Shard:
@@ -192,9 +194,9 @@ def tries(texts: DataFrame, frequent: np.ndarray | None = None, words: int = WOR
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _windows(batches, words):
             if sent.value is not None:
-                yield part.triples(sent.value)
+                yield from part.triples(sent.value)
                 continue
-            yield part.pairs()
+            yield from part.pairs()
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((part.lang, None, None, len(part.at[0]), None, None, None), _KINDS, strict=True)], names=_BLOCK)
 
     return arrow_map(texts, run, BLOCK)
@@ -235,6 +237,13 @@ def _merged(lang: str, parts: list[tuple], low: tuple, high: tuple | None, least
     return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), *spelled, pa.array(sums[at])], names=_NAMES)
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, 256 at a time: they are large."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            yield batch.slice(at, 256)
+
+
 def merged(tries_: DataFrame, least: int, nodes: int = RANGE) -> DataFrame:
     """NODE rows that occur ``least`` times: the written blocks of all tries, merged by prefix ranges of about so many nodes."""
     whole = tries_.filter("words is not null")
@@ -248,7 +257,7 @@ def merged(tries_: DataFrame, least: int, nodes: int = RANGE) -> DataFrame:
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Every block to the ranges that it has nodes of."""
-        for batch in batches:
+        for batch in _few(batches):
             langs, firsts, lasts = (batch.column(i).to_pylist() for i in range(3))
             spans = [(bisect_right(sent.value, key(x, a)), bisect_right(sent.value, key(x, b))) for x, a, b in zip(langs, firsts, lasts, strict=True)]
             at = pa.array([i for i, (a, b) in enumerate(spans) for _ in range(a, b + 1)], pa.int64())
@@ -263,7 +272,7 @@ def merged(tries_: DataFrame, least: int, nodes: int = RANGE) -> DataFrame:
             low, high = (sent.value[now[0] - 1] if now[0] else ("",)), (sent.value[now[0]] if now[0] < len(sent.value) else None)
             return _merged(now[1], parts, low, high, least)
 
-        for batch in batches:
+        for batch in _few(batches):
             for k, lang, *block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (k, lang) != now:
                     if parts:
