@@ -198,19 +198,19 @@ def _met(pairs: DataFrame) -> DataFrame:
 _KEYED = [(c, 1, 1) for c in ("c01", "c03", "c05", "c07", "c12", "c13", "c14", "c39", "c40", "c41", "c42")] + [("c40", 2, 1)]
 
 
-@query(values_sql(_KEYED, "lib, id, cand"))
+@stated(values_sql(_KEYED, "lib, id, cand"))
 def block_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN1."""
     return _met(blocking.strict(*_sides(spark, TWO)))
 
 
-@query(values_sql([*_KEYED, ("c11", 1, 1)], "lib, id, cand"))
+@stated(values_sql([*_KEYED, ("c11", 1, 1)], "lib, id, cand"))
 def block_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN2."""
     return _met(blocking.similar(*_sides(spark, TWO)))
 
 
-@query(values_sql([("c15", 1, 1)], "lib, id, cand"))
+@stated(values_sql([("c15", 1, 1)], "lib, id, cand"))
 def block_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN3, PF1."""
     return _met(blocking.by_series(*_sides(spark, OPTIONAL, same_series=True)))
@@ -223,7 +223,7 @@ def fallback_author(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _met(pairs).join(pairs.select("lib", "weak"), "lib")
 
 
-@query(values_sql([("c18", 1, 1), ("c20", 1, 1)], "lib, id, cand"))
+@stated(values_sql([("c18", 1, 1), ("c20", 1, 1)], "lib, id, cand"))
 def fallback_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN6, ST15."""
     return _met(blocking.similar_titles(*_sides(spark, OPTIONAL)))
@@ -310,7 +310,7 @@ REPLIES = [
 ]
 
 
-@query(values_sql([(r[0], *r[2:]) for r in REPLIES], "id, title, authors, publisher, year, series_index, isbn, language, cover, ok", "* REPLACE (series_index::DOUBLE AS series_index)"))
+@stated(values_sql([(r[0], *r[2:]) for r in REPLIES], "id, title, authors, publisher, year, series_index, isbn, language, cover, ok", "* REPLACE (series_index::DOUBLE AS series_index)"))
 def answers_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AI1, AI2."""
     df = spark.createDataFrame([r[:2] for r in REPLIES], "id int, reply string").withColumn("r", review.parse_reply("reply"))
@@ -433,20 +433,20 @@ def _done(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return shelf, execute.checked(todo, shelf)
 
 
-@query(values_sql([(1, True, None), (2, True, None), (6, False, "record changed"), (7, False, "record is gone")], "id, ok, why"))
+@stated(values_sql([(1, True, None), (2, True, None), (6, False, "record changed"), (7, False, "record is gone")], "id, ok, why"))
 def action_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EX1, EX3."""
     return _done(spark)[1].select("id", "ok", "why")
 
 
-@query(values_sql([(1, T, "EPUB"), (2, "trash", "EPUB,MOBI"), (6, S, "PDF"), (9, T, "EPUB,MOBI")], "id, side, formats"))
+@stated(values_sql([(1, T, "EPUB"), (2, "trash", "EPUB,MOBI"), (6, S, "PDF"), (9, T, "EPUB,MOBI")], "id, side, formats"))
 def apply_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EX4-EX6, SL11."""
     shelf, done = _done(spark)
     return execute.applied(shelf, done).select("id", "side", F.array_join("formats", ",").alias("formats"))
 
 
-@query(values_sql([(1, "move", None), (2, "merge MOBI", 9)], "id, done, match"))
+@stated(values_sql([(1, "move", None), (2, "merge MOBI", 9)], "id, done, match"))
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SK3."""
     return execute.journal(_done(spark)[1]).select("id", "done", "match")

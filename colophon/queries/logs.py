@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colophon.plans import runs
-from colophon.queries import query, read
+from colophon.queries import query, read, stated
 
 _T = "epoch_us(ts) / 1000000.0"
 
@@ -42,7 +42,7 @@ def active_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.active_seconds(df).withColumn("active", F.round("active", 3))
 
 
-@query("""SELECT 20000 AS len, 0.5::DOUBLE AS ratio, 9000 AS next UNION ALL SELECT 20000, NULL, 9000 UNION ALL SELECT 600, 0.99::DOUBLE, 500 UNION ALL SELECT 500, 0.5::DOUBLE, NULL""")
+@stated("""SELECT 20000 AS len, 0.5::DOUBLE AS ratio, 9000 AS next UNION ALL SELECT 20000, NULL, 9000 UNION ALL SELECT 600, 0.99::DOUBLE, 500 UNION ALL SELECT 500, 0.5::DOUBLE, NULL""")
 def shorter_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SQ6."""
     df = spark.createDataFrame([(20000, 0.5), (20000, None), (600, 0.99), (500, 0.5)], "len int, ratio double")

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colophon.functions import ids, people, text, titles
+from colophon.operators import blocking
 from colophon.operators.verdict import by_cover, decide, verdict, with_publishers
-from colophon.plans import answers, selection
+from colophon.plans import answers, execute, review, runs, selection
+from colophon.plans.features import features
 from colophon.queries import literal, query, read
 
 _FILL = {
@@ -409,3 +411,140 @@ MESSAGES, KINDS = _split([("{t} blocked by content filter", "filtered"), ("maxim
 def error_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AI11."""
     return filled(spark, sf_dir, MESSAGES).select("id", answers.error_kind("in0").alias("kind"))
+
+
+@query("""SELECT p_partkey AS id, coalesce(p, ap) AS publisher, CASE WHEN s % 2 = 0 THEN s % 5 END AS edition, coalesce(y, ay) AS year, ay AS ai_year, ap AS ai_publisher, array_to_string(list_filter(['x' || p_partkey, CASE WHEN s % 3 = 0 THEN 'y' || s END], lambda x: x IS NOT NULL), ',') AS isbns,
+    array_to_string(list_filter([CASE WHEN s % 2 = 0 THEN 'edition' END, CASE WHEN y IS NULL AND ay IS NOT NULL THEN 'year' END, CASE WHEN p IS NULL AND ap IS NOT NULL THEN 'publisher' END], lambda x: x IS NOT NULL), ',') AS read
+    FROM (SELECT p_partkey, p_size AS s, CASE WHEN p_size % 3 > 0 THEN p_brand END AS p, CASE WHEN p_size % 4 > 0 THEN 1990 + p_size % 4 END AS y, CASE WHEN p_partkey % 5 > 0 THEN 1980 + p_size END AS ay, CASE WHEN p_partkey % 7 > 0 THEN p_type END AS ap FROM part)""")
+def identity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PF2: what readings of all parts fill in."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    none, empty = (lambda kind: F.lit(None).cast(kind)), F.array().cast("array<string>")
+    identity = F.struct(
+        F.when(size % 3 > 0, F.col("p_brand")).alias("publisher"), none("int").alias("edition"), F.when(size % 4 > 0, 1990 + size % 4).alias("year"), none("int").alias("ai_year"), none("string").alias("ai_publisher"),
+        F.array(F.concat(F.lit("x"), key.cast("string"))).alias("isbns"), empty.alias("asins"), empty.alias("read"), none("string").alias("series_name"), none("double").alias("series_number"),
+    )
+    answer = F.struct(F.when(key % 7 > 0, F.col("p_type")).alias("publisher"), F.when(size % 2 == 0, size % 5).cast("int").alias("edition"), F.when(key % 5 > 0, 1980 + size).alias("year"), F.when(size % 3 == 0, F.array(F.concat(F.lit("y"), size.cast("string")))).otherwise(empty).alias("isbns"))
+    got = answers.filled(read(spark, sf_dir, "part").select(key.alias("id"), identity.alias("identity"), answer.alias("answer")))
+    return got.select("id", "identity.publisher", "identity.edition", "identity.year", "identity.ai_year", "identity.ai_publisher", F.array_join("identity.isbns", ",").alias("isbns"), F.array_join("identity.read", ",").alias("read"))
+
+
+#: All parts as two sides of five libraries: sources take even keys, targets odd ones; what was planned, and what has changed since.
+_SHELVES = """SELECT 'l' || p_partkey % 10 // 2 AS lib, p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'source' ELSE 'target' END AS side, 1000 + p_partkey AS stamp, CASE WHEN p_size % 3 = 0 THEN 'EPUB,MOBI' ELSE 'EPUB' END AS formats FROM part"""
+_CHECKS = f"""(SELECT t.lib, t.id, t.match, t.action, t.add, CASE WHEN t.id % 22 = 4 THEN 'record is gone' WHEN t.id % 26 = 6 THEN 'record changed' WHEN t.match IS NULL THEN NULL WHEN t.match % 33 = 9 OR m.id IS NULL THEN 'match is gone' WHEN t.match % 39 = 11 THEN 'match changed' END AS why
+    FROM (SELECT lib, id, CASE WHEN id % 4 = 0 THEN 'trash' ELSE 'move' END AS action, CASE WHEN id % 4 = 0 THEN id + 1 END AS match, CASE WHEN id % 8 = 0 THEN 'MOBI' ELSE '' END AS add FROM ({_SHELVES}) WHERE side = 'source') t LEFT JOIN ({_SHELVES}) m ON m.id = t.match)"""
+
+
+def _executed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The shelves as they are now, and the planned actions checked against them."""
+    key = F.col("p_partkey")
+    version = lambda k: F.concat(F.lit("2024-01-01T00:"), F.lpad((k % 60).cast("string"), 2, "0"), F.lit(":00.5"))
+    rows = read(spark, sf_dir, "part").select(
+        F.concat(F.lit("l"), F.floor(key % 10 / 2).cast("string")).alias("lib"), F.when(key % 2 == 0, "source").otherwise("target").alias("side"), key.alias("id"), version(key).alias("version"),
+        F.when(F.col("p_size") % 3 == 0, F.array(F.lit("EPUB"), F.lit("MOBI"))).otherwise(F.array(F.lit("EPUB"))).alias("formats"),
+    )
+    todo = rows.filter("side = 'source'").select(
+        "lib", "id", F.expr("if(id % 4 = 0, 'trash', 'move') action"), F.expr("if(id % 4 = 0, id + 1, null) match"), F.expr("if(id % 4 = 0, 'target', null) match_side"), F.expr("if(id % 8 = 0, 'MOBI', '') add"), F.substring("version", 1, 19).alias("stamp"), F.when(F.col("id") % 4 == 0, version(F.col("id") + 1)).alias("match_stamp")
+    )
+    gone = "side = 'source' and id % 22 = 4 or side = 'target' and id % 33 = 9"
+    changed = F.expr("side = 'source' and id % 26 = 6 or side = 'target' and id % 39 = 11")
+    now = rows.filter(f"not ({gone})").withColumn("version", F.when(changed, "2025-01-01T00:00:00").otherwise(F.col("version")))
+    return now, execute.checked(todo, now)
+
+
+@query(f"SELECT id, why IS NULL AS ok, why FROM {_CHECKS}")
+def action_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EX1, EX3: planned actions on all parts against what has gone or changed since."""
+    return _executed(spark, sf_dir)[1].select("id", "ok", "why")
+
+
+@query(f"""SELECT s.id, CASE WHEN c.id IS NULL THEN s.side WHEN c.action = 'move' THEN 'target' ELSE 'trash' END AS side, CASE WHEN g.match IS NOT NULL THEN 'EPUB,MOBI' ELSE s.formats END AS formats
+    FROM (SELECT * FROM ({_SHELVES}) WHERE NOT (side = 'source' AND id % 22 = 4 OR side = 'target' AND id % 33 = 9)) s LEFT JOIN (SELECT * FROM {_CHECKS} WHERE why IS NULL) c ON c.id = s.id AND s.side = 'source'
+    LEFT JOIN (SELECT match FROM {_CHECKS} WHERE why IS NULL AND action = 'trash' AND add <> '') g ON g.match = s.id""")
+def apply_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EX4, EX5, SL11: all parts after the run."""
+    now, done = _executed(spark, sf_dir)
+    return execute.applied(now, done).select("id", "side", F.array_join("formats", ",").alias("formats"))
+
+
+@query(f"SELECT id, CASE WHEN action = 'trash' AND add <> '' THEN 'merge ' || add ELSE action END AS done, match FROM {_CHECKS} WHERE why IS NULL")
+def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK3: a row for each action that was applied."""
+    return execute.journal(_executed(spark, sf_dir)[1]).select("id", "done", "match")
+
+
+@query(f"""WITH ok AS (SELECT * FROM {_CHECKS} WHERE why IS NULL), taken AS (SELECT s.* FROM ({_SHELVES}) s JOIN ok USING (id) WHERE s.formats = 'EPUB,MOBI' AND s.id % 3 = 0)
+    SELECT s.id, CASE WHEN c.id IS NULL THEN s.side WHEN c.action = 'move' THEN 'target' ELSE 'trash' END AS side, CASE WHEN g.match IS NOT NULL THEN 'EPUB,MOBI' WHEN t.id IS NOT NULL THEN 'EPUB' ELSE s.formats END AS formats
+    FROM (SELECT * FROM ({_SHELVES}) WHERE NOT (side = 'source' AND id % 22 = 4 OR side = 'target' AND id % 33 = 9)) s LEFT JOIN ok c ON c.id = s.id AND s.side = 'source' LEFT JOIN taken t ON t.id = s.id AND s.side = 'source'
+    LEFT JOIN (SELECT match FROM ok WHERE action = 'trash' AND add <> '') g ON g.match = s.id UNION ALL SELECT id, 'trash', formats FROM taken""")
+def formats_taken_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EX4-EX6: as ``apply_actions``, and a format taken out of every third record, whose former self is kept in the trash."""
+    now, done = _executed(spark, sf_dir)
+    has = now.filter("side = 'source'").select("lib", "id", F.array_contains("formats", "MOBI").alias("has"))
+    out = F.when(F.coalesce("has", F.lit(False)) & (F.col("id") % 3 == 0), F.array(F.lit("MOBI"))).otherwise(F.array().cast("array<string>"))
+    return execute.applied(now, done.join(has, ["lib", "id"], "left").withColumn("take_out", out)).select("id", "side", F.array_join("formats", ",").alias("formats"))
+
+
+@query("""SELECT event_id, CASE WHEN n > 500 THEN greatest(500, floor(n * least(coalesce(r, 0.5), 0.9) * 0.9)::INTEGER) END AS next FROM (SELECT event_id, (event_id * 37 % 20000)::INTEGER AS n, CASE WHEN event_id % 3 > 0 THEN (event_id % 16) / 16 END AS r FROM events)""")
+def shorter_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQ6 over lengths and ratios made of all events."""
+    key = F.col("event_id")
+    return read(spark, sf_dir, "events").select("event_id", runs.shorter((key * 37 % 20000).cast("int"), F.when(key % 3 > 0, key % 16 / 16)).alias("next"))
+
+
+@query("""SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name END AS title, CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN p_brand || '|' || p_type END AS authors, CASE WHEN p_partkey % 3 = 1 THEN p_type END AS publisher,
+    CASE WHEN p_partkey % 3 < 2 THEN 1900 + p_size END AS year, CASE WHEN p_partkey % 3 = 0 THEN p_size + 0.5 END::DOUBLE AS series_index, CASE WHEN p_partkey % 3 = 0 THEN 'ita' WHEN p_partkey % 3 = 1 THEN 'eng' END AS language, p_partkey % 3 < 2 AS ok FROM part""")
+def answers_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AI1, AI2: replies about all parts: with words around and one author as text, with lists, and without an object."""
+    size = F.col("p_size").cast("string")
+    year = F.concat(F.lit(', "year": '), (1900 + F.col("p_size")).cast("string"))
+    one = F.concat(F.lit('Sure: {"title": " '), "p_name", F.lit(' ", "authors": "'), "p_brand", F.lit('", "publisher": "null"'), year, F.lit(', "series": "S", "series_index": "'), size, F.lit(',5", "language": "it"} done'))
+    many = F.concat(F.lit('{"title": "'), "p_name", F.lit('", "authors": ["'), "p_brand", F.lit('", " '), "p_type", F.lit(' "], "publisher": "'), "p_type", F.lit('"'), year, F.lit(', "language": "English"}'))
+    key = F.col("p_partkey")
+    df = read(spark, sf_dir, "part").select(key.alias("id"), F.when(key % 3 == 0, one).when(key % 3 == 1, many).otherwise(F.concat(F.lit("nothing on "), "p_name")).alias("reply")).withColumn("a", review.parse_reply("reply"))
+    return df.select("id", "a.title", F.array_join("a.authors", "|").alias("authors"), "a.publisher", "a.year", "a.series_index", "a.language", F.col("a").isNotNull().alias("ok"))
+
+
+def _blocked(spark: SparkSession, sf_dir: str, **given: object) -> tuple[DataFrame, DataFrame]:
+    """All parts as books, even keys as sources, odd ones as targets."""
+    from colophon.queries.shelves import records
+
+    key = F.col("p_partkey")
+    given = {"title": F.col("p_name"), "authors": F.array("p_type")} | given
+    feats = features(records(read(spark, sf_dir, "part"), lib=F.lit("l"), side=F.when(key % 2 == 0, "source").otherwise("target"), id=key, formats=F.array(F.lit("EPUB")), **given), True).withColumn("ord", F.array("id"))
+    return feats.filter("side = 'source'"), feats.filter("side = 'target'")
+
+
+def _met(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("id").agg(F.count("*").alias("n"), F.min("cand").alias("first"), F.sum("cand").alias("total"))
+
+
+def _met_sql(on: str) -> str:
+    return f"SELECT a.p_partkey AS id, count(*) AS n, min(b.p_partkey) AS first, sum(b.p_partkey)::BIGINT AS total FROM part a JOIN part b ON a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1 AND {on} GROUP BY a.p_partkey"
+
+
+@query(_met_sql("a.p_name = b.p_name AND a.p_type = b.p_type AND a.p_brand = b.p_brand"))
+def block_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN1: the same title and the same set of two authors, however they are ordered."""
+    authors = F.when(F.col("p_partkey") % 4 < 2, F.array("p_type", "p_brand")).otherwise(F.array("p_brand", "p_type"))
+    return _met(blocking.strict(*_blocked(spark, sf_dir, authors=authors)))
+
+
+@query(_met_sql("a.p_name = b.p_name AND (a.p_type = b.p_type OR a.p_brand = b.p_brand OR length(a.p_brand) = 7 AND length(b.p_brand) = 7)"))
+def block_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN2: the same title and any author alike; single signs don't count, so brands of one digit are."""
+    return _met(blocking.similar(*_blocked(spark, sf_dir, authors=F.array("p_type", "p_brand"))))
+
+
+@query(_met_sql("a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_size > 1 AND a.p_type = b.p_type"))
+def block_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN3: the same series and number, from 2 on, and an author in common."""
+    return _met(blocking.by_series(*_blocked(spark, sf_dir, series=F.col("p_brand"), series_number=F.col("p_size").cast("double"))))
+
+
+@query(_met_sql("a.p_type = b.p_type AND a.p_name = b.p_name AND a.p_size % 2 = 0"))
+def fallback_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN6: titles with a number or a month before that of others by the same author; equal titles aren't similar ones."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    title = F.when((key % 2 == 0) & (size % 2 == 0), F.concat(F.lit("4 "), "p_name", F.lit(" primavera 1998"))).otherwise(F.col("p_name"))
+    return _met(blocking.similar_titles(*_blocked(spark, sf_dir, title=title)))

@@ -155,7 +155,7 @@ def pair_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(selection.pair_key(*(F.col(c) for c in df.columns)).alias("k"))
 
 
-@query(values_sql([(1, "target", "EPUB"), (2, "trash", "EPUB"), (3, "source", "EPUB"), (3, "trash", "EPUB,PDF"), (9, "target", "EPUB,MOBI"), (1, "kept", "EPUB")], "id, side, formats"))
+@stated(values_sql([(1, "target", "EPUB"), (2, "trash", "EPUB"), (3, "source", "EPUB"), (3, "trash", "EPUB,PDF"), (9, "target", "EPUB,MOBI"), (1, "kept", "EPUB")], "id, side, formats"))
 def formats_taken_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EX4-EX6: a move, a copy that goes after its match gained a format, and a format taken out with the whole record kept in the trash."""
     kind = "lib string, side string, id bigint, formats array<string>"
