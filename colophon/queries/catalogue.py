@@ -9,7 +9,7 @@ from colophon.operators import blocking
 from colophon.operators.verdict import IDENTITY, by_cover, decide, verdict, with_publishers
 from colophon.plans import execute, ladder, review, selection
 from colophon.plans.features import BOOKS, features, without_junk_isbns
-from colophon.queries import query, read, stated, values_sql
+from colophon.queries import literal, query, read, stated, values_sql
 
 TA = ["Tove Almqvist"]
 
@@ -61,43 +61,69 @@ OPTIONAL = [
 ]
 
 
-def _books(spark: SparkSession, cases: list) -> DataFrame:
+def _libs(cases: list) -> list[str]:
+    return sorted({c[0]["lib"] for c in cases})
+
+
+def _over_parts(spark: SparkSession, sf_dir: str, df: DataFrame, libs: list[str]) -> DataFrame:
+    """Each part gets the libraries of one case, named by the case and the part's key; the key is added as ``part``."""
+    numbers = F.create_map(*(x for k, lib in enumerate(libs) for x in (F.lit(lib), F.lit(k))))
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), (F.col("p_partkey") % len(libs)).cast("int").alias("case"))
+    dealt = parts.join(F.broadcast(df.withColumn("case", F.element_at(numbers, F.col("lib")))), "case").drop("case")
+    return dealt.withColumn("lib", F.concat("lib", F.lit("-"), F.col("part").cast("string")))
+
+
+def _books(spark: SparkSession, sf_dir: str, cases: list) -> DataFrame:
+    """The cases dealt to all parts; files and texts are each part's own."""
     names = [f.split()[0] for f in BOOKS.split(", ")]
-    return spark.createDataFrame([tuple(b[n] for n in names) for b, _, _ in cases], BOOKS)
+    stated_ = spark.createDataFrame([tuple(c[0][n] for n in names) for c in cases], BOOKS)
+    dealt = _over_parts(spark, sf_dir, stated_, _libs(cases))
+    own = F.concat("digest", F.lit("-"), F.col("part").cast("string"))
+    return dealt.withColumn("digest", own).withColumn("text_id", F.col("text_id") + F.col("part") * 10).select(*names)
+
+
+def _dealt(rows: list[tuple], names: str, libs: list[str], casts: str = "") -> str:
+    """SQL of rows that begin with a case, for all parts with that case."""
+    body = ", ".join("(" + ", ".join([str(libs.index(r[0])), *map(literal, r)]) + ")" for r in rows)
+    own = names.split(", ")
+    return f"SELECT c.lib || '-' || p_partkey AS lib, {', '.join(f'c.{n} AS {n}' for n in own[1:])} FROM part JOIN (VALUES {body}) c(k, {names}) ON p_partkey % {len(libs)} = k"
 
 
 def _expected(cases: list) -> str:
-    return values_sql([(b["lib"], b["id"], action, match) for b, action, match in cases if action], "lib, id, action, match")
+    return _dealt([(b["lib"], b["id"], action, match) for b, action, match in cases if action], "lib, id, action, match", _libs(cases))
 
 
-def _texts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(1, 2, 1.0), (3, 4, 0.97), (1, 3, 0.1)], "a bigint, b bigint, share double")
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What texts of each part's books share."""
+    shares = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(s).alias("share")) for a, b, s in ((1, 2, 1.0), (3, 4, 0.97), (1, 3, 0.1))))
+    own = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.explode(shares).alias("s"))
+    return own.select((F.col("s.a") + F.col("part") * 10).alias("a"), (F.col("s.b") + F.col("part") * 10).alias("b"), "s.share")
 
 
 @query(_expected(TWO))
 def dedup_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DL0, DL2-DL8, DL11c, of DL13 the file-name hold, AG2, AG3, SQ1 over two libraries."""
-    return ladder.plan(_books(spark, TWO), texts=_texts(spark)).select("lib", "id", "action", "match")
+    return ladder.plan(_books(spark, sf_dir, TWO), texts=_texts(spark, sf_dir)).select("lib", "id", "action", "match")
 
 
 @query(_expected(ONE))
 def dedup_plan_one_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN1, JN14, SQ1 within one library."""
-    return ladder.plan(_books(spark, ONE), ladder.Options(one_library=True)).select("lib", "id", "action", "match")
+    return ladder.plan(_books(spark, sf_dir, ONE), ladder.Options(one_library=True)).select("lib", "id", "action", "match")
 
 
 @query(_expected(OPTIONAL))
 def dedup_plan_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DL3, DL5, DL12, JN2, JN3, JN5, JN6 with their options on."""
     options = ladder.Options(similar_authors=True, same_series=True, similar_titles=True, author_variants=True)
-    return ladder.plan(_books(spark, OPTIONAL), options, _texts(spark)).select("lib", "id", "action", "match")
+    return ladder.plan(_books(spark, sf_dir, OPTIONAL), options, _texts(spark, sf_dir)).select("lib", "id", "action", "match")
 
 
-@query(values_sql([(b["lib"], b["id"], "leave" if a == "move" or b["lib"] in ("c01", "c05") else a) for b, a, _ in TWO if a], "lib, id, action"))
+@query(_dealt([(b["lib"], b["id"], "leave" if a == "move" or b["lib"] in ("c01", "c05") else a) for b, a, _ in TWO if a], "lib, id, action", _libs(TWO)))
 def cleanup_only_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DL14: c01 and c05 stay, since the target's copies lack a format of theirs."""
-    books = _books(spark, TWO)
-    return ladder.cleanup_only(ladder.plan(books, texts=_texts(spark)), books).select("lib", "id", "action")
+    books = _books(spark, sf_dir, TWO)
+    return ladder.cleanup_only(ladder.plan(books, texts=_texts(spark, sf_dir)), books).select("lib", "id", "action")
 
 
 CLEANUP = [
@@ -110,7 +136,7 @@ CLEANUP = [
 @query(_expected(CLEANUP))
 def cleanup_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DL14: copies of what stays go into it."""
-    books = _books(spark, CLEANUP)
+    books = _books(spark, sf_dir, CLEANUP)
     return ladder.cleanup_only(ladder.plan(books), books).select("lib", "id", "action", "match")
 
 
@@ -144,24 +170,25 @@ FACTS = [
 ]
 
 
-def _fact_plan(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    books = _books(spark, [c[:3] for c in FACTS])
+def _fact_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    books = _books(spark, sf_dir, FACTS)
     covers = spark.createDataFrame([("s", "s2", "same"), ("d", "d2", "different")], "a string, b string, answer string")
     readings = spark.createDataFrame([("r1", S, 1, None, None, 1990, []), ("r1", T, 1, None, None, 1990, [])], "lib string, side string, id bigint, publisher string, edition int, year int, isbns array<string>")
+    readings = _over_parts(spark, sf_dir, readings, _libs(FACTS)).drop("part")
     options = ladder.Options(fix_swapped=True, cover_check=True, recheck_years=True, author_variants=True)
-    return ladder.plan(books, options, _texts(spark), covers, readings), books
+    return ladder.plan(books, options, _texts(spark, sf_dir), covers, readings), books
 
 
-@query(values_sql([(b["lib"], b["id"], action, match, why) for b, action, match, why in FACTS if action], "lib, id, action, match, why"))
+@query(_dealt([(b["lib"], b["id"], action, match, why) for b, action, match, why in FACTS if action], "lib, id, action, match, why", _libs(FACTS)))
 def dedup_plan_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DL1, DL9-DL11b, DL13, PF7, PF8, PF10, PF11, TX10, TX11, JN7, JN8, JN13, IM5, AI4."""
-    return _fact_plan(spark)[0].select("lib", "id", "action", "match", "why")
+    return _fact_plan(spark, sf_dir)[0].select("lib", "id", "action", "match", "why")
 
 
-@query(values_sql([("c24", 1, "same text [title and author were swapped]", "", True), ("c28", 1, "isbn [1 is in another language]", "", True), ("c29a", 1, "nothing tells them apart", "no edition: compare them", False), ("c29b", 1, "same cover", "by the covers: compare them", False), ("u1", 1, "no format that opens", "EPUB open nowhere", False), ("u3", 1, "isbn [unreadable: PDF]", "", True), ("c38", 1, "year+publisher", "authors matched by the surname only", False)], "lib, id, reason, review, selected"))
+@query(_dealt([("c24", 1, "same text [title and author were swapped]", "", True), ("c28", 1, "isbn [1 is in another language]", "", True), ("c29a", 1, "nothing tells them apart", "no edition: compare them", False), ("c29b", 1, "same cover", "by the covers: compare them", False), ("u1", 1, "no format that opens", "EPUB open nowhere", False), ("u3", 1, "isbn [unreadable: PDF]", "", True), ("c38", 1, "year+publisher", "authors matched by the surname only", False)], "lib, id, reason, review, selected", _libs(FACTS)))
 def plan_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DL15, DL18, AG11: reasons with their notes, and what is to be looked at first."""
-    return _fact_plan(spark)[0].filter(F.col("lib").isin("c24", "c28", "c29a", "c29b", "u1", "u3", "c38")).select("lib", "id", "reason", "review", "selected")
+    return _fact_plan(spark, sf_dir)[0].filter(F.split("lib", "-")[0].isin("c24", "c28", "c29a", "c29b", "u1", "u3", "c38")).select("lib", "id", "reason", "review", "selected")
 
 
 TAGGED = [
@@ -176,18 +203,18 @@ def tag_filter_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PF4, JN11, DL16: only tagged records are decided, the others stay candidates."""
     from colophon.sources.catalogue import tag_selects
 
-    return ladder.plan(_books(spark, TAGGED), ladder.Options(one_library=True), chosen=tag_selects(" NEW ")).select("lib", "id", "action", "match")
+    return ladder.plan(_books(spark, sf_dir, TAGGED), ladder.Options(one_library=True), chosen=tag_selects(" NEW ")).select("lib", "id", "action", "match")
 
 
-@query(values_sql([("c01", 1, "EPUB"), ("c05", 1, "MOBI")], "lib, id, added"))
+@query(_dealt([("c01", 1, "EPUB"), ("c05", 1, "MOBI")], "lib, id, added", _libs(TWO)))
 def format_promises(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PF18, WN3, ST.U3."""
-    books = _books(spark, TWO)
-    return ladder.formats_to_add(ladder.plan(books, texts=_texts(spark)), books).select("lib", "id", F.col("add").alias("added"))
+    books = _books(spark, sf_dir, TWO)
+    return ladder.formats_to_add(ladder.plan(books, texts=_texts(spark, sf_dir)), books).select("lib", "id", F.col("add").alias("added"))
 
 
-def _sides(spark: SparkSession, cases: list, **options: object) -> tuple[DataFrame, DataFrame]:
-    feats = ladder.ranked(without_junk_isbns(features(_books(spark, cases), **options)))
+def _sides(spark: SparkSession, sf_dir: str, cases: list, **options: object) -> tuple[DataFrame, DataFrame]:
+    feats = ladder.ranked(without_junk_isbns(features(_books(spark, sf_dir, cases), **options)))
     return feats.filter("side = 'source'"), feats.filter("side = 'target'")
 
 
@@ -195,39 +222,16 @@ def _met(pairs: DataFrame) -> DataFrame:
     return pairs.select("lib", F.floor(F.col("id") / 2).cast("bigint").alias("id"), F.floor(F.col("cand") / 2).cast("bigint").alias("cand"))
 
 
-_KEYED = [(c, 1, 1) for c in ("c01", "c03", "c05", "c07", "c12", "c13", "c14", "c39", "c40", "c41", "c42")] + [("c40", 2, 1)]
-
 
-@stated(values_sql(_KEYED, "lib, id, cand"))
-def block_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN1."""
-    return _met(blocking.strict(*_sides(spark, TWO)))
 
 
-@stated(values_sql([*_KEYED, ("c11", 1, 1)], "lib, id, cand"))
-def block_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN2."""
-    return _met(blocking.similar(*_sides(spark, TWO)))
-
-
-@stated(values_sql([("c15", 1, 1)], "lib, id, cand"))
-def block_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN3, PF1."""
-    return _met(blocking.by_series(*_sides(spark, OPTIONAL, same_series=True)))
-
-
-@query(values_sql([("c21", 1, 1, False)], "lib, id, cand, weak"))
+@query(_dealt([("c21", 1, 1, False)], "lib, id, cand, weak", _libs(OPTIONAL)))
 def fallback_author(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN5."""
-    pairs = blocking.author_variants(*_sides(spark, OPTIONAL))
+    pairs = blocking.author_variants(*_sides(spark, sf_dir, OPTIONAL))
     return _met(pairs).join(pairs.select("lib", "weak"), "lib")
 
 
-@stated(values_sql([("c18", 1, 1), ("c20", 1, 1)], "lib, id, cand"))
-def fallback_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN6, ST15."""
-    return _met(blocking.similar_titles(*_sides(spark, OPTIONAL)))
-
 
 @query("""SELECT o_custkey a, count(DISTINCT o_orderkey) n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_custkey""")
 def dimension_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,21 +289,22 @@ def cover_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 SWAPS = [(1, "Almqvist", ["The Inn at the End of a Road"]), (2, "Salt Roads", ["Almqvist"]), (3, "Delacroix", ["Peter Oakes"]), (4, "Moreau", ["Peter Oakes"]), (5, "Canvas", ["Delacroix"])]
 
 
-@query(values_sql([("l", 1)], "lib, id"))
+@query(_dealt([("l", 1)], "lib, id", ["l"]))
 def swap_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN7, PF10."""
     from colophon.functions.titles import title_key
 
-    return blocking.swapped(spark.createDataFrame([("l", *s) for s in SWAPS], "lib string, id bigint, title string, authors array<string>").withColumn("title_key", title_key("title")))
+    rows = spark.createDataFrame([("l", *s) for s in SWAPS], "lib string, id bigint, title string, authors array<string>")
+    return blocking.swapped(_over_parts(spark, sf_dir, rows, ["l"]).drop("part").withColumn("title_key", title_key("title")))
 
 
 HIDING = [(book("h1", S, 1, "Glass island", ["T. Lindqvist"]), None, None), (book("h1", S, 2, "Copper", ["T. Lindqvist"]), None, None), (book("h1", T, 1, "Harbour 0077", ["T. Lindqvist"], file_title="Glass Island"), None, None), (book("h2", S, 1, "Copper", ["T. Lindqvist"]), None, None), (book("h2", T, 1, "Harbour 0078", ["T. Lindqvist"]), None, None)]
 
 
-@query(values_sql([("h1", 1, 1)], "lib, id, hidden_by"))
+@query(_dealt([("h1", 1, 1)], "lib, id, hidden_by", _libs(HIDING)))
 def may_hide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN8."""
-    got = blocking.may_hide(*_sides(spark, HIDING))
+    got = blocking.may_hide(*_sides(spark, sf_dir, HIDING))
     return got.select("lib", F.floor(F.col("id") / 2).cast("bigint").alias("id"), F.floor(F.col("hidden_by") / 2).cast("bigint").alias("hidden_by"))
 
 
@@ -344,20 +349,29 @@ REVIEWS = [
 _REVIEW = f"id int, title string, authors array<string>, publisher string, year int, isbns array<string>, languages array<string>, series string, series_number double, found {READING}, text string"
 
 
-def _reviewed(spark: SparkSession) -> DataFrame:
-    return review.evidence(spark.createDataFrame([r for r, _ in REVIEWS], _REVIEW))
+def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part has one of the cases, numbered by its key and the case."""
+    rows = spark.createDataFrame([r for r, _ in REVIEWS], _REVIEW)
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"))
+    dealt = parts.join(F.broadcast(rows), F.col("part") % len(REVIEWS) + 1 == F.col("id"))
+    return review.evidence(dealt.withColumn("id", F.col("part") * 100 + F.col("id")).drop("part"))
+
+
+def _review_sql(rows: list[tuple], names: str) -> str:
+    body = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
+    return f"SELECT p_partkey * 100 + c.id AS id, {', '.join(f'c.{n} AS {n}' for n in names.split(', ')[1:])} FROM part JOIN (VALUES {body}) c({names}) ON p_partkey % {len(REVIEWS)} + 1 = c.id"
 
 
-@query(values_sql([(r[0], f, p) for r, cs in REVIEWS for f, p, _ in cs], "id, field, proposed"))
+@query(_review_sql([(r[0], f, p) for r, cs in REVIEWS for f, p, _ in cs], "id, field, proposed"))
 def review_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PF12, ID6."""
-    return review.changes(_reviewed(spark)).select("id", "field", "proposed")
+    return review.changes(_reviewed(spark, sf_dir)).select("id", "field", "proposed")
 
 
-@query(values_sql([(r[0], f, d) for r, cs in REVIEWS for f, _, d in cs], "id, field, doubt"))
+@query(_review_sql([(r[0], f, d) for r, cs in REVIEWS for f, _, d in cs], "id, field, doubt"))
 def review_doubts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PF13, TX12, TX13."""
-    return review.doubts(review.changes(_reviewed(spark))).select("id", "field", "doubt")
+    return review.doubts(review.changes(_reviewed(spark, sf_dir))).select("id", "field", "doubt")
 
 
 _PLAN = "lib string, id bigint, title string, action string, planned string, match bigint, match_side string, add string, selected boolean, status string, review string, by_cover boolean, swapped boolean"

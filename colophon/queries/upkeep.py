@@ -22,18 +22,30 @@ FOUND = [("p", 1, ("Salt Roads", ["P. Oakes"], "osprey", 1991, "Tides", 3.0, ["9
 VALUES = {1: [("title", "Salt Roads", "Salt Roads"), ("authors", "Peter Oakes", "P. Oakes"), ("publisher", "Osprey", "osprey"), ("year", "1990", "1991"), ("series", "Tides [2]", "Tides [3]"), ("isbn", None, None), ("language", "eng", "fra")], 2: [("title", None, "Glass Island"), ("authors", None, "Tove Lindqvist"), ("publisher", None, None), ("year", None, None), ("series", None, None), ("isbn", "9780804429573", "9780804429573"), ("language", None, None)]}
 
 
-def _shelf(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SHELF, _SHELF)
+def _dealt(spark: SparkSession, sf_dir: str, df: DataFrame, records: int = 5) -> DataFrame:
+    """Each part, as a library of its own, has the rows of one record, by its key."""
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"))
+    dealt = parts.join(F.broadcast(df), F.col("part") % records + 1 == F.col("id"))
+    return dealt.withColumn("lib", F.concat("lib", F.lit("-"), F.col("part").cast("string"))).drop("part")
 
 
-def _values(spark: SparkSession) -> DataFrame:
-    return edit.field_values(_shelf(spark).join(spark.createDataFrame(FOUND, f"lib string, id bigint, found {_FOUND}"), ["lib", "id"]))
+def _dealt_sql(rows: list[tuple], names: str, casts: str = "*", records: int = 5) -> str:
+    return f"SELECT c.* FROM part JOIN ({values_sql(rows, names, casts)}) c ON p_partkey % {records} + 1 = c.id"
 
 
-@query(values_sql([(i, *v) for i, vs in VALUES.items() for v in vs], "id, field, current, read"))
+def _shelf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dealt(spark, sf_dir, spark.createDataFrame(SHELF, _SHELF))
+
+
+def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _dealt(spark, sf_dir, spark.createDataFrame(FOUND, f"lib string, id bigint, found {_FOUND}"))
+    return edit.field_values(_shelf(spark, sf_dir).join(found, ["lib", "id"]))
+
+
+@query(_dealt_sql([(i, *v) for i, vs in VALUES.items() for v in vs], "id, field, current, read"))
 def review_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PF26, ID5."""
-    return _values(spark).drop("lib")
+    return _values(spark, sf_dir).drop("lib")
 
 
 _PROPOSED = "lib string, id bigint, field string, current string, proposed string, doubt string, excluded boolean"
@@ -42,43 +54,43 @@ _DECISION = "lib string, id bigint, action string, manual boolean, reviewed bool
 DECISIONS = [("p", 1, None, None, None, None, [], [], ["EPUB"], True, ["x"], False), ("p", 2, None, None, True, None, ["PDF"], [], ["EPUB", "PDF"], True, ["aireviewed"], True), ("p", 3, None, None, None, None, ["PDF"], [], ["PDF"], False, [], True), ("p", 4, "update", True, None, True, [], [], ["EPUB"], True, [], False), ("p", 5, None, None, None, None, [], [], ["EPUB"], True, [], False)]
 
 
-def _proposed(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PROPOSED, _PROPOSED)
+def _proposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dealt(spark, sf_dir, spark.createDataFrame(PROPOSED, _PROPOSED))
 
 
-def _defaults(spark: SparkSession) -> DataFrame:
-    return edit.defaults(spark.createDataFrame(DECISIONS, _DECISION), _proposed(spark))
+def _defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit.defaults(_dealt(spark, sf_dir, spark.createDataFrame(DECISIONS, _DECISION)), _proposed(spark, sf_dir))
 
 
-@query(values_sql([(1, "year"), (1, "publisher"), (4, "isbn")], "id, field"))
+@query(_dealt_sql([(1, "year"), (1, "publisher"), (4, "isbn")], "id, field"))
 def review_to_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PF15, with the series turned off."""
-    return edit.to_write(_proposed(spark), tuple(f for f in edit.FIELDS if f != "series")).select("id", "field")
+    return edit.to_write(_proposed(spark, sf_dir), tuple(f for f in edit.FIELDS if f != "series")).select("id", "field")
 
 
-@query(values_sql([(1, "update", True, True, False), (2, "keep", True, False, True), (3, "trash", True, False, False), (4, "update", True, False, True), (5, "keep", False, False, True)], "id, shown, ticked, to_review, done"))
+@query(_dealt_sql([(1, "update", True, True, False), (2, "keep", True, False, True), (3, "trash", True, False, False), (4, "update", True, False, True), (5, "keep", False, False, True)], "id, shown, ticked, to_review, done"))
 def review_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PF16, PF17."""
-    return _defaults(spark).select("id", "shown", "ticked", "to_review", "done")
+    return _defaults(spark, sf_dir).select("id", "shown", "ticked", "to_review", "done")
 
 
-def _actions(spark: SparkSession) -> DataFrame:
-    return edit.review_actions(_defaults(spark), _proposed(spark))
+def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit.review_actions(_defaults(spark, sf_dir), _proposed(spark, sf_dir))
 
 
-@query(values_sql([(1, "set", "publisher,series,year", None, None), (2, "trash_formats", None, "PDF", None), (2, "tag", None, None, "BadCover"), (3, "trash", None, None, None), (4, "set", "isbn", None, "AIReviewed"), (5, "tag", None, None, "AIReviewed")], "id, op, fields, formats, tag"))
+@query(_dealt_sql([(1, "set", "publisher,series,year", None, None), (2, "trash_formats", None, "PDF", None), (2, "tag", None, None, "BadCover"), (3, "trash", None, None, None), (4, "set", "isbn", None, "AIReviewed"), (5, "tag", None, None, "AIReviewed")], "id, op, fields, formats, tag"))
 def review_change_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EX2, IM7."""
     keys = F.array_join(F.array_sort(F.map_keys("fields")), ",")
-    return _actions(spark).select("id", "op", keys.alias("fields"), F.array_join("formats", ",").alias("formats"), "tag")
+    return _actions(spark, sf_dir).select("id", "op", keys.alias("fields"), F.array_join("formats", ",").alias("formats"), "tag")
 
 
-@query(values_sql([(1, "Salt Roads", "Osprey", 1991, "Tides", 3.0, "", "eng", "x,AIUpdated"), (2, "Unknown", None, None, None, None, "9780804429573", "", "aireviewed,BadCover"), (3, "Canvas", None, 2001, None, None, "", "", ""), (4, "Tides", None, None, None, None, "9781843560289", "", "AIReviewed,AIUpdated")], "id, title, publisher, year, series, series_number, isbns, languages, tags", "* REPLACE (series_number::DOUBLE AS series_number)"))
+@query(_dealt_sql([(1, "Salt Roads", "Osprey", 1991, "Tides", 3.0, "", "eng", "x,AIUpdated"), (2, "Unknown", None, None, None, None, "9780804429573", "", "aireviewed,BadCover"), (3, "Canvas", None, 2001, None, None, "", "", ""), (4, "Tides", None, None, None, None, "9781843560289", "", "AIReviewed,AIUpdated")], "id, title, publisher, year, series, series_number, isbns, languages, tags", "* REPLACE (series_number::DOUBLE AS series_number)"))
 def review_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EX7, EX8, EX10: fields are set, a publisher that differs in case keeps the library's spelling, and tags are added once."""
-    actions = _actions(spark)
-    names = _shelf(spark).filter("publisher is not null").select("lib", F.col("publisher").alias("name"))
-    books = edit.spelled(edit.with_fields(_shelf(spark), actions), "publisher", names)
+    actions = _actions(spark, sf_dir)
+    names = _shelf(spark, sf_dir).filter("publisher is not null").select("lib", F.col("publisher").alias("name"))
+    books = edit.spelled(edit.with_fields(_shelf(spark, sf_dir), actions), "publisher", names)
     text = lambda c: F.array_join(c, ",").alias(c)
     return edit.with_tag(books, edit.action_tags(actions)).select("id", "title", "publisher", "year", "series", "series_number", text("isbns"), text("languages"), text("tags"))
 
