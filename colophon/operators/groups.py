@@ -43,3 +43,21 @@ def best_copy(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame
 def newest(df: DataFrame, group: list[str], order: list[Column], keep: int) -> DataFrame:
     """WN5: the first ``keep`` rows of each group."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("rank") <= keep)
+
+
+def author_support(books: DataFrame) -> DataFrame:
+    """AG6: (lib, kind, name, n): how many books each author key has (``book``), and of how many author keys each part of a name is one (``person``).
+
+    ``books(lib, id, authors_key)``: the keys of each book's authors.
+    """
+    each = books.select("lib", "id", F.explode("authors_key").alias("author")).distinct()
+    own = each.groupBy("lib", "author").agg(F.count("*").alias("n"))
+    parts = own.select("lib", "author", F.explode(F.array_distinct(F.split("author", " "))).alias("part")).groupBy("lib", "part").agg(F.count("*").alias("n"))
+    return own.select("lib", F.lit("book").alias("kind"), F.col("author").alias("name"), "n").union(parts.select("lib", F.lit("person").alias("kind"), F.col("part").alias("name"), "n"))
+
+
+def first_of_each(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """AG16: the first row of each key, with all its columns; an aggregate, so that a hot key is reduced before it is exchanged."""
+    place, row = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order))), F.struct("*")
+    first = df.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), row.alias("row"), place.alias("place"))
+    return first.groupBy(*(f"k{i}" for i in range(len(keys)))).agg(F.min_by("row", "place").alias("row")).select("row.*")

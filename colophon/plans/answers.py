@@ -37,6 +37,18 @@ def needs_edition(identity: str = "identity") -> Column:
     return (at("edition").isNull() & at("year").isNull()) | (F.coalesce(at("publisher"), F.lit("")) == "")
 
 
+def needs_machine_facts(identity: str = "identity") -> Column:
+    """PF3: no year or no publisher that a machine has read."""
+    at = lambda n: F.col(f"{identity}.{n}")
+    return at("ai_year").isNull() | (F.coalesce(at("ai_publisher"), F.lit("")) == "")
+
+
+def trimmed(items: Column, most: int = 8, chars: int = 300) -> Column:
+    """SO3: the first ``most`` items that say something, each cut to ``chars`` characters."""
+    said = F.filter(items, lambda x: F.coalesce(F.btrim(x), F.lit("")) != "")
+    return F.transform(F.slice(said, 1, most), lambda x: F.substring(F.btrim(x), 1, chars))
+
+
 def filled(df: DataFrame) -> DataFrame:
     """PF2: missing fields from ``answer(publisher, edition, year, isbns)``; machine year and publisher are kept beside the record's."""
     i, a = (lambda n: F.col(f"identity.{n}")), (lambda n: F.col(f"answer.{n}"))

@@ -126,11 +126,17 @@ def isbn_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("p_partkey", ids.normalize_isbn(ten).alias("isbn"))
 
 
-@query("""SELECT p_partkey, 'isbn ' || p_partkey || ': 0-306-40615-2, again 9780306406157 and 1234567890' AS page, '9780306406157' found FROM part""")
+@query("""SELECT p_partkey, '978' || b || c AS found FROM (SELECT *, ((10 - (38 + list_sum(list_transform(range(1, 10), lambda i: substr(b, i, 1)::INT * CASE WHEN i % 2 = 1 THEN 3 ELSE 1 END))) % 10) % 10) AS c
+    FROM (SELECT p_partkey, '1' || lpad(p_partkey::VARCHAR, 8, '0') b FROM part))""")
 def isbn_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TX14."""
-    page = F.concat(F.lit("isbn "), F.col("p_partkey").cast("string"), F.lit(": 0-306-40615-2, again 9780306406157 and 1234567890"))
-    return read(spark, sf_dir, "part").select("p_partkey", page.alias("page")).withColumn("found", F.array_join(ids.isbns_in("page"), ","))
+    """TX14: each part's own number in a text, printed in ten digits and again in thirteen with blanks, beside numbers that aren't one."""
+    df = read(spark, sf_dir, "part").select("p_partkey", "p_name", F.concat(F.lit("1"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")).alias("b"))
+    last = (F.lit(11) - sum(((11 - i) * F.substring("b", i, 1).cast("int") for i in range(1, 10)), F.lit(0)) % 11) % 11
+    check = (F.lit(10) - (F.lit(38) + sum(((3 if i % 2 else 1) * F.substring("b", i, 1).cast("int") for i in range(1, 10)), F.lit(0))) % 10) % 10
+    ten = F.concat(F.substring("b", 1, 1), F.lit("-"), F.substring("b", 2, 8), F.lit("-"), F.when(last == 10, "X").otherwise(last.cast("string")))
+    thirteen = F.concat(F.lit("978 "), "b", F.lit(" "), check.cast("string"))
+    page = F.concat(F.lit("isbn "), ten, F.lit(": "), "p_name", F.lit(", again "), thirteen, F.lit(" and 1234567890 or 978"), "b", ((check + 1) % 10).cast("string"))
+    return df.select("p_partkey", F.array_join(ids.isbns_in(page), ",").alias("found"))
 
 
 @stated(values_sql(NAMES, "a, b, near, initials, surname"))

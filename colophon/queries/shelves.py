@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colophon.operators import blocking, near, trigrams
+from colophon.functions import titles
+from colophon.operators import blocking, groups, near, trigrams
 from colophon.operators.tables import shared_folder, written
-from colophon.plans import counters, ladder, redecide, resume, review, trees
+from colophon.plans import answers, counters, ladder, redecide, resume, review, trees
 from colophon.plans.features import BOOKS, features
 from colophon.queries import query, read
 from colophon.streaming.index import CHANGES, decisions, index, keep_index
@@ -251,3 +252,73 @@ def paused_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         run.go(batches)
     parts = spark.read.parquet(f"{folder}/out")
     return parts.groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"), F.min("first").alias("first"))
+
+
+@query("""WITH books AS (SELECT p_partkey % 3 AS lib, p_partkey AS id, unnest([lower(p_type) || ' ' || split_part(p_name, ' ', 2), split_part(p_name, ' ', 1)]) AS author FROM part),
+    own AS (SELECT lib, array_to_string(list_sort(string_split(author, ' ')), ' ') AS name, count(DISTINCT id) AS n FROM books GROUP BY 1, 2)
+    SELECT 'l' || lib AS lib, 'book' AS kind, name, n FROM own UNION ALL SELECT 'l' || lib, 'person', part, count(*) FROM (SELECT lib, name, unnest(list_distinct(string_split(name, ' '))) AS part FROM own) GROUP BY 1, 2, 3""")
+def author_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG6: books of each author, and authors of each part of a name, over all parts in three libraries."""
+    noun, adjective = F.substring_index("p_name", " ", -1), F.substring_index("p_name", " ", 1)
+    books = records(read(spark, sf_dir, "part"), lib=F.concat(F.lit("l"), (F.col("p_partkey") % 3).cast("string")), side=F.lit("source"), id=F.col("p_partkey"), title=F.col("p_name"), authors=F.array(F.concat_ws(" ", noun, "p_type"), adjective), formats=F.array(F.lit("EPUB")))
+    return groups.author_support(features(books))
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderdate FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey DESC) = 1")
+def first_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG16: the first row of each key kept, in an order that is given."""
+    rows = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return groups.first_of_each(rows, ["o_custkey"], [F.col("o_orderdate"), -F.col("o_orderkey")])
+
+
+@query("""SELECT doc_id, len(items) AS n, md5(array_to_string(list_transform(items[:8], lambda x: substr(trim(x, ' '), 1, 300)), '|')) AS digest
+    FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS items FROM documents WHERE text IS NOT NULL)""")
+def evidence_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SO3 over the lines of all documents as evidence: eight items, 300 characters each."""
+    lines = F.split("text", "\n", -1)
+    said = F.filter(lines, lambda x: F.btrim(x) != "")
+    return read(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.size(said).cast("bigint").alias("n"), F.md5(F.array_join(answers.trimmed(lines), "|").cast("binary")).alias("digest"))
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN s % 5 = 0 THEN 0 WHEN s % 5 = 1 THEN 1 WHEN s % 5 < 4 THEN 2 ELSE 3 END AS rank, CASE WHEN s % 5 = 0 THEN 2 ELSE 1 END + CASE WHEN s % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN s % 3 > 0 THEN 1 ELSE 0 END + CASE WHEN s % 4 > 0 THEN 1 ELSE 0 END + CASE WHEN s % 7 = 0 THEN 1 ELSE 0 END AS richness,
+    '1,' || rank || ',' || -richness || ',' || p_partkey AS place FROM (SELECT p_partkey, p_size AS s FROM part)""")
+def shelf_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WN1, AG8, SO4: format rank, richness and the order in which all parts would be decided."""
+    size = F.col("p_size")
+    formats = F.when(size % 5 == 0, F.array(F.lit("PDF"), F.lit("EPUB"))).when(size % 5 == 1, F.array(F.lit("MOBI"))).when(size % 5 == 2, F.array(F.lit("AZW"))).when(size % 5 == 3, F.array(F.lit("AZW3"))).otherwise(F.array(F.lit("PDF")))
+    books = records(
+        read(spark, sf_dir, "part"), lib=F.lit("l"), side=F.lit("source"), id=F.col("p_partkey"), title=F.col("p_name"), authors=F.array("p_type"), formats=formats, has_cover=size % 2 == 0,
+        publisher=F.when(size % 3 > 0, F.col("p_brand")), year=F.when(size % 4 > 0, 1990 + size), comments=F.when(size % 7 == 0, F.lit("rich")).otherwise(F.lit(" ")),
+    )
+    feats = ladder.ranked(features(books))
+    return feats.select(F.col("book").alias("id"), F.col("rank").cast("int").alias("rank"), F.col("richness").cast("int").alias("richness"), F.array_join(F.col("ord").cast("array<string>"), ",").alias("place"))
+
+
+@query("""SELECT a.p_partkey AS id, count(*) AS n, sum(b.p_partkey)::BIGINT AS total FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_name = b.p_name AND a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1 AND a.p_size % 3 = b.p_size % 3 GROUP BY 1""")
+def other_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN12: pairs by author and title whose titles name other volumes (none, 1 or 2) are no candidates."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    title = F.when(size % 3 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" vol "), (size % 3).cast("string")))
+    feats = features(records(read(spark, sf_dir, "part"), lib=F.lit("l"), side=F.when(key % 2 == 0, "source").otherwise("target"), id=key, title=title, authors=F.array("p_brand"), series=F.col("p_name"), formats=F.array(F.lit("EPUB"))))
+    src, cand = feats.filter("side = 'source'"), feats.filter("side = 'target'")
+    by = lambda df: df.select("lib", "id", F.array_join("authors_key", " ").alias("a"), titles.series_key("series").alias("s"))
+    pairs = by(src).join(by(cand).withColumnRenamed("id", "cand"), ["lib", "a", "s"]).select("lib", "id", "cand")
+    return blocking.without_other_volumes(pairs, src, cand).groupBy("id").agg(F.count("*").alias("n"), F.sum("cand").alias("total"))
+
+
+@query("""WITH covers AS (SELECT p_partkey AS id, p_brand || p_size % 3 AS cover, p_name AS t, p_type AS a FROM part WHERE p_size % 5 > 0), junk AS (SELECT cover FROM covers GROUP BY cover HAVING count(DISTINCT t) >= 3 AND count(DISTINCT a) >= 3)
+    SELECT p_partkey AS id, coalesce(c.cover IN (SELECT cover FROM junk), false) AS generic FROM part LEFT JOIN covers c ON c.id = p_partkey""")
+def generic_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IM2, AG4: covers that stand on three titles and three sets of authors say nothing."""
+    size = F.col("p_size")
+    books = records(read(spark, sf_dir, "part"), lib=F.lit("l"), side=F.lit("source"), id=F.col("p_partkey"), title=F.col("p_name"), authors=F.array("p_type"), formats=F.array(F.lit("EPUB")), cover=F.when(size % 5 > 0, F.concat("p_brand", (size % 3).cast("string"))))
+    return ladder._with_generic(features(books)).select("id", "generic")
+
+
+@query("""SELECT p_partkey AS id, e IS NULL AND y IS NULL OR p IS NULL AS edition, ay IS NULL OR ap IS NULL AS machine FROM (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 3 END AS e, CASE WHEN p_size % 3 = 0 THEN 1990 END AS y, CASE WHEN p_size % 5 > 0 THEN p_brand END AS p, CASE WHEN p_partkey % 2 = 0 THEN 1990 END AS ay, CASE WHEN p_partkey % 3 > 0 THEN p_brand END AS ap FROM part)""")
+def reading_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PF3: which parts' readings are worth asking for, by the record and by what a machine has read."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    identity = F.struct(F.when(size % 2 == 0, 3).alias("edition"), F.when(size % 3 == 0, 1990).alias("year"), F.when(size % 5 > 0, F.col("p_brand")).otherwise("").alias("publisher"), F.when(key % 2 == 0, 1990).alias("ai_year"), F.when(key % 3 > 0, F.col("p_brand")).alias("ai_publisher"))
+    df = read(spark, sf_dir, "part").select(key.alias("id"), identity.alias("identity"))
+    return df.select("id", answers.needs_edition().alias("edition"), answers.needs_machine_facts().alias("machine"))
