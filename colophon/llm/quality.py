@@ -152,7 +152,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     sample = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").join(F.broadcast(chosen), "doc_id").select("text", "quality", "doc_id")
     bagged = written(arrow_map(sample, run, "rows array<int>, counts array<float>, quality int, doc_id bigint"), "bags")
     so_far = F.sum(F.size("rows")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", F.size("rows"), F.xxhash64("rows")))
-    got = bagged.withColumn("so_far", so_far).filter(F.col("so_far") <= TRAINING_FEATURES).drop("so_far").toArrow().sort_by("doc_id")
+    got = bagged.withColumn("so_far", so_far).filter(F.col("so_far") <= TRAINING_FEATURES).select("rows", "counts", "quality", "doc_id", F.xxhash64("rows", "counts").alias("h")).toArrow()
+    # rows that repeat an id stand by what they hold, so that the fit doesn't depend on the order of partitions
+    got = got.sort_by([("doc_id", "ascending"), ("h", "ascending")])
     forget(bagged)
     y = got["quality"].to_numpy().astype(np.int64)
     if not 0 < y.sum() < len(y):

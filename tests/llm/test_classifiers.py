@@ -154,3 +154,52 @@ def test_edge_cases(spark):
         assert module.score(empty(spark), labels(spark, [(1, 1, 0)])).count() == 0
         one = module.score(docs(spark), labels(spark, [(i, 1, 1) for i in range(10)] + [(None, 0, 0), (1, None, None)])).collect()
         assert len(one) == 12
+
+
+def test_fit_equals_a_plain_recomputation(monkeypatch):
+    """The same steps, one number at a time."""
+    for name, value in (("ROWS", 40), ("WIDTH", 3), ("EPOCHS", 2), ("BATCH", 4)):
+        monkeypatch.setattr(quality, name, value)
+    rng = np.random.default_rng(5)
+    bags = [(np.sort(rng.choice(40, n, replace=False)).astype(np.int32), rng.integers(1, 5, n).astype(np.float32)) for n in (5, 3, 0, 7, 2, 4, 6, 1, 3)]
+    y = np.array([0, 1, 1, 0, 1, 0, 1, 1, 0])
+    emb, out, bias = quality.fit(bags, y)
+    g = np.random.default_rng(quality.SEED)
+    e = g.uniform(-1 / 3, 1 / 3, (40, 3)).astype(np.float32).astype(float)
+    o = g.normal(0, 0.5, (3, 2)).astype(np.float32).astype(float)
+    b = [0.0, 0.0]
+    weight = {k: 0.5 / np.mean(y == k) for k in (0, 1)}
+    steps, total = 0, 2 * 3
+    for _ in range(2):
+        order = g.permutation(9)
+        for at in range(0, 9, 4):
+            some = order[at : at + 4]
+            rate = quality.RATE * (1 - steps / total) + 0.01
+            steps += 1
+            new_o, new_b, moves = o.copy(), list(b), []
+            for i in some:
+                rows, counts = bags[i]
+                share = [c / sum(counts) for c in counts]
+                v = [sum(s * e[r][d] for s, r in zip(share, rows, strict=True)) for d in range(3)]
+                z = [sum(v[d] * o[d][k] for d in range(3)) + b[k] for k in (0, 1)]
+                p = [np.exp(z[k] - max(z)) / sum(np.exp(x - max(z)) for x in z) for k in (0, 1)]
+                error = [(p[k] - (k == y[i])) * weight[y[i]] / len(some) for k in (0, 1)]
+                for k in (0, 1):
+                    new_b[k] -= rate * error[k]
+                    for d in range(3):
+                        new_o[d][k] -= rate * v[d] * error[k]
+                moves.append((rows, share, [sum(error[k] * o[d][k] for k in (0, 1)) for d in range(3)]))
+            for rows, share, back in moves:
+                for r, s in zip(rows, share, strict=True):
+                    for d in range(3):
+                        e[r][d] -= quality.EMBEDDING_RATE * rate * len(some) * s * back[d]
+            o, b = new_o, new_b
+    assert np.allclose(emb, e, atol=2e-3) and np.allclose(out, o, atol=2e-3) and np.allclose(bias, b, atol=2e-3)
+
+
+def test_repeated_ids_give_one_fit(spark):
+    table, marks = corpus()
+    twice = table + [(i, t + " more words", s) for i, t, s in table[:40]]
+    one = quality.train(docs(spark, twice).repartition(3), labels(spark, marks))
+    other = quality.train(docs(spark, twice[::-1]).repartition(5), labels(spark, marks))
+    assert np.array_equal(one[0], other[0]) and one[1] == other[1]
