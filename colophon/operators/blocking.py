@@ -66,8 +66,9 @@ def without_other_volumes(pairs: DataFrame, src: DataFrame, cand: DataFrame) ->
     return pairs.join(x, ["lib", "id"]).join(y, ["lib", "cand"]).filter(~volumes_differ(F.col("ta"), F.col("tb"))).drop("ta", "tb")
 
 
-def author_variants(src: DataFrame, cand: DataFrame) -> DataFrame:
-    """JN5: the same title, authors that a typo, initials or the surname alone tell apart; ``weak`` for the last.
+def author_variants(src: DataFrame, cand: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """JN5, AI5: the same title, authors that a typo, initials or the surname alone tell apart, or that are one person by an answer ``asked(a, b, answer)``;
+    ``weak`` for the last two.
 
     Typos meet in an index of names without one letter; the others share a whole word of the name, so that a frequent title doesn't pair all of its authors.
     """
@@ -81,7 +82,14 @@ def author_variants(src: DataFrame, cand: DataFrame) -> DataFrame:
     pairs = met.select(*own(""), F.col("x.author").alias("a"), F.col("y.author").alias("b")).distinct()
     short = initials_match(F.col("a"), F.col("b"))
     how = pairs.select("lib", "id", "cand", "ord", short.alias("sure"), surname_match(F.col("a"), F.col("b")).alias("surname")).filter("sure or surname")
-    return typos.union(how.drop("surname")).groupBy("lib", "id", "cand", "ord").agg((~F.bool_or("sure")).alias("weak"))
+    found = typos.union(how.drop("surname"))
+    if asked is not None:
+        # answers stand for either order of the names
+        one_person = asked.filter("answer = 'same' and a <> b").select("a", "b")
+        one_person = one_person.union(one_person.select("b", "a")).distinct()
+        named = x.alias("x").join(one_person, F.col("x.author") == F.col("a")).join(y.alias("y"), (F.col("y.author") == F.col("b")) & (F.col("x.lib") == F.col("y.lib")) & (F.col("x.title_key") == F.col("y.title_key")))
+        found = found.union(named.select(*own(""), F.lit(False).alias("sure")))
+    return found.groupBy("lib", "id", "cand", "ord").agg((~F.bool_or("sure")).alias("weak"))
 
 
 def similar_titles(src: DataFrame, cand: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 All pairs with all verdicts are computed by joins first. What is left is order: a record is compared with
 targets and with better-ranked source records that stay. ``plans.rounds`` decides that in parallel rounds.
 
-Facts come as tables: texts that pairs share, what a reader of images said of pairs of covers, machine readings of records.
+Facts come as tables: texts that pairs share, what a reader of images said of pairs of covers, what a reader said of pairs of authors, machine readings of records.
 Without such a table its rungs say nothing.
 """
 
@@ -80,7 +80,7 @@ def _covers(pairs: DataFrame, answers: DataFrame | None, options: Options) -> Da
     return df.withColumn("cover", cover).drop("_answer")
 
 
-def _found(src: DataFrame, cand: DataFrame, junk: DataFrame, options: Options) -> DataFrame:
+def _found(src: DataFrame, cand: DataFrame, junk: DataFrame, options: Options, authors: DataFrame | None) -> DataFrame:
     """(lib, id, cand, ord, rung, weak) of what the rungs find between sources and candidates."""
     parts = []
 
@@ -94,7 +94,7 @@ def _found(src: DataFrame, cand: DataFrame, junk: DataFrame, options: Options) -
     keyed = blocking.similar(src, cand) if options.similar_authors else blocking.strict(src, cand)
     add(blocking.without_other_volumes(keyed, src, cand), KEY)
     if options.author_variants:
-        add(blocking.without_other_volumes(blocking.author_variants(src, cand), src, cand), VARIANT)
+        add(blocking.without_other_volumes(blocking.author_variants(src, cand, authors), src, cand), VARIANT)
     if options.similar_titles:
         add(blocking.similar_titles(src, cand), TITLE)
     pairs = parts[0]
@@ -103,7 +103,7 @@ def _found(src: DataFrame, cand: DataFrame, junk: DataFrame, options: Options) -
     return pairs
 
 
-def edges(feats: DataFrame, options: Options, texts: DataFrame | None = None, covers: DataFrame | None = None, of: DataFrame | None = None) -> DataFrame:
+def edges(feats: DataFrame, options: Options, texts: DataFrame | None = None, covers: DataFrame | None = None, of: DataFrame | None = None, authors: DataFrame | None = None) -> DataFrame:
     """Every pair that a rung finds, with its verdict and what texts, languages and covers say of it (DL2-DL8, DL10-DL12).
 
     ``texts(a, b, share)`` has the text pairs of records' text_id, where there are texts. With ``of(lib, id)``, only pairs of which one side is among these.
@@ -112,10 +112,10 @@ def edges(feats: DataFrame, options: Options, texts: DataFrame | None = None, co
     src, cand = feats.filter("side = 'source' and chosen"), feats.filter("size(all_formats) > 0")
     junk = placeholders(_files(feats), "fmt", "digest")
     if of is None:
-        pairs = _found(src, cand, junk, options)
+        pairs = _found(src, cand, junk, options, authors)
     else:
         own = lambda df, how: df.join(of.select("lib", "id"), ["lib", "id"], how)
-        pairs = _found(own(src, "left_semi"), cand, junk, options).union(_found(own(src, "left_anti"), own(cand, "left_semi"), junk, options))
+        pairs = _found(own(src, "left_semi"), cand, junk, options, authors).union(_found(own(src, "left_anti"), own(cand, "left_semi"), junk, options, authors))
     facts = ["identity", "text_id", "text_lang", "text_chars", "cover", "page_cover", "generic"]
     short = ["i", "t", "l", "n", "cover_", "page_", "generic_"]
     named = lambda key, side: [F.col("id").alias(key), *(F.col(f).alias(f"{k}{side}") for f, k in zip(facts, short, strict=True))]
@@ -161,10 +161,10 @@ def described(books: DataFrame, options: Options, answers: DataFrame | None = No
 USABLE = "side = 'target' or (size(formats) > 0 and title_key <> '' and size(authors_key) > 0)"
 
 
-def prepared(books: DataFrame, options: Options, texts: DataFrame | None = None, covers: DataFrame | None = None, answers: DataFrame | None = None, chosen: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def prepared(books: DataFrame, options: Options, texts: DataFrame | None = None, covers: DataFrame | None = None, answers: DataFrame | None = None, chosen: Column | None = None, authors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The features of all records, and the pairs that the rungs find with their verdicts; both are written."""
     feats = written(described(books, options, answers, chosen), "features")
-    return feats, written(edges(feats.filter(USABLE), options, texts, covers), "edges")
+    return feats, written(edges(feats.filter(USABLE), options, texts, covers, authors=authors), "edges")
 
 
 def unmatched(options: Options) -> str:
@@ -172,13 +172,13 @@ def unmatched(options: Options) -> str:
     return "leave" if options.one_library else "move"
 
 
-def plan(books: DataFrame, options: Options | None = None, texts: DataFrame | None = None, covers: DataFrame | None = None, answers: DataFrame | None = None, chosen: Column | None = None) -> DataFrame:
+def plan(books: DataFrame, options: Options | None = None, texts: DataFrame | None = None, covers: DataFrame | None = None, answers: DataFrame | None = None, chosen: Column | None = None, authors: DataFrame | None = None) -> DataFrame:
     """PLAN for every source record (with ``chosen``, for those it holds for: PF4), in the order of ids within each library (SO1).
 
     Records that aren't chosen stay candidates for the others.
     """
     options = options or Options()
-    feats, found = prepared(books, options, texts, covers, answers, chosen)
+    feats, found = prepared(books, options, texts, covers, answers, chosen, authors)
     return finished(feats, decided(found, unmatched(options)), options)
 
 

@@ -64,7 +64,7 @@ def differing(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.filter(~F.col("x").eqNullSafe(F.col("y"))).select("lib", "id")
 
 
-def again(kept: Kept, books: DataFrame, texts: DataFrame | None = None, covers: DataFrame | None = None, answers: DataFrame | None = None) -> Kept:
+def again(kept: Kept, books: DataFrame, texts: DataFrame | None = None, covers: DataFrame | None = None, answers: DataFrame | None = None, authors: DataFrame | None = None) -> Kept:
     """The plan of changed ``books`` or answers, from the one that is kept."""
     options = kept.options
     feats = written(ladder.described(books, options, answers), "features")
@@ -74,7 +74,7 @@ def again(kept: Kept, books: DataFrame, texts: DataFrame | None = None, covers:
     key = ["lib", "id"]
     other = changed.withColumnRenamed("id", "cand")
     touching = kept.pairs.join(changed, key, "left_semi").union(kept.pairs.join(changed, key, "left_anti").join(other, ["lib", "cand"], "left_semi").select(*kept.pairs.columns))
-    fresh = written(ladder.edges(feats.filter(ladder.USABLE), options, texts, covers, changed), "fresh")
+    fresh = written(ladder.edges(feats.filter(ladder.USABLE), options, texts, covers, changed, authors), "fresh")
     stay = kept.pairs.join(changed, key, "left_anti").join(other, ["lib", "cand"], "left_anti")
     pairs = written(stay.select(*kept.pairs.columns).unionByName(fresh), "edges")
     # what a pair of a changed record stood or stands with

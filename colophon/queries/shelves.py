@@ -322,3 +322,18 @@ def reading_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
     identity = F.struct(F.when(size % 2 == 0, 3).alias("edition"), F.when(size % 3 == 0, 1990).alias("year"), F.when(size % 5 > 0, F.col("p_brand")).otherwise("").alias("publisher"), F.when(key % 2 == 0, 1990).alias("ai_year"), F.when(key % 3 > 0, F.col("p_brand")).alias("ai_publisher"))
     df = read(spark, sf_dir, "part").select(key.alias("id"), identity.alias("identity"))
     return df.select("id", answers.needs_edition().alias("edition"), answers.needs_machine_facts().alias("machine"))
+
+
+@query("""WITH writers AS (SELECT p_partkey AS id, p_name AS t, p_partkey % 50 AS n FROM part), asked AS (SELECT k AS n, k + 1 AS m FROM (SELECT unnest(range(0, 49)) AS k) WHERE k % 3 = 0)
+    SELECT a.id, count(*) AS n, min(b.id) AS first, bool_and(a.n <> b.n) AS weak FROM writers a JOIN writers b ON a.t = b.t AND a.id % 2 = 0 AND b.id % 2 = 1
+    JOIN asked ON (a.n = asked.n AND b.n = asked.m) OR (a.n = asked.m AND b.n = asked.n) GROUP BY a.id""")
+def author_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AI5, JN5: what a reader said of pairs of authors makes weak candidates; all parts by fifty writers, of whom every third is one person with the next."""
+    key = F.col("p_partkey")
+    # letters stand twice, so that no two names are one edit apart
+    writer = lambda n: F.concat(F.lit("Writer "), F.regexp_replace(F.translate(n.cast("string"), "0123456789", "abcdefghij"), "(.)", "$1$1"), F.lit("quill"))
+    books = records(read(spark, sf_dir, "part"), lib=F.lit("l"), side=F.when(key % 2 == 0, "source").otherwise("target"), id=key, title=F.col("p_name"), authors=F.array(writer(key % 50)), formats=F.array(F.lit("EPUB")))
+    feats, n = features(books).withColumn("ord", F.array("id")), F.col("id")
+    said = spark.range(0, 49).select(writer(n).alias("a"), writer(n + 1).alias("b"), F.when(n % 3 == 0, "same").when(n % 3 == 1, "different").otherwise("unsure").alias("answer"))
+    pairs = blocking.author_variants(feats.filter("side = 'source'"), feats.filter("side = 'target'"), said)
+    return pairs.groupBy("id").agg(F.count("*").alias("n"), F.min("cand").alias("first"), F.bool_and("weak").alias("weak"))
