@@ -34,13 +34,17 @@ def applied(books: DataFrame, done: DataFrame) -> DataFrame:
     """EX4-EX6: the catalogue after the checked actions that are ok: moves change side, trash goes to its own side, matches gain formats.
 
     A match that the same run moves gains its formats where it now is (EX5). With a column ``take_out`` of formats, the record loses
-    them and its former self is kept as a copy on the trash side (EX6).
+    them and its former self is kept as a copy on the trash side (EX6). With ``put_in`` too, archives are unpacked: the record gains what they held, unless
+    it has it, and loses them in the same step.
     """
     good = done.filter("ok")
     if "take_out" in done.columns:
-        taken = good.filter("size(take_out) > 0").select("lib", "id", F.lit("source").alias("side"), F.col("take_out").alias("_out"))
+        none = F.array().cast("array<string>")
+        gained = F.coalesce("put_in", none) if "put_in" in done.columns else none
+        taken = good.filter("size(take_out) > 0").select("lib", "id", F.lit("source").alias("side"), F.col("take_out").alias("_out"), gained.alias("_in"))
         copies = books.join(taken, ["lib", "id", "side"], "left_semi").withColumn("side", F.lit("trash")).select(*books.columns)
-        books = books.join(taken, ["lib", "id", "side"], "left").withColumn("formats", F.array_except("formats", F.coalesce("_out", F.array().cast("array<string>")))).drop("_out").select(*books.columns).union(copies)
+        left = F.array_union(F.array_except("formats", F.coalesce("_out", none)), F.coalesce("_in", none))
+        books = books.join(taken, ["lib", "id", "side"], "left").withColumn("formats", left).drop("_out", "_in").select(*books.columns).union(copies)
         good = good.filter("action <> 'leave'")
     gains = good.filter("action = 'trash' and add <> ''").groupBy("lib", F.col("match").alias("id"), F.col("match_side").alias("side")).agg(F.flatten(F.collect_list(F.split("add", ","))).alias("_gain"))
     now = books.join(gains, ["lib", "id", "side"], "left").withColumn("formats", F.sort_array(F.array_distinct(F.concat("formats", F.coalesce("_gain", F.array().cast("array<string>")))))).drop("_gain")

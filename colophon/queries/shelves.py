@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from colophon.functions import titles
 from colophon.operators import blocking, groups, near, trigrams
 from colophon.operators.tables import shared_folder, written
-from colophon.plans import answers, counters, ladder, redecide, resume, review, trees
+from colophon.plans import answers, counters, execute, ladder, redecide, resume, review, trees
 from colophon.plans.features import BOOKS, features
 from colophon.queries import query, read
 from colophon.streaming.index import CHANGES, decisions, index, keep_index
@@ -337,3 +337,22 @@ def author_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = spark.range(0, 49).select(writer(n).alias("a"), writer(n + 1).alias("b"), F.when(n % 3 == 0, "same").when(n % 3 == 1, "different").otherwise("unsure").alias("answer"))
     pairs = blocking.author_variants(feats.filter("side = 'source'"), feats.filter("side = 'target'"), said)
     return pairs.groupBy("id").agg(F.count("*").alias("n"), F.min("cand").alias("first"), F.bool_and("weak").alias("weak"))
+
+
+@query("""WITH books AS (SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN ['ZIP'] WHEN p_size % 3 = 1 THEN ['EPUB', 'ZIP'] ELSE ['PDF'] END AS formats, p_size % 3 < 2 AND p_size % 5 > 0 AS opened, CASE WHEN p_size % 2 = 0 THEN 'EPUB' ELSE 'MOBI' END AS held FROM part)
+    SELECT id, 'source' AS side, array_to_string(list_sort(CASE WHEN opened THEN list_distinct(list_append(list_filter(formats, lambda f: f <> 'ZIP'), held)) ELSE formats END), ',') AS formats FROM books
+    UNION ALL SELECT id, 'trash', array_to_string(formats, ',') FROM books WHERE opened""")
+def archives_unpacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EX6: archives of all parts that open give the record what they held; the whole former record goes to the trash side."""
+    size, none = F.col("p_size"), F.array().cast("array<string>")
+    pick = lambda *names: F.array(*map(F.lit, names))
+    formats = F.when(size % 3 == 0, pick("ZIP")).when(size % 3 == 1, pick("EPUB", "ZIP")).otherwise(pick("PDF"))
+    part = read(spark, sf_dir, "part")
+    books = part.select(F.lit("l").alias("lib"), F.lit("source").alias("side"), F.col("p_partkey").alias("id"), formats.alias("formats"))
+    opened = (size % 3 < 2) & (size % 5 > 0)
+    empty = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    done = part.select(
+        F.lit("l").alias("lib"), F.col("p_partkey").alias("id"), F.lit("leave").alias("action"), empty("bigint", "match"), empty("string", "match_side"), F.lit("").alias("add"), F.lit(True).alias("ok"),
+        F.when(opened, pick("ZIP")).otherwise(none).alias("take_out"), F.when(opened, F.array(F.when(size % 2 == 0, "EPUB").otherwise("MOBI"))).otherwise(none).alias("put_in"),
+    )
+    return execute.applied(books, done).select("id", "side", F.array_join(F.sort_array("formats"), ",").alias("formats"))
