@@ -37,11 +37,11 @@ from colophon.llm.common import arrow_map, written
 from colophon.operators.tables import bounded
 
 #: Words of one shard's trie, at most; three of their numbers fit into 63 bits.
-WORDS = 1_000_000
+WORDS = 500_000
 #: Bytes of a text that are split at once.
 STEP = 8 << 20
-#: Nodes of a block, and of a prefix range about; first paths of blocks that are looked at for each range.
-NODES, RANGE, LOOKED_AT = 1024, 250_000, 50
+#: Nodes of a block (whose codes fit into 16 bits), and of a prefix range about; first paths of blocks that are looked at for each range.
+NODES, RANGE, LOOKED_AT = 512, 250_000, 50
 #: Bits of the map of frequent pairs.
 BITS = 1 << 25
 #: Rows of frequent nodes, or of what is looked up in them, up to which they are broadcast.
@@ -132,12 +132,12 @@ def blocks(lang: str, levels: list[np.ndarray], counts: np.ndarray, words: pa.Ar
     for at in range(0, len(counts), NODES):
         part = [levels[0][at : at + NODES], *(x[at : at + NODES] - 1 for x in levels[1:])]
         used, codes = np.unique(np.concatenate(part), return_inverse=True)
-        codes = codes.reshape(len(part), -1).astype(np.int32)
+        codes = codes.reshape(len(part), -1).astype(np.uint16)
         if used[0] >= 0:
             codes += 1
         names = words.take(pa.array(used[used >= 0])).to_pylist()
         path = lambda i: [names[c - 1] for c in codes[:, i] if c]  # noqa: E731, B023
-        rows.append((lang, path(0), path(-1), codes.shape[1], b" ".join(names), codes.tobytes(), counts[at : at + NODES].tobytes()))
+        rows.append((lang, path(0), path(-1), codes.shape[1], b" ".join(names), codes.tobytes(), counts[at : at + NODES].astype(np.uint32).tobytes()))
         if len(rows) == 256 or at + NODES >= len(counts):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_BLOCK)
             rows = []
@@ -214,12 +214,12 @@ def _merged(lang: str, parts: list[tuple], low: tuple, high: tuple | None, least
     for spelled, codes, _ in parts:
         n = spelled.count(b" ") + 1
         table = np.concatenate([[0], own[start : start + n]])
-        levels.append(table[np.frombuffer(codes, np.int32)])
+        levels.append(table[np.frombuffer(codes, np.uint16)])
         start += n
-    sizes = [len(c) // 8 for _, _, c in parts]
+    sizes = [len(c) // 4 for _, _, c in parts]
     depth = len(levels[0]) // sizes[0]
     columns = [np.concatenate([x[k * n : (k + 1) * n] for x, n in zip(levels, sizes, strict=True)]) for k in range(depth)]
-    counts = np.concatenate([np.frombuffer(c, np.int64) for _, _, c in parts])
+    counts = np.concatenate([np.frombuffer(c, np.uint32) for _, _, c in parts]).astype(np.int64)
     width = len(order).bit_length()
     head, at = np.unique((columns[0] << width) | columns[1], return_inverse=True)
     path, sums = _counted(at if depth == 2 else (at << width) | columns[2], counts)
