@@ -3,8 +3,8 @@
 1. A shard is WORDS words of whole texts, in order, with marks where pieces end. Its words get numbers in byte order, and the windows of
    one or two words become whole numbers that sort like the paths of a trie; runs of equal ones are the trie's counted nodes.
 2. A shard's trie is serialised sorted, in blocks of NODES nodes with a dictionary of their words, and written. Prefix ranges of about RANGE nodes
-   each are cut from the blocks' first paths; a prefix that is too common for one range spans several. Every block goes to the ranges
-   that it has nodes of, and a task merges the sorted blocks of a range and keeps what occurs ``least`` times.
+   each are cut from the blocks' first paths; a prefix that is too common for one range spans several. Every node goes to its
+   range, blocks being parted where they span several, and a task merges the sorted blocks of a range and keeps what occurs ``least`` times.
 3. A phrase of three words can't occur more often than the pairs in it, so the second tries, of three levels, only hold windows whose
    two pairs are in a bitmap of the frequent pairs. The bitmap has BITS bits whatever the corpus is; a pair that is in it by chance
    costs a node and changes no count.
@@ -202,8 +202,8 @@ def tries(texts: DataFrame, frequent: np.ndarray | None = None, words: int = WOR
     return arrow_map(texts, run, BLOCK)
 
 
-def _merged(lang: str, parts: list[tuple], low: tuple, high: tuple | None, least: int) -> pa.RecordBatch:
-    """The nodes of one lang in a range of paths, from ``low`` to before ``high``: sums over all blocks, from ``least`` on."""
+def _merged(lang: str, parts: list[tuple], least: int) -> pa.RecordBatch:
+    """The nodes of one lang in a range of paths: sums over all blocks, from ``least`` on."""
     names = [w for p in parts for w in p[0].split(b" ")]
     words = pa.array(names, pa.binary()).dictionary_encode()
     order = pc.array_sort_indices(words.dictionary).to_numpy()
@@ -227,16 +227,31 @@ def _merged(lang: str, parts: list[tuple], low: tuple, high: tuple | None, least
     codes = [head[first] >> width, head[first] & ((1 << width) - 1), third]
     sorted_words = words.dictionary.take(pa.array(order))
 
-    def key(i: int) -> tuple:
-        return (lang, *(sorted_words[int(c[i]) - 1].as_py() if c[i] else b"" for c in codes))
-
-    begin = bisect_left(range(len(path)), low, key=key)
-    stop = len(path) if high is None else bisect_left(range(len(path)), high, key=key)
-    at = begin + np.flatnonzero(sums[begin:stop] >= least)
+    at = np.flatnonzero(sums >= least)
     spelled = [sorted_words.take(pa.array(np.where(c[at] > 0, c[at] - 1, 0), mask=c[at] == 0)).cast(pa.string()) for c in codes]
     return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), *spelled, pa.array(sums[at])], names=_NAMES)
 
 
+def _parted(lang: str, block: list[bytes], cuts: list[tuple]) -> Iterator[tuple]:
+    """(range, words, codes, counts) of a block, a part for each range between the cuts that it has nodes of."""
+    names, counts = block[0].split(b" "), np.frombuffer(block[2], np.uint32)
+    n = len(counts)
+    codes = np.frombuffer(block[1], np.uint16).reshape(-1, n)
+    path = lambda i: (lang, *(names[c - 1] if c else b"" for c in codes[:, i]), *[b""] * (3 - len(codes)))
+    first, last = bisect_right(cuts, path(0)), bisect_right(cuts, path(n - 1))
+    if first == last:
+        yield first, *block
+        return
+    at = 0
+    for k in range(first, last + 1):
+        stop = n if k == last else bisect_left(range(n), cuts[k], lo=at, key=path)
+        if stop > at:
+            used, own = np.unique(codes[:, at:stop], return_inverse=True)
+            own = own.reshape(len(codes), -1) + (used[0] > 0)
+            yield k, b" ".join(names[c - 1] for c in used if c), own.astype(np.uint16).tobytes(), counts[at:stop].tobytes()
+        at = stop
+
+
 def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows, 256 at a time: they are large."""
     for batch in batches:
@@ -256,31 +271,23 @@ def merged(tries_: DataFrame, least: int, nodes: int = RANGE) -> DataFrame:
     sent = tries_.sparkSession.sparkContext.broadcast(cuts)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Every block to the ranges that it has nodes of."""
+        """Every node to its range: a block that spans several is parted."""
         for batch in _few(batches):
-            langs, firsts, lasts = (batch.column(i).to_pylist() for i in range(3))
-            spans = [(bisect_right(sent.value, key(x, a)), bisect_right(sent.value, key(x, b))) for x, a, b in zip(langs, firsts, lasts, strict=True)]
-            at = pa.array([i for i, (a, b) in enumerate(spans) for _ in range(a, b + 1)], pa.int64())
-            to = pa.array([k for a, b in spans for k in range(a, b + 1)], pa.int64())
-            rows = batch.take(at)
-            yield pa.RecordBatch.from_arrays([to, rows.column(0), *rows.columns[4:]], names=["range", "lang", "words", "codes", "counts"])
+            rows = [(r, lang, *part) for lang, *block in zip(*(batch.column(i).to_pylist() for i in (0, 4, 5, 6)), strict=True) for r, *part in _parted(lang, block, sent.value)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), *(_KINDS[i] for i in (0, 4, 5, 6))), strict=True)], names=["range", "lang", "words", "codes", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
 
-        def done() -> pa.RecordBatch:
-            low, high = (sent.value[now[0] - 1] if now[0] else ("",)), (sent.value[now[0]] if now[0] < len(sent.value) else None)
-            return _merged(now[1], parts, low, high, least)
-
         for batch in _few(batches):
             for k, lang, *block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (k, lang) != now:
                     if parts:
-                        yield done()
+                        yield _merged(now[1], parts, least)
                     now, parts = (k, lang), []
                 parts.append(tuple(block))
         if parts:
-            yield done()
+            yield _merged(now[1], parts, least)
 
     sent_on = whole.mapInArrow(dealt, "range bigint, lang string, words binary, codes binary, counts binary")
     return sent_on.repartition(F.col("range")).sortWithinPartitions("range", "lang").mapInArrow(run, NODE)
