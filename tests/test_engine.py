@@ -17,7 +17,7 @@ def duck():
     import duckdb
 
     con = duckdb.connect()
-    for t in "customer part orders events documents pages benchmark".split():
+    for t in "customer supplier part orders events documents pages benchmark".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     return con
 
@@ -166,8 +166,9 @@ def test_reports(spark, tmp_path):
     from colophon.queries import upkeep
     from colophon.sources import sinks
 
-    books = cases._books(spark, cases.TWO)
-    plan = ladder.plan(books, texts=cases._texts(spark))
+    folder = "/root/testdata/sf0.001"
+    books = cases._books(spark, folder, cases.TWO)
+    plan = ladder.plan(books, texts=cases._texts(spark, folder))
     rows = plan.join(ladder.formats_to_add(plan, books), ["lib", "id"], "left").withColumn("manual", F.lit(False)).withColumn("status", F.lit(None).cast("string"))
     report = sinks.plan_report(rows, features(books))
     assert len(report.columns) == 18 and report.count() == plan.count()
