@@ -177,13 +177,14 @@ def test_reports(spark, tmp_path):
     sinks.write_csv(report.coalesce(1), f"{tmp_path}/plan")
     text = next((tmp_path / "plan").glob("part-*")).read_text()
     assert text.startswith("\ufeffsource_id,checked,manual,title")
-    decided = spark.createDataFrame([("p", 1, "text", "update", ""), ("p", 2, None, "keep", None)], "lib string, id bigint, cover string, action string, note string")
-    review = {r.book_id: r for r in sinks.review_report(upkeep._values(spark), upkeep._proposed(spark), decided).collect()}
+    own = lambda df: df.filter("lib in ('p-0', 'p-1')")
+    decided = spark.createDataFrame([("p-0", 1, "text", "update", ""), ("p-1", 2, None, "keep", None)], "lib string, id bigint, cover string, action string, note string")
+    review = {r.book_id: r for r in sinks.review_report(own(upkeep._values(spark, folder)), own(upkeep._proposed(spark, folder)), decided).collect()}
     assert (review[1].now_year, review[1].read_year, review[1].new_year, review[1].left_out) == ("1990", "1991", "1991", "language: language not in text")
     assert len(review[1]) == 2 + 21 + 4 and review[2].new_year == "" and review[2].cover == ""
-    shelf = upkeep._shelf(spark)
-    done = spark.createDataFrame([("p", 1, "2024-01-01T00:00:00", "set", True, "written", None, None)], "lib string, id bigint, time string, action string, ok boolean, result string, why string, match bigint")
-    journal = sinks.journal_rows(done, shelf, edit.with_fields(shelf, upkeep._actions(spark)))
+    shelf = own(upkeep._shelf(spark, folder))
+    done = spark.createDataFrame([("p-0", 1, "2024-01-01T00:00:00", "set", True, "written", None, None)], "lib string, id bigint, time string, action string, ok boolean, result string, why string, match bigint")
+    journal = sinks.journal_rows(done, shelf, edit.with_fields(shelf, own(upkeep._actions(spark, folder))))
     assert len(journal.columns) == 12 and journal.first().before.startswith("Salt Roads | Peter Oakes")
     for _ in range(6):
         sinks.run_log(spark, f"{tmp_path}/log", done, most_bytes=1, keep=2)
