@@ -94,4 +94,4 @@ def test_empty_table(spark, tmp_path):
 
 
 def test_queries_are_registered():
-    assert sorted(n.split("_")[0] for n in queries.QUERIES) == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted(n.split("_")[0] for n in queries.QUERIES) == sorted(f"op{i}" for i in range(1, 14))
