@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 
 from colophon.llm.common import ROW, arrow_map, wrapped, written
 from colophon.operators.components import components
-from colophon.operators.tables import bounded, forget
+from colophon.operators.tables import bounded, exchanged, forget
 
 WIDTH, SEED = 3, 42
-#: Rows of ids up to which they are broadcast to the documents.
-SMALL = 2_000_000
+#: Rows of ids up to which they are broadcast to the documents; more take too much of a driver's memory.
+SMALL = 500_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _STEP = 1 << 16
 
@@ -96,7 +96,7 @@ def links(distinct: DataFrame, bits: int = 3, size: int = 3) -> DataFrame:
     if not 1 <= size < shared:
         raise ValueError("a prefix must have fewer bytes than are guaranteed to be shared")
     post = postings(distinct, position_groups(shared, size))
-    a, b = post.alias("a"), post.alias("b")
+    a, b = exchanged(post.alias("a")), exchanged(post.alias("b"))
     met = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("group", "position", "bytes")] + [F.col("a.fp") < F.col("b.fp")])
     tally = met.groupBy("a.group", F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).agg(F.count("*").alias("n"))
     enough = tally.filter(F.col("n") + size >= shared)
@@ -112,7 +112,7 @@ def near_duplicates(docs: DataFrame, bits: int = 3, size: int = 3) -> DataFrame:
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = written(rooted.join(lowest, "root").select("fp", "component_id"), "named")
     forget(rooted)
-    return marked.join(bounded(named, SMALL), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return exchanged(marked).join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, bits: int = 3) -> DataFrame:

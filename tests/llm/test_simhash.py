@@ -93,3 +93,8 @@ def test_fingerprint_by_hand():
     bits = [sum(h >> i & 1 for h in hashes) for i in range(64)]
     assert simhash.fingerprint(text) == sum(1 << i for i, n in enumerate(bits) if 2 * n > 2)
     assert simhash.fingerprint("É x") == xxhash.xxh64_intdigest("É x".encode(), 42)
+
+
+def test_postings_are_exchanged_however_small_the_fingerprints_look(spark):
+    found = simhash.links(spark.range(50).selectExpr("id * 7919 fp"))
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
