@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from colophon.functions.people import names_nearly_equal, similar_author_key
 from colophon.functions.titles import MIN_TYPO
+from colophon.operators.tables import exchanged
 
 
 def cuts(word: Column) -> Column:
@@ -41,9 +42,9 @@ def near_words(left: DataFrame, right: DataFrame, on: list[str], word: str = "wo
         """Each way to take one letter out, once."""
         return df.withColumn("rest", F.explode(F.array_distinct(F.transform(cuts(F.col("w")), lambda c: c["rest"])))).drop("w")
 
-    changed = cut(x).withColumnRenamed("w", "v").join(cut(y), [*keys, "at", "rest"]).filter(F.col("v") != F.col("w")).select("x", "y")
-    added = x.withColumnRenamed("w", "rest").join(shorter(y), [*keys, "rest"]).select("x", "y")
-    dropped = shorter(x).join(y.withColumnRenamed("w", "rest"), [*keys, "rest"]).select("x", "y")
+    changed = exchanged(cut(x)).withColumnRenamed("w", "v").join(cut(y), [*keys, "at", "rest"]).filter(F.col("v") != F.col("w")).select("x", "y")
+    added = exchanged(x).withColumnRenamed("w", "rest").join(shorter(y), [*keys, "rest"]).select("x", "y")
+    dropped = exchanged(shorter(x)).join(y.withColumnRenamed("w", "rest"), [*keys, "rest"]).select("x", "y")
     return changed.union(added).union(dropped)
 
 

@@ -9,7 +9,7 @@ from colophon.operators import blocking
 from colophon.operators.verdict import IDENTITY, by_cover, decide, verdict, with_publishers
 from colophon.plans import execute, ladder, review, selection
 from colophon.plans.features import BOOKS, features, without_junk_isbns
-from colophon.queries import literal, query, read, stated, values_sql
+from colophon.queries import literal, query, read, spread, stated, values_sql
 
 TA = ["Tove Almqvist"]
 
@@ -68,7 +68,7 @@ def _libs(cases: list) -> list[str]:
 def _over_parts(spark: SparkSession, sf_dir: str, df: DataFrame, libs: list[str]) -> DataFrame:
     """Each part gets the libraries of one case, named by the case and the part's key; the key is added as ``part``."""
     numbers = F.create_map(*(x for k, lib in enumerate(libs) for x in (F.lit(lib), F.lit(k))))
-    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), (F.col("p_partkey") % len(libs)).cast("int").alias("case"))
+    parts = spread(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), (F.col("p_partkey") % len(libs)).cast("int").alias("case"))
     dealt = parts.join(F.broadcast(df.withColumn("case", F.element_at(numbers, F.col("lib")))), "case").drop("case")
     return dealt.withColumn("lib", F.concat("lib", F.lit("-"), F.col("part").cast("string")))
 
@@ -96,7 +96,7 @@ def _expected(cases: list) -> str:
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What texts of each part's books share."""
     shares = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(s).alias("share")) for a, b, s in ((1, 2, 1.0), (3, 4, 0.97), (1, 3, 0.1))))
-    own = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.explode(shares).alias("s"))
+    own = spread(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.explode(shares).alias("s"))
     return own.select((F.col("s.a") + F.col("part") * 10).alias("a"), (F.col("s.b") + F.col("part") * 10).alias("b"), "s.share")
 
 
@@ -352,7 +352,7 @@ _REVIEW = f"id int, title string, authors array<string>, publisher string, year
 def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part has one of the cases, numbered by its key and the case."""
     rows = spark.createDataFrame([r for r, _ in REVIEWS], _REVIEW)
-    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"))
+    parts = spread(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"))
     dealt = parts.join(F.broadcast(rows), F.col("part") % len(REVIEWS) + 1 == F.col("id"))
     return review.evidence(dealt.withColumn("id", F.col("part") * 100 + F.col("id")).drop("part"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from colophon.operators import blocking
 from colophon.plans import edit, execute, selection
 from colophon.plans.features import BOOKS, features
-from colophon.queries import query, read, stated, values_sql
+from colophon.queries import query, read, spread, stated, values_sql
 
 _SHELF = "lib string, side string, id bigint, title string, authors array<string>, publisher string, year int, series string, series_number double, isbns array<string>, languages array<string>, tags array<string>, formats array<string>"
 SHELF = [
@@ -24,7 +24,7 @@ VALUES = {1: [("title", "Salt Roads", "Salt Roads"), ("authors", "Peter Oakes",
 
 def _dealt(spark: SparkSession, sf_dir: str, df: DataFrame, records: int = 5) -> DataFrame:
     """Each part, as a library of its own, has the rows of one record, by its key."""
-    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"))
+    parts = spread(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"))
     dealt = parts.join(F.broadcast(df), F.col("part") % records + 1 == F.col("id"))
     return dealt.withColumn("lib", F.concat("lib", F.lit("-"), F.col("part").cast("string"))).drop("part")
 
@@ -181,7 +181,7 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = {"lib": F.lit("parts"), "side": F.when(F.col("p_partkey") % 2 == 0, "source").otherwise("target"), "id": F.col("p_partkey"), "title": F.col("p_name"), "authors": F.array("p_brand"), "formats": F.array(F.lit("EPUB"))}
     names = [f.split()[0:2] for f in BOOKS.split(", ")]
     empty = lambda kind: F.array().cast(kind) if kind.startswith("array") else F.lit(None).cast(kind)
-    return read(spark, sf_dir, "part").select(*(given.get(n, empty(kind)).alias(n) for n, kind in names))
+    return spread(spark, sf_dir, "part").select(*(given.get(n, empty(kind)).alias(n) for n, kind in names))
 
 
 _TITLE = r"trim(regexp_replace(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"

@@ -95,3 +95,78 @@ def test_a_stream_reports_the_counters_of_its_batches(spark, tmp_path):
     finally:
         spark.streams.removeListener(seen)
     assert seen.totals() == {"n": 30, "even": 15} and len(seen.by_batch) == 3
+
+
+def _two_sides(spark, rows):
+    """Sources have even ids, candidates odd ones."""
+    from colophon.plans.features import features
+    from colophon.queries.shelves import records
+
+    df = spark.createDataFrame(rows, "id bigint, title string, author string")
+    side = F.when(F.col("id") % 2 == 0, "source").otherwise("target")
+    feats = features(records(df, lib=F.lit("l"), side=side, id=F.col("id"), title=F.col("title"), authors=F.array("author"), formats=F.array(F.lit("EPUB")))).withColumn("ord", F.array("id"))
+    return feats.filter("side = 'source'"), feats.filter("side = 'target'")
+
+
+def _most_joined(spark, work):
+    """The most rows that a join of ``work`` gave, by the statuses of its executions."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    work()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    most, runs = 0, store.executionsList()
+    for i in range(before, runs.size()):
+        key, nodes = runs.apply(i).executionId(), store.planGraph(runs.apply(i).executionId()).allNodes()
+        values = store.executionMetrics(key)
+        for j in range(nodes.size()):
+            node = nodes.apply(j)
+            if "Join" in node.name():
+                for k in range(node.metrics().size()):
+                    m = node.metrics().apply(k)
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_author_variants_equal_the_rules_on_all_pairs(spark):
+    from colophon.functions.people import initials_match, similar_author_key, surname_match
+    from colophon.operators import blocking
+
+    names = ["Margaret Oakes", "M. Oakes", "Oakes", "Margarret Oakes", "P. von Oakes", "Peter van Oakes", "J. R. Holm", "John Robert Holm", "Jane Holm", "Holm", "Holm Holm", "H. Holm", "Ann", "", None]
+    src, cand = _two_sides(spark, [(i, "Tides" if i % 3 else "Salt Roads", n) for i, n in enumerate(names * 4)])
+    asked = spark.createDataFrame([("Ann", "Oakes", "same"), ("Holm", "Ann", "different")], "a string, b string, answer string")
+    got = {tuple(r) for r in blocking.author_variants(src, cand, asked).select("id", "cand", "weak").collect()}
+    x, y = (df.select("id", "title_key", F.explode("authors").alias("a")) for df in (src, cand))
+    each = x.crossJoin(y.toDF("cand", "t2", "b")).filter("title_key = t2")
+    word = F.exists(F.array_intersect(similar_author_key("a"), similar_author_key("b")), lambda w: F.char_length(w) > 1)
+    said = F.expr("(a = 'Ann' and b = 'Oakes') or (a = 'Oakes' and b = 'Ann')")
+    sure = names_nearly_equal(F.col("a"), F.col("b")) | (word & initials_match(F.col("a"), F.col("b")))
+    want = each.withColumn("sure", sure).withColumn("some", F.col("sure") | (word & surname_match(F.col("a"), F.col("b"))) | said).filter("some").groupBy("id", "cand").agg((~F.bool_or("sure")).alias("weak"))
+    assert got == {tuple(r) for r in want.collect()} and any(r[2] for r in got) and any(not r[2] for r in got)
+
+
+def test_a_word_that_all_authors_share_pairs_none_of_them(spark):
+    from colophon.operators import blocking
+
+    src, cand = _two_sides(spark, [(i, "Tides", f"Writer {chr(97 + i // 26) * 3}{chr(97 + i % 26) * 3}") for i in range(200)])
+    assert _most_joined(spark, lambda: blocking.author_variants(src, cand).count()) < 2_000
+
+
+def test_similar_titles_compare_each_title_once(spark):
+    from colophon.operators import blocking
+
+    src, cand = _two_sides(spark, [(i, "4 Silver Harbour" if i % 2 == 0 else "Silver Harbour" if i % 4 == 1 else "Salt Roads", "Harriet Oakes") for i in range(40)])
+    plan = blocking.similar_titles(src, cand)
+    assert plan.count() == 20 * 10
+    assert {r.cand % 4 for r in plan.collect()} == {1}
+    assert "contains" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_records_with_two_authors_in_common_meet_once(spark):
+    from colophon.operators import blocking
+
+    df = spark.createDataFrame([("l", i, [i], "tides", ["a", "b", "c"][: 1 + i % 3]) for i in range(6)], "lib string, id bigint, ord array<bigint>, title_key string, similar_keys array<string>")
+    met = blocking.similar(df, df)
+    assert sorted((r.id, r.cand) for r in met.collect()) == [(a, b) for a in range(6) for b in range(6)]
+    # nothing is exchanged or counted after the pairs are made
+    assert met._jdf.queryExecution().optimizedPlan().toString().lstrip().startswith("Project")
