@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colophon.operators.tables import forget, written
+from colophon.operators.tables import exchanged, forget, written
 
 #: Rungs in the order in which they decide.
 FILE, SERIES, KEY, VARIANT, TITLE = range(5)
@@ -56,7 +56,7 @@ def outcomes(pairs: DataFrame, unmatched: str) -> DataFrame:
     # the same title key by its own authors; by variants of them only where no such pair is left
     own = df.groupBy("lib", "id").agg(*(F.min(F.when(alive & (F.col("rung") == r) & ~F.col("open"), F.lit(r))).alias(f"has{r}") for r in (KEY, VARIANT)), *(any_(F.col("rung") == r).alias(f"may{r}") for r in (KEY, VARIANT)))
     rung = own.select("lib", "id", F.when(F.col(f"may{KEY}"), F.lit(KEY)).when(F.col(f"may{VARIANT}"), F.lit(VARIANT)).alias("of"), F.when(F.col(f"may{KEY}"), F.col(f"has{KEY}").isNotNull()).when(F.col(f"may{VARIANT}"), F.col(f"has{VARIANT}").isNotNull()).alias("surely"))
-    df = df.join(rung, ["lib", "id"])
+    df = exchanged(df).join(rung, ["lib", "id"])
     at = keyed & F.coalesce(F.col("rung") == F.col("of"), F.lit(False))
     title = F.col("rung") == TITLE
     local = ~F.col("foreign")
@@ -135,14 +135,14 @@ def decided(found: DataFrame, unmatched: str, before: DataFrame | None = None) -
     A candidate that has pairs itself is undecided at first. The others stay, but for those that go by the decisions ``before``.
     """
     ids = found.select("lib", F.col("id").alias("cand")).distinct().withColumn("open", F.lit(True))
-    pairs = found.join(ids, ["lib", "cand"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    pairs = exchanged(found).join(ids, ["lib", "cand"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
     pairs = pairs.withColumn("dead", F.lit(False)) if before is None else _dead(pairs.withColumn("dead", F.lit(False)), before)
     pairs = written(pairs, "pairs")
     done = []
     while True:
         now = written(outcomes(pairs, unmatched).filter("settled").drop("settled").select(*DECIDED), "decided")
         done.append(now)
-        after = written(_dead(pairs.join(now.select("lib", "id"), ["lib", "id"], "left_anti"), now), "pairs")
+        after = written(_dead(exchanged(pairs).join(now.select("lib", "id"), ["lib", "id"], "left_anti"), now), "pairs")
         forget(pairs)
         pairs = after
         if not pairs.limit(1).count():
@@ -157,5 +157,5 @@ def decided(found: DataFrame, unmatched: str, before: DataFrame | None = None) -
 def _dead(pairs: DataFrame, made: DataFrame) -> DataFrame:
     """The pairs with what the decisions ``made`` say of their candidates."""
     goes = made.select("lib", F.col("id").alias("cand"), (F.col("action") == "trash").alias("goes"))
-    df = pairs.join(goes, ["lib", "cand"], "left")
+    df = exchanged(pairs).join(goes, ["lib", "cand"], "left")
     return df.withColumn("dead", F.col("dead") | F.coalesce("goes", F.lit(False))).withColumn("open", F.col("open") & F.col("goes").isNull()).drop("goes")

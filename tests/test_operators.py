@@ -170,3 +170,14 @@ def test_records_with_two_authors_in_common_meet_once(spark):
     assert sorted((r.id, r.cand) for r in met.collect()) == [(a, b) for a in range(6) for b in range(6)]
     # nothing is exchanged or counted after the pairs are made
     assert met._jdf.queryExecution().optimizedPlan().toString().lstrip().startswith("Project")
+
+
+def test_large_written_tables_are_exchanged_by_joins(spark):
+    from colophon.operators.tables import written
+
+    # a column of one value and numbers in order: little on disk, much in memory
+    df = written(spark.range(400_000).selectExpr("id", "xxhash64(id) h", "'the same long text in each row' t"), "rows")
+    small = written(spark.range(10).toDF("id"), "few")
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(df.join(df.selectExpr("id o", "t s"), F.col("id") == F.col("o")))
+    assert "BroadcastHashJoin" in plan(spark.range(99).join(small, "id"))
