@@ -191,8 +191,7 @@ _TITLE = r"trim(regexp_replace(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}_\s]'
 def block_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN1 over all parts: how many targets have the title and the author of each source, and the first of them."""
     feats = features(_parts(spark, sf_dir)).withColumn("ord", F.col("id"))
-    pairs = blocking.strict(feats.filter("side = 'source'"), feats.filter("side = 'target'"))
-    return pairs.groupBy("id").agg(F.count("*").alias("n"), F.min("cand").alias("first"))
+    return blocking.counted(feats.filter("side = 'source'"), feats.filter("side = 'target'"), blocking.STRICT, blocking.strict).select("id", "n", "first")
 
 
 @query(f"SELECT a.p_brand brand, count(DISTINCT {_TITLE.format(x='a.p_name')}) titles, count(*) n FROM part a GROUP BY a.p_brand")

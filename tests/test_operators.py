@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from colophon.functions.people import names_nearly_equal
@@ -181,3 +182,26 @@ def test_large_written_tables_are_exchanged_by_joins(spark):
     plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan(df.join(df.selectExpr("id o", "t s"), F.col("id") == F.col("o")))
     assert "BroadcastHashJoin" in plan(spark.range(99).join(small, "id"))
+
+
+def test_counts_by_classes_equal_those_of_all_pairs(spark):
+    from colophon.operators import blocking
+
+    rng = random.Random(6)
+    rows = [("l" if i % 5 else "m", i, [i], rng.choice(["tides", "salt", ""]), rng.choice([["a"], ["a", "b"], ["b"], []]), rng.choice([["a"], ["a", "b"], ["c"], []]), rng.choice([None, "", "saga"]), rng.choice([None, 2.0, 3.5])) for i in range(120)]
+    df = spark.createDataFrame(rows, "lib string, id bigint, ord array<bigint>, title_key string, authors_key array<string>, similar_keys array<string>, series_key string, series_number double")
+    src, cand = df.filter("id % 2 = 0"), df.filter("id % 2 = 1 or id < 20")
+    for own, rule in ((blocking.STRICT, blocking.strict), (blocking.SIMILAR, blocking.similar), (blocking.SERIES, blocking.by_series)):
+        want = rule(src, cand).groupBy("lib", "id").agg(F.count("*"), F.min("cand"), F.sum("cand"))
+        got = blocking.counted(src, cand, own, rule)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+@pytest.mark.parametrize("name", ["block_parts"])
+def test_copies_make_no_square_of_pairs(spark, tmp_path, name):
+    from colophon.queries import QUERIES
+
+    spark.range(1000).selectExpr("id p_partkey", "'red bolt' p_name", "'Brand#11' p_brand", "'LARGE' p_type", "5 p_size", "1.0D p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    rows = []
+    assert _most_joined(spark, lambda: rows.extend(QUERIES[name](spark, str(tmp_path)).collect())) <= 1000
+    assert len(rows) == 500 and {r.n for r in rows} == {500}
