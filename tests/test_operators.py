@@ -197,7 +197,7 @@ def test_counts_by_classes_equal_those_of_all_pairs(spark):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
 
 
-@pytest.mark.parametrize("name", ["block_parts", "other_volumes"])
+@pytest.mark.parametrize("name", ["block_parts", "block_strict", "block_similar", "block_series", "other_volumes"])
 def test_copies_make_no_square_of_pairs(spark, tmp_path, name):
     from colophon.queries import QUERIES
 
