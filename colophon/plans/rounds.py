@@ -154,6 +154,49 @@ def decided(found: DataFrame, unmatched: str, before: DataFrame | None = None) -
     return out
 
 
+def decided_alike(found: DataFrame, alike: DataFrame, members: DataFrame, unmatched: str) -> DataFrame:
+    """As ``decided``, of records in classes: ``found`` has pairs of records, ``alike`` those of classes, ``members`` the records of each (``ladder.alike``).
+
+    A record is to all members of a class what it is to one, so of those that may stay only the first counts, if it is better ranked. Each round a
+    record has a pair for each class that it meets, however many records are in it. Records that meet nothing have no row.
+    """
+    key = ["lib", "id"]
+    head = F.min(F.struct("ord", "id", "open")).alias("head")
+    row = lambda df, open_: df.filter("cand").select("lib", "class", "ord", "id", F.lit(open_).alias("open"))
+    first = lambda df: df.groupBy("lib", "class").agg(head)
+    stay = written(first(row(members.filter("not own"), False)).select("lib", "class", "head.*"), "stay")
+    waiting = written(members.filter("own").select("lib", "id", "ord", "class", "cand"), "waiting")
+    names = [c for c in found.columns if c not in ("lib", "id", "cand", "ord", "own")]
+    by = alike.select("lib", F.col("id").alias("class"), F.col("cand").alias("of"), "ranked", *names)
+    opened = waiting.select("lib", F.col("id").alias("cand"), F.lit(True).alias("open"))
+    pairs = exchanged(found).join(opened, ["lib", "cand"], "left").withColumn("open", F.coalesce("open", F.lit(False))).withColumn("dead", F.lit(False))
+    pairs = written(pairs, "pairs")
+    done = []
+    while True:
+        heads = first(stay.select("lib", "class", "ord", "id", "open").union(row(waiting, True))).select("lib", F.col("class").alias("of"), F.col("head.ord").alias("ord"), F.col("head.id").alias("cand"), F.col("head.open").alias("open"))
+        meets = written(exchanged(by).join(heads, ["lib", "of"]), "meets")
+        each = exchanged(waiting.select("lib", "id", "class", F.col("ord").alias("own"))).join(meets, ["lib", "class"]).filter("(ord < own or not ranked) and id <> cand")
+        each = each.withColumn("dead", F.lit(False)).select(*pairs.columns).union(pairs)
+        told = written(outcomes(each, unmatched), "told")
+        done.append(told.filter("settled").select(*DECIDED))
+        state = written(exchanged(waiting).join(told.select(*key, "settled", "action"), key, "left"), "state")
+        ended = state.filter("settled is null or settled")
+        now = ended.select(*key, F.coalesce("action", F.lit(unmatched)).alias("action"))
+        stays = ended.filter("action is null or action <> 'trash'")
+        after = written(first(stay.select("lib", "class", "ord", "id", "open").union(row(stays, False))).select("lib", "class", "head.*"), "stay")
+        more = written(state.filter("not settled").select(*waiting.columns), "waiting")
+        left = written(_dead(exchanged(pairs).join(more.select(*key), key, "left_semi"), now).select(*pairs.columns), "pairs")
+        for old in (stay, waiting, pairs, meets, state):
+            forget(old)
+        stay, waiting, pairs = after, more, left
+        if not waiting.limit(1).count():
+            break
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more)
+    return out
+
+
 def _dead(pairs: DataFrame, made: DataFrame) -> DataFrame:
     """The pairs with what the decisions ``made`` say of their candidates."""
     goes = made.select("lib", F.col("id").alias("cand"), (F.col("action") == "trash").alias("goes"))

@@ -125,3 +125,34 @@ def test_many_copies_take_few_rounds(spark, monkeypatch, rung, verdict, kind):
 
 def test_no_pairs(spark):
     assert rounds.decided(spark.createDataFrame([], SCHEMA), "move").count() == 0
+
+
+def _copies(spark, seed, records):
+    """A library of few titles, editions and languages, with files and texts that cross them."""
+    from colophon.plans.features import BOOKS
+    from colophon.queries.catalogue import book
+
+    rng = random.Random(seed)
+    names = [f.split()[0] for f in BOOKS.split(", ")]
+    rows = []
+    for i in range(records):
+        of = {"publisher": rng.choice([None, "Osprey", "Kestrel"]), "year": rng.choice([None, 1990, 1991]), "formats": rng.choice([["EPUB"], ["PDF"], ["EPUB", "MOBI"]]), "digest": str(rng.randrange(records)) if rng.random() < 0.5 else None, "text_id": i, "text_lang": rng.choice([None, None, "ita", "eng"]), "cover": rng.choice([None, "s", "t"]), "tags": rng.choice([["New"], ["New"], []]), "series": rng.choice([None, "Saga"]), "series_number": rng.choice([2.0, 3.0])}
+        of["comments"] = rng.choice([None, "rich"])
+        rows.append(book("pq"[i % 2], rng.choice(["source"] * 4 + ["target"]), i, rng.choice(["Tides", "Tides", "Salt Roads", "4 Salt Roads"]), rng.choice([["Tove Almqvist"], ["Tove Almqvist", "Karl Holm"], ["Almqvist"]]), **of))
+    texts = spark.createDataFrame([(a, b, 1.0) for a in range(records) for b in range(a + 1, records) if rng.random() < 0.01], "a bigint, b bigint, share double")
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], BOOKS), texts
+
+
+@pytest.mark.parametrize("options", [{"one_library": True}, {"one_library": True, "cover_check": True, "same_series": True, "similar_authors": True, "similar_titles": True, "author_variants": True, "recheck_years": True}])
+def test_classes_of_records_give_the_plan_of_all_pairs(spark, monkeypatch, options):
+    from colophon.plans import ladder
+    from colophon.sources.catalogue import tag_selects
+
+    books, texts = _copies(spark, len(options), 90)
+    covers = spark.createDataFrame([("s", "t", "same")], "a string, b string, answer string")
+    plans = []
+    for copies in (0, 1 << 40):
+        monkeypatch.setattr(ladder, "COPIES", copies)
+        plans.append(sorted(map(str, ladder.plan(books, ladder.Options(**options), texts, covers, chosen=tag_selects("new")).collect())))
+    assert plans[0] == plans[1] and len(plans[0]) > 20
+    assert all(any(f"action='{a}'" in r for r in plans[0]) for a in ("trash", "leave"))
