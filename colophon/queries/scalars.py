@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colophon.functions import ids, people, text, titles
-from colophon.queries import query, read, stated, values_sql
+from colophon.queries import query, read, spread, stated, values_sql
 
 TITLES = [
     ("The Lantern Keeper", "lantern keeper"), ("le PHARE du Nord", "le phare du nord"), ("Salt Roads (3rd Edition)", "salt roads"), ("Harbour Songs (Bluebird Classics)", "harbour songs"),
@@ -119,7 +119,7 @@ def asin_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 def isbn_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ID1 over made-up numbers of all parts: the ten-digit form is made, checked and widened."""
     body = F.concat(F.lit("1"), F.lpad(F.col("p_partkey").cast("string"), 8, "0"))
-    df = read(spark, sf_dir, "part").select("p_partkey", body.alias("b"))
+    df = spread(spark, sf_dir, "part").select("p_partkey", body.alias("b"))
     total = sum(((11 - i) * F.substring("b", i, 1).cast("int") for i in range(1, 10)), F.lit(0))
     last = (F.lit(11) - total % 11) % 11
     ten = F.concat("b", F.when(last == 10, "X").otherwise(last.cast("string")))
@@ -130,7 +130,7 @@ def isbn_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT p_partkey, '1' || lpad(p_partkey::VARCHAR, 8, '0') b FROM part))""")
 def isbn_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX14: each part's own number in a text, printed in ten digits and again in thirteen with blanks, beside numbers that aren't one."""
-    df = read(spark, sf_dir, "part").select("p_partkey", "p_name", F.concat(F.lit("1"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")).alias("b"))
+    df = spread(spark, sf_dir, "part").select("p_partkey", "p_name", F.concat(F.lit("1"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")).alias("b"))
     last = (F.lit(11) - sum(((11 - i) * F.substring("b", i, 1).cast("int") for i in range(1, 10)), F.lit(0)) % 11) % 11
     check = (F.lit(10) - (F.lit(38) + sum(((3 if i % 2 else 1) * F.substring("b", i, 1).cast("int") for i in range(1, 10)), F.lit(0))) % 10) % 10
     ten = F.concat(F.substring("b", 1, 1), F.lit("-"), F.substring("b", 2, 8), F.lit("-"), F.when(last == 10, "X").otherwise(last.cast("string")))

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from colophon.functions import ids, people, text, titles
 from colophon.functions.people import names_nearly_equal
 from colophon.operators import near, trigrams
 from colophon.plans import counters
@@ -205,3 +206,28 @@ def test_copies_make_no_square_of_pairs(spark, tmp_path, name):
     rows = []
     assert _most_joined(spark, lambda: rows.extend(QUERIES[name](spark, str(tmp_path)).collect())) <= 1000
     assert len(rows) == 500 and {r.n for r in rows} == {500}
+
+
+def times_written(spark, column, what):
+    """How often an expression over column ``x`` stands in the plan."""
+    plan = spark.createDataFrame([("a",)], "x string").select(column.alias("y"))._jdf.queryExecution().analyzed().toString()
+    return plan.split("\n")[0].count(what)
+
+
+def test_isbn_is_cleaned_once(spark):
+    assert times_written(spark, ids.normalize_isbn("x"), "[^0-9Xx]") == 1
+
+
+def test_names_and_titles_are_read_once(spark):
+    assert times_written(spark, people.similar_author_key("x"), "lower(") == times_written(spark, text.key("x"), "lower(")
+    assert times_written(spark, titles.title_parts(F.col("x"), F.array(F.lit("b"))), "trim(x") == 1
+
+
+def test_ascii_keys_equal_the_general_rule(spark):
+    odd = [None, "", " ", "&", "a&b", "A_b-C.d", "\x1cx\x1fy\x7f", "tab\tnew\nline\x0bv\x0cf\rr", "It's  1,000 [x] {y} @z", "Ångström & Co", "\x85a b", "é", "ĲSSEL ﬁn ß"]
+    df = spark.createDataFrame([(t,) for t in odd], "x string")
+    general = F.replace(text.casefold(text._without_accents(F.col("x"))), F.lit("&"), F.lit(" and "))
+    general = F.btrim(F.regexp_replace(F.regexp_replace(general, r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
+    rows = df.select(text.key("x").alias("a"), general.alias("b"), text.strip_accents("x").alias("c"), text._without_accents(F.col("x")).alias("d"), text.tokens("x").alias("t")).collect()
+    assert all(r["a"] == r["b"] and r["c"] == r["d"] for r in rows)
+    assert rows[0]["t"] is None and rows[1]["t"] == rows[2]["t"] == [] and rows[4]["t"] == ["a", "and", "b"]
