@@ -118,7 +118,7 @@ def same_text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def length_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX10 on pairs that share at least ten runs."""
     n = _docs(spark, sf_dir).select("id", F.char_length("text").cast("bigint").alias("n"))
-    pairs = _share_pairs(spark, sf_dir).filter("common >= 10").join(n.toDF("a", "la"), "a").join(n.toDF("b", "lb"), "b")
+    pairs = text_share.pairs_sharing(_long_prints(spark, sf_dir), 10).join(n.toDF("a", "la"), "a").join(n.toDF("b", "lb"), "b")
     return pairs.select("a", "b", "la", "lb", (F.greatest("la", "lb") >= F.least("la", "lb") * 3).alias("longer"))
 
 
