@@ -95,6 +95,15 @@ def test_fingerprint_by_hand():
     assert simhash.fingerprint("É x") == xxhash.xxh64_intdigest("É x".encode(), 42)
 
 
+def test_stays_and_goes_by_an_exchange_of_the_documents(spark, monkeypatch):
+    from colophon.operators import tables
+
+    monkeypatch.setattr(tables, "EXCHANGED_BYTES", 0)
+    # the pipeline keeps one of each group by this join
+    found = simhash.near_duplicates(docs(spark))
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_postings_are_exchanged_however_small_the_fingerprints_look(spark):
     found = simhash.links(spark.range(50).selectExpr("id * 7919 fp"))
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
