@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from colophon.operators import blocking
 from colophon.operators.groups import placeholders
-from colophon.operators.tables import exchanged, written
+from colophon.operators.tables import exchanged, forget, written
 from colophon.operators.verdict import cover_kind, cover_verdict, verdict, with_publishers
 from colophon.plans.answers import filled
 from colophon.plans.features import features, put_right, without_junk_isbns
@@ -62,7 +62,11 @@ def ranked(feats: DataFrame) -> DataFrame:
 def _with_generic(feats: DataFrame) -> DataFrame:
     """IM2, AG4: ``generic``: the record's cover stands on three titles and three sets of authors."""
     junk = placeholders(feats.filter("cover is not null").withColumn("akey", F.array_join("authors_key", "|")), "lib", "cover", author="akey")
-    return exchanged(feats).join(junk.select("lib", "cover", F.lit(True).alias("generic")), ["lib", "cover"], "left").withColumn("generic", F.coalesce("generic", F.lit(False)))
+    junk = written(junk.select("lib", "cover"), "generic")
+    if not junk.limit(1).count():
+        forget(junk)
+        return feats.withColumn("generic", F.lit(False))
+    return exchanged(feats).join(junk.withColumn("generic", F.lit(True)), ["lib", "cover"], "left").withColumn("generic", F.coalesce("generic", F.lit(False)))
 
 
 def _covers(pairs: DataFrame, answers: DataFrame | None, options: Options) -> DataFrame:
@@ -226,10 +230,15 @@ def _readings(feats: DataFrame, answers: DataFrame | None) -> DataFrame:
 
 
 def described(books: DataFrame, options: Options, answers: DataFrame | None = None, chosen: Column | None = None) -> DataFrame:
-    """The features of all records, as the rungs need them."""
+    """The features of all records, as the rungs need them, over a written table: names and titles get their keys once."""
     books = books.withColumn("chosen", F.lit(True) if chosen is None else F.coalesce(chosen, F.lit(False)))
     books = put_right(books) if options.fix_swapped else books.withColumn("swapped", F.lit(False))
-    return ranked(_readings(without_junk_isbns(features(books, options.same_series)), answers))
+    feats = written(features(books, options.same_series), "features")
+    right = _readings(without_junk_isbns(feats), answers)
+    if right is not feats:
+        right = written(right, "features")
+        forget(feats)
+    return ranked(right)
 
 
 #: What a record needs to be compared.
@@ -238,7 +247,7 @@ USABLE = "side = 'target' or (size(formats) > 0 and title_key <> '' and size(aut
 
 def prepared(books: DataFrame, options: Options, texts: DataFrame | None = None, covers: DataFrame | None = None, answers: DataFrame | None = None, chosen: Column | None = None, authors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The features of all records, and the pairs that the rungs find with their verdicts; both are written."""
-    feats = written(described(books, options, answers, chosen), "features")
+    feats = described(books, options, answers, chosen)
     return feats, written(edges(feats.filter(USABLE), options, texts, covers, authors=authors), "edges")
 
 
@@ -253,7 +262,7 @@ def plan(books: DataFrame, options: Options | None = None, texts: DataFrame | No
     Records that aren't chosen stay candidates for the others.
     """
     options = options or Options()
-    feats = written(described(books, options, answers, chosen), "features")
+    feats = described(books, options, answers, chosen)
     usable = feats.filter(USABLE)
     if _copies(usable):
         made = decided_alike(*alike(usable, options, texts, covers, authors), unmatched(options))

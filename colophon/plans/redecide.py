@@ -67,7 +67,7 @@ def differing(old: DataFrame, new: DataFrame) -> DataFrame:
 def again(kept: Kept, books: DataFrame, texts: DataFrame | None = None, covers: DataFrame | None = None, answers: DataFrame | None = None, authors: DataFrame | None = None) -> Kept:
     """The plan of changed ``books`` or answers, from the one that is kept."""
     options = kept.options
-    feats = written(ladder.described(books, options, answers), "features")
+    feats = ladder.described(books, options, answers)
     changed = written(differing(kept.feats, feats), "changed")
     if not changed.limit(1).count():
         return Kept(options, kept.feats, kept.pairs, kept.made)

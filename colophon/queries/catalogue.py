@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from colophon.operators import blocking
 from colophon.operators.verdict import IDENTITY, by_cover, decide, verdict, with_publishers
 from colophon.plans import execute, ladder, review, selection
-from colophon.plans.features import BOOKS, features, without_junk_isbns
+from colophon.plans.features import BOOKS
 from colophon.queries import literal, query, read, spread, stated, values_sql
 
 TA = ["Tove Almqvist"]
@@ -214,7 +214,7 @@ def format_promises(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, sf_dir: str, cases: list, **options: object) -> tuple[DataFrame, DataFrame]:
-    feats = ladder.ranked(without_junk_isbns(features(_books(spark, sf_dir, cases), **options)))
+    feats = ladder.described(_books(spark, sf_dir, cases), ladder.Options(**options))
     return feats.filter("side = 'source'"), feats.filter("side = 'target'")
 
 

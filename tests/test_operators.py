@@ -252,3 +252,21 @@ def test_pairs_sharing_equals_all_pairs(spark):
         got = [tuple(r) for r in text_share.pairs_sharing(df, least).collect()]
         assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
     assert text_share.pairs_sharing(df.limit(0), 3).count() == 0
+
+
+def test_features_are_made_once_and_kept_where_no_isbn_is_junk(spark):
+    from colophon.plans import ladder
+    from colophon.plans.features import without_junk_isbns
+    from colophon.queries.shelves import records
+
+    isbn = F.array(F.lit("9780306406157"))
+    of = lambda n: records(spark.range(n), lib=F.lit("l"), side=F.lit("source"), id=F.col("id"), title=F.concat(F.lit("Tides "), F.chr(F.col("id") + 65)), authors=F.array(F.concat(F.lit("Eva Holm"), F.chr(F.col("id") + 97))), isbns=isbn, formats=F.array(F.lit("EPUB")))
+    # two titles may share an ISBN: nothing is joined, and what is read back has no title to fold
+    two = ladder.described(of(2), ladder.Options())
+    assert without_junk_isbns(two) is two
+    plan = two._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "regexp_replace" not in plan
+    assert [list(r.isbns) for r in two.collect()] == [["9780306406157"]] * 2
+    # three can't
+    three = ladder.described(of(3), ladder.Options())
+    assert [(list(r.isbns), list(r.identity.isbns)) for r in three.collect()] == [([], [])] * 3
