@@ -251,6 +251,15 @@ def prepared(books: DataFrame, options: Options, texts: DataFrame | None = None,
     return feats, written(edges(feats.filter(USABLE), options, texts, covers, authors=authors), "edges")
 
 
+def compared(books: DataFrame, options: Options, texts: DataFrame | None = None, covers: DataFrame | None = None, answers: DataFrame | None = None, chosen: Column | None = None, authors: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
+    """The features of all records, and (pairs, classes, members) as by ``alike`` where classes are paired; else all pairs, and none of these."""
+    feats = described(books, options, answers, chosen)
+    usable = feats.filter(USABLE)
+    if _copies(usable):
+        return feats, *alike(usable, options, texts, covers, authors)
+    return feats, written(edges(usable, options, texts, covers, authors=authors), "edges"), None, None
+
+
 def unmatched(options: Options) -> str:
     """What becomes of a record that no pair decides."""
     return "leave" if options.one_library else "move"
@@ -262,12 +271,8 @@ def plan(books: DataFrame, options: Options | None = None, texts: DataFrame | No
     Records that aren't chosen stay candidates for the others.
     """
     options = options or Options()
-    feats = described(books, options, answers, chosen)
-    usable = feats.filter(USABLE)
-    if _copies(usable):
-        made = decided_alike(*alike(usable, options, texts, covers, authors), unmatched(options))
-    else:
-        made = decided(written(edges(usable, options, texts, covers, authors=authors), "edges"), unmatched(options))
+    feats, pairs, classes, members = compared(books, options, texts, covers, answers, chosen, authors)
+    made = decided(pairs, unmatched(options)) if classes is None else decided_alike(pairs, classes, members, unmatched(options))
     return finished(feats, made, options)
 
 

@@ -3,12 +3,13 @@
 A record is only compared with better-ranked ones, so the decisions of the first ranges are final whatever follows: a run that stops after any
 range leaves a valid partial plan, and going on takes up the next one. A folder holds
 
-- ``features`` and ``pairs`` (dealt by range), written once when the run starts,
+- ``features`` and ``pairs`` (dealt by range), written once when the run starts; where a library has many records to a work, ``classes`` and ``members`` (dealt by
+  range) instead of most pairs, as ``ladder.alike`` gives them,
 - ``decided/range=k``, the decisions of a range,
 - ``manifest/range=k``, a row for each complete range, written last: a range without one is decided again.
 
-A range sees the decisions of earlier ranges as settled and decides its own records in parallel rounds. Only the manifest, a row for each range,
-and the cuts reach the driver.
+A range sees the decisions of earlier ranges as settled and decides its own records in parallel rounds. Its entry counts the pairs of its records, and those of
+their classes. Only the manifest, a row for each range, and the cuts reach the driver.
 
 Cases: a range without pairs is complete at once; a run that is already complete stays as it is; cuts may leave ranges empty.
 """
@@ -24,8 +25,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colophon.operators.tables import exchanged
 from colophon.plans import ladder
-from colophon.plans.rounds import DECIDED, decided
+from colophon.plans.rounds import DECIDED, decided, decided_alike
 
 _MADE = "lib string, id bigint, action string, match bigint, why string, notes array<string>, review string, override boolean"
 _ENTRY = "pairs bigint, decided bigint, seconds double"
@@ -59,12 +61,17 @@ def _range(order: Column, cuts: Sequence[Sequence[int]]) -> Column:
 
 def start(books: DataFrame, folder: str, options: ladder.Options, ranges: int | Sequence[Sequence[int]], **facts: object) -> None:
     """Writes what a run needs: features, pairs by range, and the cuts (given, or even ones for so many ranges)."""
-    feats, found = ladder.prepared(books, options, **facts)
+    feats, found, classes, members = ladder.compared(books, options, **facts)
     cuts = even_cuts(feats, ranges) if isinstance(ranges, int) else [list(c) for c in ranges]
     feats.withColumn("range", _range(F.col("ord"), cuts)).write.parquet(f"{folder}/features")
     dealt = found.withColumn("range", _range(F.col("own"), cuts))
     dealt.write.partitionBy("range").parquet(f"{folder}/pairs")
-    books.sparkSession.createDataFrame([(json.dumps(asdict(options)), len(cuts) + 1, dealt.schema.json())], "options string, ranges int, pairs string").coalesce(1).write.parquet(f"{folder}/run")
+    if classes is not None:
+        classes.write.parquet(f"{folder}/classes")
+        members = members.withColumn("range", _range(F.col("ord"), cuts))
+        members.write.partitionBy("range").parquet(f"{folder}/members")
+    kinds = [None if df is None else df.schema.json() for df in (dealt, classes, members)]
+    books.sparkSession.createDataFrame([(json.dumps(asdict(options)), len(cuts) + 1, *kinds)], "options string, ranges int, pairs string, classes string, members string").coalesce(1).write.parquet(f"{folder}/run")
 
 
 def _run(spark: SparkSession, folder: str) -> tuple[ladder.Options, int]:
@@ -89,18 +96,40 @@ def _made(spark: SparkSession, folder: str, ranges: Sequence[int]) -> DataFrame:
     return spark.read.schema(_MADE).parquet(*(f"{folder}/decided/range={k}" for k in ranges))
 
 
+def _read(spark: SparkSession, folder: str, what: str) -> DataFrame | None:
+    """One of the run's tables; files of a run without any pairs have no rows to read a schema from."""
+    kind = spark.read.parquet(f"{folder}/run").first()[what]
+    return None if kind is None else spark.read.schema(T.StructType.fromJson(json.loads(kind))).parquet(f"{folder}/{what}")
+
+
+def _members(spark: SparkSession, folder: str, k: int) -> DataFrame:
+    """The records as range ``k`` takes them: its own are to be decided, earlier ones have been, and later ones are nobody's candidates."""
+    members = _read(spark, folder, "members")
+    return members.filter(~F.col("own") | (F.col("range") <= k)).withColumn("own", F.col("own") & (F.col("range") == k)).drop("range")
+
+
 def go_on(spark: SparkSession, folder: str, at_most: int | None = None) -> int:
     """Decides the next ranges, ``at_most`` so many; gives how many are left."""
     options, ranges = _run(spark, folder)
+    unmatched = ladder.unmatched(options)
     complete = _entries(spark, folder)
     todo = [k for k in range(ranges) if k not in complete]
-    # the files of a run without any pairs have no rows to read a schema from
-    kind = T.StructType.fromJson(json.loads(spark.read.parquet(f"{folder}/run").first().pairs))
     for k in todo[:at_most]:
         began = time.time()
-        pairs = spark.read.schema(kind).parquet(f"{folder}/pairs").filter(F.col("range") == k).drop("range")
-        n = pairs.count()
-        made = decided(pairs, ladder.unmatched(options), _made(spark, folder, [x for x in complete if x < k])) if n else spark.createDataFrame([], _MADE)
+        pairs = _read(spark, folder, "pairs").filter(F.col("range") == k).drop("range")
+        n, before = pairs.count(), _made(spark, folder, [x for x in complete if x < k])
+        classes = _read(spark, folder, "classes")
+        if classes is not None:
+            members = _members(spark, folder, k)
+            n += classes.join(members.filter("own").select("lib", F.col("class").alias("id")).distinct(), ["lib", "id"], "left_semi").count()
+        if not n:
+            made = spark.createDataFrame([], _MADE)
+        elif classes is None:
+            made = decided(pairs, unmatched, before)
+        else:
+            gone = before.filter("action = 'trash'").select("lib", "id")
+            left = exchanged(pairs).join(gone.withColumnRenamed("id", "cand"), ["lib", "cand"], "left_anti").select(*pairs.columns)
+            made = decided_alike(left, exchanged(classes), exchanged(members).join(gone, ["lib", "id"], "left_anti"), unmatched)
         made.select(*DECIDED).write.mode("overwrite").parquet(f"{folder}/decided/range={k}")
         rows = spark.read.schema(_MADE).parquet(f"{folder}/decided/range={k}").count()
         spark.createDataFrame([(n, rows, time.time() - began)], _ENTRY).coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/range={k}")

@@ -154,11 +154,49 @@ def decided(found: DataFrame, unmatched: str, before: DataFrame | None = None) -
     return out
 
 
+def _told(waiting: DataFrame, heads: DataFrame, pairs: DataFrame, by: DataFrame, unmatched: str) -> DataFrame:
+    """``waiting(lib, id, ord, class, ...)`` with ``settled`` and DECIDED; both are null where a record meets nothing. Written.
+
+    ``heads(lib, of, ord, cand, open)`` are the first of the classes, ``by`` has pairs of classes and ``pairs`` those of records, none of them dead. Records of a
+    class that rank behind the same heads are told alike, once; those with pairs of their own each for itself. A pair of a file decides whatever classes say.
+    """
+    meets = written(exchanged(by).join(heads, ["lib", "of"]), "meets")
+    ords = meets.groupBy("lib", "class").agg(F.collect_set(F.when(F.col("ranked"), F.col("ord"))).alias("ords"))
+    own = pairs.groupBy("lib", "id").agg(F.bool_or(F.col("rung") == FILE).alias("by_file"))
+    none = F.array(F.lit(-1).cast("bigint"))
+    upto = F.coalesce(F.array_max(F.filter("ords", lambda o: o < F.col("ord"))), none)
+    alone = F.col("by_file").isNotNull()
+    key = F.struct(alone.alias("alone"), F.when(alone, F.col("id")).otherwise(F.col("class")).alias("of"), F.when(alone, none).otherwise(F.col("upto")).alias("upto"))
+    placed = exchanged(exchanged(waiting).join(ords, ["lib", "class"], "left")).join(own, ["lib", "id"], "left").withColumn("upto", upto).withColumn("key", key)
+    placed = written(placed.select(*waiting.columns, "upto", "key", "by_file"), "placed")
+    asking = placed.filter("by_file is null or not by_file").select("lib", "class", "upto", "key").distinct()
+    each = exchanged(asking).join(meets, ["lib", "class"]).filter("ord <= upto or not ranked").withColumn("id", F.col("key"))
+    single = pairs.withColumn("id", F.struct(F.lit(True).alias("alone"), F.col("id").alias("of"), none.alias("upto")))
+    names = [c for c in pairs.columns if c not in ("own", "dead")]
+    told = outcomes(each.select(*names).union(single.select(*names)).withColumn("dead", F.lit(False)), unmatched).withColumnRenamed("id", "key")
+    state = written(exchanged(placed).join(told, ["lib", "key"], "left").select(*waiting.columns, "settled", *DECIDED[2:]), "state")
+    forget(meets)
+    forget(placed)
+    return state
+
+
+def _class_pairs(alike: DataFrame, found: DataFrame) -> DataFrame:
+    names = [c for c in found.columns if c not in ("lib", "id", "cand", "ord", "own")]
+    return alike.select("lib", F.col("id").alias("class"), F.col("cand").alias("of"), "ranked", *names)
+
+
+def _opened(found: DataFrame, waiting: DataFrame) -> DataFrame:
+    """Pairs of records with ``open`` where the candidate is undecided; none is dead."""
+    opened = waiting.select("lib", F.col("id").alias("cand"), F.lit(True).alias("open"))
+    return exchanged(found).join(opened, ["lib", "cand"], "left").withColumn("open", F.coalesce("open", F.lit(False))).withColumn("dead", F.lit(False))
+
+
 def decided_alike(found: DataFrame, alike: DataFrame, members: DataFrame, unmatched: str) -> DataFrame:
     """As ``decided``, of records in classes: ``found`` has pairs of records, ``alike`` those of classes, ``members`` the records of each (``ladder.alike``).
 
-    A record is to all members of a class what it is to one, so of those that may stay only the first counts, if it is better ranked. Each round a
-    record has a pair for each class that it meets, however many records are in it. Records that meet nothing have no row.
+    A record is to all members of a class what it is to one, so of those that may stay only the first counts, if it is better ranked. Each round a class
+    has a pair for each class that it meets, for each place that its records have among the first of these, however many records it has. Members
+    that aren't ``own`` stay. Records that meet nothing have no row.
     """
     key = ["lib", "id"]
     head = F.min(F.struct("ord", "id", "open")).alias("head")
@@ -166,31 +204,26 @@ def decided_alike(found: DataFrame, alike: DataFrame, members: DataFrame, unmatc
     first = lambda df: df.groupBy("lib", "class").agg(head)
     stay = written(first(row(members.filter("not own"), False)).select("lib", "class", "head.*"), "stay")
     waiting = written(members.filter("own").select("lib", "id", "ord", "class", "cand"), "waiting")
-    names = [c for c in found.columns if c not in ("lib", "id", "cand", "ord", "own")]
-    by = alike.select("lib", F.col("id").alias("class"), F.col("cand").alias("of"), "ranked", *names)
-    opened = waiting.select("lib", F.col("id").alias("cand"), F.lit(True).alias("open"))
-    pairs = exchanged(found).join(opened, ["lib", "cand"], "left").withColumn("open", F.coalesce("open", F.lit(False))).withColumn("dead", F.lit(False))
-    pairs = written(pairs, "pairs")
+    by = _class_pairs(alike, found)
+    pairs = written(_opened(found, waiting), "pairs")
     done = []
     while True:
         heads = first(stay.select("lib", "class", "ord", "id", "open").union(row(waiting, True))).select("lib", F.col("class").alias("of"), F.col("head.ord").alias("ord"), F.col("head.id").alias("cand"), F.col("head.open").alias("open"))
-        meets = written(exchanged(by).join(heads, ["lib", "of"]), "meets")
-        each = exchanged(waiting.select("lib", "id", "class", F.col("ord").alias("own"))).join(meets, ["lib", "class"]).filter("(ord < own or not ranked) and id <> cand")
-        each = each.withColumn("dead", F.lit(False)).select(*pairs.columns).union(pairs)
-        told = written(outcomes(each, unmatched), "told")
-        done.append(told.filter("settled").select(*DECIDED))
-        state = written(exchanged(waiting).join(told.select(*key, "settled", "action"), key, "left"), "state")
+        state = _told(waiting, heads, pairs, by, unmatched)
+        done.append(state.filter("settled").select(*DECIDED))
+        more = state.filter("not settled").select(*waiting.columns)
+        if not more.limit(1).count():
+            break
         ended = state.filter("settled is null or settled")
         now = ended.select(*key, F.coalesce("action", F.lit(unmatched)).alias("action"))
         stays = ended.filter("action is null or action <> 'trash'")
         after = written(first(stay.select("lib", "class", "ord", "id", "open").union(row(stays, False))).select("lib", "class", "head.*"), "stay")
-        more = written(state.filter("not settled").select(*waiting.columns), "waiting")
-        left = written(_dead(exchanged(pairs).join(more.select(*key), key, "left_semi"), now).select(*pairs.columns), "pairs")
-        for old in (stay, waiting, pairs, meets, state):
-            forget(old)
+        left = written(_dead(exchanged(pairs).join(more.select(*key), key, "left_semi"), now).filter("not dead").select(*pairs.columns), "pairs")
+        forget(stay)
+        forget(pairs)
         stay, waiting, pairs = after, more, left
-        if not waiting.limit(1).count():
-            break
+    forget(stay)
+    forget(pairs)
     out = done[0]
     for more in done[1:]:
         out = out.union(more)

@@ -60,6 +60,21 @@ def test_a_range_that_broke_off_is_decided_again(spark, tmp_path, whole):
     assert rows(resume.result(spark, folder)[0]) == whole
 
 
+def test_a_run_of_many_copies_pairs_classes(spark, tmp_path, monkeypatch):
+    """Ranges see earlier decisions by the classes of records; only files pair records."""
+    books = library(spark, 40)
+    want = rows(ladder.plan(books, ONE))
+    monkeypatch.setattr(ladder, "COPIES", 0)
+    folder = f"file://{tmp_path}/run"
+    resume.start(books, folder, ONE, 3)
+    assert spark.read.parquet(f"{folder}/pairs").filter("rung > 0").count() == 0
+    assert resume.go_on(spark, folder, at_most=2) == 1
+    part, complete = resume.result(spark, folder)
+    assert not complete and 20 < len(rows(part)) < 34 and set(rows(part)) < set(want)
+    resume.go_on(spark, folder)
+    assert rows(resume.result(spark, folder)[0]) == want
+
+
 def test_cuts(spark, tmp_path):
     feats, _ = ladder.prepared(library(spark, 200), ONE)
     cuts = resume.even_cuts(feats, 5)
