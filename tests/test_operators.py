@@ -280,3 +280,21 @@ def test_doubts_read_changes_and_evidence_instead_of_making_them_again(spark):
     plan = review.doubts(changed)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "LogicalRDD" not in plan
     assert sorted((r.id, r.field, r.doubt) for r in review.doubts(changed).collect()) == sorted((r[0], f, d) for r, cs in REVIEWS for f, _, d in cs)
+
+
+def test_author_answers_pair_classes_of_records(spark, tmp_path, monkeypatch):
+    """Copies of one title and author are one class: pairs don't grow with the square of the copies."""
+    import duckdb
+
+    from colophon.operators import blocking
+    from colophon.queries import ORACLES, QUERIES
+
+    df = spark.range(2000).selectExpr("id p_partkey", "concat('title ', chr(97 + cast(id % 7 as int)), 'quill') p_name")
+    df.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    made, rule = [], blocking.author_variants
+    monkeypatch.setattr(blocking, "author_variants", lambda *a: (made.append(rule(*a)), made[-1])[1])
+    got = sorted(map(tuple, QUERIES["author_answers"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert got == sorted(con.execute(ORACLES["author_answers"]).fetchall()) and sum(r[1] for r in got) > 3000
+    assert made[0].count() < 1000
