@@ -67,3 +67,15 @@ def test_a_plan_decided_anew_is_the_plan_of_the_changed_input(spark):
     assert rows(back.plan()) == rows(kept.plan())
     same = redecide.again(kept, books)
     assert same.redone == 0 and rows(same.plan()) == rows(kept.plan())
+
+
+def test_a_plan_of_classes_decided_anew_is_the_plan_of_the_changed_input(spark, monkeypatch):
+    """Records fail, change and go; only files pair records, and what ranks before all changes isn't decided again."""
+    books = library(spark, 40)
+    changed = books.withColumn("broken", F.when(F.col("id") == 7, F.col("formats")).otherwise(F.col("broken"))).withColumn("year", F.when(F.col("id") == 12, 1975).otherwise(F.col("year"))).filter("id <> 20")
+    want = rows(ladder.plan(changed, ONE))
+    monkeypatch.setattr(ladder, "COPIES", 0)
+    kept = redecide.keep(books, ONE)
+    assert kept.pairs.filter("rung > 0").count() == 0
+    once = redecide.again(kept, changed)
+    assert rows(once.plan()) == want and 0 < once.redone < kept.redone
